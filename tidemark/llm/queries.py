@@ -21,4 +21,16 @@ def op2_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_tree_lm, op2_virtual_slots)}
+def op3_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.secrets import scan
+
+    return scan(_docs(spark, sf_dir))
+
+
+def op4_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.simhash import near_duplicates
+
+    return near_duplicates(_docs(spark, sf_dir)).drop("text_key")
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_tree_lm, op2_virtual_slots, op3_credential_links, op4_simhash_tiles)}
