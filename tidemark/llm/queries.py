@@ -33,4 +33,40 @@ def op4_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_docs(spark, sf_dir)).drop("text_key")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_tree_lm, op2_virtual_slots, op3_credential_links, op4_simhash_tiles)}
+def op5_anisotropic_mips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.anisotropic import search
+
+    return search(_docs(spark, sf_dir, "embeddings"))
+
+
+def op6_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.warc import archive
+
+    return archive(_docs(spark, sf_dir, "pages"))
+
+
+def op7_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.decontaminate import contamination
+
+    return contamination(_docs(spark, sf_dir), _docs(spark, sf_dir, "benchmark"))
+
+
+def op8_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.toxicity import score_documents
+
+    return score_documents(_docs(spark, sf_dir), _docs(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_suffix_tree_lm,
+        op2_virtual_slots,
+        op3_credential_links,
+        op4_simhash_tiles,
+        op5_anisotropic_mips,
+        op6_warc_dictionary,
+        op7_suffix_automaton,
+        op8_ftrl_toxicity,
+    )
+}
