@@ -57,6 +57,18 @@ def op8_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_docs(spark, sf_dir), _docs(spark, sf_dir, "labels"))
 
 
+def op9_fingerprint_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.fingerprint_log import dedup
+
+    return dedup(_docs(spark, sf_dir))
+
+
+def op10_viterbi_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.viterbi import encode_documents
+
+    return encode_documents(_docs(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -68,5 +80,7 @@ QUERIES = {
         op6_warc_dictionary,
         op7_suffix_automaton,
         op8_ftrl_toxicity,
+        op9_fingerprint_log,
+        op10_viterbi_pieces,
     )
 }

@@ -44,19 +44,19 @@ class SlotMap:
 def rebalance(shard: np.ndarray, load: np.ndarray, shards: int) -> dict[int, int]:
     """The moves that bring the shards' loads near each other: {slot: new shard}.
 
-    Shards above the mean give away their smallest slots, these go to the lightest shard, largest first, and
-    then single moves and swaps between the heaviest and the lightest shard narrow what is left.
+    Shards above the mean give away the largest slots that fit in what they have too much, these go to the
+    lightest shard, largest first, and then single moves and swaps between the heaviest and the lightest shard
+    narrow what is left.
     """
     new = np.where((shard >= 0) & (shard < shards), shard, -1)
     total = np.bincount(new[new >= 0], weights=load[new >= 0], minlength=shards)
     mean, pool = load.sum() / shards, list(np.flatnonzero(new < 0))
     for s in range(shards):
-        for k in sorted(np.flatnonzero(new == s), key=lambda k: (load[k], k)):
-            if total[s] <= mean:
-                break
-            total[s] -= load[k]
-            new[k] = -1
-            pool.append(k)
+        for k in sorted(np.flatnonzero((new == s) & (load > 0)), key=lambda k: (-load[k], k)):
+            if load[k] <= total[s] - mean:
+                total[s] -= load[k]
+                new[k] = -1
+                pool.append(k)
     for k in sorted(pool, key=lambda k: (-load[k], k)):
         new[k] = s = int(np.argmin(total))
         total[s] += load[k]
