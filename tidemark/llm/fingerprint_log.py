@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard as zstd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -160,64 +161,109 @@ def _suspects(block: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.
     return words, whole[_maybe(table, grams[at])]
 
 
+class _Windows:
+    """Windows of many documents, in memory up to a limit; equal ones are reduced to the earliest before they are shuffled."""
+
+    LIMIT = 1 << 20
+    NAMES = ["h", "k", "id", "at", "marks"]
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
+
+    def add(self, h: np.ndarray, check: np.ndarray, ids: np.ndarray, at: np.ndarray) -> None:
+        self.parts.append((h, check, ids, at))
+        self.size += len(h)
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        """The earliest of each sequence as a row of its own, the later ones as lists of marks by document."""
+        if not self.size:
+            return
+        h, check, ids, at = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.parts, self.size = [], 0
+        order = np.lexsort((at, ids))
+        order = order[np.argsort(h[order], kind="stable")]
+        h, check, ids, at = h[order], check[order], ids[order], at[order]
+        new = np.r_[True, (h[1:] != h[:-1]) | (check[1:] != check[:-1])]
+        first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+        later = (ids != ids[first]) | (at != at[first])
+        lists = pa.nulls(int(new.sum()), pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([*map(pa.array, (h[new].view(np.int64), check[new], ids[new], at[new])), lists], self.NAMES)
+        ids, tag, lists = _marks(ids[later], at[later])
+        if len(ids):
+            spread = K.mix(ids.view(_U) + tag.astype(_U)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(np.full(len(ids), -1)), pa.array(ids), pa.array(tag << 40), lists], self.NAMES)
+
+
+def _marks(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Window starts by document: ids, tags, lists of positions."""
+    order = np.lexsort((at, ids))
+    ids, tag, place = ids[order], at[order] >> 40, (at[order] & (1 << 40) - 1).astype(np.int32)
+    new = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (tag[1:] != tag[:-1])]) if len(ids) else np.zeros(0, dtype=np.int64)
+    return ids[new], tag[new], pa.ListArray.from_arrays(pa.array(np.r_[new, len(ids)].astype(np.int32)), pa.array(place))
+
+
 def removed_positions(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """(id, tag, at): for each document, the starts of the windows that also start earlier."""
+    """(id, tag, marks): for each document, the starts of the windows that also start earlier."""
     filter_ = docs.sparkSession.sparkContext.broadcast(table)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _Windows()
         for batch, block, starts, ends, rows in _blocks(batches):
             words, windows = _suspects(block, starts, ends, rows, filter_.value)
             if not len(windows):
                 continue
             n = np.bincount(rows, minlength=batch.num_rows)
             own = windows - (np.cumsum(n) - n)[rows[windows]]
-            h = K.gram_hashes(words, WINDOW)[windows]
             check = (K.gram_hashes(words, WINDOW, 0xE7037ED1A0B428DB)[windows] >> _U(33)).astype(np.int64)
             tag = np.asarray(batch.column("tag"))[rows[windows]].astype(np.int64)
-            ids = np.asarray(batch.column("id"))[rows[windows]]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(check), pa.array(ids), pa.array(tag << 40 | own)], ["h", "k", "id", "at"])
-
-    windows = docs.select("id", "tag", "text").mapInArrow(run, "h long, k long, id long, at long")
-    first = windows.groupBy("h", "k").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = windows.join(first, ["h", "k"]).where(F.struct("id", "at") > F.col("first"))
-    place = F.col("at").bitwiseAND(F.lit((1 << 40) - 1)).cast("int")
-    return again.groupBy("id", F.shiftright("at", 40).cast("int").alias("tag")).agg(F.collect_set(place).alias("at"))
-
-
-def _kept(docs: DataFrame, output: str, give) -> DataFrame:
-    """Apply `give(batch, block, starts, ends, rows, covered)` to rows with the starts of their removed windows in `at`."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, block, starts, ends, rows in _blocks(batches):
-            n = np.bincount(rows, minlength=batch.num_rows)
-            base = np.cumsum(n) - n
-            change = np.zeros(len(starts) + 1, dtype=np.int64)
-            lists = batch.column("at")
-            sizes = lists.value_lengths().fill_null(0).to_numpy()
-            at = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(base, sizes)
-            np.add.at(change, at, 1)
-            np.add.at(change, at + WINDOW, -1)
-            yield give(batch, block, starts, ends, rows, np.cumsum(change)[:-1] > 0)
-
-    return docs.mapInArrow(run, output)
-
-
-def _digests(batch, block, starts, ends, rows, covered) -> pa.RecordBatch:
-    n = np.bincount(rows, minlength=batch.num_rows).astype(np.int64)
-    gone = np.bincount(rows[covered], minlength=batch.num_rows).astype(np.int64)
-    keep, size, texts = np.flatnonzero(~covered), (ends - starts)[~covered], []
-    if len(keep):
-        # kept words side by side, each with a space behind it
-        at = np.cumsum(size + 1) - size - 1
-        out = np.full(int(size.sum()) + len(size), 32, dtype=np.uint8)
-        source = np.repeat(starts[keep] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        out[np.repeat(at - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))] = block[source]
-        data = out.tobytes()
-        ends_ = np.r_[at, len(out)]
-    upto = np.searchsorted(rows[keep], np.arange(batch.num_rows + 1))
-    for a, b in zip(upto[:-1], upto[1:], strict=True):
-        texts.append(hashlib.sha256(data[ends_[a] : ends_[b] - 1] if b > a else b"").hexdigest())
-    return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(gone), pa.array(texts)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+            found.add(K.gram_hashes(words, WINDOW)[windows], check, np.asarray(batch.column("id"))[rows[windows]], tag << 40 | own)
+            if found.size >= found.LIMIT:
+                yield from found.flush()
+        yield from found.flush()
+
+    def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, last = ["id", "tag", "marks"], None
+        give = lambda ids, tag, lists: pa.RecordBatch.from_arrays([pa.array(ids), pa.array(tag), lists], names)
+        for batch in batches:
+            h, check, ids, at = (batch.column(i).to_numpy() for i in range(4))
+            marked = check < 0
+            if marked.any():
+                yield give(ids[marked], at[marked] >> 40, batch.column("marks").filter(pa.array(marked)))
+            h, check, ids, at = h[~marked], check[~marked], ids[~marked], at[~marked]
+            if not len(h):
+                continue
+            new = np.r_[last is None or (h[0], check[0]) != last[:2], (h[1:] != h[:-1]) | (check[1:] != check[:-1])]
+            first = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
+            first_id = np.where(first >= 0, ids[first], last[2] if last else 0)
+            first_at = np.where(first >= 0, at[first], last[3] if last else 0)
+            again = (ids != first_id) | (at != first_at)
+            last = (h[-1], check[-1], first_id[-1], first_at[-1])
+            single = np.arange(int(again.sum()) + 1, dtype=np.int32)
+            place = (at[again] & (1 << 40) - 1).astype(np.int32)
+            yield give(ids[again], at[again] >> 40, pa.ListArray.from_arrays(pa.array(single), pa.array(place)))
+
+    windows = docs.select("id", "tag", "text").mapInArrow(suspects, "h long, k long, id long, at long, marks array<int>")
+    dealt = windows.repartition("h").sortWithinPartitions("h", "k", "id", "at")
+    marks = dealt.mapInArrow(later, "id long, tag long, marks array<int>")
+    return marks.groupBy("id", F.col("tag").cast("int").alias("tag")).agg(F.flatten(F.collect_list("marks")).alias("marks"))
+
+
+def _digests(n_rows: int, block: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray, covered: np.ndarray) -> list[pa.Array]:
+    """n_words, n_removed and kept_sha256 of each text."""
+    n = np.bincount(rows, minlength=n_rows).astype(np.int64)
+    gone = np.bincount(rows[covered], minlength=n_rows).astype(np.int64)
+    keep, size = np.flatnonzero(~covered), (ends - starts)[~covered]
+    # kept words side by side, each with a space behind it
+    at = np.cumsum(size + 1) - size - 1
+    out = np.full(int(size.sum()) + len(size), 32, dtype=np.uint8)
+    shift = np.cumsum(size) - size
+    run = np.arange(int(size.sum()))
+    out[np.repeat(at - shift, size) + run] = block[np.repeat(starts[keep] - shift, size) + run]
+    data, bounds = out.tobytes(), np.r_[at, len(out)]
+    upto = np.searchsorted(rows[keep], np.arange(n_rows + 1))
+    texts = [hashlib.sha256(data[bounds[a] : bounds[b] - 1] if b > a else b"").hexdigest() for a, b in zip(upto[:-1], upto[1:], strict=True)]
+    return [pa.array(n), pa.array(gone), pa.array(texts)]
 
 
 def _rows_of(docs: DataFrame) -> DataFrame:
@@ -225,6 +271,10 @@ def _rows_of(docs: DataFrame) -> DataFrame:
     return documents_of(docs).select("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), tag.alias("tag"), "text")
 
 
+_RESULT = ["n_words", "n_removed", "kept_sha256"]
+_RESULT_TYPES = "n_words long, n_removed long, kept_sha256 string"
+
+
 def dedup(docs: DataFrame, batches: int = 3) -> DataFrame:
     """Remove every word that an earlier-seen 20-word window covers: doc_id, n_words, n_removed, kept_sha256 of every row.
 
@@ -240,24 +290,41 @@ def dedup(docs: DataFrame, batches: int = 3) -> DataFrame:
         log.append(rows.where(span == b))
     table = bloom(log.repeated())
     log.drop()
-    starts = removed_positions(rows, table)
     filter_ = docs.sparkSession.sparkContext.broadcast(table)
 
-    def suspected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, block, s, e, r in _blocks(batches):
-            _, windows = _suspects(block, s, e, r, filter_.value)
-            yield _flagged(batch, r[windows], block, s, e, r)
-
-    seen = rows.mapInArrow(suspected, "doc_id long, id long, tag int, text string, n_words long, n_removed long, kept_sha256 string")
-    clear = seen.where("text is null").select("doc_id", "n_words", "n_removed", "kept_sha256")
-    open_ = seen.where("text is not null").select("doc_id", "id", "tag", "text").join(starts, ["id", "tag"], "left")
-    return clear.unionByName(_kept(open_.select("doc_id", "text", "at"), "doc_id long, n_words long, n_removed long, kept_sha256 string", _digests))
-
-
-def _flagged(batch, suspects, block, starts, ends, rows) -> pa.RecordBatch:
-    """Rows with a suspect window keep their text for the next step; the others are finished here and lose it."""
-    done = _digests(batch, block, starts, ends, rows, np.zeros(len(starts), dtype=bool))
-    mine = np.zeros(batch.num_rows, dtype=bool)
-    mine[suspects] = True
-    text = pa.array(batch.column("text").to_pylist(), pa.string(), mask=~mine)
-    return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("id"), batch.column("tag"), text, *done.columns[1:]], ["doc_id", "id", "tag", "text", "n_words", "n_removed", "kept_sha256"])
+    def first_look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts without a suspect window are finished here; the others go on, compressed."""
+        coder = zstd.ZstdCompressor(level=3)
+        for batch, block, starts, ends, at in _blocks(batches):
+            mine = np.zeros(batch.num_rows, dtype=bool)
+            mine[at[_suspects(block, starts, ends, at, filter_.value)[1]]] = True
+            packed = [coder.compress(t.encode()) if m else None for t, m in zip(batch.column("text").to_pylist(), mine, strict=True)]
+            done = _digests(batch.num_rows, block, starts, ends, at, np.zeros(len(starts), dtype=bool))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "id", "tag")), pa.array(packed, pa.binary()), *done], ["doc_id", "id", "tag", "packed", *_RESULT])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = zstd.ZstdDecompressor()
+        for whole in batches:
+            for i in range(0, whole.num_rows, 256):
+                batch = whole.slice(i, 256)
+                lists = batch.column("marks")
+                sizes = lists.value_lengths().fill_null(0).to_numpy()
+                open_ = np.flatnonzero(sizes)
+                texts = [coder.decompress(batch.column("packed")[int(r)].as_py()) for r in open_]
+                block, offsets = np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([0, *map(len, texts)])
+                starts, ends, at = K.find_words(block, offsets, K.SPACE)
+                n = np.bincount(at, minlength=len(texts))
+                change = np.zeros(len(starts) + 1, dtype=np.int64)
+                place = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(np.cumsum(n) - n, sizes[open_])
+                np.add.at(change, place, 1)
+                np.add.at(change, place + WINDOW, -1)
+                done = _digests(len(texts), block, starts, ends, at, np.cumsum(change)[:-1] > 0)
+                out = [batch.column(c).to_pylist() for c in _RESULT]
+                for column, new in zip(out, done, strict=True):
+                    for r, value in zip(open_, new.to_pylist(), strict=True):
+                        column[r] = value
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", *_RESULT])
+
+    seen = rows.mapInArrow(first_look, f"doc_id long, id long, tag int, packed binary, {_RESULT_TYPES}")
+    joined = seen.join(removed_positions(rows, table), ["id", "tag"], "left").select("doc_id", "packed", "marks", *_RESULT)
+    return joined.mapInArrow(finish, f"doc_id long, {_RESULT_TYPES}")
