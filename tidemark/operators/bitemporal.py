@@ -1,0 +1,222 @@
+"""The bitemporal store: facts (entity, attribute, value) with valid time and transaction time.
+
+Open bounds are null.  Histories whose facts arrive in order of valid time are windows (`timeline`); anything
+else is the keyed fold `assert_facts`, in the order of (recorded_at, seq).  Every lookup takes its times.
+"""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from tidemark.functions import evidence as E
+from tidemark.functions.temporal import HALFLIFE_DAYS, covers, days_between, overlaps
+from tidemark.functions.text import norm_value
+
+KEY = ("entity", "attribute")
+
+
+def timeline(facts: DataFrame, order: tuple[str, ...] = ("valid_from", "seq")) -> DataFrame:
+    """In-order facts: repeats of a value collapse, each version is valid until the next begins."""
+    by = Window.partitionBy(*KEY).orderBy(*order)
+    before = F.lag("value").over(by)
+    new = facts.withColumn("previous_value", before).where(before.isNull() | (before != F.col("value")))
+    return new.withColumn("valid_to", F.lead("valid_from").over(by)).withColumn("change_kind", F.when(F.col("previous_value").isNull(), "CREATED").otherwise("CHANGED"))
+
+
+def as_of(versions: DataFrame, t: Column, known_at: Column | None = None) -> DataFrame:
+    """Per fact key the version valid at t and, if given, known at `known_at`; the greatest valid_from, then the last recorded, wins."""
+    ok = covers(F.col("valid_from"), F.col("valid_to"), t)
+    if known_at is not None:
+        ok &= covers(F.col("recorded_at"), F.col("superseded_at"), known_at)
+    elif "superseded_at" in versions.columns:
+        ok &= F.col("superseded_at").isNull()
+    order = Window.partitionBy(*KEY).orderBy(F.desc("valid_from"), F.desc("seq"))
+    return versions.where(ok).withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+
+
+def as_of_join(points: DataFrame, versions: DataFrame, time: str = "t") -> DataFrame:
+    """Each point (entity, attribute, time) with the last version that began at or before it: one union and one window, no range join."""
+    right = [c for c in versions.columns if c not in KEY]
+    marks = versions.select(*KEY, F.col("valid_from").alias("_t"), F.lit(0).alias("_side"), F.struct(*right).alias("_v"))
+    asked = points.withColumns({"_t": F.col(time), "_side": F.lit(1)}).withColumn("_v", F.lit(None).cast(marks.schema["_v"].dataType))
+    both = asked.unionByName(marks, allowMissingColumns=True)
+    by = Window.partitionBy(*KEY).orderBy("_t", "_side", F.col("_v.seq") if "seq" in right else F.lit(0)).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_v", F.last("_v", ignorenulls=True).over(by)).where("_side = 1")
+    inside = F.col("_v.valid_to").isNull() | (F.col("_t") < F.col("_v.valid_to"))
+    return found.select(*points.columns, *[F.when(inside, F.col(f"_v.{c}")).alias(c) for c in right if c not in points.columns])
+
+
+def latest(versions: DataFrame, ref: Column) -> DataFrame:
+    """The last version of each key by end of validity, then record time, and whether it still holds."""
+    open_end = F.coalesce("valid_to", F.lit("9999-12-31").cast("timestamp"))
+    top = versions.groupBy(*KEY).agg(F.max_by(F.struct("value", "valid_from", "valid_to", "recorded_at"), F.struct(open_end, "recorded_at", "seq")).alias("v"))
+    return top.select(*KEY, "v.*").withColumn("still_valid", F.col("valid_to").isNull() | (ref < F.col("valid_to")))
+
+
+def outdated(versions: DataFrame, t: Column) -> DataFrame:
+    """Versions other than the one that holds at t."""
+    now = as_of(versions, t).select(*KEY, F.col("seq").alias("_now"))
+    return versions.join(now, list(KEY), "left").where(~F.col("seq").eqNullSafe(F.col("_now"))).drop("_now")
+
+
+def conflicts(versions: DataFrame) -> DataFrame:
+    """Pairs of current records of a key whose validity overlaps and whose normalised values differ.
+
+    Rows are grouped by distinct (interval, value) first, so copies of a value make no pairs.
+    """
+    current = versions.where(F.col("superseded_at").isNull()) if "superseded_at" in versions.columns else versions
+    side = current.withColumn("norm", norm_value(F.col("value"))).groupBy(*KEY, "norm", "valid_from", "valid_to").agg(F.min("seq").alias("seq"), F.min_by("value", "seq").alias("value"), F.min_by("source_id", "seq").alias("source_id"))
+    a = side.select(*KEY, *[F.col(c).alias(f"{c}_a") for c in ("norm", "value", "source_id", "valid_from", "valid_to", "seq")])
+    b = side.select(*KEY, *[F.col(c).alias(f"{c}_b") for c in ("norm", "value", "source_id", "valid_from", "valid_to", "seq")])
+    meet = overlaps(F.col("valid_from_a"), F.col("valid_to_a"), F.col("valid_from_b"), F.col("valid_to_b"))
+    return a.join(b, list(KEY)).where((F.col("seq_a") < F.col("seq_b")) & (F.col("norm_a") != F.col("norm_b")) & meet).drop("norm_a", "norm_b")
+
+
+def classify_conflicts(pairs: DataFrame, domain: str = "government") -> DataFrame:
+    """Type, severity and preferred side of version pairs (value_a/b, source_id_a/b, valid_from/to_a/b)."""
+    x, y = norm_value(F.col("value_a")), norm_value(F.col("value_b"))
+    phrasing = (x != "") & (y != "") & (F.contains(x, y) | F.contains(y, x)) & E.number(F.col("value_a")).isNull()
+    agree = ~F.coalesce(E.values_differ(F.col("value_a"), F.col("value_b")), F.lit(False))
+    apart = ~overlaps(F.col("valid_from_a"), F.col("valid_to_a"), F.col("valid_from_b"), F.col("valid_to_b"))
+    gap = E.tier(F.col("source_id_b"), domain) - E.tier(F.col("source_id_a"), domain)
+    kind = F.when(phrasing | agree, "NONE").when(apart, "TEMPORAL").otherwise("FACTUAL")
+    severity = F.when(phrasing | agree, 0.0).when(apart, 0.1).when(F.abs(gap) >= 2, 0.6).otherwise(1.0)
+    later = F.when(F.col("valid_from_a") < F.col("valid_from_b"), "b").otherwise("a")
+    preferred = F.when(kind == "TEMPORAL", later).when((kind == "FACTUAL") & (F.abs(gap) >= 2), F.when(gap > 0, "a").otherwise("b"))
+    return pairs.withColumns({"conflict_type": kind, "severity": severity, "preferred": preferred})
+
+
+def changes_between(versions: DataFrame, start: Column, end: Column) -> DataFrame:
+    return versions.where(F.col("change_kind").isin("CHANGED", "CORRECTED") & (F.col("valid_from") >= start) & (F.col("valid_from") <= end))
+
+
+def change_feed(events: DataFrame, limit: int = 100, kind: str | None = None, since: Column | None = None) -> DataFrame:
+    out = events if kind is None else events.where(F.col("kind") == kind)
+    out = out if since is None else out.where(F.col("detected_at") >= since)
+    return out.orderBy(F.desc("detected_at"), *KEY, "new_value").limit(max(1, min(500, limit)))
+
+
+def estimate_halflife(versions: DataFrame) -> DataFrame:
+    """Upper median of closed intervals in whole days, at least 1, per attribute; the table's where none is closed."""
+    days = F.floor(days_between(F.col("valid_to"), F.col("valid_from")))
+    ranked = versions.where(F.col("valid_to").isNotNull()).select("attribute", days.alias("days"))
+    counted = ranked.groupBy("attribute", "days").count()
+    upto = F.sum("count").over(Window.partitionBy("attribute").orderBy("days"))
+    total = F.sum("count").over(Window.partitionBy("attribute"))
+    median = counted.withColumns({"upto": upto, "total": total}).where(F.col("upto") > F.floor(F.col("total") / 2)).groupBy("attribute").agg(F.min("days").alias("days"))
+    table = F.create_map(*[F.lit(x) for pair in HALFLIFE_DAYS.items() for x in pair])
+    default = F.coalesce(F.try_element_at(table, F.col("attribute")), F.lit(HALFLIFE_DAYS["default"]))
+    return versions.select("attribute").distinct().join(median, "attribute", "left").select("attribute", F.coalesce(F.greatest(F.lit(1.0), F.col("days").cast("double")), default).alias("halflife_days"))
+
+
+def canonical(names: DataFrame, entities: DataFrame) -> DataFrame:
+    """Resolve `name` to an entity: exact, else the one whose distinctive tokens contain the name's (or the reverse) with the best Jaccard share."""
+    # Company forms that don't tell names apart.
+    suffixes = ["inc", "ltd", "llc", "corp", "corporation", "company", "co", "plc", "group", "holdings", "limited", "the", "sa", "ag"]
+    toks = lambda c: F.array_distinct(F.filter(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: ~t.isin(suffixes)))
+    known = entities.select(F.col("entity"), toks(F.col("entity")).alias("et")).distinct()
+    asked = names.select("name").distinct().withColumn("nt", toks(F.col("name")))
+    shared = asked.withColumn("t", F.explode("nt")).join(known.withColumn("t", F.explode("et")), "t").groupBy("name", "entity").agg(F.first("nt").alias("nt"), F.first("et").alias("et"), F.count("*").alias("n"))
+    near = shared.where((F.col("n") == F.size("nt")) | (F.col("n") == F.size("et")))
+    share = F.col("n") / F.size(F.array_union("nt", "et"))
+    best = near.groupBy("name").agg(F.min_by("entity", F.struct((F.lower("name") != F.lower("entity")).cast("int"), -share, "entity")).alias("entity"))
+    return names.join(best, "name", "left").select("name", F.coalesce("entity", "name").alias("entity"))
+
+
+_FOLD = "entity string, attribute string, seq long, value string, valid_from long, valid_to long, recorded_at long, superseded_at long, source_id string, evidence_ids array<string>, confidence double, change_kind string, previous_value string"
+
+
+def _fold(group: pd.DataFrame, bitemporal: bool) -> pd.DataFrame:
+    """Versions of one key from its assertions in order. Times are microseconds, None for open."""
+    versions: list[dict] = []
+    norm = lambda v: " ".join(str(v).strip().lower().replace(",", "").split())
+    none = lambda x: None if pd.isna(x) else int(x)
+    for row in group.sort_values(["recorded_at", "seq"]).itertuples(index=False):
+        start, end, now, source = none(row.valid_from), none(row.valid_to), none(row.recorded_at), row.source_id or ""
+        low = -(1 << 63) if start is None else start
+        live = [v for v in versions if v["superseded_at"] is None and (v["valid_from"] is None or v["valid_from"] <= low) and (v["valid_to"] is None or low < v["valid_to"])]
+        prior = max(live, key=lambda v: (v["valid_from"] is not None, v["valid_from"] or 0, v["n"]), default=None)
+        evidence = [] if row.evidence_ids is None else list(row.evidence_ids)
+        kind = "CREATED"
+        if prior is not None:
+            if norm(prior["value"]) == norm(row.value):
+                prior["evidence_ids"] = list(dict.fromkeys([*prior["evidence_ids"], *evidence]))
+                if source and source != prior["source_id"]:
+                    prior["confidence"] = min(0.99, prior["confidence"] + 0.1)
+                if prior["valid_to"] is not None and (end is None or end > prior["valid_to"]):
+                    prior["valid_to"] = end
+                continue
+            if start is not None and (prior["valid_from"] is None or start > prior["valid_from"]):
+                kind = "CHANGED"
+                if bitemporal:
+                    prior["superseded_at"] = now
+                    versions.append({**prior, "superseded_at": None, "recorded_at": now, "valid_to": start, "n": len(versions)})
+                else:
+                    prior["valid_to"] = start if prior["valid_to"] is None else min(prior["valid_to"], start)
+            elif source and source == prior["source_id"] and now > prior["recorded_at"] and (start, end) == (prior["valid_from"], prior["valid_to"]):
+                kind = "CORRECTED"
+                prior["superseded_at"] = now
+            else:
+                kind = "CONFLICT"
+        versions.append(
+            {
+                "entity": row.entity, "attribute": row.attribute, "seq": int(row.seq), "value": row.value, "valid_from": start, "valid_to": end, "recorded_at": now, "superseded_at": None,
+                "source_id": source, "evidence_ids": evidence, "confidence": float(row.confidence), "change_kind": kind, "previous_value": prior["value"] if prior else None, "n": len(versions),
+            }
+        )
+    frame = pd.DataFrame(versions, columns=[f.split()[0] for f in _FOLD.split(", ")])
+    times = ("valid_from", "valid_to", "recorded_at", "superseded_at")
+    return frame.astype({c: "Int64" for c in times})
+
+
+def assert_facts(facts: DataFrame, mode: str = "reference") -> DataFrame:
+    """Fold assertions into versions, key by key, in order of (recorded_at, seq).
+
+    Same value: reaffirmed (no row; evidence and, from another source, confidence grow; validity widens).  Later
+    valid_from: CHANGED, the version before ends there.  Same source, same interval, recorded later: CORRECTED.
+    Else CONFLICT; without a version that covers the start: CREATED.  mode "bitemporal" also closes changed rows on
+    the transaction axis.  A key's assertions are one group; columns evidence_ids and confidence may be missing.
+    """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    extra = {"evidence_ids": F.array().cast("array<string>"), "confidence": F.lit(0.5), "valid_to": F.lit(None).cast("timestamp")}
+    rows = facts.withColumns({c: v for c, v in extra.items() if c not in facts.columns})
+    rows = rows.select(*KEY, F.col("seq").cast("long").alias("seq"), "value", micros("valid_from").alias("valid_from"), micros("valid_to").alias("valid_to"), micros("recorded_at").alias("recorded_at"), "source_id", "evidence_ids", "confidence")
+    bitemporal = mode == "bitemporal"
+    out = rows.groupBy(*KEY).applyInPandas(lambda group: _fold(group, bitemporal), _FOLD)
+    return out.withColumns({c: F.timestamp_micros(c) for c in ("valid_from", "valid_to", "recorded_at", "superseded_at")})
+
+
+def correct(versions: DataFrame, corrections: DataFrame) -> DataFrame:
+    """Close the corrected versions (entity, attribute, seq, new_value, recorded_at, source_id, new_seq) and add the new values over the same interval."""
+    fix = corrections.select(*KEY, "seq", "new_value", F.col("recorded_at").alias("_at"), F.col("source_id").alias("_source"), "new_seq")
+    joined = versions.join(fix, [*KEY, "seq"], "left")
+    old = joined.withColumn("superseded_at", F.coalesce("superseded_at", "_at")).select(versions.columns)
+    new = joined.where(F.col("_at").isNotNull()).withColumns({"previous_value": F.col("value"), "value": F.col("new_value"), "recorded_at": F.col("_at"), "source_id": F.col("_source"), "seq": F.col("new_seq"), "superseded_at": F.lit(None).cast("timestamp"), "change_kind": F.lit("CREATED")})
+    return old.unionByName(new.select(versions.columns))
+
+
+def tenure_segments(tenures: DataFrame, handover_days: int = 90) -> DataFrame:
+    """Cut tenures (entity, value, valid_from, valid_to) at every boundary; who is active in each segment, equal neighbours merged.
+
+    A tenure that ends within `handover_days` after a later one starts yields to it.  A segment whose next starts
+    at most one day later stays open (null end).
+    """
+    far = F.lit("9999-12-31").cast("timestamp")
+    spans = tenures.select("entity", "value", F.col("valid_from").cast("timestamp").alias("s"), F.coalesce(F.col("valid_to").cast("timestamp"), far).alias("e"))
+    cuts = spans.select("entity", F.explode(F.array("s", "e")).alias("a")).distinct()
+    by = Window.partitionBy("entity").orderBy("a")
+    cuts = cuts.withColumn("b", F.lead("a").over(by)).where("b is not null")
+    active = cuts.join(spans, "entity").where("s <= a and e >= b")
+    other = active.select("entity", "a", F.col("s").alias("s2"))
+    yields = active.join(other, ["entity", "a"]).where((F.col("s2") > F.col("s")) & (F.datediff("e", "s2") < handover_days)).select("entity", "a", "value", "s").distinct()
+    kept = active.join(yields, ["entity", "a", "value", "s"], "left_anti")
+    held = kept.groupBy("entity", "a", "b").agg(F.array_sort(F.collect_set(F.struct("s", "value"))).alias("who"))
+    names = F.array_distinct(F.transform("who", lambda x: x["value"]))
+    held = held.withColumn("value", F.concat(F.array_join(names, " and "), F.when(F.size(names) > 1, " (co-CEOs)").otherwise("")))
+    new = (~F.lag("value").over(by).eqNullSafe(F.col("value"))) | (F.lag("b").over(by) != F.col("a"))
+    merged = held.withColumn("g", F.sum(F.coalesce(new, F.lit(True)).cast("int")).over(by)).groupBy("entity", "g").agg(F.first("value").alias("value"), F.min("a").alias("valid_from"), F.max("b").alias("end"))
+    following = F.lead("valid_from").over(Window.partitionBy("entity").orderBy("valid_from"))
+    open_ = (F.col("end") == far) | F.coalesce(F.datediff(following, F.col("end")) <= 1, F.lit(False))
+    return merged.select("entity", "value", "valid_from", F.when(open_, F.lit(None)).otherwise(F.col("end")).alias("valid_to"))
