@@ -43,7 +43,7 @@ NUMBER = r"(?i)([$€£¥])?\s?(\d[\d,]*\.?\d*)\s?(billion|million|bn|m|k|%|perc
 NEGATION = r"(?i)\b(not|no longer|never|denied|denies|rejected|declined|failed to|without|ceased|stopped|cancell?ed|withdrew|refuted)\b"
 ROUNDING = r"(?i)\b(about|approximately|roughly|around|nearly|over|under|~)\b"
 SCOPE = r"(?i)\b(segment|division|subsidiary|region|excluding|including|adjusted|pro forma|constant currency|per share|q[1-4]|fiscal|calendar)\b"
-CONTENT_STOP = "a an the of and or to in on at for is are was were be been by with as that this it its from has have had".split()
+CONTENT_STOP = "a an the of and or to in on at for is are was were be by with as that this it its from".split()
 
 
 def tier(source: Column, domain: str = "government") -> Column:
