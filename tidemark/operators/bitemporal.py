@@ -21,7 +21,7 @@ def timeline(facts: DataFrame, order: tuple[str, ...] = ("valid_from", "seq")) -
     """In-order facts: repeats of a value collapse, each version is valid until the next begins."""
     by = Window.partitionBy(*KEY).orderBy(*order)
     before = F.lag("value").over(by)
-    new = facts.withColumn("previous_value", before).where(before.isNull() | (before != F.col("value")))
+    new = facts.withColumn("previous_value", before).where(F.col("previous_value").isNull() | (F.col("previous_value") != F.col("value")))
     return new.withColumn("valid_to", F.lead("valid_from").over(by)).withColumn("change_kind", F.when(F.col("previous_value").isNull(), "CREATED").otherwise("CHANGED"))
 
 

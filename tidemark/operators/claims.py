@@ -83,7 +83,7 @@ def verify(claims: DataFrame, evidence: DataFrame, anchor: Column | None = None,
     Evidence is routed beforehand (an equi-join on claim_id), so no claim meets all documents.
     """
     e = evidence.select("claim_id", "doc_id", F.coalesce("source", F.col("doc_id").cast("string")).alias("source"), F.col("text").alias("etext"), F.col("valid_to").alias("evalid_to"))
-    pair = claims.join(e, "claim_id", "left")
+    pair = claims.select("claim_id", "text", "numeric", "attribute", "value", "checkable").join(e, "claim_id", "left")
     lex = E.coverage(E.content_tokens(F.col("text")), E.content_tokens(F.col("etext")))
     pair = pair.withColumn("lex", F.coalesce(lex, F.lit(0.0)))
     other = claim_value(F.col("etext"), F.col("attribute"))

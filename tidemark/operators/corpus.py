@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
@@ -18,19 +20,26 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     return docs.groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
-def shingles(text: Column, width: int = 5) -> Column:
-    """Distinct runs of lower-case words; a shorter text is one shingle."""
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    last = F.greatest(F.size(words) - width, F.lit(0))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.array_join(F.slice(words, i, width), " ")))
+def minhash_bands(docs: DataFrame, width: int = 5, perms: int = PERMUTATIONS, bands: int = BANDS) -> DataFrame:
+    """(doc_id, band, bucket): hashes of the bands of a MinHash signature over distinct word shingles."""
+    rng = np.random.default_rng(0)
+    scale, shift = rng.integers(1, 1 << 63, perms, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 63, perms, dtype=np.uint64)
+
+    def signature(text: str | None) -> np.ndarray:
+        words = (text or "").lower().split()
+        grams = {" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+        h = np.fromiter((xxhash.xxh64_intdigest(g) for g in grams), dtype=np.uint64, count=len(grams))
+        low = np.full(perms, np.iinfo(np.uint64).max, dtype=np.uint64)
+        for i in range(0, len(h), 4096):
+            low = np.minimum(low, (h[i : i + 4096, None] * scale + shift).min(axis=0))
+        return low
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(i, b, xxhash.xxh64_intdigest(part.tobytes()) - (1 << 63)) for i, t in zip(frame["doc_id"], frame["text"], strict=True) for b, part in enumerate(np.split(signature(t), bands))]
+            yield pd.DataFrame(rows, columns=["doc_id", "band", "bucket"])
 
-def minhash_bands(docs: DataFrame, width: int = 5, perms: int = PERMUTATIONS, bands: int = BANDS) -> DataFrame:
-    """(doc_id, band, bucket): hashes of the bands of a MinHash signature, in whole JVM expressions."""
-    rows, hashes = perms // bands, F.transform(shingles(F.col("text"), width), lambda s: F.xxhash64(s))
-    base = docs.select("doc_id", hashes.alias("h"))
-    band = lambda b: F.struct(F.lit(b).alias("band"), F.xxhash64(*[F.array_min(F.transform("h", lambda x, i=b * rows + r: F.xxhash64(x, F.lit(i)))) for r in range(rows)]).alias("bucket"))
-    return base.select("doc_id", F.explode(F.array(*[band(b) for b in range(bands)])).alias("x")).select("doc_id", "x.*")
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, band int, bucket long")
 
 
 def near_duplicates(docs: DataFrame, rounds: int = 20) -> DataFrame:
@@ -68,7 +77,7 @@ def chunk_text(text: str, target: int = 256, overlap: int = 40) -> list[tuple[st
 
     heads = list(re.finditer(r"^(#{1,6})\s+(.*)$", text, re.MULTILINE))
     sections, path = [("", text[: heads[0].start()] if heads else text, 0)], []
-    for head, end in zip(heads, [*[h.start() for h in heads[1:]], len(text)], strict=True):
+    for head, end in zip(heads, [*[h.start() for h in heads[1:]], len(text)], strict=False):
         path = [*path[: len(head[1]) - 1], head[2].strip()]
         sections.append((" > ".join(path), text[head.end() : end], head.end()))
     out: list[tuple[str, int, int, str]] = []

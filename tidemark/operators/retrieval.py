@@ -26,7 +26,7 @@ def postings(docs: DataFrame) -> DataFrame:
 
 
 def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score) for every pair that shares a term, queries(query_id, text)."""
+    """(query_id, doc_id, score) for every pair that shares a term, queries(query_id, text); nine decimals, so that equal texts tie."""
     size = docs.select(F.size(tokens(F.col("text"))).alias("n")).agg(F.count("*").alias("n_docs"), F.avg("n").alias("avg_len"))
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
     found = postings(docs).join(asked.select("term").distinct(), "term", "left_semi")
@@ -34,7 +34,7 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("qf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.greatest(F.col("avg_len"), F.lit(1e-9))))
     weighed = found.join(df, "term").crossJoin(F.broadcast(size))  # one row of totals
-    return weighed.join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+    return weighed.join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 9).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int, score: str = "score", by: str = "query_id", key: str = "doc_id") -> DataFrame:
