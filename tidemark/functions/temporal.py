@@ -12,12 +12,12 @@ HALFLIFE_DAYS = {
 }
 # Formats tried in this order, day before month.
 FORMATS = ("yyyy-MM-dd", "yyyy/MM/dd", "d/M/yyyy", "M/d/yyyy", "yyyy-MM", "yyyy", "MMMM yyyy", "MMM yyyy", "d MMMM yyyy", "d MMM yyyy", "MMMM d, yyyy", "MMM d, yyyy", "MMMM d yyyy", "MMM d yyyy")
-FEED_FORMATS = ("EEE, d MMM yyyy HH:mm:ss Z", "EEE, d MMM yyyy HH:mm:ss z", "EEE, d MMM yyyy HH:mm:ss", "d MMM yyyy")
+FEED_FORMATS = ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm:ss", "d MMM yyyy")
 
 
 def parse_time(text: Column, formats: tuple[str, ...] = FORMATS) -> Column:
-    """A timestamp from ISO text, one of the formats, or the first year named; null where none fits."""
-    t = F.trim(text)
+    """A timestamp from ISO text, one of the formats (after a day's name), or the first year named; null where none fits."""
+    t = F.regexp_replace(F.trim(text), "^[A-Za-z]{3}, *", "")
     iso = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}.*)?$"), F.try_to_timestamp(F.replace(t, F.lit("Z"), F.lit("+00:00"))))
     year = F.nullif(F.regexp_extract(t, r"\b(1[89]\d{2}|2[01]\d{2})\b", 1), F.lit(""))
     return F.coalesce(iso, *[F.try_to_timestamp(t, F.lit(f)) for f in formats], F.try_to_timestamp(F.concat(year, F.lit("-01-01"))))

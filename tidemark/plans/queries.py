@@ -296,7 +296,7 @@ def near_dedup_minhash(spark, sf):
 
 
 @query(
-    r"SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '""'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \t\n\x0b\f\r]+', ' ', 'g')) AS text FROM pages".replace('""', '"')
+    r"SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \t\n\x0b\f\r]+', ' ', 'g')) AS text FROM pages"
 )
 def html_text(spark, sf):
     return S.table(spark, sf, "pages").select("page_id", X.html_text(F.col("html")).alias("text"))
