@@ -29,6 +29,7 @@ _U = np.uint64
 _B = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_B, -1, 1 << 64)
 _SALT = _U(0xD6E8FEB86659FD93)
+_LOW = _U((1 << 20) - 1)
 
 
 def _salt(size: int) -> int:
@@ -85,10 +86,19 @@ class Vocabulary:
         ends = np.cumsum([0, *map(len, raw)])
         return cls(hashes[order], np.array(plain)[order], scores, float(scores.min()) - 10, byte_ids, max(len(pieces[i]) for i in plain), np.frombuffer(b"".join(raw), dtype=np.uint8), ends)
 
+    def __post_init__(self) -> None:
+        self.hint = np.zeros(1 << 20, dtype=bool)  # by the low bits of a hash: may it be a piece's?
+        self.hint[self.keys & _LOW] = True
+
     def find(self, h: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.keys, h)
+        """Index among the sorted keys, -1 for what is no piece; few hashes get past the hint to the search."""
+        out = np.full(len(h), -1)
+        maybe = np.flatnonzero(self.hint[h & _LOW])
+        at = np.searchsorted(self.keys, h[maybe])
         at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == h, at, -1)
+        good = self.keys[at] == h[maybe]
+        out[maybe[good]] = at[good]
+        return out
 
 
 def _hash_of(piece: str) -> int:
@@ -107,11 +117,16 @@ def _viterbi(points: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np
     for i in range(length):
         for size in range(1, min(vocabulary.longest, length - i) + 1):
             at = vocabulary.find((sums[:, i + size] - sums[:, i]) * down[i] + _U(_salt(size)))
-            score = np.where(at >= 0, vocabulary.scores[at], vocabulary.unknown_score if size == 1 else -np.inf) + best[:, i]
-            better = score > best[:, i + size]
-            best[better, i + size] = score[better]
-            back[better, i + size] = np.where(at >= 0, vocabulary.ids[at], -1 - points[:, i].astype(np.int64))[better]
-            width[better, i + size] = size
+            rows = np.arange(n) if size == 1 else np.flatnonzero(at >= 0)  # a single character always leads on
+            if not len(rows):
+                continue
+            at = at[rows]
+            score = np.where(at >= 0, vocabulary.scores[at], vocabulary.unknown_score) + best[rows, i]
+            better = score > best[rows, i + size]
+            rows, at = rows[better], at[better]
+            best[rows, i + size] = score[better]
+            back[rows, i + size] = np.where(at >= 0, vocabulary.ids[at], -1 - points[rows, i].astype(np.int64))
+            width[rows, i + size] = size
     row, at, out_row, out_value = np.arange(n), np.full(n, length), [], []
     while len(row):
         out_row.append(row)
