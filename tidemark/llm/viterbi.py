@@ -206,7 +206,11 @@ def decode(ids: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary) -> list
 
 
 def encoded(docs: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
-    """The input rows with ids array<int>, n_ids, n_fallback and decoded_ok (decoding gives the text again)."""
+    """The input rows with ids array<int>, n_ids, n_fallback and decoded_ok (decoding gives the text again).
+
+    Columns that have these names already are replaced.
+    """
+    docs = docs.drop("ids", "n_ids", "n_fallback", "decoded_ok")
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
     names = [*docs.columns, "ids", "n_ids", "n_fallback", "decoded_ok"]
 
