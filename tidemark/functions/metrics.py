@@ -29,6 +29,24 @@ def temporal_accuracy(answer: Column, expected: Column, outdated: Column) -> Col
     return F.when(right & ~stale, 1.0).when(right, 0.5).otherwise(0.0)
 
 
+def citation_accuracy(claims: Column) -> Column:
+    """Share of supported ones among an answer's cited claims (array of structs with verdict, citations); 0 without any."""
+    cited = F.filter(claims, lambda c: F.size(c["citations"]) > 0)
+    good = F.filter(cited, lambda c: c["verdict"] == "SUPPORTED")
+    return F.when(F.size(cited) > 0, F.size(good) / F.size(cited)).otherwise(0.0)
+
+
+def unsupported_rate(claims: Column) -> Column:
+    """Share of an answer's claims without support; 0 without claims."""
+    bad = F.filter(claims, lambda c: c["verdict"].isin("INSUFFICIENT", "REFUTED"))
+    return F.when(F.size(claims) > 0, F.size(bad) / F.size(claims)).otherwise(0.0)
+
+
+def conflict_found(n_conflicts: Column, support_level: Column, has_conflict: Column) -> Column:
+    """Did an answer show a conflict exactly where there is one?"""
+    return ((n_conflicts > 0) | (support_level == "CONFLICTED")) == has_conflict
+
+
 def abstention(df: DataFrame, refused: Column, should: Column) -> DataFrame:
     """Precision, recall and F1 of refusals; 1 where a denominator is empty."""
     n = df.agg(F.count_if(refused & should).alias("tp"), F.count_if(refused & ~should).alias("fp"), F.count_if(~refused & should).alias("fn"))

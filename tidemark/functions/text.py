@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import LongType, StringType
 
 # Token pattern and stop words of lexical retrieval.
 TOKEN = r"[a-z0-9]+(?:[-_.'][a-z0-9]+)*"
@@ -160,3 +162,36 @@ def fingerprint_text(text: Column) -> Column:
 
 def content_digest(text: Column) -> Column:
     return F.sha2(fingerprint_text(text), 256)
+
+
+def simhash(text: Column, digest: str = "blake2b", width: int = 3) -> Column:
+    """64-bit SimHash of a polled text's word n-grams, each voting as often as it occurs (fewer words: the words); 0 without words, null for null."""
+    head = {"blake2b": lambda b: hashlib.blake2b(b, digest_size=8).digest(), "md5": lambda b: hashlib.md5(b, usedforsecurity=False).digest()[:8]}[digest]
+
+    def one(t: str | None) -> int | None:
+        if t is None:
+            return None
+        words = re.findall("[a-z0-9]+", t)
+        grams = [" ".join(words[i : i + width]) for i in range(len(words) - width + 1)] or words
+        if not grams:
+            return 0
+        bits = np.unpackbits(np.frombuffer(b"".join(head(g.encode()) for g in grams), dtype=np.uint8).reshape(-1, 8), axis=1)
+        votes = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(grams))
+        return int(votes.view(">i8")[0])
+
+    @F.pandas_udf(LongType())
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([one(t) for t in texts], dtype="Int64")
+
+    return of(fingerprint_text(text))
+
+
+def hamming(a: Column, b: Column) -> Column:
+    """Differing bits of two 64-bit fingerprints."""
+    return F.bit_count(a.bitwiseXOR(b))
+
+
+def infobox_field(wikitext: Column, *names: str) -> Column:
+    """Raw value of the first named infobox field that has one, up to the next field or the end of the box; empty without one."""
+    fields = [F.regexp_extract(wikitext, rf"(?ims)^\s*\|\s*{n}\s*=\s*(.*?)(?=^\s*\|\s*[\w ]+?\s*=|^\s*\}}\}}|\z)", 1) for n in names]
+    return F.coalesce(*[F.when(F.trim(f) != "", f) for f in fields], F.lit(""))

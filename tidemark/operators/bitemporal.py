@@ -98,6 +98,58 @@ def change_feed(events: DataFrame, limit: int = 100, kind: str | None = None, si
     return out.orderBy(F.desc("detected_at"), *KEY, "new_value").limit(max(1, min(500, limit)))
 
 
+def history(versions: DataFrame, superseded: bool = False) -> DataFrame:
+    """Versions of every key in order of validity; those replaced on the transaction axis only if asked for."""
+    out = versions if superseded or "superseded_at" not in versions.columns else versions.where(F.col("superseded_at").isNull())
+    return out.withColumn("place", F.row_number().over(Window.partitionBy(*KEY).orderBy("valid_from", "recorded_at", "seq")))
+
+
+def belief_history(versions: DataFrame, t: Column) -> DataFrame:
+    """What was ever held for the instant t, replaced versions included, in the order it was recorded."""
+    held = versions.where(covers(F.col("valid_from"), F.col("valid_to"), t))
+    return held.withColumn("place", F.row_number().over(Window.partitionBy(*KEY).orderBy("recorded_at", "seq")))
+
+
+def entities(versions: DataFrame) -> DataFrame:
+    return versions.select("entity").distinct()
+
+
+def fiscal_anchor(versions: DataFrame, year: int) -> DataFrame:
+    """For each key the middle of the annual period (300 to 380 days) that ends in the year; the last recorded one counts."""
+    days = F.floor(days_between(F.col("valid_to"), F.col("valid_from")))
+    annual = history(versions).where((F.year("valid_to") == year) & days.between(300, 380))
+    best = annual.groupBy(*KEY).agg(F.max_by(F.struct("valid_from", "valid_to"), F.struct("recorded_at", "seq")).alias("p")).select(*KEY, "p.*")
+    middle = F.timestamp_micros(((F.unix_micros("valid_from") + F.unix_micros("valid_to")) / 2).cast("long"))
+    return best.withColumn("anchor", middle)
+
+
+def reverify(versions: DataFrame, ref: Column, max_age_days: int = 90) -> DataFrame:
+    """Keys whose current value was recorded `max_age_days` or more before ref, with the source to ask again."""
+    age = F.floor(days_between(ref, F.col("recorded_at"))).cast("long")
+    return as_of(versions, ref).withColumn("age_days", age).where(age >= max_age_days).select(*KEY, "value", "source_id", "age_days")
+
+
+def settle_evidence(evidence: DataFrame, versions: DataFrame, heads: DataFrame, documents: DataFrame) -> DataFrame:
+    """Retrieved evidence(query_id, doc_id, score) without documents that back replaced versions alone, and with those behind the head versions.
+
+    versions(entity, attribute, superseded_at, evidence_ids), heads(query_id, entity, attribute, evidence_ids);
+    a document forced in has score 1.
+    """
+    ids = heads.select("query_id", F.explode("evidence_ids").alias("doc_id")).distinct()
+    asked = heads.select("query_id", *KEY).distinct()
+    old = versions.where(F.col("superseded_at").isNotNull()).join(asked, list(KEY)).select("query_id", F.explode("evidence_ids").alias("doc_id")).distinct()
+    gone = old.join(ids, ["query_id", "doc_id"], "left_anti")
+    kept = evidence.select("query_id", "doc_id", "score").join(gone, ["query_id", "doc_id"], "left_anti")
+    forced = ids.join(documents.select("doc_id"), "doc_id", "left_semi").join(kept, ["query_id", "doc_id"], "left_anti")
+    return kept.unionByName(forced.select("query_id", "doc_id", F.lit(1.0).alias("score")))
+
+
+def store_summary(versions: DataFrame) -> DataFrame:
+    """Entities, keys, versions, changes and sources of a store: one row."""
+    key = F.struct(*KEY)
+    return versions.agg(F.count_distinct("entity").alias("entities"), F.count_distinct(key).alias("keys"), F.count("*").alias("versions"), F.count_if(F.col("change_kind").isin("CHANGED", "CORRECTED")).alias("changes"), F.count_distinct("source_id").alias("sources"))
+
+
 def estimate_halflife(versions: DataFrame) -> DataFrame:
     """Upper median of closed intervals in whole days, at least 1, per attribute; the table's where none is closed."""
     days = F.floor(days_between(F.col("valid_to"), F.col("valid_from")))

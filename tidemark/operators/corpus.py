@@ -259,3 +259,15 @@ def tail_split(docs: DataFrame, size: str, share: float = 0.01, buckets: int = 2
     before = totals.withColumn("_before", F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).withColumn("_all", F.sum("_n").over(Window.partitionBy()))
     joined = ranged.withColumn("_in", inside).join(F.broadcast(before), "_p")  # at most `buckets` rows
     return joined.withColumn("split", F.when(F.coalesce("_before", F.lit(0)) + F.col("_in") > (1 - share) * F.col("_all"), "val").otherwise("train")).drop("_p", "_in", "_n", "_before", "_all")
+
+
+def token_windows(ids: DataFrame, length: int, per_doc: int = 1, seed: int = 0) -> DataFrame:
+    """Training windows of ids(doc_id, ids): inputs `x` and targets `y`, shifted by one; starts follow from a hash of document and draw.
+
+    Documents of fewer than length + 1 tokens give none, so a window never crosses documents.
+    """
+    room = F.size("ids") - length
+    rows = ids.where(room >= 1).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(per_doc - 1))))
+    start = F.pmod(F.xxhash64("doc_id", "draw", F.lit(seed)), room).cast("int")
+    rows = rows.withColumn("start", start)
+    return rows.select("doc_id", "draw", "start", F.slice("ids", F.col("start") + 1, F.lit(length)).alias("x"), F.slice("ids", F.col("start") + 2, F.lit(length)).alias("y"))

@@ -57,6 +57,14 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: x / F.greatest(length, F.lit(1e-12)))
 
 
+def pooled(tokens: DataFrame, keep: Column | None = None) -> DataFrame:
+    """Unit vector of the mean of each text's token vectors, tokens(doc_id, embedding); rows where `keep` is false (padding) take no part."""
+    rows = tokens if keep is None else tokens.where(keep)
+    each = rows.select("doc_id", F.posexplode("embedding").alias("d", "x")).groupBy("doc_id", "d").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    whole = each.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("v"))
+    return whole.select("doc_id", unit(F.col("v")).alias("v"))
+
+
 def quantized(v: Column) -> Column:
     """int8 codes: 127 times the unit vector, halves to even."""
     return F.transform(unit(v), lambda x: F.bround(x * 127).cast("tinyint"))

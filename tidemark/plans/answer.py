@@ -6,6 +6,9 @@ over all sub-queries.
 
 from __future__ import annotations
 
+import json
+import re
+import time
 from dataclasses import asdict, dataclass, field
 from datetime import datetime
 
@@ -45,6 +48,17 @@ class Answer:
     def to_dict(self) -> dict:
         return asdict(self)
 
+    def to_json(self) -> str:
+        return json.dumps(self.to_dict(), default=str, ensure_ascii=False)
+
+    def to_speech(self) -> str:
+        """For reading aloud: no citation marks, the support level in words."""
+        said = {"CONFLICTED": "Sources disagree on this.", "INSUFFICIENT": "The evidence for this is insufficient."}.get(self.support_level, "")
+        if self.support_level == "HIGH":
+            n = len({c["source"] for c in self.citations})
+            said = f"{n} independent source{'s' * (n != 1)} support this."
+        return re.sub(r"\s*\[E\d+\]", "", " ".join(filter(None, (self.answer, said)))).strip()
+
     def to_markdown(self) -> str:
         lines = [f"**{self.question}**", "", self.answer, "", f"Support: {self.support_level} ({self.score:.2f})"]
         lines += [f"- [{i}] {c['doc_id']} ({c['source']}, {c['date']})" for i, c in enumerate(self.citations, 1)]
@@ -141,3 +155,13 @@ class Engine:
         spread = amounts.agg(F.max_by("entity", "n").alias("high"), (F.max("n") - F.min("n")).alias("gap"), (F.max("n") / F.min("n")).alias("ratio")).first()
         text = "; ".join(f"{e}: {v}" for e, v in known) + (f". {spread.high} is highest, by a factor of {spread.ratio:.2f}." if spread.ratio else ".")
         return Answer(p.question, text, False, support_level="MODERATE")
+
+    def with_facts(self, versions: DataFrame, chunks: DataFrame) -> Engine:
+        """An engine over the store with further documents and a store of versions that takes them in."""
+        return Engine(versions, self.chunks.unionByName(chunks.select(self.chunks.columns)), self.ref, self.config)
+
+    def freshness_lag(self, question: str, versions: DataFrame, chunks: DataFrame) -> dict:
+        """The answer before and after new facts, and the seconds it takes to take them in and answer again."""
+        before, start = self.answer(question), time.time()
+        after = self.with_facts(versions, chunks).answer(question)
+        return {"answer_before": before.answer, "answer_after": after.answer, "changed": before.answer != after.answer, "seconds": time.time() - start}

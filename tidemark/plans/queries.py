@@ -12,6 +12,7 @@ from tidemark.functions import evidence as E
 from tidemark.functions import metrics as M
 from tidemark.functions import temporal as T
 from tidemark.functions import text as X
+from tidemark.operators import assess as A
 from tidemark.operators import bitemporal as B
 from tidemark.operators import claims as C
 from tidemark.operators import corpus as P
@@ -535,6 +536,144 @@ def hard_negatives(spark, sf):
     return R.hard_negatives(hits, gold).select("query_id", "doc_id", "rank")
 
 
+@query(
+    """SELECT CAST(o_custkey AS VARCHAR) entity, o_orderstatus AS value, o_orderkey AS seq, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate + INTERVAL 1 DAY * (o_orderkey % 400), o_orderkey) place FROM orders WHERE o_orderdate <= TIMESTAMP '1998-01-01'"""
+)
+def belief_history(spark, sf):
+    return B.belief_history(_beliefs(spark, sf).withColumn("valid_to", F.lit(None).cast("timestamp")), _ts("1998-01-01")).select("entity", "value", "seq", "place")
+
+
+@query(
+    """WITH c AS (SELECT CAST(user_id AS VARCHAR) entity, arg_max(event_type, (ts, event_id)) AS value, max(ts) ts FROM events WHERE ts <= TIMESTAMP '2024-01-20' GROUP BY 1)
+SELECT entity, value, CAST(floor((epoch_us(TIMESTAMP '2024-01-20') - epoch_us(ts)) / 86400000000.0) AS BIGINT) age_days FROM c WHERE age_days >= 1"""
+)
+def reverify_due(spark, sf):
+    """Users' states that nobody has restated for a day."""
+    v = _events(spark, sf).withColumns({"valid_to": F.lit(None).cast("timestamp"), "recorded_at": F.col("valid_from"), "source_id": F.lit("events")})
+    return B.reverify(v, _ts("2024-01-20"), 1).select("entity", "value", "age_days")
+
+
+@query(
+    """WITH p AS (SELECT CAST(o_custkey AS VARCHAR) entity, o_orderdate f, o_orderdate + INTERVAL 1 DAY * (250 + o_orderkey % 200) t, o_orderkey k FROM orders),
+b AS (SELECT entity, arg_max(f, (f, k)) f, arg_max(t, (f, k)) t FROM p WHERE year(t) = 1998 AND date_diff('day', f, t) BETWEEN 300 AND 380 GROUP BY 1) SELECT entity, (epoch_us(f) + epoch_us(t)) // 2 AS anchor_us FROM b"""
+)
+def fiscal_anchors(spark, sf):
+    """Orders as annual periods of 250 to 449 days; the middle of the one that ends in 1998."""
+    o = _beliefs(spark, sf).withColumn("recorded_at", F.col("valid_from"))
+    periods = o.withColumn("valid_to", F.timestamp_add("DAY", (250 + F.col("seq") % 200).cast("int"), F.col("valid_from")))
+    return B.fiscal_anchor(periods, 1998).select("entity", F.unix_micros("anchor").alias("anchor_us"))
+
+
+@query(_TL + "SELECT count(DISTINCT entity) entities, count(DISTINCT entity) keys, count(*) versions, count(previous_value) changes, CAST(1 AS BIGINT) sources FROM tl")
+def store_summary(spark, sf):
+    return B.store_summary(B.timeline(_events(spark, sf)).withColumn("source_id", F.lit("events")))
+
+
+@query(
+    """WITH d AS (SELECT concat_ws('-', l_orderkey, l_linenumber) entity, CAST(l_quantity AS INT) v FROM lineitem GROUP BY ALL), p AS (SELECT a.entity, (b.v - a.v) / CAST(b.v AS DOUBLE) > 0.02 AS apart FROM d a JOIN d b ON a.entity = b.entity AND a.v < b.v)
+SELECT entity, count(*) FILTER (apart) n_pairs, count(*) FILTER (apart) n_serious FROM p GROUP BY 1"""
+)
+def conflict_summaries(spark, sf):
+    return A.conflict_summary(B.classify_conflicts(B.conflicts(_lines(spark, sf)))).select("entity", "n_pairs", "n_serious")
+
+
+@query(
+    _BM25
+    + """SELECT query_id, doc_id, round(score, 4) score FROM top WHERE rank <> 2 AND doc_id <> query_id
+UNION ALL SELECT query_id, query_id AS doc_id, coalesce(round(max(CASE WHEN top.doc_id = query_id THEN score END), 4), 1.0) score FROM top JOIN documents d ON d.doc_id = top.query_id GROUP BY 1"""
+)
+def settled_evidence(spark, sf):
+    """Hits without the second of each question (its version was replaced) and with the document that has the question's number."""
+    hits = _bm25(spark, sf)
+    fact = lambda df, ids: df.select("query_id", F.col("query_id").cast("string").alias("entity"), F.lit("fact").alias("attribute"), F.array(ids).alias("evidence_ids"))
+    old = fact(hits.where("rank = 2"), F.col("doc_id")).withColumn("superseded_at", _ts("2024-01-01")).drop("query_id")
+    heads = fact(hits.select("query_id").distinct(), F.col("query_id"))
+    out = B.settle_evidence(hits, old, heads, S.table(spark, sf, "documents"))
+    return out.select("query_id", "doc_id", F.round("score", 4).alias("score"))
+
+
+@query(
+    _ROUTED
+    + """, sh AS (SELECT query_id, doc_id, round(CASE WHEN len(c) = 0 THEN 0 ELSE len(list_intersect(c, e)) / len(c)::DOUBLE END, 9) share FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY share DESC, doc_id) rank, max(share) OVER (PARTITION BY query_id) m FROM sh)
+SELECT query_id, doc_id, round(share, 6) share, rank FROM k WHERE CASE WHEN m > 0.15 THEN share > 0.15 AND rank <= 5 ELSE rank <= 2 END"""
+)
+def routed_evidence(spark, sf):
+    r = _routed(spark, sf)
+    none = F.lit(None).cast("timestamp")
+    claims = r.select("query_id", F.col("query_id").alias("claim_id"), F.col("claim").alias("text"), F.lit("").alias("subject"), F.lit("").alias("attribute"), none.alias("valid_from"), none.alias("valid_to")).distinct()
+    return A.route(claims, r.withColumns({"valid_from": none, "valid_to": none})).select("query_id", "doc_id", F.round("share", 6).alias("share"), "rank")
+
+
+@query("SELECT lang AS query_id, round(max(n) / sum(n), 6) agreement FROM (SELECT lang, lower(source), count(*) n FROM documents GROUP BY ALL) GROUP BY 1")
+def evidence_agreement(spark, sf):
+    d = S.table(spark, sf, "documents")
+    return A.agreement(d.select(F.col("lang").alias("query_id"), F.col("source").alias("value"))).select("query_id", F.round("agreement", 6).alias("agreement"))
+
+
+@query("SELECT lang AS system, coalesce(source, 'ALL') category, count(*) n, round(avg(CASE WHEN doc_id % 3 = 0 THEN 1.0 ELSE 0 END), 6) accuracy, count(*) FILTER (n_chars < 1200) n_abstained FROM documents GROUP BY ROLLUP (lang, source) HAVING lang IS NOT NULL")
+def category_measures(spark, sf):
+    d = S.table(spark, sf, "documents")
+    results = d.select(F.col("lang").alias("system"), F.col("source").alias("category"), (F.col("doc_id") % 3 == 0).alias("correct"), (F.col("n_chars") < 1200).alias("abstained"))
+    return A.run_measures(results).withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query(
+    rf"""WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace(coalesce(text, '') || ' It was noted [E' || doc_id % 5 || '].', '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') p FROM documents)
+SELECT doc_id AS query_id, CAST(len(p) AS INT) n_sentences, CAST(len(list_filter(p, lambda x: regexp_matches(x, '{A.CITATION}'))) AS INT) n_cited, CAST(len(list_filter(p, lambda x: regexp_matches(x, '{A.FACTUAL}'))) AS INT) n_factual FROM s"""
+)
+def citation_audit(spark, sf):
+    """Documents as answers, each with one cited sentence at its end."""
+    d = S.table(spark, sf, "documents")
+    answers = d.select(F.col("doc_id").alias("query_id"), F.concat(F.coalesce("text", F.lit("")), F.lit(" It was noted [E"), (F.col("doc_id") % 5).cast("string"), F.lit("].")).alias("answer"))
+    return A.citation_audit(answers).select("query_id", "n_sentences", "n_cited", "n_factual")
+
+
+@query("SELECT event_id AS seq, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) recent, recent > 3 AS refused FROM events")
+def rate_limited(spark, sf):
+    e = S.table(spark, sf, "events").select(F.col("user_id").alias("client"), F.col("ts").alias("at"), F.col("event_id").alias("seq"))
+    return D.rate_limited(e, 3, 86400).select("seq", "recent", "refused")
+
+
+@query(
+    """WITH e AS (SELECT label, unnest(range(1, len(embedding) + 1)) d, CAST(unnest(embedding) AS DOUBLE) x FROM embeddings), m AS (SELECT label, d, avg(x) x FROM e GROUP BY ALL)
+SELECT CAST(label AS BIGINT) doc_id, CAST(d - 1 AS BIGINT) d, round(x / sqrt(sum(x * x) OVER (PARTITION BY label)), 5) x FROM m"""
+)
+def pooled_vectors(spark, sf):
+    """Vectors as tokens of texts (their labels): mean, then unit length."""
+    e = S.table(spark, sf, "embeddings").select(F.col("label").cast("long").alias("doc_id"), "embedding")
+    return R.pooled(e).select("doc_id", F.posexplode("v").alias("d", "x")).select("doc_id", F.col("d").cast("long").alias("d"), F.round("x", 5).alias("x"))
+
+
+@query(
+    r"""WITH f AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '(?im)^.*(last updated|generated on|page loaded|copyright \d{4}|session id|\d{1,2}:\d{2}:\d{2}|csrf|nonce=)[^\n]*$', '', 'g')), '[a-z0-9]+') w FROM documents),
+g AS (SELECT doc_id, md5(array_to_string(w[i:i + k - 1], ' ')) h FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) i FROM (SELECT *, CASE WHEN len(w) < 3 THEN 1 ELSE 3 END k FROM f))),
+n AS (SELECT doc_id, ('0x' || substr(h, 1, 8))::BIGINT hi, ('0x' || substr(h, 9, 8))::BIGINT lo FROM g),
+v AS (SELECT doc_id, b, 2 * sum((hi >> b) & 1) > count(*) x, 2 * sum((lo >> b) & 1) > count(*) y FROM (SELECT *, unnest(range(0, 32)) b FROM n) GROUP BY ALL),
+p AS (SELECT doc_id, CAST(sum(CASE WHEN x THEN CAST(pow(2, b) AS BIGINT) ELSE 0 END) AS BIGINT) hi, CAST(sum(CASE WHEN y THEN CAST(pow(2, b) AS BIGINT) ELSE 0 END) AS BIGINT) lo FROM v GROUP BY 1)
+SELECT f.doc_id, CASE WHEN f.w IS NOT NULL THEN printf('%08x%08x', coalesce(hi, 0), coalesce(lo, 0)) END fingerprint FROM f LEFT JOIN p ON f.doc_id = p.doc_id"""
+)
+def simhash_prints(spark, sf):
+    """Fingerprints of the change detector, over MD5 (its own hash, BLAKE2b, has no counterpart in SQL)."""
+    d = S.table(spark, sf, "documents")
+    return d.select("doc_id", F.lower(F.lpad(F.hex(X.simhash(F.col("text"), "md5")), 16, "0")).alias("fingerprint"))
+
+
+@query()
+def poll_cascade(spark, sf):
+    """Documents of a source as its successive polls, with the fingerprint stage; tests hold it against the streaming detector."""
+    d = S.table(spark, sf, "documents")
+    polls = d.select(F.col("source").alias("source_id"), F.lit(0).alias("at"), F.col("doc_id").alias("seq"), "text")
+    return D.detect_batch(polls, D.NEAR_BITS).select("seq", "reason", "changed")
+
+
+@query()
+def token_windows(spark, sf):
+    """Training windows over byte values; tests hold the windows against the texts."""
+    d = S.table(spark, sf, "documents")
+    ids = d.select("doc_id", F.transform(F.split(F.coalesce("text", F.lit("")), ""), lambda c: F.ascii(c)).alias("ids"))
+    return P.token_windows(ids, 64).select("doc_id", "draw", "start", F.size("x").alias("n"))
+
+
 @query()
 def questions_answered(spark, sf):
     """The bounded answer loop over a small store made of nations' revenue; its evidence is generated sentences."""

@@ -99,6 +99,23 @@ def benchmark(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return items, items.select(F.explode("docs").alias("d")).select("d.*").dropDuplicates(["doc_id"])
 
 
+def benchmark_stats(items: DataFrame) -> DataFrame:
+    """Items by category, and a row ALL."""
+    return items.rollup("category").agg(F.count("*").alias("n")).withColumn("category", F.coalesce("category", F.lit("ALL")))
+
+
+def wiki_text(value: Column) -> Column:
+    """Infobox markup as plain text: references and templates out, list items by semicolons, amounts and link texts kept."""
+    # What is replaced, in this order.
+    steps = (
+        (r"(?s)<ref[^>]*>.*?</ref>|<ref[^>]*/>", ""), (r"(?i)<br\s*/?>", "; "), (r"(?i)\{\{\s*(?:small|nowrap|nobr)\s*\|([^{}]*)\}\}", "$1"),
+        (r"(?i)\{\{\s*(US\$|USD|INR|JPY|EUR|€|£)[^|}]*\|\s*([^|}]+)[^}]*\}\}", "$1 $2"), (r"(?i)\{\{\s*(?:ubl|unbulleted list|plainlist|plain list|flatlist|hlist)\s*\|?", ""),
+        (r"\{\{[^{}]*\}\}", " "), (r"\}\}", " "), (r"\[\[([^\]|]*\|)?([^\]]*)\]\]", "$2"), (r"\|", "; "), (r"\n?\*", "; "), (r"''+", ""), (r"<[^>]+>", " "), (r"\s+", " "),
+        (r"^[ .,;|]+|[ .,;|]+$", ""),
+    )
+    return reduce(lambda v, step: F.regexp_replace(v, *step), steps, value)
+
+
 def chats(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema(CHATS).json(path).withColumn("conv_id", F.xxhash64(F.to_json("messages")))
     return rows.select("conv_id", F.posexplode("messages").alias("turn", "m")).select("conv_id", "turn", F.col("m.role").alias("role"), F.col("m.content").alias("text"))

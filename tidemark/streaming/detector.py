@@ -1,6 +1,6 @@
 """Change detection and fact maintenance on streams, and their batch twins.
 
-The detector keeps, for each source, the digest, SimHash and claims of the last poll (state of one row); facts
+The detector keeps, for each source, the validators, digest, SimHash and claims of the last poll (state of one row); facts
 keep their versions by (entity, attribute).  Events of a micro-batch are handled in order of (time, sequence).
 """
 
@@ -12,19 +12,27 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import content_digest, norm_value
+from tidemark.functions.text import content_digest, hamming, norm_value, simhash
 from tidemark.operators.bitemporal import timeline
 
-STATE = "digest string, etag string, polls long, changes long, claims map<string,string>"
+STATE = "digest string, simhash long, etag string, last_modified string, polls long, changes long, claims map<string,string>"
 OUTPUT = "source_id string, at timestamp, seq long, changed boolean, reason string, polls long, changes long, added array<string>, modified array<string>, removed array<string>"
+NEAR_BITS = 3
 
 
-def detect_batch(polls: DataFrame) -> DataFrame:
-    """Batch twin of the digest stages: each poll (source_id, at, seq, text) against the one before it."""
+def detect_batch(polls: DataFrame, near_bits: int | None = None, digest: str = "blake2b") -> DataFrame:
+    """Batch twin of the content stages: each poll (source_id, at, seq, text) against the one before it.
+
+    With `near_bits`, texts whose fingerprints differ in at most that many bits are cosmetic edits.
+    """
     by = Window.partitionBy("source_id").orderBy("at", "seq")
     rows = polls.withColumn("digest", content_digest(F.col("text"))).withColumn("_before", F.lag("digest").over(by))
-    reason = F.when(F.col("_before").isNull(), "first-seen").when(F.col("_before") == F.col("digest"), "identical-content").otherwise("content-change")
-    return rows.withColumns({"reason": reason, "changed": reason != "identical-content"}).drop("_before")
+    near = F.lit(False)
+    if near_bits is not None:
+        rows = rows.withColumn("simhash", simhash(F.col("text"), digest)).withColumn("_print", F.lag("simhash").over(by))
+        near = (F.col("_print") != 0) & (hamming(F.col("simhash"), F.col("_print")) <= near_bits)
+    reason = F.when(F.col("_before").isNull(), "first-seen").when(F.col("_before") == F.col("digest"), "identical-content").when(near, "cosmetic-edit").otherwise("content-change")
+    return rows.withColumns({"reason": reason, "changed": reason.isin("first-seen", "content-change")}).drop("_before", "_print")
 
 
 def claim_diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -36,7 +44,7 @@ def claim_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def _detect(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    digest, etag, polls, changes, claims = state.get if state.exists else (None, None, 0, 0, {})
+    digest, print_, etag, modified_at, polls, changes, claims = state.get if state.exists else (None, 0, None, None, 0, 0, {})
     claims, rows = dict(claims or {}), []
     norm = lambda v: " ".join(str(v).strip().lower().replace(",", "").split())
     for row in pd.concat(frames).sort_values(["at", "seq"]).itertuples(index=False):
@@ -44,26 +52,38 @@ def _detect(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.Da
         first, added, modified, removed = polls == 1, [], [], []
         if not first and row.etag and row.etag == etag:
             reason = "etag-match"
+        elif not first and row.last_modified and row.last_modified == modified_at:
+            reason = "last-modified-match"
         elif not first and row.digest == digest:
             reason = "identical-content"
         else:
-            new = dict(row.claims or {})
-            added = sorted(k for k in new if k not in claims)
-            modified = sorted(k for k in new if k in claims and norm(new[k]) != norm(claims[k]))
-            removed = sorted(k for k in claims if k not in new)
-            reason = "first-seen" if first else "claim-change" if added or modified or removed else "content-change"
-            digest, etag, claims, changes = row.digest, row.etag or etag, new, changes + 1
+            if row.claims is not None:
+                new = dict(row.claims)
+                added = sorted(k for k in new if k not in claims)
+                modified = sorted(k for k in new if k in claims and norm(new[k]) != norm(claims[k]))
+                removed = sorted(k for k in claims if k not in new)
+                claims = new
+            seen = 0 if pd.isna(row.simhash) else int(row.simhash)
+            near = not first and print_ and ((seen ^ print_) & (1 << 64) - 1).bit_count() <= NEAR_BITS
+            reason = "first-seen" if first else "claim-change" if added or modified or removed else "cosmetic-edit" if near else "content-change"
+            digest, print_, etag, modified_at = row.digest, seen, row.etag or etag, row.last_modified or modified_at
+            changes += reason != "cosmetic-edit"
         changed = reason in ("first-seen", "claim-change", "content-change")
         rows.append((key[0], row.at, row.seq, changed, reason, polls, changes, added, modified, removed))
-    state.update((digest, etag, polls, changes, claims))
+    state.update((digest, print_, etag, modified_at, polls, changes, claims))
     yield pd.DataFrame(rows, columns=[c.split()[0] for c in OUTPUT.split(", ")])
 
 
 def detect(stream: DataFrame) -> DataFrame:
-    """Stateful detector over a stream of polls (source_id, at, seq, text, etag, claims map)."""
+    """Stateful detector over a stream of polls (source_id, at, seq, text, etag, claims map[, last_modified]).
+
+    Stages: HTTP validators, digest, fingerprint, claims. Null claims mean that none were extracted; only a poll
+    that passes the first two stages replaces the state.
+    """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    rows = stream.select("source_id", "at", "seq", "etag", content_digest(F.col("text")).alias("digest"), "claims")
+    modified_at = F.col("last_modified") if "last_modified" in stream.columns else F.lit(None).cast("string")
+    rows = stream.select("source_id", "at", "seq", "etag", modified_at.alias("last_modified"), content_digest(F.col("text")).alias("digest"), simhash(F.col("text")).alias("simhash"), "claims")
     return rows.groupBy("source_id").applyInPandasWithState(_detect, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
@@ -93,3 +113,9 @@ def publish(stream: DataFrame, path: str, checkpoint: str, good: str = "payload
         batch.unpersist()
 
     return stream.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def rate_limited(requests: DataFrame, limit: int, seconds: int = 60) -> DataFrame:
+    """Requests (client, at) in the sliding window that ends with each request, and whether these exceed the limit (all requests count)."""
+    by = Window.partitionBy("client").orderBy(F.unix_micros(F.col("at").cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
+    return requests.withColumn("recent", F.count("*").over(by)).withColumn("refused", F.col("recent") > limit)
