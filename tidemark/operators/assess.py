@@ -32,7 +32,7 @@ def route(claims: DataFrame, evidence: DataFrame, most: int = 5, least: float =
     claims(query_id, claim_id, text, subject, attribute, valid_from, valid_to), evidence(query_id, doc_id, text,
     source, valid_from, valid_to).  Only texts that mention the subject count; among them those of an overlapping
     period that name the attribute, or all where none does; of these the `most` with a word share above `least`, or
-    the first `fallback`.  Returns query_id, claim_id, doc_id, share, rank and the evidence columns as etext, source.
+    the first `fallback`.  A question has at most twelve focused claims and k texts, which bounds its pairs.  Returns query_id, claim_id, doc_id, share, rank and the evidence columns as etext, source.
     """
     c = claims.select("query_id", "claim_id", "text", "subject", "attribute", F.col("valid_from").alias("_from"), F.col("valid_to").alias("_to"))
     e = evidence.select("query_id", "doc_id", F.col("text").alias("etext"), "source", "valid_from", "valid_to")
