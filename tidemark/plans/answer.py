@@ -28,6 +28,7 @@ class Config:
     candidate_k: int = 50
     max_iterations: int = 3
     domain: str = "corporate"
+    mode: str = "full"  # or "lexical" (BM25 alone), "temporal" (with signals, without the store)
 
 
 @dataclass
@@ -82,7 +83,7 @@ class Engine:
         overlap = overlap_score(F.col("valid_from"), F.col("valid_to"), need.intent, t, F.lit(need.start or need.anchor), F.lit(need.end or need.anchor))
         signals = {"freshness": fresh, "temporal": overlap, "authority": F.when(F.col("tier") == 1, 1.0).when(F.col("tier") == 2, 0.75).when(F.col("tier") == 3, 0.45).otherwise(0.15)}
         signals["entity"] = F.when(F.contains(F.lower(F.concat_ws(" ", "entity", "text")), F.lit(p.entity.lower())), 1.0).otherwise(0.0) if p.entity else F.lit(0.5)
-        fused = R.weighted_fuse(rows.withColumns(signals))
+        fused = R.weighted_fuse(rows.withColumns(signals), {"sparse": 1.0} if self.config.mode == "lexical" else None)
         best = fused.groupBy("doc_id").agg(F.max("score").alias("score"), F.max("temporal").alias("overlap")).orderBy(F.desc("score"), "doc_id").limit(self.config.k)
         return best.join(self.chunks, "doc_id")
 
@@ -115,7 +116,7 @@ class Engine:
                 break
             seen |= more
             queries += sorted(more)
-        heads = self.head(p) if p.entity and p.attribute else []
+        heads = self.head(p) if p.entity and p.attribute and self.config.mode == "full" else []
         verdicts = self._verdicts(p, evidence) if scored else []
         supported = [v for v in verdicts if v.verdict == "SUPPORTED"]
         coverage = len(supported) / max(1, len(verdicts))
