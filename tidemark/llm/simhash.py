@@ -1,13 +1,18 @@
 """SimHash near-duplicates by tiled exact comparison.
 
 Fingerprints are compared with numpy exclusive-or and bit counts, tile against tile, and a tile pair is
-skipped when its population counts differ beyond the radius.  The same bound is applied before anything
-is compared: fingerprints are kept in cells of equal population counts of eight 8-bit parts.  Two
-fingerprints at most 2 bits apart have count vectors at most 2 apart, so there is a vector within 1 of
-both; each fingerprint is sent to its own cell and to those 1 away, and the tiles of a cell see each
-pair.  For wider radii the cells are ranges of shingle counts in which a ratio of 0.8 stays within
-neighbours.  A cell of more than `TILE_ROWS` distinct fingerprints is dealt out as pairs of tiles, so no
-task's memory follows a cell.
+skipped when its population counts differ beyond the radius.  Only fingerprints of one cell are compared, so
+the work does not grow with the square of the table:
+
+* within 2 bits, cells are equal population counts of eight 8-bit parts.  Two such fingerprints have count
+  vectors at most 2 apart, so there is a vector within 1 of both; each fingerprint is sent to its own cell and
+  to those 1 away, and no pair is lost.
+* beyond 2 bits no exact cells exist that are small.  Cells are 16 bands of four shingle minima: of texts with a
+  shingle similarity of 0.8, 2 pairs in 10,000 share no cell (at 0.9: 4 in 100 million).
+
+Cells of one row are dropped, and a cell of more than `TILE_ROWS` rows is dealt out as pairs of tiles, so no
+task's memory follows a cell.  In a job a few pivots meet all rows first; rows they connect (a large group of
+near copies) need no comparison among each other, so such a group costs its size, not its square.
 
 Equal fingerprints are one row from the start.  A tile gives each fingerprint at most one link (to the
 smallest it is connected with in the tile), never all pairs of a group; components come from alternating
@@ -16,7 +21,6 @@ large-star and small-star rounds over staged tables.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,45 +33,61 @@ from tidemark.llm import textkernel as K
 from tidemark.llm.store import documents_of, staged
 
 SEED = 42
-TILE_ROWS = 32768
+TILE_ROWS = 131_072
+BANDS, BAND_ROWS = 16, 4
 _STEP = 1024
+_PIVOTS = 8
 _NO_ID = (1 << 63) - 1
 
 
-def fingerprint(text: bytes, width: int, seeds: tuple[int, ...]) -> tuple[list[int], int]:
-    """SimHash words of one text (one for each seed) and its number of shingles."""
+_TURNS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND_ROWS), dtype=np.uint64) | np.array([[1], [0]], dtype=np.uint64)
+
+
+def _bands(hashes: np.ndarray) -> np.ndarray:
+    """Keys of the bands of a text's shingle minima under `BANDS` x `BAND_ROWS` permutations."""
+    least = np.full(BANDS * BAND_ROWS, np.uint64((1 << 64) - 1))
+    for i in range(0, len(hashes), 4096):
+        np.minimum(least, ((hashes[i : i + 4096, None] ^ _TURNS[1]) * _TURNS[0]).min(axis=0), out=least)
+    return np.array([xxhash.xxh64_intdigest(part.tobytes(), band) for band, part in enumerate(least.reshape(BANDS, BAND_ROWS))], dtype=np.uint64)
+
+
+def fingerprint(text: bytes, width: int, seeds: tuple[int, ...], banded: bool = False) -> tuple[list[int], np.ndarray]:
+    """SimHash words of one text (one for each seed) and, if asked for, the keys of its bands (one key for all texts without words)."""
     words = text.lower().split()
     if not words:
-        return [0] * len(seeds), 0
+        return [0] * len(seeds), np.zeros(int(banded), dtype=np.uint64)
     whole = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
     starts = np.r_[0, ends[:-1] + 1]
     span = min(width, len(words))
     starts, ends = starts[: len(words) - span + 1].tolist(), ends[span - 1 :].tolist()
-    digest, out = xxhash.xxh64_intdigest, []
+    digest, out, bands = xxhash.xxh64_intdigest, [], np.zeros(0, dtype=np.uint64)
     for seed in seeds:
         hashes = np.fromiter((digest(whole[a:b], seed) for a, b in zip(starts, ends, strict=True)), dtype="<u8", count=len(starts))
         counts = np.zeros(64, dtype=np.int64)
         for i in range(0, len(hashes), 8192):
             counts += np.unpackbits(hashes[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         out.append(int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0]))
-    return out, len(starts)
+        if banded and seed == seeds[0]:
+            bands = _bands(hashes)
+    return out, bands
 
 
-def fingerprints(docs: DataFrame, width: int = 3, n_words: int = 1) -> DataFrame:
-    """(doc_id, text_key, f0[, f1], size) for every row; a null or wordless text has fingerprint zero."""
+def fingerprints(docs: DataFrame, width: int = 3, n_words: int = 1, banded: bool = False) -> DataFrame:
+    """(doc_id, text_key, f0[, f1], bands) for every row; a null or wordless text has fingerprint zero."""
     seeds = tuple(SEED + i for i in range(n_words))
-    names = ["doc_id", "text_key", *[f"f{i}" for i in range(n_words)], "size"]
+    names = ["doc_id", "text_key", *[f"f{i}" for i in range(n_words)], "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buffer, offsets = K.text_buffer(batch.column("text"))
-            got = [fingerprint(buffer[a:b].tobytes(), width, seeds) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            got = [fingerprint(buffer[a:b].tobytes(), width, seeds, banded) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             words = [pa.array(np.array([g[0][i] for g in got], dtype=np.uint64).view(np.int64)) for i in range(n_words)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), *words, pa.array(np.array([g[1] for g in got], dtype=np.int64))], names)
+            bands = pa.array([g[1].view(np.int64) for g in got], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), *words, bands], names)
 
     rows = documents_of(docs).withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return rows.select("doc_id", "text_key", "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return rows.select("doc_id", "text_key", "text").mapInArrow(run, ", ".join(f"{n} long" for n in names[:-1]) + ", bands array<long>")
 
 
 class _Groups:
@@ -119,6 +139,30 @@ def _compare(left: np.ndarray, right: np.ndarray | None, radius: int, groups: _G
             groups.link(at[a[x]], at[base + b[y]])
 
 
+def _pivots(fps: np.ndarray, radius: int, groups: _Groups, at: np.ndarray) -> np.ndarray:
+    """Link what a few rows are near to; marks the rows of the largest group so far."""
+    for p in range(0, len(fps), -(-len(fps) // _PIVOTS)):
+        near = np.flatnonzero(_apart(fps[p : p + 1], fps)[0] <= radius)
+        groups.link(np.full(len(near), at[p]), at[near])
+    root = groups.root[at]
+    values, counts = np.unique(root, return_counts=True)
+    return root == values[counts.argmax()]
+
+
+def _connect(fps: np.ndarray, cut: int | None, radius: int, groups: _Groups, at: np.ndarray) -> None:
+    """Link one tile's rows, or the rows before `cut` with those behind it, but for pairs within the group that pivots found."""
+    one = _pivots(fps, radius, groups, at)
+    first = np.arange(len(fps)) < (len(fps) if cut is None else cut)
+    if cut is None:
+        jobs = [(~one, None), (~one, one)]
+    else:
+        jobs = [(first & ~one, ~first), (first & one, ~first & ~one)]
+    for left, right in jobs:
+        if left.any() and (right is None or right.any()):
+            both = np.flatnonzero(left) if right is None else np.r_[np.flatnonzero(left), np.flatnonzero(right)]
+            _compare(fps[left], None if right is None else fps[right], radius, groups, at[both])
+
+
 def _linked(job: np.ndarray, fps: np.ndarray, reps: np.ndarray, side: np.ndarray, cross: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links of whole jobs, rows ordered by job: each row with the smallest id it is connected with in its job."""
     n, groups = len(job), _Groups(len(job))
@@ -138,10 +182,9 @@ def _linked(job: np.ndarray, fps: np.ndarray, reps: np.ndarray, side: np.ndarray
         at = np.arange(first[k], first[k] + size[k])
         if cross[first[k]]:
             at = np.r_[at[side[at] == 0], at[side[at] == 1]]
-            cut = int((side[at] == 0).sum())
-            _compare(fps[at[:cut]], fps[at[cut:]], radius, groups, at)
+            _connect(fps[at], int((side[at] == 0).sum()), radius, groups, at)
         else:
-            _compare(fps[at], None, radius, groups, at)
+            _connect(fps[at], None, radius, groups, at)
     best = np.full(n, _NO_ID)
     np.minimum.at(best, groups.root, reps)
     best = best[groups.root]
@@ -151,7 +194,7 @@ def _linked(job: np.ndarray, fps: np.ndarray, reps: np.ndarray, side: np.ndarray
 
 def _tile_links(rows: DataFrame, words: list[str], radius: int) -> DataFrame:
     """(a, b) links between representatives of fingerprints in the same cell at most `radius` bits apart."""
-    tiles = rows.groupBy("cell").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("tiles"))
+    tiles = rows.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell", F.ceil(F.col("n") / TILE_ROWS).cast("int").alias("tiles"))
     mine = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
     jobs = rows.join(tiles, "cell").withColumn("tile", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     low, high = F.least("tile", "other"), F.greatest("tile", "other")
@@ -187,15 +230,12 @@ def _tile_links(rows: DataFrame, words: list[str], radius: int) -> DataFrame:
     return jobs.repartition("job").sortWithinPartitions("job").mapInArrow(run, "a long, b long")
 
 
-def _cells(rows: DataFrame, radius: int) -> Column:
-    """The cells in which a fingerprint is compared."""
-    if radius <= 2:
-        ones = [F.bit_count(F.col("f0").bitwiseAND(F.lit((255 << 8 * j) - (1 << 64 if j == 7 else 0)))).cast("long") for j in range(8)]
-        own = sum((c * (1 << 4 * j) for j, c in enumerate(ones)), F.lit(0).cast("long"))
-        lower = [F.when(c > 0, own - (1 << 4 * j)) for j, c in enumerate(ones)]
-        return F.filter(F.array(own, *[own + (1 << 4 * j) for j in range(8)], *lower), lambda c: c.isNotNull())
-    bucket = F.floor(F.log(F.greatest(F.col("size"), F.lit(1))) / math.log(1.25) + 1e-9).cast("long")
-    return F.array(bucket, bucket + 1)
+def _count_cells() -> Column:
+    """The cells of population counts in which a fingerprint meets all that are within 2 bits."""
+    ones = [F.bit_count(F.col("f0").bitwiseAND(F.lit((255 << 8 * j) - (1 << 64 if j == 7 else 0)))).cast("long") for j in range(8)]
+    own = sum((c * (1 << 4 * j) for j, c in enumerate(ones)), F.lit(0).cast("long"))
+    lower = [F.when(c > 0, own - (1 << 4 * j)) for j, c in enumerate(ones)]
+    return F.filter(F.array(own, *[own + (1 << 4 * j) for j in range(8)], *lower), lambda c: c.isNotNull())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -233,10 +273,13 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, n_words: i
     rows are repeated; other columns are ignored; an empty table gives no rows.
     """
     words = [f"f{i}" for i in range(n_words)]
-    prints = staged(fingerprints(docs, width, n_words), "fingerprints")
-    unique = prints.groupBy(*words).agg(F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("rep"), F.min("size").alias("size"))
+    prints = staged(fingerprints(docs, width, n_words, radius > 2), "fingerprints")
+    unique = prints.groupBy(*words).agg(F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("rep"))
     unique = staged(unique, "unique-fingerprints")
-    rows = unique.select(*words, "rep", F.explode(_cells(unique, radius)).alias("cell"))
+    if radius > 2:
+        rows = prints.select(*words, "bands").distinct().join(unique, words).select(*words, "rep", F.explode("bands").alias("cell"))
+    else:
+        rows = unique.select(*words, "rep", F.explode(_count_cells()).alias("cell"))
     found = components(_tile_links(rows, words, radius))
     label = F.coalesce("label", "rep")
     named = unique.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(*words, F.when(label != _NO_ID, label).alias("component_id"))
