@@ -235,50 +235,6 @@ def test_simhash_tile_jobs_split_large_cells(docs, monkeypatch):
     assert rows_of(S.near_duplicates(docs, radius=12), "doc_id", "component_id") == want
 
 
-def test_simhash_large_group_and_the_rest(spark):
-    from tidemark.llm import simhash as S
-
-    rng = np.random.default_rng(4)
-    flip = lambda x, n: x ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 63, (len(x), n)).astype(np.uint64), axis=1)
-    group = flip(np.full(250, 12345, dtype=np.uint64), 1)
-    chain = [np.uint64(1 << 40)]
-    for _ in range(30):
-        chain.append(flip(np.array(chain[-1:]), 2)[0])
-    fps = np.unique(np.r_[group, np.array(chain), rng.integers(0, 1 << 63, 150, dtype=np.uint64)])
-    rng.shuffle(fps)
-    n, of = len(fps), grouped([int(x) for x in fps], 2)
-    want = defaultdict(set)
-    for f in fps:
-        want[of[int(f)]].add(int(f))
-    for cut in (None, n // 2):
-        groups, at = S._Groups(n), np.arange(n)
-        if cut is None:
-            S._connect(fps[:, None], None, 2, groups, at)
-        else:
-            S._connect(fps[:, None], cut, 2, groups, at)
-            for part in (at[:cut], at[cut:]):
-                S._connect(fps[part][:, None], None, 2, groups, part)
-        got = defaultdict(set)
-        for i in range(n):
-            got[groups.root[i]].add(int(fps[i]))
-        assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
-
-
-def test_bands_are_shared_by_similar_texts():
-    from tidemark.llm import simhash as S
-
-    rng, seeds = np.random.default_rng(6), (42,)
-    shared = apart = 0
-    for _ in range(150):
-        words = rng.integers(0, 5000, 300).astype(str)
-        other = words.copy()
-        other[rng.choice(300, 6, replace=False)] = "changed"  # at most 30 of 296 shingles go: similarity of 0.81 and more
-        one, two, far = (set(S.fingerprint(" ".join(w).encode(), 5, seeds, True)[1].tolist()) for w in (words, other, rng.integers(0, 5000, 300).astype(str)))
-        shared, apart = shared + bool(one & two), apart + (not one & far)
-    assert shared >= 149 and apart == 150
-    assert S.fingerprint(b"", 5, seeds, True)[1].tolist() == [0] and not len(S.fingerprint(b"a b", 5, seeds)[1])
-
-
 def test_keep_one(docs):
     from tidemark.llm.simhash import keep_one
 
