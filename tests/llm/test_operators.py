@@ -243,6 +243,19 @@ def test_keep_one(docs):
     assert keep_one(docs).columns == docs.columns
 
 
+def test_components_do_not_meet_in_ids(spark):
+    from tidemark.llm.simhash import keep_one, near_duplicates
+
+    rng = random.Random(5)
+    a, b, c, d = (" ".join(f"{rng.choice(WORDS)}{rng.randint(0, 9999)}" for _ in range(80)) for _ in range(4))
+    rows = [(None, a), (None, b), (None, c), (10, a), (20, b), (30, d), (30, c)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t), 0.5, 1) for i, t in rows], SCHEMA)
+    assert sorted(r.doc_id for r in keep_one(df).collect()) == [10, 20, 30, 30]
+    assert sorted((r.doc_id or 0, r.component_id) for r in near_duplicates(df).collect()) == [(0, 10), (0, 20), (0, 30), (10, 10), (20, 20), (30, 30), (30, 30)]
+    bare = df.where("doc_id is null")
+    assert sorted(r.text for r in keep_one(bare.union(bare)).collect()) == sorted([a, b, c])
+
+
 def test_anisotropic_search(spark):
     from tidemark.llm.anisotropic import search
 

@@ -232,26 +232,31 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, n_words: i
     like any others; a null doc_id takes part and is a component_id only where no other id is reached; repeated
     rows are repeated; other columns are ignored; an empty table gives no rows.
     """
+    return _labelled(docs, width, radius, n_words).select("doc_id", "text_key", "fingerprint", "component_id")
+
+
+def _labelled(docs: DataFrame, width: int, radius: int, n_words: int) -> DataFrame:
+    """The rows of `near_duplicates` and the component's label: nodes are fingerprints, whatever ids they occur with."""
     words = [f"f{i}" for i in range(n_words)]
     prints = staged(fingerprints(docs, width, n_words), "fingerprints")
-    unique = prints.groupBy(*words).agg(F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("rep"), F.min("size").alias("size"))
-    unique = staged(unique, "unique-fingerprints")
+    unique = prints.groupBy(*words).agg(F.min("doc_id").alias("least"), F.min("size").alias("size"))
+    unique = staged(unique.withColumn("rep", F.monotonically_increasing_id()), "unique-fingerprints")
     rows = unique.select(*words, "rep", F.explode(_cells(unique, radius)).alias("cell"))
     found = components(_tile_links(rows, words, radius))
-    label = F.coalesce("label", "rep")
-    named = unique.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(*words, F.when(label != _NO_ID, label).alias("component_id"))
+    named = unique.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    named = named.join(named.groupBy("label").agg(F.min("least").alias("component_id")), "label").select(*words, "label", "component_id")
     shown = F.concat(*[F.lower(F.lpad(F.hex(w), 16, "0")) for w in words])
-    return prints.join(named, words).select("doc_id", "text_key", shown.alias("fingerprint"), "component_id")
+    return prints.join(named, words).select("doc_id", "text_key", shown.alias("fingerprint"), "component_id", "label")
 
 
 def keep_one(docs: DataFrame, width: int = 5, radius: int = 24, n_words: int = 2) -> DataFrame:
     """The input rows, one of each near-duplicate component: that with the smallest doc_id.
 
     The parameters hold for five-word shingles: at a Jaccard similarity of 0.8, fingerprints of 128 bits are
-    19 bits apart on average (at 0.9, 13), unrelated texts 64.  Rows that share a doc_id and a component are one.
+    19 bits apart on average (at 0.9, 13), unrelated texts 64.  A component without any doc_id keeps one row too.
     """
-    found = near_duplicates(docs, width, radius, n_words).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
-    kept = found.groupBy(ident.alias("_id")).agg(F.min("text_key").alias("_key"))
+    first = F.min(F.struct(ident.alias("_id"), F.col("text_key").alias("_key")))
+    kept = _labelled(docs, width, radius, n_words).groupBy("label").agg(first.alias("first")).select("first.*")
     keyed = docs.withColumns({"_id": ident, "_key": F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))})
     return keyed.join(kept, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).select(docs.columns)
