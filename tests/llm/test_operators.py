@@ -256,6 +256,16 @@ def test_components_do_not_meet_in_ids(spark):
     assert sorted(r.text for r in keep_one(bare.union(bare)).collect()) == sorted([a, b, c])
 
 
+def test_repeated_text_is_a_near_copy(spark):
+    from tidemark.llm.simhash import keep_one
+
+    rng = random.Random(6)
+    page = " ".join(f"{rng.choice(WORDS)}{rng.randint(0, 9999)}" for _ in range(200))
+    rows = [(1, page), (2, f"{page} {page}"), (3, " ".join([page] * 5))]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t), 0.5, 1) for i, t in rows], SCHEMA)
+    assert [r.doc_id for r in keep_one(df).collect()] == [1]
+
+
 def test_anisotropic_search(spark):
     from tidemark.llm.anisotropic import search
 

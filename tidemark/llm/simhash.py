@@ -5,8 +5,8 @@ skipped when its population counts differ beyond the radius.  The same bound is
 is compared: fingerprints are kept in cells of equal population counts of eight 8-bit parts.  Two
 fingerprints at most 2 bits apart have count vectors at most 2 apart, so there is a vector within 1 of
 both; each fingerprint is sent to its own cell and to those 1 away, and the tiles of a cell see each
-pair.  For wider radii the cells are ranges of shingle counts in which a ratio of 0.8 stays within
-neighbours.  A cell of more than `TILE_ROWS` distinct fingerprints is dealt out as pairs of tiles, so no
+pair.  For wider radii the cells are ranges of counts of distinct shingles in which a ratio of 0.8 stays
+within neighbours; a fingerprint is in the cells of every count it occurs with.  A cell of more than `TILE_ROWS` distinct fingerprints is dealt out as pairs of tiles, so no
 task's memory follows a cell.
 
 Equal fingerprints are one row from the start.  A tile gives each fingerprint at most one link (to the
@@ -35,7 +35,7 @@ _NO_ID = (1 << 63) - 1
 
 
 def fingerprint(text: bytes, width: int, seeds: tuple[int, ...]) -> tuple[list[int], int]:
-    """SimHash words of one text (one for each seed) and its number of shingles."""
+    """SimHash words of one text (one for each seed) and its number of distinct shingles."""
     words = text.lower().split()
     if not words:
         return [0] * len(seeds), 0
@@ -44,14 +44,15 @@ def fingerprint(text: bytes, width: int, seeds: tuple[int, ...]) -> tuple[list[i
     starts = np.r_[0, ends[:-1] + 1]
     span = min(width, len(words))
     starts, ends = starts[: len(words) - span + 1].tolist(), ends[span - 1 :].tolist()
-    digest, out = xxhash.xxh64_intdigest, []
+    digest, out, distinct = xxhash.xxh64_intdigest, [], 0
     for seed in seeds:
         hashes = np.fromiter((digest(whole[a:b], seed) for a, b in zip(starts, ends, strict=True)), dtype="<u8", count=len(starts))
+        distinct = distinct or len(np.unique(hashes))
         counts = np.zeros(64, dtype=np.int64)
         for i in range(0, len(hashes), 8192):
             counts += np.unpackbits(hashes[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         out.append(int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0]))
-    return out, len(starts)
+    return out, distinct
 
 
 def fingerprints(docs: DataFrame, width: int = 3, n_words: int = 1) -> DataFrame:
@@ -194,8 +195,8 @@ def _cells(rows: DataFrame, radius: int) -> Column:
         own = sum((c * (1 << 4 * j) for j, c in enumerate(ones)), F.lit(0).cast("long"))
         lower = [F.when(c > 0, own - (1 << 4 * j)) for j, c in enumerate(ones)]
         return F.filter(F.array(own, *[own + (1 << 4 * j) for j in range(8)], *lower), lambda c: c.isNotNull())
-    bucket = F.floor(F.log(F.greatest(F.col("size"), F.lit(1))) / math.log(1.25) + 1e-9).cast("long")
-    return F.array(bucket, bucket + 1)
+    bucket = lambda n: F.floor(F.log(F.greatest(n, F.lit(1))) / math.log(1.25) + 1e-9).cast("long")
+    return F.array_distinct(F.flatten(F.transform("sizes", lambda n: F.array(bucket(n), bucket(n) + 1))))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -239,7 +240,7 @@ def _labelled(docs: DataFrame, width: int, radius: int, n_words: int) -> DataFra
     """The rows of `near_duplicates` and the component's label: nodes are fingerprints, whatever ids they occur with."""
     words = [f"f{i}" for i in range(n_words)]
     prints = staged(fingerprints(docs, width, n_words), "fingerprints")
-    unique = prints.groupBy(*words).agg(F.min("doc_id").alias("least"), F.min("size").alias("size"))
+    unique = prints.groupBy(*words).agg(F.min("doc_id").alias("least"), F.collect_set("size").alias("sizes"))
     unique = staged(unique.withColumn("rep", F.monotonically_increasing_id()), "unique-fingerprints")
     rows = unique.select(*words, "rep", F.explode(_cells(unique, radius)).alias("cell"))
     found = components(_tile_links(rows, words, radius))
