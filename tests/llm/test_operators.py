@@ -266,6 +266,25 @@ def test_repeated_text_is_a_near_copy(spark):
     assert [r.doc_id for r in keep_one(df).collect()] == [1]
 
 
+def test_near_copies_are_verified(spark, monkeypatch):
+    from tidemark.llm import simhash as S
+
+    rng = random.Random(8)
+    word = lambda: f"{rng.choice(WORDS)}{rng.randint(0, 9999)}"
+    rows = []
+    for share in [0.02, 0.06, 0.1, 0.12, 0.15, 0.2, 0.25, 0.3] * 8:  # a changed tail: similarity (1 - share) / (1 + share)
+        body = [word() for _ in range(150)]
+        cut = round(150 * (1 - share))
+        rows += [(len(rows), " ".join(body)), (len(rows) + 1, " ".join(body[:cut] + [word() for _ in range(150 - cut)]))]
+    grams = [{tuple(t.split()[i : i + 5]) for i in range(146)} for _, t in rows]
+    want = {i for i, g in enumerate(grams) if i % 2 == 0 or len(g & grams[i - 1]) < 0.8 * len(g | grams[i - 1])}
+    assert len(want) > 80 and len(want) < 110
+    df = spark.createDataFrame([(i, t, "en", "s", len(t), 0.5, 1) for i, t in rows], SCHEMA)
+    assert {r.doc_id for r in S.keep_one(df).collect()} == want
+    monkeypatch.setattr(S, "TILE_GRAMS", 100)
+    assert {r.doc_id for r in S.keep_one(df).collect()} == want
+
+
 def test_anisotropic_search(spark):
     from tidemark.llm.anisotropic import search
 

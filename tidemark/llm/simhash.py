@@ -6,7 +6,8 @@ is compared: fingerprints are kept in cells of equal population counts of eight
 fingerprints at most 2 bits apart have count vectors at most 2 apart, so there is a vector within 1 of
 both; each fingerprint is sent to its own cell and to those 1 away, and the tiles of a cell see each
 pair.  For wider radii the cells are ranges of counts of distinct shingles in which a ratio of 0.8 stays
-within neighbours; a fingerprint is in the cells of every count it occurs with.  A cell of more than `TILE_ROWS` distinct fingerprints is dealt out as pairs of tiles, so no
+within neighbours, and a link is a candidate only: the shingle sets of what candidates connect are
+brought together, and a pair is linked when their Jaccard similarity is high enough.  A cell of more than `TILE_ROWS` distinct fingerprints is dealt out as pairs of tiles, so no
 task's memory follows a cell.
 
 Equal fingerprints are one row from the start.  A tile gives each fingerprint at most one link (to the
@@ -30,45 +31,68 @@ from tidemark.llm.store import documents_of, staged
 
 SEED = 42
 TILE_ROWS = 32768
+TILE_GRAMS = 1 << 22
+MARGIN = 8
 _STEP = 1024
 _NO_ID = (1 << 63) - 1
 
 
-def fingerprint(text: bytes, width: int, seeds: tuple[int, ...]) -> tuple[list[int], int]:
-    """SimHash words of one text (one for each seed) and its number of distinct shingles."""
+def _spans(text: bytes, width: int) -> tuple[bytes, list[int], list[int]]:
+    """A text's words joined by one space, and the starts and ends of its shingles there."""
     words = text.lower().split()
     if not words:
-        return [0] * len(seeds), 0
-    whole = b" ".join(words)
+        return b"", [], []
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
     starts = np.r_[0, ends[:-1] + 1]
     span = min(width, len(words))
-    starts, ends = starts[: len(words) - span + 1].tolist(), ends[span - 1 :].tolist()
-    digest, out, distinct = xxhash.xxh64_intdigest, [], 0
-    for seed in seeds:
-        hashes = np.fromiter((digest(whole[a:b], seed) for a, b in zip(starts, ends, strict=True)), dtype="<u8", count=len(starts))
-        distinct = distinct or len(np.unique(hashes))
+    return b" ".join(words), starts[: len(words) - span + 1].tolist(), ends[span - 1 :].tolist()
+
+
+def _hashes(spans: tuple[bytes, list[int], list[int]], seed: int) -> np.ndarray:
+    whole, starts, ends = spans
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(whole[a:b], seed) for a, b in zip(starts, ends, strict=True)), dtype="<u8", count=len(starts))
+
+
+def fingerprint(text: bytes, width: int, seeds: tuple[int, ...], as_set: bool = False) -> tuple[list[int], int, int]:
+    """SimHash words of one text (one for each seed), its number of distinct shingles and a hash of their set.
+
+    Repeated shingles count once where `as_set`.
+    """
+    whole, starts, ends = _spans(text, width)
+    if not starts:
+        return [0] * len(seeds), 0, 0
+    out, hashes = [], _hashes((whole, starts, ends), seeds[0])
+    distinct, at = np.unique(hashes, return_index=True)
+    if as_set and len(at) < len(starts):
+        hashes, starts, ends = distinct, [starts[i] for i in at], [ends[i] for i in at]
+    for k, seed in enumerate(seeds):
+        hashes = _hashes((whole, starts, ends), seed) if k else hashes
         counts = np.zeros(64, dtype=np.int64)
         for i in range(0, len(hashes), 8192):
             counts += np.unpackbits(hashes[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         out.append(int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0]))
-    return out, distinct
+    return out, len(distinct), xxhash.xxh64_intdigest(distinct.tobytes())
 
 
-def fingerprints(docs: DataFrame, width: int = 3, n_words: int = 1) -> DataFrame:
-    """(doc_id, text_key, f0[, f1], size) for every row; a null or wordless text has fingerprint zero."""
+def fingerprints(docs: DataFrame, width: int = 3, n_words: int = 1, as_set: bool = False) -> DataFrame:
+    """(doc_id, text_key, f0[, f1], size, shape) for every row; a null or wordless text has fingerprint zero."""
     seeds = tuple(SEED + i for i in range(n_words))
-    names = ["doc_id", "text_key", *[f"f{i}" for i in range(n_words)], "size"]
+    names = ["doc_id", "text_key", *[f"f{i}" for i in range(n_words)], "size", "shape"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        long = lambda values: pa.array(np.array(values, dtype=np.uint64).view(np.int64))
         for batch in batches:
             buffer, offsets = K.text_buffer(batch.column("text"))
-            got = [fingerprint(buffer[a:b].tobytes(), width, seeds) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            words = [pa.array(np.array([g[0][i] for g in got], dtype=np.uint64).view(np.int64)) for i in range(n_words)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), *words, pa.array(np.array([g[1] for g in got], dtype=np.int64))], names)
+            got = [fingerprint(buffer[a:b].tobytes(), width, seeds, as_set) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            words = [long([g[0][i] for g in got]) for i in range(n_words)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), *words, long([g[1] for g in got]), long([g[2] for g in got])], names)
+
+    return _keyed(docs).select("doc_id", "text_key", "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
-    rows = documents_of(docs).withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return rows.select("doc_id", "text_key", "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return documents_of(docs).withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
 class _Groups:
@@ -93,6 +117,33 @@ class _Groups:
                 self.root = up
 
 
+class _Verified(_Groups):
+    """Groups linked only by pairs whose shingle sets have at least a Jaccard similarity; what is linked already isn't compared again."""
+
+    def __init__(self, grams: list[np.ndarray], similarity: float) -> None:
+        super().__init__(len(grams))
+        self.grams, self.similarity = grams, similarity
+
+    def _similar(self, a: int, b: int) -> bool:
+        x, y = self.grams[a], self.grams[b]
+        if min(len(x), len(y)) + 1e-9 < self.similarity * max(len(x), len(y)):
+            return False
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return both + 1e-9 >= self.similarity * (len(x) + len(y) - both)
+
+    def link(self, i: np.ndarray, j: np.ndarray) -> None:
+        edges = np.flatnonzero(np.r_[True, i[1:] != i[:-1], True]) if len(i) else [0]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            one, others = i[a], j[a:b]
+            while True:
+                others = others[self.root[others] != self.root[one]]
+                if not len(others):
+                    break
+                if self._similar(one, others[0]):
+                    super().link(np.array([one]), others[:1])
+                others = others[1:]
+
+
 def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Differing bits of every row of x against every row of y."""
     total = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0])
@@ -120,9 +171,9 @@ def _compare(left: np.ndarray, right: np.ndarray | None, radius: int, groups: _G
             groups.link(at[a[x]], at[base + b[y]])
 
 
-def _linked(job: np.ndarray, fps: np.ndarray, reps: np.ndarray, side: np.ndarray, cross: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def _linked(job: np.ndarray, fps: np.ndarray, reps: np.ndarray, side: np.ndarray, cross: np.ndarray, radius: int, groups: _Groups | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links of whole jobs, rows ordered by job: each row with the smallest id it is connected with in its job."""
-    n, groups = len(job), _Groups(len(job))
+    n, groups = len(job), groups or _Groups(len(job))
     first = np.flatnonzero(np.r_[True, job[1:] != job[:-1]])
     size = np.diff(np.r_[first, n])
     small = np.repeat(size <= 64, size) & ~cross
@@ -150,14 +201,19 @@ def _linked(job: np.ndarray, fps: np.ndarray, reps: np.ndarray, side: np.ndarray
     return reps[keep], best[keep]
 
 
-def _tile_links(rows: DataFrame, words: list[str], radius: int) -> DataFrame:
-    """(a, b) links between representatives of fingerprints in the same cell at most `radius` bits apart."""
-    tiles = rows.groupBy("cell").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("tiles"))
+def _tile_links(rows: DataFrame, words: list[str], radius: int, similarity: float | None = None) -> DataFrame:
+    """(a, b) links between representatives of fingerprints in the same cell at most `radius` bits apart.
+
+    With a `similarity` the rows have `grams` (and `size`, their number), and a link takes that similarity too.
+    """
+    checked = ["grams"] if similarity else []
+    n_tiles = F.greatest(F.count("*") / TILE_ROWS, F.sum("size") / TILE_GRAMS) if similarity else F.count("*") / TILE_ROWS
+    tiles = rows.groupBy("cell").agg(F.greatest(F.ceil(n_tiles), F.lit(1)).cast("int").alias("tiles"))
     mine = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
     jobs = rows.join(tiles, "cell").withColumn("tile", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     low, high = F.least("tile", "other"), F.greatest("tile", "other")
     jobs = jobs.select(
-        F.xxhash64("cell", low, high).alias("job"), *words, "rep", ((low != high) & (F.col("tile") == high)).cast("int").alias("side"), (low != high).alias("crossed")
+        F.xxhash64("cell", low, high).alias("job"), *words, "rep", ((low != high) & (F.col("tile") == high)).cast("int").alias("side"), (low != high).alias("crossed"), *checked
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +223,8 @@ def _tile_links(rows: DataFrame, words: list[str], radius: int) -> DataFrame:
             table = pa.Table.from_batches(ready)
             column = lambda c: table.column(c).combine_chunks().to_numpy(zero_copy_only=False)
             fps = np.stack([column(w).view(np.uint64) for w in words], axis=1)
-            a, b = _linked(column("job"), fps, column("rep"), column("side"), column("crossed"), radius)
+            groups = _Verified([np.frombuffer(g, dtype=np.uint64) for g in table.column("grams").to_pylist()], similarity) if similarity else None
+            a, b = _linked(column("job"), fps, column("rep"), column("side"), column("crossed"), radius, groups)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
@@ -195,8 +252,8 @@ def _cells(rows: DataFrame, radius: int) -> Column:
         own = sum((c * (1 << 4 * j) for j, c in enumerate(ones)), F.lit(0).cast("long"))
         lower = [F.when(c > 0, own - (1 << 4 * j)) for j, c in enumerate(ones)]
         return F.filter(F.array(own, *[own + (1 << 4 * j) for j in range(8)], *lower), lambda c: c.isNotNull())
-    bucket = lambda n: F.floor(F.log(F.greatest(n, F.lit(1))) / math.log(1.25) + 1e-9).cast("long")
-    return F.array_distinct(F.flatten(F.transform("sizes", lambda n: F.array(bucket(n), bucket(n) + 1))))
+    bucket = F.floor(F.log(F.greatest(F.col("size"), F.lit(1))) / math.log(1.25) + 1e-9).cast("long")
+    return F.array(bucket, bucket + 1)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -225,39 +282,63 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(roots.distinct())
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, n_words: int = 1) -> DataFrame:
+def _verified(docs: DataFrame, unique: DataFrame, found: DataFrame, words: list[str], width: int, radius: int, similarity: float) -> DataFrame:
+    """(a, b) links inside candidate components between nodes whose shingle sets are similar enough."""
+    near = unique.join(found.withColumnRenamed("node", "rep"), "rep").select("rep", F.col("label").alias("cell"), *words, "size", "text_key")
+    texts = _keyed(docs).select("text_key", "text").join(near, "text_key").dropDuplicates(["rep"])
+    names = ["rep", "cell", *words, "size"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buffer, offsets = K.text_buffer(batch.column("text"))
+            grams = [np.unique(_hashes(_spans(buffer[a:b].tobytes(), width), SEED)).tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(grams, pa.binary())], [*names, "grams"])
+
+    rows = staged(texts.mapInArrow(run, ", ".join([*[f"{n} long" for n in names], "grams binary"])), "candidates")
+    return _tile_links(rows, words, radius, similarity)
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, n_words: int = 1, similarity: float = 0.8) -> DataFrame:
     """Fingerprints of all rows and the components that links of at most `radius` differing bits form.
 
+    Over 2 bits, repeated shingles count once, candidates are sought `MARGIN` bits further, and all those whose shingle
+    sets have at least the Jaccard `similarity` are linked, no others.
+
     Returns doc_id, text_key, fingerprint (16 hexadecimal digits for each 64-bit word), component_id (the
     smallest doc_id that can be reached).  Nulls and texts without words have fingerprint zero and are linked
     like any others; a null doc_id takes part and is a component_id only where no other id is reached; repeated
     rows are repeated; other columns are ignored; an empty table gives no rows.
     """
-    return _labelled(docs, width, radius, n_words).select("doc_id", "text_key", "fingerprint", "component_id")
+    return _labelled(docs, width, radius, n_words, similarity).select("doc_id", "text_key", "fingerprint", "component_id")
 
 
-def _labelled(docs: DataFrame, width: int, radius: int, n_words: int) -> DataFrame:
-    """The rows of `near_duplicates` and the component's label: nodes are fingerprints, whatever ids they occur with."""
-    words = [f"f{i}" for i in range(n_words)]
-    prints = staged(fingerprints(docs, width, n_words), "fingerprints")
-    unique = prints.groupBy(*words).agg(F.min("doc_id").alias("least"), F.collect_set("size").alias("sizes"))
+def _labelled(docs: DataFrame, width: int, radius: int, n_words: int, similarity: float) -> DataFrame:
+    """The rows of `near_duplicates` and the component's label: nodes are fingerprints (or shingle sets), whatever ids they occur with."""
+    words, wide = [f"f{i}" for i in range(n_words)], radius > 2
+    radius += MARGIN * wide
+    node = [*words, "size", "shape"] if wide else words
+    prints = staged(fingerprints(docs, width, n_words, wide), "fingerprints")
+    unique = prints.groupBy(*node).agg(F.min("doc_id").alias("least"), F.min("text_key").alias("text_key"))
     unique = staged(unique.withColumn("rep", F.monotonically_increasing_id()), "unique-fingerprints")
     rows = unique.select(*words, "rep", F.explode(_cells(unique, radius)).alias("cell"))
     found = components(_tile_links(rows, words, radius))
+    if wide:
+        found = components(_verified(docs, unique, found, words, width, radius, similarity))
     named = unique.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    named = named.join(named.groupBy("label").agg(F.min("least").alias("component_id")), "label").select(*words, "label", "component_id")
+    named = named.join(named.groupBy("label").agg(F.min("least").alias("component_id")), "label").select(*node, "label", "component_id")
     shown = F.concat(*[F.lower(F.lpad(F.hex(w), 16, "0")) for w in words])
-    return prints.join(named, words).select("doc_id", "text_key", shown.alias("fingerprint"), "component_id", "label")
+    return prints.join(named, node).select("doc_id", "text_key", shown.alias("fingerprint"), "component_id", "label")
 
 
-def keep_one(docs: DataFrame, width: int = 5, radius: int = 24, n_words: int = 2) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5, radius: int = 24, n_words: int = 2, similarity: float = 0.8) -> DataFrame:
     """The input rows, one of each near-duplicate component: that with the smallest doc_id.
 
-    The parameters hold for five-word shingles: at a Jaccard similarity of 0.8, fingerprints of 128 bits are
-    19 bits apart on average (at 0.9, 13), unrelated texts 64.  A component without any doc_id keeps one row too.
+    The radius (and `MARGIN`) only finds candidates: at a Jaccard similarity of 0.8, fingerprints of 128 bits over five-word
+    shingles are 19 bits apart on average (4 bits standard deviation), unrelated texts 64.  A component without
+    any doc_id keeps one row too.
     """
     ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
     first = F.min(F.struct(ident.alias("_id"), F.col("text_key").alias("_key")))
-    kept = _labelled(docs, width, radius, n_words).groupBy("label").agg(first.alias("first")).select("first.*")
+    kept = _labelled(docs, width, radius, n_words, similarity).groupBy("label").agg(first.alias("first")).select("first.*")
     keyed = docs.withColumns({"_id": ident, "_key": F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))})
     return keyed.join(kept, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).select(docs.columns)
