@@ -388,6 +388,20 @@ def test_decontaminated_texts(spark, docs):
     assert after[104] == "" and after[103] is None and after[108] == before[108] and len(after[0]) < len(before[0])
 
 
+def test_blocks_of_items_cut_the_whole_text(spark, monkeypatch):
+    from tidemark.llm import decontaminate as D
+
+    w = [f"w{chr(97 + i // 10)}{chr(97 + i % 10)}" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(w[:40]), "en", "s", 159, 0.5, 1), (2, " ".join(w[40:]), "en", "s", 79, 0.5, 1), (3, None, "en", "s", None, 0.5, 1)], SCHEMA)
+    spans = [(0, 20), (15, 27), (40, 44), (45, 51), (51, 57), (57, 60)]  # the second overlaps the first; the others cover 19 of 20 words
+    bench = spark.createDataFrame([(i, " ".join(w[a:b])) for i, (a, b) in enumerate(spans)], "item_id long, text string").coalesce(1)
+    want = [(1, " " + " ".join(w[27:40]), 52), (3, None, None)]
+    for block in (D.BLOCK_WORDS, 1):
+        monkeypatch.setattr(D, "BLOCK_WORDS", block)
+        got = D.remove(docs, bench)
+        assert got.columns == docs.columns and rows_of(got, "doc_id", "text", "n_chars") == want
+
+
 def test_toxicity(spark, docs, none):
     from tidemark.llm import toxicity as T
 

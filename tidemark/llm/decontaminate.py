@@ -25,6 +25,7 @@ from tidemark.llm.store import documents_of
 
 WIDTH = 10
 BLOCK_WORDS = 100_000
+_HITS = "_hit_words"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -255,16 +256,30 @@ def remove(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_covera
 
     A span goes from its first to its last word; rows of which more than `max_coverage` of the words are hit go
     as a whole.  n_chars, where there is one, follows.  Rows without a hit are unchanged, null texts too.
+    Each block of items is matched with the whole text; a bit for each hit word goes on to the next block, and
+    the last one cuts.
     """
     columns = docs.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    for matcher in matchers(benchmark, width):
-        shared = docs.sparkSession.sparkContext.broadcast(matcher)
+    blocks = matchers(benchmark, width)
+    docs = docs.withColumn(_HITS, F.lit(None).cast("binary"))
+    for k, matcher in enumerate(blocks):
+        shared, last_block = docs.sparkSession.sparkContext.broadcast(matcher), k + 1 == len(blocks)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, last_block=last_block) -> Iterator[pa.RecordBatch]:
             for batch in batches:
+                earlier, batch = batch.column(_HITS), batch.select(columns)
                 for a, b, raw, at, starts, ends, rows, hit, _ in _matched(batch, shared.value):
                     part = batch.slice(a, b - a)
+                    upto = np.cumsum(np.bincount(rows, minlength=b - a))
+                    spans = list(zip(np.r_[0, upto[:-1]].tolist(), upto.tolist(), strict=True))
+                    for (x, y), bits in zip(spans, earlier.slice(a, b - a).to_pylist(), strict=True):
+                        if bits is not None:
+                            hit[x:y] |= np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=y - x).astype(bool)
+                    if not last_block:
+                        marks = [np.packbits(hit[x:y]).tobytes() if hit[x:y].any() else None for x, y in spans]
+                        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(marks, pa.binary())], [*columns, _HITS])
+                        continue
                     if not hit.any():
                         yield part
                         continue
@@ -289,5 +304,5 @@ def remove(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_covera
                     keep = pa.array(hits <= max_coverage * words)
                     yield pa.RecordBatch.from_arrays([arrays[c] for c in columns], columns).filter(keep)
 
-        docs = docs.mapInArrow(run, fields)
+        docs = docs.mapInArrow(run, fields if last_block else f"{fields}, {_HITS} binary")
     return docs
