@@ -195,6 +195,13 @@ def test_near_duplicates_by_bands(spark):
     assert {r.doc_id: r.keeper for r in P.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 1}
 
 
+def test_near_duplicates_along_a_chain(spark, monkeypatch):
+    spark.sparkContext.getCheckpointDir() or spark.sparkContext.setCheckpointDir("/tmp/tidemark-tests")
+    docs = spark.createDataFrame([(i,) for i in range(70)], "doc_id long")
+    monkeypatch.setattr(P, "minhash_bands", lambda d: d.selectExpr("doc_id", "0 band", "explode(array(doc_id div 2, 1000 + (doc_id + 1) div 2)) bucket"))
+    assert {r.keeper for r in P.near_duplicates(docs).collect()} == {0}
+
+
 def test_chunks_cover_their_texts(spark):
     text = "# Head\n\n" + "\n\n".join(f"Sentence {i} is here. Another one follows it." * 3 for i in range(30))
     got = P.chunk_text(text, 64, 10)

@@ -42,20 +42,24 @@ def minhash_bands(docs: DataFrame, width: int = 5, perms: int = PERMUTATIONS, ba
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, band int, bucket long")
 
 
-def near_duplicates(docs: DataFrame, rounds: int = 20) -> DataFrame:
+def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, keeper): the smallest doc_id that collisions of bands connect a document with.
 
     Components stand in for greedy first-wins, which depends on arrival order.  Each band bucket links its members
-    to its smallest one, never all pairs; labels are passed on until nothing changes.
+    to its smallest one, never all pairs; labels are passed on until nothing changes,
+    and each round also takes the label of the label, so that long chains take few rounds.
     """
     bands = minhash_bands(docs).persist()
     hub = bands.groupBy("band", "bucket").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1")
     links = bands.join(hub, ["band", "bucket"]).where("doc_id <> hub").select("doc_id", "hub").distinct()
     edges = links.unionByName(links.select(F.col("hub").alias("doc_id"), F.col("doc_id").alias("hub"))).checkpoint()
     labels = docs.select("doc_id", F.col("doc_id").alias("keeper"))
-    for _ in range(rounds):
+    while True:
         heard = edges.join(labels.withColumnRenamed("doc_id", "hub"), "hub").groupBy("doc_id").agg(F.min("keeper").alias("heard"))
-        new = labels.join(heard, "doc_id", "left").select("doc_id", F.least("keeper", F.coalesce("heard", "keeper")).alias("keeper"), (F.col("heard") < F.col("keeper")).alias("moved")).checkpoint()
+        near = labels.join(heard, "doc_id", "left").withColumn("near", F.least("keeper", "heard"))
+        far = labels.groupBy(F.col("doc_id").alias("near")).agg(F.min("keeper").alias("far"))
+        best = F.least("near", "far")
+        new = near.join(far, "near", "left").select("doc_id", best.alias("keeper"), (best < F.col("keeper")).alias("moved")).checkpoint()
         labels = new.select("doc_id", "keeper")
         if not new.where("moved").head(1):
             break
