@@ -107,6 +107,21 @@ def test_suffix_tree_states_sum_to_one_and_beat_the_base(spark):
         assert abs(sum(logs) - 1) < 1e-6
 
 
+def test_suffix_tree_lists_rare_runs_of_a_large_corpus(spark):
+    from tidemark.llm import suffix_tree_lm as S
+
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 20, 3000)), "", "", 0, 0.0, 0) for i in range(500)]  # 1.5M tokens
+    phrases = ["qa qb qc qd"] * 5
+    rows += [(1000 + i, t, "", "", 0, 0.0, 0) for i, t in enumerate(phrases)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    _, _, _, tree = S.fit(docs)
+    runs = S._runs(S.K.hash_spans(np.frombuffer(b"qa qb qc qd", dtype=np.uint8), np.arange(4) * 3, np.arange(4) * 3 + 2), np.zeros(4, dtype=int), 1)
+    assert np.isin(runs[1][0][1:], tree.collected[0]).all()
+    got = [r for r in S.score_documents(docs, depth=3).where("doc_id >= 1000").collect()]
+    assert len(got) == 5 and all(r.score > r.base_score + 5 for r in got)
+
+
 def test_virtual_slots(docs, none, spark):
     from tidemark.llm.sharding import SlotMap, assign, rebalance
 
