@@ -292,3 +292,23 @@ def test_merged_batches_equal_one_batch(spark):
     df = spark.createDataFrame(rows, "entity string, attribute string, value string, seq long").withColumn("valid_from", F.timestamp_seconds(F.col("seq") * 3600))
     both = D.merge_facts(df.where("seq < 30"), df.where("seq >= 30"))
     assert sorted(map(tuple, both.collect()), key=repr) == sorted(map(tuple, B.timeline(df.select("entity", "attribute", "value", "valid_from", "seq")).select(both.columns).collect()), key=repr)
+
+
+def test_bpe_learns_from_all_words(spark):
+    many = spark.range(200_000).selectExpr("substr(md5(cast(id AS string)), 1, 8) word", "3L n").union(spark.range(50_000).selectExpr("concat('zqzqzq', id) word", "2L n"))
+    assert (ord("z"), ord("q")) in P.Bpe.train(many, 260).merges
+    rng = random.Random(4)
+    counts = {"".join(rng.choice("aabcd") for _ in range(rng.randint(1, 9))): rng.randint(1, 5) for _ in range(200)}
+    seqs, want = [(list(w.encode()), n) for w, n in counts.items()], []
+    for new in range(256, 316):
+        pairs = {}
+        for s, n in seqs:
+            for p in zip(s, s[1:]):
+                pairs[p] = pairs.get(p, 0) + n
+        best = max(pairs, key=lambda p: (pairs[p], p), default=None)
+        if best is None or pairs[best] < 2:
+            break
+        want.append(best)
+        seqs = [(P.Bpe._joined(s, best, new), n) for s, n in seqs]
+    words = spark.createDataFrame(list(counts.items()), "word string, n long").repartition(3)
+    assert P.Bpe.train(words, 316).merges == want

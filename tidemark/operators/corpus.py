@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -138,6 +139,43 @@ def pair_counts(words: DataFrame) -> DataFrame:
     return words.select("n", chars.alias("c")).where(F.size("c") > 1).select("n", F.explode(pairs).alias("pair")).groupBy("pair").agg(F.sum("n").alias("n"))
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of a batch's words, -1 after each word, and the count of its word beside each."""
+    for batch in batches:
+        words = [(w or "").encode() for w in batch.column("word").to_pylist()]
+        sizes = np.array([len(w) + 1 for w in words], dtype=np.int64)
+        ids = np.frombuffer(b"".join(w + b"\0" for w in words), dtype=np.uint8).astype(np.int32)
+        ids[np.cumsum(sizes) - 1] = -1
+        n = np.repeat(batch.column("n").to_numpy().astype(np.int64), sizes)
+        yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], ["ids", "n"])
+
+
+def _merging(merges: list[tuple[int, int]], new: int, count: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Packed words after further merges, or their pair counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for packed, weights in zip(batch.column("ids").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                ids, n = np.frombuffer(packed, dtype=np.int32).copy(), np.frombuffer(weights, dtype=np.int64)
+                for k, (a, b) in enumerate(merges):
+                    at = np.flatnonzero((ids[:-1] == a) & (ids[1:] == b))
+                    if a == b and len(at):
+                        start = np.r_[True, np.diff(at) != 1]
+                        at = at[(at - at[start][np.cumsum(start) - 1]) % 2 == 0]
+                    ids[at] = new + k
+                    ids, n = np.delete(ids, at + 1), np.delete(n, at + 1)
+                if not count:
+                    yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], ["ids", "n"])
+                    continue
+                at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
+                code, back = np.unique(ids[at].astype(np.int64) << 32 | ids[at + 1], return_inverse=True)
+                total = np.zeros(len(code), dtype=np.int64)
+                np.add.at(total, back, n[at])
+                yield pa.RecordBatch.from_arrays([pa.array((code >> 32).astype(np.int32)), pa.array((code & 0xFFFFFFFF).astype(np.int32)), pa.array(total)], ["a", "b", "n"])
+
+    return run
+
+
 class Bpe:
     """Byte-level byte-pair encoding; merges in order of their ranks."""
 
@@ -155,38 +193,54 @@ class Bpe:
         return len(self.bytes) + len(self.specials)
 
     @classmethod
-    def train(cls, words: DataFrame, vocab_size: int, min_count: int = 2, max_words: int = 200_000, specials: tuple[str, ...] = ()) -> Bpe:
-        """Merges learnt from the `max_words` most frequent pre-tokens (a bound on what the driver holds)."""
-        from collections import Counter, defaultdict
-
-        rows = words.orderBy(F.desc("n"), "word").limit(max_words).collect()
-        seqs, counts = [list(r.word.encode()) for r in rows], [r.n for r in rows]
-        pairs, where = Counter(), defaultdict(set)
-        for i, s in enumerate(seqs):
-            for p in zip(s, s[1:], strict=False):
-                pairs[p] += counts[i]
-                where[p].add(i)
+    def train(cls, words: DataFrame, vocab_size: int, min_count: int = 2, specials: tuple[str, ...] = ()) -> Bpe:
+        """Merges learnt from all pre-tokens: these stay distributed, each round collects pair counts (at most the vocabulary squared).
+
+        A round takes pairs in order of their counts as long as no earlier merge can change what is next.
+        """
+        state = words.select("word", "n").mapInArrow(_packed, "ids binary, n binary").persist()
         merges: list[tuple[int, int]] = []
-        while 256 + len(merges) + len(specials) < vocab_size and pairs:
-            best = max(pairs, key=lambda p: (pairs[p], p))
-            if pairs[best] < min_count:
+        done, room = 0, vocab_size - 256 - len(specials)
+        while len(merges) < room:
+            if len(merges) - done >= 32:
+                old, state = state, state.mapInArrow(_merging(merges[done:], 256 + done, False), "ids binary, n binary").persist()
+                state.count()
+                old.unpersist()
+                done = len(merges)
+            rows = state.mapInArrow(_merging(merges[done:], 256 + done, True), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()
+            taken = cls._next(sorted(((r.n, (r.a, r.b)) for r in rows if r.n >= min_count), reverse=True))
+            if not taken:
                 break
-            new = 256 + len(merges)
-            merges.append(best)
-            for i in list(where[best]):
-                s = seqs[i]
-                for p in zip(s, s[1:], strict=False):
-                    pairs[p] -= counts[i]
-                    where[p].discard(i)
-                s = cls._joined(s, best, new)
-                seqs[i] = s
-                for p in zip(s, s[1:], strict=False):
-                    pairs[p] += counts[i]
-                    where[p].add(i)
-            pairs.pop(best, None)
-            pairs = +pairs
+            merges += taken[: room - len(merges)]
+        state.unpersist()
         return cls(merges, specials)
 
+    @staticmethod
+    def _next(pairs: list[tuple[int, tuple[int, int]]]) -> list[tuple[int, int]]:
+        """The first pairs that are merged one after the other whatever the merges before them make.
+
+        A pair made by merging (a, b) occurs no more often than some (x, a) or (b, x) did, so it can come next only
+        when such a pair is reached, or has the count that is reached.
+        """
+        taken: list[tuple[int, int]] = []
+        first, second = set(), set()
+        touched = lambda p: p[0] in second or p[1] in first
+        at = 0
+        while at < len(pairs):
+            tied = at
+            while tied < len(pairs) and pairs[tied][0] == pairs[at][0]:
+                tied += 1
+            for k in range(at, tied):
+                if taken and any(touched(p) for _, p in pairs[k:tied]):
+                    return taken
+                taken.append(pairs[k][1])
+                first.add(pairs[k][1][0])
+                second.add(pairs[k][1][1])
+                if pairs[k][1][0] == pairs[k][1][1]:
+                    return taken
+            at = tied
+        return taken
+
     @staticmethod
     def _joined(s: list[int], pair: tuple[int, int], new: int) -> list[int]:
         out, i = [], 0
