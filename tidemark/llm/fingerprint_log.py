@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import textkernel as K
+from tidemark.llm.filters import bloom, maybe
 from tidemark.llm.store import documents_of, staged
 
 WINDOW, GRAM, FAN = 20, 10, 3
-_SEGMENTS, _SEGMENT_BITS = 64, 21
 _NO_ID = (1 << 63) - 1
 _U = np.uint64
 
@@ -126,39 +126,11 @@ class FingerprintLog:
             self.spark.sql(f"DROP TABLE IF EXISTS {table}")
 
 
-def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Segment of each fingerprint and its two bits there."""
-    mask = _U((1 << _SEGMENT_BITS) - 1)
-    return (h >> _U(58)).astype(np.int64), (h & mask).astype(np.int64), ((h >> _U(_SEGMENT_BITS)) & mask).astype(np.int64)
-
-
-def bloom(repeated: DataFrame) -> np.ndarray:
-    """Bit table (segment, byte) of the repeated fingerprints; each segment is made where its fingerprints are."""
-
-    def segment(table: pa.Table) -> pa.Table:
-        h = table.column("h").to_numpy().view(_U)
-        s, a, b = _bits(h)
-        bits = np.zeros(1 << _SEGMENT_BITS, dtype=bool)
-        bits[a] = bits[b] = True
-        return pa.table({"s": pa.array(s[:1]), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()])})
-
-    out = np.zeros((_SEGMENTS, 1 << _SEGMENT_BITS >> 3), dtype=np.uint8)
-    for row in repeated.groupBy(F.shiftrightunsigned("h", 58).alias("s")).applyInArrow(segment, "s long, bits binary").toLocalIterator():
-        out[row.s] = np.frombuffer(row.bits, dtype=np.uint8)
-    return out
-
-
-def _maybe(table: np.ndarray, h: np.ndarray) -> np.ndarray:
-    s, a, b = _bits(h)
-    has = lambda x: (table[s, x >> 3] >> (x & 7).astype(np.uint8)) & 1
-    return (has(a) & has(b)).astype(bool)
-
-
 def _suspects(block: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes, and starts of the windows whose fingerprint may be repeated."""
     words = K.hash_spans(block, starts, ends)
     whole, at, grams = fingerprint_positions(words, rows)
-    return words, whole[_maybe(table, grams[at])]
+    return words, whole[maybe(table, grams[at])]
 
 
 class _Windows:

@@ -2,12 +2,17 @@
 
 Intermediate tables go to the folder in ``spark.checkpoint.dir``, which all executors share, so a
 lost executor costs no recomputation of what has been staged.  Where the setting is unset (tests on
-one machine) a temporary folder is set once for the session.
+one machine) a temporary folder is set once for the session; a cluster without the setting is refused.
+
+What a staged table was shuffled from is deleted as soon as it is written, and a staged table that has been
+used up can be `discard`ed, so the disk in use is that of one step.
 """
 
 from __future__ import annotations
 
 import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
 
@@ -19,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The session's shared folder, as a URI or path."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext.getCheckpointDir()
@@ -28,28 +35,62 @@ def shared_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder, removed when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(remove, spark, path)
+    atexit.register(_at_exit, spark, path)
     return path
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path that this process made."""
+    """Delete a path that this process made; after the session has ended, only one on this machine."""
     context = spark.sparkContext
     if context._jsc is None or context._jvm is None:
+        shutil.rmtree(path.removeprefix("file:"), ignore_errors=True)
         return
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _at_exit(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may have ended before this
+        remove(spark, path)
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, path: str, *by: str) -> None:
+    """Write the rows to a new path as Parquet, in folders by some columns; the shuffle files of this one run are removed when it has ended."""
+    spark = df.sparkSession
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
     try:
-        target = context._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # noqa: BLE001  the session may have ended before this
-        return
+        (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write the rows to the shared folder as Parquet and read them back: lineage is cut there."""
+def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write the rows to the shared folder as Parquet (in folders by a column) and read them back: lineage is cut there."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written(df, path, *filter(None, [by]))
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for table in tables:
+        if getattr(table, "_staged_at", None):
+            remove(table.sparkSession, table._staged_at)
+
+
+def unused(name: str, *tables: DataFrame) -> str:
+    """A column name like `name` that none of the tables has, in either case."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def crc_of(doc_id: Column) -> Column:
