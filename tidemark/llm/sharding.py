@@ -3,7 +3,8 @@
 Records are hashed into a fixed number of slots (`SLOTS`, thousands; it never changes).  Which shard a
 slot belongs to is stored apart from the records, in a table of versions that is only added to: version 1
 deals the slots round, each later version is an edit that moves slots from full shards to others.
-A record's shard is looked up through its slot, so rebalancing rewrites a table of `SLOTS` rows.
+A record's shard is looked up through its slot, so rebalancing rewrites a table of `SLOTS` rows, and a map
+that is given to a later run goes on from its last version.
 
 The slot totals have `SLOTS` rows whatever the input's size; they are all that reaches the driver, and the
 map is the only thing that is broadcast.
@@ -15,28 +16,38 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.store import documents_of, new_path, staged
+from tidemark.llm.store import discard, documents_of, exists, new_path, staged
 
 SLOTS = 8192
 _MAP = "version int, vslot int, shard int"
 
 
 class SlotMap:
-    """The versioned slot-to-shard map, one row for each slot that a version places or moves."""
+    """The versioned slot-to-shard map under a path, one row for each slot that a version places or moves."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, slots: int = SLOTS) -> None:
         self.spark, self.slots, self.path = spark, slots, path or new_path(spark, "slot-map")
 
+    def version(self) -> int:
+        """The last version that was published whole; 0 where there is none."""
+        last = 0
+        while exists(self.spark, f"{self.path}/v={last + 1:06d}/_SUCCESS"):
+            last += 1
+        return last
+
     def publish(self, version: int, placed: dict[int, int]) -> None:
-        """Write one version: the slots that it places anew."""
+        """Write one version: the slots that it places anew.  What an interrupted run left of it is replaced."""
+        if version != self.version() + 1:
+            raise ValueError(f"version {version} does not follow version {self.version()}")
         rows = [(version, int(k), int(v)) for k, v in sorted(placed.items())]
-        self.spark.createDataFrame(rows, _MAP).coalesce(1).write.parquet(f"{self.path}/v={version:06d}")
-
-    def load(self, upto: int) -> np.ndarray:
-        """Shard of each slot as of a version."""
-        shard = np.full(self.slots, -1)
-        for version in range(1, upto + 1):
-            for row in self.spark.read.schema(_MAP).parquet(f"{self.path}/v={version:06d}").collect():
+        self.spark.createDataFrame(rows, _MAP).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/v={version:06d}")
+
+    def load(self, upto: int | None = None) -> np.ndarray:
+        """Shard of each slot as of a version (the last one), -1 for slots that none has placed."""
+        shard, upto = np.full(self.slots, -1), self.version() if upto is None else upto
+        if upto:
+            rows = self.spark.read.schema(_MAP).parquet(*[f"{self.path}/v={v:06d}" for v in range(1, upto + 1)])
+            for row in rows.groupBy("vslot").agg(F.max_by("shard", "version").alias("shard")).toLocalIterator():
                 shard[row.vslot] = row.shard
         return shard
 
@@ -82,25 +93,47 @@ def rebalance(shard: np.ndarray, load: np.ndarray, shards: int) -> dict[int, int
     return {int(k): int(new[k]) for k in np.flatnonzero(new != shard)}
 
 
+def _slotted(docs: DataFrame, slots: int) -> DataFrame:
+    """doc_id, size, text_crc32 and vslot of every row, staged.
+
+    A row's slot is a hash of its doc_id and text; a row that stands n times is hashed with n salts beside them, so
+    that repeats don't share a slot.
+    """
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    rows = documents_of(docs).select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"))
+    rows = staged(rows.withColumns({"key": F.xxhash64("doc_id", "text_crc32"), "nth": F.monotonically_increasing_id()}), "rows")
+    again = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    salt = F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64("nth"), F.col("n"))).otherwise(0)
+    slot = F.pmod(F.xxhash64("key", salt), F.lit(slots)).cast("int")
+    out = staged(rows.join(again, "key", "left").select("doc_id", "size", "text_crc32", slot.alias("vslot")), "slots")
+    discard(rows)
+    return out
+
+
 def assign(docs: DataFrame, shards: int = 8, slots: int = SLOTS, slot_map: SlotMap | None = None) -> DataFrame:
     """Put every row into a shard so that the shards' bytes are near equal (law `bytes`).
 
     Returns doc_id, size (UTF-8 bytes of the text, none for null, plus 1), text_crc32, law, shard, slot (the
     row's place in its shard, gapless from 0), grown_shard (null: the law is not `key`), vslot and map_version.
-    Equal rows share a virtual slot.  A null doc_id is hashed like any value, an empty table gives no rows.
+    A `slot_map` that has versions is continued: slots move only as far as the bytes, or another number of
+    shards, ask for it, and nothing is published where none moves.  A row larger than a shard's share makes its
+    shard the largest.  A null doc_id is hashed like any value, an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = documents_of(docs).select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"))
-    rows = staged(rows.withColumn("vslot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots)).cast("int")), "slots")
+    spark, rows = docs.sparkSession, _slotted(docs, slots)
     totals = rows.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).toPandas()
     load, count = np.zeros(slots), np.zeros(slots, dtype=np.int64)
     load[totals["vslot"]], count[totals["vslot"]] = totals["bytes"], totals["rows"]
 
     slot_map = slot_map or SlotMap(spark, slots=slots)
-    slot_map.publish(1, {k: k % shards for k in range(slots)})
-    slot_map.publish(2, rebalance(slot_map.load(1), load, shards))
-    shard = slot_map.load(2)
+    version = slot_map.version()
+    if not version:
+        version = 1
+        slot_map.publish(1, {k: k % shards for k in range(slots)})
+    moves = rebalance(slot_map.load(version), load, shards)
+    if moves:
+        version += 1
+        slot_map.publish(version, moves)
+    shard = slot_map.load(version)
     before = np.zeros(slots, dtype=np.int64)
     for s in range(shards):
         own = np.flatnonzero(shard == s)
@@ -109,5 +142,5 @@ def assign(docs: DataFrame, shards: int = 8, slots: int = SLOTS, slot_map: SlotM
     within = Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")
     return rows.withColumn("n", F.row_number().over(within)).join(F.broadcast(places), "vslot").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("n") - 1).alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"), "vslot", F.lit(2).alias("map_version"),
+        F.lit(None).cast("int").alias("grown_shard"), "vslot", F.lit(version).alias("map_version"),
     )
