@@ -7,8 +7,10 @@ document: an `ident` (user or client names) next to a secret, an `opaque` token
 running maxima of ends before and minima of starts after tell how near the nearest part of each role is,
 so no pairs are made and a document with many candidates costs no more than sorting them.
 
-Java's regular expressions give no offsets; the lengths of matches and of what `split` leaves between them
-add up to them, in code points.
+Java's regular expressions give no offsets; the lengths of matches and of what `split` leaves between them,
+summed in order, are the offsets in code points.  All work on a text's matches is sorting and running sums, so
+it grows in proportion to them, however many one text has.  Texts are scanned once, the lengths are staged with
+a row number of their own, and only rows that have any go on.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.store import documents_of
+from tidemark.llm.store import documents_of, staged, unused
 
 # Patterns and shortest lengths of the base kinds.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -31,53 +33,49 @@ ENDPOINT = r"""(?i:https?|s?ftp|ssh|amqps?|jdbc:[a-z]+|mysql|postgres(?:ql)?|mon
 KINDS = ("assign", "access", "hex", "ident", "opaque", "endpoint")
 BASE = KINDS[:3]
 _SECRET, _NAME = ("assign", "hex", "opaque"), ("access", "ident")
-_SPAN = "array<struct<start:int,rank:int,end:int>>"
+_MATCHES = "array<struct<rank:int,gap:int,size:int,good:boolean>>"
+_BLOCK = 1024
 
 
-def _spans(text: Column, pattern: str, kind: str, least: int = 0) -> Column:
-    """Spans of the leftmost non-overlapping matches; of `assign`, those whose value is long enough."""
+def _matches(text: Column, pattern: str, kind: str, least: int = 0) -> Column:
+    """Lengths of the leftmost non-overlapping matches and of what stands before each; of `assign`, is its value long enough?"""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if least else whole
     parts = F.arrays_zip(whole.alias("m"), value.alias("v"), F.split(text, pattern, -1).alias("gap"))
-    rank = F.lit(KINDS.index(kind))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("found"))
-
-    def step(state: Column, x: Column) -> Column:
-        begin = state["at"] + F.length(x["gap"])
-        end = begin + F.coalesce(F.length(x["m"]), F.lit(0))
-        good = x["m"].isNotNull() & (F.length(x["v"]) >= least)
-        one = F.array(F.struct(begin.alias("start"), rank.alias("rank"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(good, F.concat(state["found"], one)).otherwise(state["found"]).alias("found"))
-
-    found = F.aggregate(parts, start, step, lambda state: state["found"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_SPAN))
-
-
-def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, text, text_key and the sorted candidate spans of every row; parts that can't be linked aren't looked for."""
-    text, none = F.col("text"), F.array().cast(_SPAN)
-    rows = documents_of(docs).withColumn("text", F.coalesce("text", F.lit("")))
-    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    rows = rows.withColumns(
+    one = lambda x: F.struct(F.lit(KINDS.index(kind)).alias("rank"), F.length(x["gap"]).alias("gap"), F.length(x["m"]).alias("size"), (F.length(x["v"]) >= least).alias("good"))
+    found = F.transform(F.filter(parts, lambda x: x["m"].isNotNull()), one)
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_MATCHES))
+
+
+def candidates(docs: DataFrame, keep: list[str], row: str = "row", found: str = "found") -> DataFrame:
+    """The columns `keep`, a number for each row and its matches, staged; parts that can't be linked aren't looked for."""
+    none, text = F.array().cast(_MATCHES), F.coalesce(docs["text"].cast("string"), F.lit(""))
+    names = {k: unused(f"{k}_", docs) for k in KINDS}
+    name = lambda k: F.col(names[k])
+    some = lambda k: F.exists(name(k), lambda x: x["good"])
+    rows = docs.withColumns(
         {
-            "assign": _spans(text, ASSIGN, "assign", ASSIGN_LEAST),
-            "access": F.when(F.contains(text, F.lit("AKIA")), _spans(text, ACCESS, "access")).otherwise(none),
-            "hex": _spans(text, HEX, "hex"),
-            "ident": _spans(text, IDENT, "ident"),
+            names["assign"]: _matches(text, ASSIGN, "assign", ASSIGN_LEAST),
+            names["access"]: F.when(F.contains(text, F.lit("AKIA")), _matches(text, ACCESS, "access")).otherwise(none),
+            names["hex"]: _matches(text, HEX, "hex"),
+            names["ident"]: _matches(text, IDENT, "ident"),
         }
     )
-    named = (F.size("access") > 0) | (F.size("ident") > 0)
-    rows = rows.withColumn("opaque", F.when(named, _spans(text, OPAQUE, "opaque")).otherwise(none))
-    secret = (F.size("assign") > 0) | (F.size("hex") > 0) | (F.size("opaque") > 0)
-    rows = rows.withColumn("endpoint", F.when(named & secret, _spans(text, ENDPOINT, "endpoint")).otherwise(none))
-    return rows.select("doc_id", "text", "text_key", F.array_sort(F.concat(*KINDS)).alias("spans"))
+    named, text = some("access") | some("ident"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = rows.withColumn(names["opaque"], F.when(named, _matches(text, OPAQUE, "opaque")).otherwise(none))
+    secret = some("assign") | some("hex") | some("opaque")
+    rows = rows.withColumn(names["endpoint"], F.when(named & secret, _matches(text, ENDPOINT, "endpoint")).otherwise(none))
+    every = F.concat(*map(name, KINDS))
+    return staged(rows.select(F.monotonically_increasing_id().alias(row), *[rows[c] for c in keep], F.when(F.size(every) > 0, every).alias(found)), "candidates")
 
 
 def link(found: DataFrame, scope: int = 200) -> DataFrame:
-    """Candidates (doc_id, text_key, spans) to (doc_id, text_key, m, spans): the base ones and the weak ones that link; m equal rows are one."""
-    once = found.groupBy("doc_id", "text_key").agg(F.count("*").alias("m"), F.first("spans").alias("spans"))
-    each = once.select("doc_id", "text_key", "m", F.explode_outer("spans").alias("s")).select("doc_id", "text_key", "m", "s.*")
-    order = Window.partitionBy("doc_id", "text_key").orderBy("start", "rank", "end")
+    """(row, found) to (row, spans): the base spans and the weak ones that link, in order, each with `upto`, the furthest end before it."""
+    each = found.select("row", F.posexplode("found").alias("nth", "m")).select("row", "nth", "m.*")
+    of_kind = Window.partitionBy("row", "rank").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    each = each.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(of_kind).cast("int"))
+    each = each.where("good").select("row", "rank", (F.col("end") - F.col("size")).alias("start"), "end")
+    order = Window.partitionBy("row").orderBy("start", "rank", "end")
     before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
 
     def gap(kinds: tuple[str, ...]) -> Column:
@@ -91,9 +89,8 @@ def link(found: DataFrame, scope: int = 200) -> DataFrame:
     near = lambda c: F.coalesce(F.col(c) <= scope, F.lit(False))
     kind = lambda k: F.col("rank") == KINDS.index(k)
     linked = (kind("ident") & near("to_secret")) | (kind("opaque") & near("to_name")) | (kind("endpoint") & near("to_secret") & near("to_name"))
-    reported = (F.col("rank") < len(BASE)) | (free & linked)
-    span = F.when(reported, F.struct("start", "rank", "end"))
-    return each.groupBy("doc_id", "text_key").agg(F.first("m").alias("m"), F.array_sort(F.collect_list(span)).alias("spans"))
+    reported = each.where((F.col("rank") < len(BASE)) | (free & linked)).withColumn("upto", F.coalesce(F.max("end").over(before), F.lit(0)))
+    return reported.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", "upto"))).alias("spans"))
 
 
 def _shown(spans: Column) -> Column:
@@ -108,37 +105,43 @@ def scan(docs: DataFrame, scope: int = 200) -> DataFrame:
     a text without findings has counts of 0 and empty spans; repeated rows are repeated; a null doc_id stays;
     other columns are ignored; an empty table gives no rows.
     """
-    got = link(candidates(docs).select("doc_id", "text_key", "spans"), scope)
+    rows = candidates(documents_of(docs), ["doc_id"])
+    got = rows.select("row", "doc_id").join(link(rows.where("found is not null"), scope), "row", "left")
+    got = got.withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:int,rank:int,end:int,upto:int>>")))
     count = lambda k: F.size(F.filter("spans", lambda s: s["rank"] == KINDS.index(k))).cast("long")
     base = F.filter("spans", lambda s: s["rank"] < len(BASE))
     return got.select(
         "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
         F.sha2(_shown(base), 256).alias("base_sha256"), _shown(F.col("spans")).alias("spans"),
-        (F.size("spans") - F.size(base)).cast("long").alias("n_linked"), F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))).alias("copy"),
-    ).drop("copy")
+        (F.size("spans") - F.size(base)).cast("long").alias("n_linked"),
+    )
 
 
 def redact(docs: DataFrame, scope: int = 200, mark: str = "[SECRET]") -> DataFrame:
     """The input rows, each finding in `text` replaced by `mark` (overlapping findings by one); n_chars, where there is one, follows.
 
-    Texts without candidates pass unchanged and unshuffled; only the others are joined with their findings.
+    Rows are staged once with what was found in them; those without findings pass unchanged and unshuffled.  A
+    null text stays null, rows may repeat or share a doc_id or have none, and other columns stay as they are.
     """
-    key = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    found = candidates(docs)
-    some = link(found.where(F.size("spans") > 0).select("doc_id", "text_key", "spans"), scope).where(F.size("spans") > 0)
-    ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))
-    some = some.select(ident.alias("_id"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans"))
-    suspect = F.coalesce(docs["text"].rlike(f"{ASSIGN}|{ACCESS}|{HEX}|{IDENT}"), F.lit(False))
-    joined = docs.where(suspect).withColumns({"_id": ident, "_key": key}).join(some, ["_id", "_key"], "left")
-    text, start = F.col("text"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(state: Column, s: Column) -> Column:
-        clear = F.concat(state["out"], F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit(mark))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(s["start"] >= state["at"], clear).otherwise(state["out"]).alias("out"))
-
-    rest = lambda state: F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text)))
-    clean = F.when(F.size("_spans") > 0, F.aggregate("_spans", start, step, rest)).otherwise(text)
-    joined = joined.withColumn("text", clean)
+    row, found = unused("row", docs), unused("found", docs)
+    rows = candidates(docs, docs.columns, row, found)
+    some = staged(link(rows.where(F.col(found).isNotNull()).select(F.col(row).alias("row"), F.col(found).alias("found")), scope), "spans")
+    spans, blocks = unused("spans", docs), unused("blocks", docs)
+    hit = rows.where(F.col(found).isNotNull()).join(some.select(F.col("row").alias(row), F.col("spans").alias(spans)), row)
+    hit = hit.withColumn(blocks, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0)))
+
+    def cut(a: Column, b: Column) -> Column:
+        """Code points a to b, taken from the blocks that hold them."""
+        first = F.floor(a / _BLOCK).cast("int")
+        held = F.array_join(F.slice(F.col(blocks), first + 1, F.floor(b / _BLOCK).cast("int") - first + 1), "")
+        return F.substring(held, a - first * _BLOCK + 1, b - a)
+
+    shown = F.filter(F.col(spans), lambda s: s["start"] >= s["upto"])
+    pieces = F.transform(shown, lambda s: F.concat(cut(s["upto"], s["start"]), F.lit(mark)))
+    last = F.array_max(F.transform(F.col(spans), lambda s: s["end"]))
+    hit = hit.withColumn("text", F.concat(F.array_join(pieces, ""), cut(last, F.length("text"))))
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return docs.where(~suspect).unionByName(joined.select(docs.columns))
+        hit = hit.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    clean = rows.where(F.col(found).isNull())
+    left = rows.where(F.col(found).isNotNull()).join(some.select(F.col("row").alias(row)), row, "left_anti")
+    return clean.select(docs.columns).unionByName(left.select(docs.columns)).unionByName(hit.select(docs.columns))
