@@ -7,7 +7,9 @@ some item can hold a match that long, so the automaton is walked on those runs a
 vectorised look-ups of word and pair hashes, and the walk compares the words themselves.
 
 Test items are few beside a corpus, but their number isn't taken on trust: they are read in blocks of at
-most `BLOCK_WORDS` words, each with an automaton of at most twice as many states that is broadcast.
+most `BLOCK_WORDS` words (or one item), each with an automaton of at most twice as many states that is broadcast.
+The driver holds one block while the texts are matched with it, and lets it go when the next is due; what a block
+has hit is staged and brought together at the end.
 """
 
 from __future__ import annotations
@@ -21,11 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textkernel as K
-from tidemark.llm.store import documents_of
+from tidemark.llm.store import discard, documents_of, staged, unused
 
 WIDTH = 10
 BLOCK_WORDS = 100_000
-_HITS = "_hit_words"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -165,25 +166,23 @@ class Matcher:
         return hit, found
 
 
-def matchers(benchmark: DataFrame, width: int = WIDTH) -> list[Matcher]:
-    """A matcher for each block of items; a null item_id or text is left out."""
-    out, block, size = [], [], 0
+def matchers(benchmark: DataFrame, width: int = WIDTH) -> Iterator[Matcher]:
+    """A matcher for each block of items, one after the other; null texts are left out."""
 
-    def close() -> None:
-        nonlocal block, size
+    def made(block: list[tuple[int | None, list[bytes]]]) -> Matcher:
         automaton = Automaton.of(block, width)
         ids = [[automaton.vocabulary[w] for w in words] for _, words in block]
-        out.append(Matcher(automaton, {p for x in ids for p in zip(x[:-1], x[1:], strict=True)}))
-        block, size = [], 0
+        return Matcher(automaton, {p for x in ids for p in zip(x[:-1], x[1:], strict=True)})
 
-    for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna().toLocalIterator():
+    block, size = [], 0
+    for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").toLocalIterator():
         words = words_of(row.text)
         if block and size + len(words) > BLOCK_WORDS:
-            close()
+            yield made(block)
+            block, size = [], 0
         block.append((row.item_id, words))
         size += len(words)
-    close()
-    return out
+    yield made(block)
 
 
 def _matched(batch: pa.RecordBatch, matcher: Matcher) -> Iterator[tuple]:
@@ -209,12 +208,16 @@ def _runs(hit: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row.
 
-    A null text has no words; null items and items without words match nothing; repeated rows are repeated;
+    A null text has no words; items of null texts and without words match nothing; items without an item_id hit
+    words like others, count as one item together and have no name in the digest; repeated rows are repeated;
     other columns are ignored; with an empty benchmark nothing is hit; an empty table gives no rows.
     """
-    blocks = matchers(benchmark, width)
     rows, parts = documents_of(docs).withColumn("text_key", F.xxhash64("text")), []
-    for matcher in blocks:
+    shared = None
+    for matcher in matchers(benchmark, width):
+        if shared is not None:
+            parts[-1] = staged(parts[-1], "hits")
+            shared.unpersist()
         shared = docs.sparkSession.sparkContext.broadcast(matcher)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -227,7 +230,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) ->
                     spans: list[list] = [[] for _ in range(b - a)]
                     for r, x, y in zip(of.tolist(), first.tolist(), last.tolist(), strict=True):
                         spans[r].append({"a": x - int(base[r]), "b": y - int(base[r])})
-                    items = [sorted(found.get(r, ())) for r in range(b - a)]
+                    items = [sorted(found.get(r, ()), key=lambda i: (i is None, i or 0)) for r in range(b - a)]
                     part = batch.slice(a, b - a)
                     span_type = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
                     yield pa.RecordBatch.from_arrays(
@@ -256,19 +259,21 @@ def remove(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_covera
 
     A span goes from its first to its last word; rows of which more than `max_coverage` of the words are hit go
     as a whole.  n_chars, where there is one, follows.  Rows without a hit are unchanged, null texts too.
-    Each block of items is matched with the whole text; a bit for each hit word goes on to the next block, and
-    the last one cuts.
+    Each block of items is matched with the whole text; a bit for each hit word goes on, staged, to the next block,
+    and the last one cuts.
     """
     columns = docs.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    blocks = matchers(benchmark, width)
-    docs = docs.withColumn(_HITS, F.lit(None).cast("binary"))
-    for k, matcher in enumerate(blocks):
-        shared, last_block = docs.sparkSession.sparkContext.broadcast(matcher), k + 1 == len(blocks)
+    spark, hits_ = docs.sparkSession, unused("hits", docs)
+    docs, blocks = docs.withColumn(hits_, F.lit(None).cast("binary")), matchers(benchmark, width)
+    matcher, staged_before = next(blocks), None
+    while matcher is not None:
+        shared, following = spark.sparkContext.broadcast(matcher), next(blocks, None)
+        last_block = following is None
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, last_block=last_block) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                earlier, batch = batch.column(_HITS), batch.select(columns)
+                earlier, batch = batch.column(len(columns)), batch.select(columns)
                 for a, b, raw, at, starts, ends, rows, hit, _ in _matched(batch, shared.value):
                     part = batch.slice(a, b - a)
                     upto = np.cumsum(np.bincount(rows, minlength=b - a))
@@ -278,7 +283,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_covera
                             hit[x:y] |= np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=y - x).astype(bool)
                     if not last_block:
                         marks = [np.packbits(hit[x:y]).tobytes() if hit[x:y].any() else None for x, y in spans]
-                        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(marks, pa.binary())], [*columns, _HITS])
+                        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(marks, pa.binary())], [*columns, hits_])
                         continue
                     if not hit.any():
                         yield part
@@ -304,5 +309,12 @@ def remove(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_covera
                     keep = pa.array(hits <= max_coverage * words)
                     yield pa.RecordBatch.from_arrays([arrays[c] for c in columns], columns).filter(keep)
 
-        docs = docs.mapInArrow(run, fields if last_block else f"{fields}, {_HITS} binary")
+        docs = docs.mapInArrow(run, fields if last_block else f"{fields}, `{hits_}` binary")
+        if not last_block:
+            docs = staged(docs, "hits")
+            shared.unpersist()
+            if staged_before is not None:
+                discard(staged_before)
+            staged_before = docs
+        matcher = following
     return docs
