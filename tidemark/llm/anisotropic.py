@@ -126,7 +126,9 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20, rerank: int = 10
     part, nor do rows without vec_id; rows with equal vec_id and vector are one; a query's own vec_id is no
     candidate.  Ties go to the smaller vec_id.  Other columns are ignored; an empty table gives no rows.
     """
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("v"))
+    single = embeddings.schema["embedding"].dataType.simpleString() == "array<float>"
+    kind = "array<float>" if single else "array<double>"  # the measure is that of the original vectors
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("v"))
     lengths = rows.where(_usable(rows, None)).groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     dim = lengths["n"] if lengths else 1
     rows = rows.where(_usable(rows, dim)).withColumn("vkey", F.xxhash64("v"))
@@ -149,7 +151,7 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20, rerank: int = 10
                 codes = books.encode(_matrix(batch.column("v"), dim))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("vkey", "v", "ids")), pa.array([c.tobytes() for c in codes], pa.binary())], ["vkey", "v", "ids", "code"])
 
-    index = staged(vectors.mapInArrow(encoded, "vkey long, v array<float>, ids array<long>, code binary"), "index")
+    index = staged(vectors.mapInArrow(encoded, f"vkey long, v {kind}, ids array<long>, code binary"), "index")
     block = F.pmod(F.xxhash64("vkey", F.lit(1)), F.lit(n_blocks)).cast("int")
     query_block = F.pmod(F.xxhash64("vkey", F.lit(2)), F.lit(n_query_blocks)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
