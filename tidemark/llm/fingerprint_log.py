@@ -1,24 +1,25 @@
 """Substring dedup with a log-structured fingerprint index.
 
-The index is a list of immutable runs: tables of fingerprints, bucketed and sorted by fingerprint.  A batch of
-documents is appended as one more run; merging it with the runs before (sort-merge joins of tables bucketed
-alike, so history is not shuffled again) tells which fingerprints are repeated; when there are `FAN` runs they
-are merged into one.
-
-A fingerprint is the hash of the ten-word gram that is smallest in a 20-word window (the leftmost, if several
-are).  Equal windows have equal fingerprints at the same place in them, so a window that repeats is among
-those whose fingerprint does, while only about one position in six is a fingerprint.  What may repeat is then
-verified: windows whose fingerprint is repeated are compared by 96-bit hashes of all 20 words, and every one
-but the earliest is removed.
-
-Repeated fingerprints reach the workers as a Bloom filter of a fixed 16 MB.  Its false positives cost a
-comparison each; they change no result.
+The index is a list of immutable runs on shared storage.  A run holds the fingerprints of the windows (20
+words) that its batch of documents had and no earlier run has, sorted and packed by ranges of the fingerprint:
+one row for each range, in a table bucketed by it.  Appending a batch
+
+1. packs its fingerprints by range and merge-joins each range with the same range of every run (tables bucketed
+   alike, so history is read but not shuffled): known windows, and windows that the batch has twice, are repeated;
+2. looks at the batch's texts once more for the windows that may be repeated (a Bloom filter of bounded size),
+   verifies them exactly and gives, for each document, the starts of windows that also start earlier;
+3. writes the new fingerprints as a run, and compacts runs of like size, so there are few of them.
+
+History's texts aren't read again.  A fingerprint is 64 bits of one hash of the 20 words and 31 bits of
+another, from independent hashes of the words themselves; windows are the same where all 95 bits are.
+
+The log's folder has a manifest of live runs, published after each append, so a later session goes on from it
+and what an interrupted one left behind is ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,28 +30,13 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import textkernel as K
 from tidemark.llm.filters import bloom, maybe
-from tidemark.llm.store import documents_of, staged
+from tidemark.llm.store import discard, documents_of, exists, new_path, remove, staged
 
-WINDOW, GRAM, FAN = 20, 10, 3
+WINDOW = 20
 _NO_ID = (1 << 63) - 1
+_FIRST = -(1 << 63)
 _U = np.uint64
-
-
-def fingerprint_positions(words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of the whole windows, and for each the position of its fingerprint; hashes of all grams."""
-    n = len(words) - WINDOW + 1
-    if n <= 0:
-        empty = np.zeros(0, dtype=np.int64)
-        return empty, empty, np.zeros(0, dtype=_U)
-    grams = K.gram_hashes(words, GRAM)
-    value, at, width, need = grams, np.arange(len(grams)), 1, WINDOW - GRAM + 1
-    while width < need:
-        step = min(width, need - width)
-        later = value[step:] < value[:-step]
-        value, at = np.where(later, value[step:], value[:-step]), np.where(later, at[step:], at[:-step])
-        width += step
-    whole = np.flatnonzero(rows[:n] == rows[WINDOW - 1 :])
-    return whole, at[whole], grams
+_MANIFEST = "run int, size long, buckets int"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -62,167 +48,294 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield batch.slice(a, b - a), block, starts, ends, rows
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(h, c): the fingerprints of a batch and at how many positions each stands."""
+def windows_of(block: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First words of the windows within one text; 64 bits of each, and 31 bits more (above an empty lowest bit)."""
+    n = len(starts) - WINDOW + 1
+    whole = np.flatnonzero(rows[:n] == rows[WINDOW - 1 :]) if n > 0 else np.zeros(0, dtype=np.int64)
+    if not len(whole):
+        return whole, np.zeros(0, dtype=_U), np.zeros(0, dtype=np.uint32)
+    w, check = (K.gram_hashes(K.hash_spans(block, starts, ends, family), WINDOW)[whole] for family in (0, 1))
+    return whole, w, (check >> _U(33)).astype(np.uint32) << np.uint32(1)
+
+
+def pack(w: np.ndarray, check: np.ndarray) -> bytes:
+    """Sorted fingerprints, byte by byte so that what they share is small."""
+    return zstd.compress(w.view(np.uint8).reshape(-1, 8).T.tobytes() + check.tobytes(), 1)
+
+
+def unpack(data: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    raw = zstd.decompress(data) if data else b""
+    n = len(raw) // 12
+    planes = np.frombuffer(raw, dtype=np.uint8, count=8 * n).reshape(8, n)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(_U), np.frombuffer(raw, dtype=np.uint32, offset=8 * n)
+
+
+def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All fingerprints in order; the first place of each distinct one."""
+    w, check = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(w)
+    w, check = w[order], check[order]
+    plain, same = check >> np.uint32(1), w[1:] == w[:-1]
+    if (same & (plain[1:] != plain[:-1])).any():  # equal in 64 bits only
+        order = np.lexsort((plain, w))
+        w, check = w[order], check[order]
+        plain, same = check >> np.uint32(1), w[1:] == w[:-1]
+    first = np.flatnonzero(np.r_[True, ~(same & (plain[1:] == plain[:-1]))]) if len(w) else np.zeros(0, dtype=np.int64)
+    return w, check, first
+
+
+def _distinct(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Each fingerprint once; its lowest bit says that it stands in more than one place."""
+    w, check, first = _joined(parts)
+    if not len(w):
+        return w, check
+    more = (np.diff(np.r_[first, len(w)]) > 1) | (np.bitwise_or.reduceat(check, first) & np.uint32(1)).astype(bool)
+    return w[first], check[first] & ~np.uint32(1) | more
+
+
+def fingerprints(docs: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, data): the packed fingerprints of a batch, several rows for each range; the lowest bit says that one stands twice in its row."""
+    shift, limit = _U(64 - buckets.bit_length() + 1), 1 << 21
+
+    def give(parts: list) -> Iterator[pa.RecordBatch]:
+        w, check = _distinct(parts)
+        cut = np.searchsorted(w >> shift, np.arange(buckets + 1, dtype=_U))
+        at = np.flatnonzero(np.diff(cut))
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([pack(w[cut[i] : cut[i + 1]], check[cut[i] : cut[i + 1]]) for i in at], pa.binary())], ["bucket", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = K.Tally()
-        give = lambda x: pa.RecordBatch.from_arrays([pa.array(x[0].view(np.int64)), pa.array(x[1])], ["h", "c"])
+        parts, size = [], 0
         for _, block, starts, ends, rows in _blocks(batches):
-            _, at, grams = fingerprint_positions(K.hash_spans(block, starts, ends), rows)
-            tally.add(grams[np.unique(at)])
-            yield from map(give, tally.drain())
-        yield from map(give, tally.drain(whole=True))
+            parts.append(windows_of(block, starts, ends, rows)[1:])
+            size += len(parts[-1][0])
+            if size >= limit:
+                yield from give(parts)
+                parts, size = [], 0
+        if size:
+            yield from give(parts)
 
-    return docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(run, "bucket int, data binary")
 
 
 class FingerprintLog:
-    """Runs of fingerprints; `append` a batch, ask for what is `repeated`, `drop` the tables."""
-
-    def __init__(self, spark: SparkSession, name: str | None = None) -> None:
-        self.spark, self.name = spark, name or f"fingerprints_{uuid.uuid4().hex}"
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.runs: list[str] = []
-        self.made = 0
-        self.repeats: list[DataFrame] = []
-
-    def _write(self, df: DataFrame) -> str:
-        self.made += 1
-        table = f"{self.name}_{self.made}"
-        df.write.format("parquet").bucketBy(self.buckets, "h").sortBy("h").saveAsTable(table)
-        return table
-
-    def append(self, docs: DataFrame) -> None:
-        """Add a batch as a run, and note which of its fingerprints it or an earlier run has again."""
-        table = self._write(fingerprints(docs))
-        run = self.spark.table(table)
-        found = run.where("c > 1").select("h")
-        for earlier in self.runs:
-            found = found.union(run.where("c = 1").join(self.spark.table(earlier), "h", "left_semi").select("h"))
-        self.repeats.append(staged(found, "repeated"))
-        self.runs.append(table)
-        if len(self.runs) >= FAN:
-            self.compact()
-
-    def compact(self) -> None:
-        """Merge all runs into one."""
-        merged = self.spark.table(self.runs[0])
-        for table in self.runs[1:]:
-            other = self.spark.table(table).withColumnRenamed("c", "d")
-            merged = merged.join(other, "h", "full").select("h", (F.coalesce("c", F.lit(0)) + F.coalesce("d", F.lit(0))).alias("c"))
-        old, self.runs = self.runs, [self._write(merged)]
-        for table in old:
-            self.spark.sql(f"DROP TABLE {table}")
-
-    def repeated(self) -> DataFrame:
-        out = self.repeats[0]
-        for more in self.repeats[1:]:
-            out = out.union(more)
-        return out
+    """Runs of fingerprints under a path that all executors share; `append` a batch, `drop` the log."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None) -> None:
+        self.spark, self.path = spark, path or new_path(spark, "fingerprint-log")
+        self.version, self.runs = 0, []
+        while exists(spark, f"{self.path}/manifest/v={self.version + 1:06d}/_SUCCESS"):
+            self.version += 1
+        if self.version:
+            rows = spark.read.schema(_MANIFEST).parquet(f"{self.path}/manifest/v={self.version:06d}").collect()
+            self.runs = sorted((r.run, r.size) for r in rows)
+            buckets = rows[0].buckets
+        self.buckets = buckets or 1 << max(6, int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length())
+        for run, _ in self.runs:
+            self._table(run)
+
+    def _name(self, run: int) -> str:
+        return f"fingerprints_{hashlib.md5(self.path.encode()).hexdigest()}_{run}"
+
+    def _where(self, run: int) -> str:
+        return f"{self.path}/run-{run:06d}"
+
+    def _table(self, run: int) -> DataFrame:
+        """A run, known to this session as a table over its files."""
+        tables = min(self.buckets, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        made = self.spark.read.parquet(f"{self.path}/shape-{run:06d}").first()[0] if exists(self.spark, f"{self.path}/shape-{run:06d}/_SUCCESS") else tables
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {self._name(run)} (bucket INT, data BINARY, again BINARY) USING parquet "
+            f"CLUSTERED BY (bucket) SORTED BY (bucket) INTO {made} BUCKETS LOCATION '{self._where(run)}'"
+        )
+        return self.spark.table(self._name(run))
+
+    def _write(self, rows: DataFrame) -> int:
+        """One more run, of rows (bucket, data, again)."""
+        run = 1 + max((r for r, _ in self.runs), default=0)
+        while exists(self.spark, self._where(run)):
+            run += 1
+        made = min(self.buckets, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        self.spark.range(1).select(F.lit(made).alias("tables")).write.mode("overwrite").parquet(f"{self.path}/shape-{run:06d}")
+        rows.repartition(made, "bucket").write.format("parquet").mode("overwrite").bucketBy(made, "bucket").sortBy("bucket").option("path", self._where(run)).saveAsTable(self._name(run))
+        return run
+
+    def _merged(self, rows: DataFrame) -> DataFrame:
+        """(bucket, data, again) from rows of (bucket, new: array of packed, old: array of packed)."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    bucket, new, old = (batch.column(c)[i].as_py() for c in range(3))
+                    mine = _distinct([unpack(x) for x in new])
+                    known = np.zeros(len(mine[0]), dtype=bool)
+                    for x in filter(None, old or []):
+                        there = unpack(x)
+                        w, check, first = _joined([(mine[0], mine[1] & ~np.uint32(1)), (there[0], there[1] | np.uint32(1))])
+                        size = np.diff(np.r_[first, len(w)])
+                        both = first[size == 2]
+                        at = np.searchsorted(mine[0], w[both])
+                        while True:  # the few that are equal in 64 bits only
+                            off = np.flatnonzero(mine[1][at] >> np.uint32(1) != check[both] >> np.uint32(1))
+                            if not len(off):
+                                break
+                            at[off] += 1
+                        known[at] = True
+                    repeated = known | (mine[1] & np.uint32(1)).astype(bool)
+                    plain = mine[1] & ~np.uint32(1)
+                    data = pack(mine[0][~known], plain[~known])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([bucket], pa.int32()), pa.array([data], pa.binary()), pa.array([pack(mine[0][repeated], plain[repeated] | known[repeated])], pa.binary())], ["bucket", "data", "again"]
+                    )
+
+        return rows.mapInArrow(run, "bucket int, data binary, again binary")
+
+    def append(self, rows: DataFrame) -> DataFrame:
+        """Take in a batch (id, k, text) that stands behind all before it; (id, k, marks), staged: where its windows start that also start earlier."""
+        new = fingerprints(rows, self.buckets).groupBy("bucket").agg(F.collect_list("data").alias("new"))
+        old = [f"old_{run}" for run, _ in self.runs]
+        for (run, _), name in zip(self.runs, old, strict=True):
+            new = new.join(self._table(run).select("bucket", F.col("data").alias(name)), "bucket", "left")
+        run = self._write(self._merged(new.select("bucket", "new", (F.array(*old) if old else F.lit(None).cast("array<binary>")).alias("old"))))
+        table = self._table(run)
+        again = staged(_unpacked(table.select("again")), "repeated")
+        marks = staged(_verified(rows, again), "marks")
+        discard(again)
+        size = table.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
+        self.runs.append((run, size))
+        while len(self.runs) > 1 and self.runs[-1][1] >= self.runs[-2][1] * 0.75:
+            self.compact(2)
+        self._publish()
+        return marks
+
+    def compact(self, n: int) -> None:
+        """Merge the last n runs into one."""
+        some = self.runs[-n:]
+        rows = self._table(some[0][0]).select("bucket", F.array("data").alias("new"))
+        for run, _ in some[1:]:
+            rows = rows.join(self._table(run).select("bucket", F.array("data").alias("more")), "bucket", "full").select("bucket", F.concat(F.coalesce("new", F.array().cast("array<binary>")), F.coalesce("more", F.array().cast("array<binary>"))).alias("new"))
+        merged = self._write(self._merged(rows.select("bucket", "new", F.lit(None).cast("array<binary>").alias("old"))))
+        self.runs = [*self.runs[:-n], (merged, sum(size for _, size in some))]
+        self._publish()
+        for run, _ in some:
+            self._forget(run)
+
+    def _publish(self) -> None:
+        self.version += 1
+        rows = [(run, int(size), self.buckets) for run, size in self.runs]
+        self.spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/v={self.version:06d}")
+
+    def _forget(self, run: int) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._name(run)}")
+        remove(self.spark, self._where(run))
 
     def drop(self) -> None:
-        for table in self.runs:
-            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        for run, _ in self.runs:
+            self._forget(run)
+        remove(self.spark, self.path)
+        self.runs = []
 
 
-def _suspects(block: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes, and starts of the windows whose fingerprint may be repeated."""
-    words = K.hash_spans(block, starts, ends)
-    whole, at, grams = fingerprint_positions(words, rows)
-    return words, whole[maybe(table, grams[at])]
+def _unpacked(again: DataFrame) -> DataFrame:
+    """(w, check, known) of packed fingerprints; the lowest bit says that an earlier run has it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0):
+                w, check = unpack(data.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array((check >> np.uint32(1)).astype(np.int32)), pa.array((check & np.uint32(1)).astype(bool))], ["w", "check", "known"])
+
+    return again.mapInArrow(run, "w long, check int, known boolean")
 
 
 class _Windows:
     """Windows of many documents, in memory up to a limit; equal ones are reduced to the earliest before they are shuffled."""
 
     LIMIT = 1 << 20
-    NAMES = ["h", "k", "id", "at", "marks"]
+    NAMES = ["w", "check", "id", "k", "at", "marks"]
 
     def __init__(self) -> None:
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.size = 0
 
-    def add(self, h: np.ndarray, check: np.ndarray, ids: np.ndarray, at: np.ndarray) -> None:
-        self.parts.append((h, check, ids, at))
-        self.size += len(h)
+    def add(self, *columns: np.ndarray) -> None:
+        self.parts.append(columns)
+        self.size += len(columns[0])
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         """The earliest of each sequence as a row of its own, the later ones as lists of marks by document."""
         if not self.size:
             return
-        h, check, ids, at = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        columns = [np.concatenate(x) for x in zip(*self.parts, strict=True)]
         self.parts, self.size = [], 0
-        order = np.lexsort((at, ids))
-        order = order[np.argsort(h[order], kind="stable")]
-        h, check, ids, at = h[order], check[order], ids[order], at[order]
-        new = np.r_[True, (h[1:] != h[:-1]) | (check[1:] != check[:-1])]
-        first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-        later = (ids != ids[first]) | (at != at[first])
-        lists = pa.nulls(int(new.sum()), pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([*map(pa.array, (h[new].view(np.int64), check[new], ids[new], at[new])), lists], self.NAMES)
-        ids, tag, lists = _marks(ids[later], at[later])
+        w, check, ids, k, at = (x[np.lexsort((columns[4], columns[3], columns[2], columns[1], columns[0]))] for x in columns)
+        new = np.r_[True, (w[1:] != w[:-1]) | (check[1:] != check[:-1])]
+        first = np.maximum.accumulate(np.where(new, np.arange(len(w)), 0))
+        later = (ids != ids[first]) | (k != k[first]) | (at != at[first])
+        yield pa.RecordBatch.from_arrays([pa.array(w[new].view(np.int64)), *(pa.array(x[new]) for x in (check, ids, k, at)), pa.nulls(int(new.sum()), pa.list_(pa.int32()))], self.NAMES)
+        ids, k, lists = _marks(ids[later], k[later], at[later])
         if len(ids):
-            spread = K.mix(ids.view(_U) + tag.astype(_U)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(np.full(len(ids), -1)), pa.array(ids), pa.array(tag << 40), lists], self.NAMES)
+            spread = K.mix(ids.view(_U) + k.view(_U)).view(np.int64)
+            nothing = pa.array(np.full(len(ids), -1, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(spread), nothing, pa.array(ids), pa.array(k), nothing, lists], self.NAMES)
 
 
-def _marks(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Window starts by document: ids, tags, lists of positions."""
-    order = np.lexsort((at, ids))
-    ids, tag, place = ids[order], at[order] >> 40, (at[order] & (1 << 40) - 1).astype(np.int32)
-    new = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (tag[1:] != tag[:-1])]) if len(ids) else np.zeros(0, dtype=np.int64)
-    return ids[new], tag[new], pa.ListArray.from_arrays(pa.array(np.r_[new, len(ids)].astype(np.int32)), pa.array(place))
+def _marks(ids: np.ndarray, k: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Window starts by document: ids, keys, lists of positions."""
+    order = np.lexsort((at, k, ids))
+    ids, k, at = ids[order], k[order], at[order]
+    again = np.r_[False, (ids[1:] == ids[:-1]) & (k[1:] == k[:-1]) & (at[1:] == at[:-1])] if len(ids) else np.zeros(0, dtype=bool)
+    ids, k, at = ids[~again], k[~again], at[~again]
+    new = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (k[1:] != k[:-1])]) if len(ids) else np.zeros(0, dtype=np.int64)
+    return ids[new], k[new], pa.ListArray.from_arrays(pa.array(np.r_[new, len(ids)].astype(np.int32)), pa.array(at.astype(np.int32)))
 
 
-def removed_positions(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """(id, tag, marks): for each document, the starts of the windows that also start earlier."""
-    filter_ = docs.sparkSession.sparkContext.broadcast(table)
+def _verified(rows: DataFrame, again: DataFrame) -> DataFrame:
+    """(id, k, marks): for each document of the batch, the starts of the windows that also start earlier."""
+    filter_ = rows.sparkSession.sparkContext.broadcast(bloom(again.select(F.col("w").alias("h"))))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _Windows()
-        for batch, block, starts, ends, rows in _blocks(batches):
-            words, windows = _suspects(block, starts, ends, rows, filter_.value)
-            if not len(windows):
+        for batch, block, starts, ends, at in _blocks(batches):
+            whole, w, check = windows_of(block, starts, ends, at)
+            may = np.flatnonzero(maybe(filter_.value, w)) if len(w) else whole
+            if not len(may):
                 continue
-            n = np.bincount(rows, minlength=batch.num_rows)
-            own = windows - (np.cumsum(n) - n)[rows[windows]]
-            check = (K.gram_hashes(words, WINDOW, 0xE7037ED1A0B428DB)[windows] >> _U(33)).astype(np.int64)
-            tag = np.asarray(batch.column("tag"))[rows[windows]].astype(np.int64)
-            found.add(K.gram_hashes(words, WINDOW)[windows], check, np.asarray(batch.column("id"))[rows[windows]], tag << 40 | own)
+            n, whole = np.bincount(at, minlength=batch.num_rows), whole[may]
+            own = (whole - (np.cumsum(n) - n)[at[whole]]).astype(np.int32)
+            ids, k = (np.asarray(batch.column(c))[at[whole]] for c in ("id", "k"))
+            found.add(w[may], (check[may] >> np.uint32(1)).astype(np.int32), ids, k, own)
             if found.size >= found.LIMIT:
                 yield from found.flush()
         yield from found.flush()
 
     def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, last = ["id", "tag", "marks"], None
-        give = lambda ids, tag, lists: pa.RecordBatch.from_arrays([pa.array(ids), pa.array(tag), lists], names)
+        names, last = ["id", "k", "marks"], None
         for batch in batches:
-            h, check, ids, at = (batch.column(i).to_numpy() for i in range(4))
+            w, check, ids, k, at = (batch.column(i).to_numpy() for i in range(5))
             marked = check < 0
             if marked.any():
-                yield give(ids[marked], at[marked] >> 40, batch.column("marks").filter(pa.array(marked)))
-            h, check, ids, at = h[~marked], check[~marked], ids[~marked], at[~marked]
-            if not len(h):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[marked]), pa.array(k[marked]), batch.column("marks").filter(pa.array(marked))], names)
+            w, check, ids, k, at = (x[~marked] for x in (w, check, ids, k, at))
+            if not len(w):
                 continue
-            new = np.r_[last is None or (h[0], check[0]) != last[:2], (h[1:] != h[:-1]) | (check[1:] != check[:-1])]
-            first = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
-            first_id = np.where(first >= 0, ids[first], last[2] if last else 0)
-            first_at = np.where(first >= 0, at[first], last[3] if last else 0)
-            again = (ids != first_id) | (at != first_at)
-            last = (h[-1], check[-1], first_id[-1], first_at[-1])
-            single = np.arange(int(again.sum()) + 1, dtype=np.int32)
-            place = (at[again] & (1 << 40) - 1).astype(np.int32)
-            yield give(ids[again], at[again] >> 40, pa.ListArray.from_arrays(pa.array(single), pa.array(place)))
-
-    windows = docs.select("id", "tag", "text").mapInArrow(suspects, "h long, k long, id long, at long, marks array<int>")
-    dealt = windows.repartition("h").sortWithinPartitions("h", "k", "id", "at")
-    marks = dealt.mapInArrow(later, "id long, tag long, marks array<int>")
-    return marks.groupBy("id", F.col("tag").cast("int").alias("tag")).agg(F.flatten(F.collect_list("marks")).alias("marks"))
-
-
-def _digests(n_rows: int, block: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray, covered: np.ndarray) -> list[pa.Array]:
-    """n_words, n_removed and kept_sha256 of each text."""
+            new = np.r_[last is None or (w[0], check[0]) != last[:2], (w[1:] != w[:-1]) | (check[1:] != check[:-1])]
+            first = np.maximum.accumulate(np.where(new, np.arange(len(w)), -1))
+            of = [np.where(first >= 0, x[first], last[i] if last else 0) for i, x in enumerate((ids, k, at), 2)]
+            later_ = (ids != of[0]) | (k != of[1]) | (at != of[2])
+            last = (w[-1], check[-1], *(x[-1] for x in of))
+            ids, k, lists = _marks(ids[later_], k[later_], at[later_])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(k), lists], names)
+
+    types = "w long, check int, id long, k long, at int, marks array<int>"
+    windows = rows.select("id", "k", "text").mapInArrow(suspects, types)
+    known = again.where("known").select("w", "check", F.lit(_FIRST).alias("id"), F.lit(0).cast("long").alias("k"), F.lit(-1).alias("at"), F.lit(None).cast("array<int>").alias("marks"))
+    dealt = windows.union(known).repartition("w").sortWithinPartitions("w", "check", "id", "k", "at")
+    marks = dealt.mapInArrow(later, "id long, k long, marks array<int>")
+    return marks.groupBy("id", "k").agg(F.flatten(F.collect_set("marks")).alias("marks"))
+
+
+def _kept(n_rows: int, block: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray, covered: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Words, removed words and what is left of each text, joined by single spaces."""
     n = np.bincount(rows, minlength=n_rows).astype(np.int64)
     gone = np.bincount(rows[covered], minlength=n_rows).astype(np.int64)
     keep, size = np.flatnonzero(~covered), (ends - starts)[~covered]
@@ -234,69 +347,84 @@ def _digests(n_rows: int, block: np.ndarray, starts: np.ndarray, ends: np.ndarra
     out[np.repeat(at - shift, size) + run] = block[np.repeat(starts[keep] - shift, size) + run]
     data, bounds = out.tobytes(), np.r_[at, len(out)]
     upto = np.searchsorted(rows[keep], np.arange(n_rows + 1))
-    texts = [hashlib.sha256(data[bounds[a] : bounds[b] - 1] if b > a else b"").hexdigest() for a, b in zip(upto[:-1], upto[1:], strict=True)]
-    return [pa.array(n), pa.array(gone), pa.array(texts)]
+    return n, gone, [data[bounds[a] : bounds[b] - 1] if b > a else b"" for a, b in zip(upto[:-1], upto[1:], strict=True)]
 
 
 def _rows_of(docs: DataFrame) -> DataFrame:
-    tag = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 16)).cast("int")
-    return documents_of(docs).select("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), tag.alias("tag"), "text")
-
+    """doc_id, id and k, which order documents (null ids last, then by a hash of the text) and tell different ones apart, and text."""
+    k = F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 2) + F.when(F.col("doc_id").isNull(), 1 << 62).otherwise(0)
+    return documents_of(docs).select("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), k.alias("k"), "text")
 
-_RESULT = ["n_words", "n_removed", "kept_sha256"]
-_RESULT_TYPES = "n_words long, n_removed long, kept_sha256 string"
 
-
-def dedup(docs: DataFrame, batches: int = 3) -> DataFrame:
-    """Remove every word that an earlier-seen 20-word window covers: doc_id, n_words, n_removed, kept_sha256 of every row.
-
-    Documents are appended in `batches` ranges of doc_id.  A null text has no words; a null doc_id stands last;
-    equal rows count as one document and get one result each; of rows that share a doc_id with different texts
-    the order is that of a hash of the text; other columns are ignored; an empty table gives no rows.
-    """
-    rows = _rows_of(docs)
-    low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
-    span = F.lit(0) if low is None else F.floor((F.coalesce("doc_id", F.lit(high)) - low) * batches / (high - low + 1)).cast("int")
-    log = FingerprintLog(docs.sparkSession)
-    for b in range(batches):
-        log.append(rows.where(span == b))
-    table = bloom(log.repeated())
-    log.drop()
-    filter_ = docs.sparkSession.sparkContext.broadcast(table)
+def _finished(rows: DataFrame, marks: DataFrame, texts: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed and, of the kept words, the digest or the text."""
+    keys = marks.select(F.xxhash64("id", "k").alias("h"))
+    filter_ = rows.sparkSession.sparkContext.broadcast(bloom(keys))
+    last, types = ("kept", "doc_id long, n_words long, n_removed long, kept string") if texts else ("kept_sha256", "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    names = ["doc_id", "n_words", "n_removed", last]
+    shown = (lambda x: x.decode()) if texts else (lambda x: hashlib.sha256(x).hexdigest())
 
     def first_look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts without a suspect window are finished here; the others go on, compressed."""
+        """Texts without marks are finished here; the others go on, compressed."""
         coder = zstd.ZstdCompressor(level=3)
         for batch, block, starts, ends, at in _blocks(batches):
-            mine = np.zeros(batch.num_rows, dtype=bool)
-            mine[at[_suspects(block, starts, ends, at, filter_.value)[1]]] = True
-            packed = [coder.compress(t.encode()) if m else None for t, m in zip(batch.column("text").to_pylist(), mine, strict=True)]
-            done = _digests(batch.num_rows, block, starts, ends, at, np.zeros(len(starts), dtype=bool))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "id", "tag")), pa.array(packed, pa.binary()), *done], ["doc_id", "id", "tag", "packed", *_RESULT])
+            mine = maybe(filter_.value, np.asarray(batch.column("h")).view(_U))
+            packed = [coder.compress((t or "").encode()) if m else None for t, m in zip(batch.column("text").to_pylist(), mine, strict=True)]
+            n, gone, kept = _kept(batch.num_rows, block, starts, ends, at, np.zeros(len(starts), dtype=bool))
+            done = [pa.array(n), pa.array(gone), pa.array([None if m else shown(x) for x, m in zip(kept, mine, strict=True)], pa.string())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "id", "k")), pa.array(packed, pa.binary()), *done], ["doc_id", "id", "k", "packed", *names[1:]])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = zstd.ZstdDecompressor()
         for whole in batches:
             for i in range(0, whole.num_rows, 256):
                 batch = whole.slice(i, 256)
-                lists = batch.column("marks")
-                sizes = lists.value_lengths().fill_null(0).to_numpy()
-                open_ = np.flatnonzero(sizes)
+                lists, ready = batch.column("marks"), batch.column("packed").is_null().to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(ready)).select(names)
+                open_ = np.flatnonzero(~ready)
                 texts = [coder.decompress(batch.column("packed")[int(r)].as_py()) for r in open_]
                 block, offsets = np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([0, *map(len, texts)])
                 starts, ends, at = K.find_words(block, offsets, K.SPACE)
                 n = np.bincount(at, minlength=len(texts))
                 change = np.zeros(len(starts) + 1, dtype=np.int64)
-                place = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(np.cumsum(n) - n, sizes[open_])
+                lists = lists.take(pa.array(open_))
+                sizes = lists.value_lengths().fill_null(0).to_numpy()
+                place = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(np.cumsum(n) - n, sizes)
                 np.add.at(change, place, 1)
                 np.add.at(change, place + WINDOW, -1)
-                done = _digests(len(texts), block, starts, ends, at, np.cumsum(change)[:-1] > 0)
-                out = [batch.column(c).to_pylist() for c in _RESULT]
-                for column, new in zip(out, done, strict=True):
-                    for r, value in zip(open_, new.to_pylist(), strict=True):
-                        column[r] = value
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", *_RESULT])
-
-    seen = rows.mapInArrow(first_look, f"doc_id long, id long, tag int, packed binary, {_RESULT_TYPES}")
-    joined = seen.join(removed_positions(rows, table), ["id", "tag"], "left").select("doc_id", "packed", "marks", *_RESULT)
-    return joined.mapInArrow(finish, f"doc_id long, {_RESULT_TYPES}")
+                n, gone, kept = _kept(len(texts), block, starts, ends, at, np.cumsum(change)[:-1] > 0)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(open_)), pa.array(n), pa.array(gone), pa.array([shown(x) for x in kept], pa.string())], names)
+
+    looked = rows.withColumn("h", F.xxhash64("id", "k")).mapInArrow(first_look, "doc_id long, id long, k long, packed binary, " + types.removeprefix("doc_id long, "))
+    return looked.join(marks, ["id", "k"], "left").select("doc_id", "packed", "marks", *names[1:]).mapInArrow(finish, types)
+
+
+def dedup_batch(docs: DataFrame, log: FingerprintLog, texts: bool = True) -> DataFrame:
+    """Append a batch to a log and take from its texts every word that a window covers which the log, or the batch, has earlier.
+
+    Returns doc_id, n_words, n_removed and kept (the kept words joined by single spaces; else kept_sha256).  All
+    of the batch stands behind what the log has; see `dedup` for its order and for nulls.
+    """
+    rows = _rows_of(docs)
+    return _finished(rows, log.append(rows), texts)
+
+
+def dedup(docs: DataFrame, batches: int = 3) -> DataFrame:
+    """Remove every word that an earlier-seen 20-word window covers: doc_id, n_words, n_removed, kept_sha256 of every row.
+
+    Documents are appended in `batches` ranges of doc_id, to a log of their own.  A null text has no words; a null
+    doc_id stands last; equal rows count as one document and get one result each; of rows that share a doc_id, or
+    have none, with different texts the order is that of a hash of the text; other columns are ignored; an empty
+    table gives no rows.
+    """
+    rows = _rows_of(docs)
+    low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
+    at = (F.coalesce("doc_id", F.lit(high)).cast("decimal(20,0)") - low) * batches / (high - low + 1) if low is not None else F.lit(0)
+    span = F.least(F.floor(at).cast("int"), F.lit(batches - 1))
+    log = FingerprintLog(docs.sparkSession)
+    found = [log.append(rows.where(span == b)) for b in range(batches)]
+    log.drop()
+    marks = found[0]
+    for more in found[1:]:
+        marks = marks.union(more)
+    return _finished(rows, marks)

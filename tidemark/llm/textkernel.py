@@ -43,27 +43,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9FB21C651E98DF25))
+class _Family:
+    """One polynomial hash of byte strings: its base, values of bytes, and powers of the base and its inverse as far as they were needed."""
 
-
-class _Powers:
-    """Powers of the hash base and of its inverse, as far as they have been needed."""
-
-    def __init__(self) -> None:
+    def __init__(self, base: int, salt: int) -> None:
+        self.base, self.inverse = base | 1, pow(base | 1, -1, 1 << 64)
+        self.bytes = mix(np.arange(1, 257, dtype=np.uint64) * _U(salt))
         self.up = self.down = np.ones(1, dtype=np.uint64)
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+    def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             size = max(n, BLOCK + 4096)
-            up, down = np.full(size, _BASE, dtype=np.uint64), np.full(size, _INVERSE, dtype=np.uint64)
+            up, down = np.full(size, self.base, dtype=np.uint64), np.full(size, self.inverse, dtype=np.uint64)
             up[0] = down[0] = 1
             self.up, self.down = np.cumprod(up), np.cumprod(down)
         return self.up[:n], self.down[:n]
 
 
-_POWERS = _Powers()
+_FAMILIES = (_Family(0x9E3779B97F4A7C15, 0x9FB21C651E98DF25), _Family(0xD1342543DE82EF95, 0xAF251AF3B0F025B5))
 
 
 def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,16 +100,16 @@ def find_words(buffer: np.ndarray, offsets: np.ndarray, apart: np.ndarray) -> tu
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def hash_spans(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans that are in order and do not overlap."""
-    out, i = np.empty(len(starts), dtype=np.uint64), 0
+def hash_spans(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int = 0) -> np.ndarray:
+    """64-bit hashes of byte spans that are in order and do not overlap; the two families are independent."""
+    out, i, of = np.empty(len(starts), dtype=np.uint64), 0, _FAMILIES[family]
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(starts, starts[i] + BLOCK, side="left")))
         low, high = int(starts[i]), int(ends[j - 1])
-        up, down = _POWERS.upto(high - low + 1)
+        up, down = of.powers(high - low + 1)
         sums = np.empty(high - low + 1, dtype=np.uint64)
         sums[0] = 0
-        np.cumsum(_BYTES[buffer[low:high]] * up[: high - low], out=sums[1:])
+        np.cumsum(of.bytes[buffer[low:high]] * up[: high - low], out=sums[1:])
         s, e = starts[i:j] - low, ends[i:j] - low
         out[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
         i = j
