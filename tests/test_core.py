@@ -225,21 +225,31 @@ def test_graph_roots_and_independence(spark):
     assert len(G.provenance(edges).first().path) == 3
 
 
-def test_planner():
-    p = planner.plan("What is the current revenue of Helios Energy?", REF)
-    assert (p.entity, p.attribute, p.question_type, p.time.intent) == ("Helios Energy", "revenue", "CURRENT_STATE", "CURRENT")
-    assert planner.plan("Will Apple revenue grow in 2030?", REF).question_type == "FORECAST"
-    assert planner.plan("Why did revenue increase in 2021?", REF).question_type == "CAUSAL"
-    need = planner.time_need("revenue in 2021", REF)
-    assert need.year_only and need.intent == "HISTORICAL"
-    assert planner.time_need("is it known", REF).intent == "CURRENT" and planner.time_need("between 2019 and 2021", REF).end.year == 2021
-    assert planner.plan("and its revenue?", REF, ["Who is the CEO of Acme Corp?"]).entity == "Acme Corp"
-
-
-def test_intent_column_agrees(spark):
-    questions = ["between 2019 and 2021", "how has it changed", "who runs it now", "revenue in 2021", "as of March 2020", "it was big", "tell me"]
-    got = [r.i for r in spark.createDataFrame([(q,) for q in questions], "q string").select(planner.intent_column(F.col("q")).alias("i")).collect()]
-    assert got == [planner.time_need(q, REF).intent for q in questions]
+def test_planner(spark):
+    asked = {
+        "What is the current revenue of Helios Energy?": ("Helios Energy", "revenue", "CURRENT_STATE", "CURRENT", False),
+        "Why did revenue increase in 2021?": ("", "revenue", "CAUSAL", "HISTORICAL", True),
+        "What was Microsoft revenue in 2021?": ("Microsoft", "revenue", "HISTORICAL", "HISTORICAL", True),
+        "What was Microsoft revenue in March 2021?": ("Microsoft", "revenue", "HISTORICAL", "HISTORICAL", False),
+        "Compare Contoso and Fabrikam revenue in 2023": ("Fabrikam", "revenue", "COMPARISON", "HISTORICAL", True),
+        "When did Acme Corp change its CEO?": ("Acme Corp", "ceo", "CHANGE", "CHANGE", False),
+        "is it known": ("", "", "CURRENT_STATE", "CURRENT", False),
+    }
+    rows = spark.createDataFrame(list(enumerate(asked)), "query_id int, question string")
+    got = {r.question: r for r in planner.planned(rows, F.lit(REF)).collect()}
+    assert {q: (r.entity, r.attribute, r.kind, r.time.intent, r.time.year_only) for q, r in got.items()} == asked
+    assert got["When did Acme Corp change its CEO?"].queries[2:] == ["Acme Corp ceo appointed announced effective", "Acme Corp former previous ceo"] and got["is it known"].queries == ["is it known"]
+    assert got["Compare Contoso and Fabrikam revenue in 2023"].names == ["Contoso", "Fabrikam"]
+    p = planner.plan(spark, "and its revenue?", REF, ["Who is the CEO of Acme Corp?", "and before?"])
+    assert p.entity == "Acme Corp" and planner.gap_query(p, "independent sources") == "Acme Corp revenue report announcement filing"
+    assert planner.plan(spark, "Will Apple revenue grow in 2030?", REF).kind == "FORECAST" and planner.plan(spark, None, REF).queries == [""]
+
+
+def test_time_asked(spark):
+    questions = ["between 2019 and 2021", "how has it changed", "who runs it now", "revenue in 2021", "as of March 2020", "it was big", "tell me", "last 3 months", "from 2019 to now"]
+    got = [r.t for r in spark.createDataFrame([(q,) for q in questions], "q string").select(planner.time_asked(F.col("q"), F.lit(REF)).alias("t")).collect()]
+    assert [t.intent for t in got] == ["RANGE", "CHANGE", "CURRENT", "HISTORICAL", "AS_OF", "HISTORICAL", "CURRENT", "RANGE", "RANGE"]
+    assert (got[0].start.year, got[0].end.year, got[0].end.month) == (2019, 2021, 12) and (got[7].end - got[7].start).days == 90 and got[4].anchor.month == 3 and got[8].end == got[2].anchor
 
 
 def test_readers(spark, tmp_path):

@@ -17,7 +17,7 @@ def test_ladder_answers_and_measures(spark):
     chunks = spark.createDataFrame(texts, "doc_id string, text string, source string, date string, tier int, valid_from string, valid_to string, entity string").withColumns({c: F.col(c).cast("timestamp") for c in ("date", "valid_from", "valid_to")})
     items = spark.createDataFrame([("q1", "What is the current revenue of Acme?", "CURRENT", ["5 million"], [], False, False), ("q2", "Will Acme revenue grow?", "INSUFFICIENT", [], None, True, False)], ITEM)
     systems = V.ladder(versions, chunks, datetime(2024, 6, 1, tzinfo=timezone.utc), max_iterations=1)
-    assert list(systems) == ["lexical", "temporal", "full"]
+    assert list(systems) == ["lexical", "dense", "hybrid", "temporal", "full"]
     got = {(r.system, r.category): r for r in V.measures(V.answers({"full": systems["full"], "lexical": systems["lexical"]}, items)).collect()}
     assert got["full", "ALL"].accuracy == 1.0 and got["full", "ALL"].n == 2 and got["full", "INSUFFICIENT"].n_abstained == 1
     assert got["lexical", "INSUFFICIENT"].accuracy == 1.0 and got["full", "ALL"].temporal_accuracy == 1.0

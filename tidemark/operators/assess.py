@@ -123,6 +123,18 @@ def conflict_summary(classified: DataFrame, shown: int = 5) -> DataFrame:
     return top.groupBy("entity", "attribute").agg(F.count_if(F.col("conflict_type") != "NONE").alias("n_pairs"), F.count_if(serious).alias("n_serious"), listed.alias("summary"))
 
 
+def compared_amounts(amounts: DataFrame, days: int = 7) -> DataFrame:
+    """Highest and lowest entity, gap, ratio and aligned periods of amounts(query_id, entity, n, valid_from, valid_to), a row for each query_id.
+
+    Periods are aligned where all starts, and all ends, lie within `days` of each other; open bounds only with open ones.
+    """
+    near = lambda c: (F.count_if(F.col(c).isNull()) == F.count("*")) | ((F.count_if(F.col(c).isNull()) == 0) & (F.datediff(F.max(c), F.min(c)) <= days))
+    return amounts.groupBy("query_id").agg(
+        F.count("*").alias("n_entities"), F.max_by("entity", F.struct("n", "entity")).alias("highest"), F.min_by("entity", F.struct("n", "entity")).alias("lowest"),
+        (F.max("n") - F.min("n")).alias("gap"), F.when(F.min("n") > 0, F.max("n") / F.min("n")).alias("ratio"), F.coalesce(near("valid_from") & near("valid_to"), F.lit(False)).alias("aligned"),
+    )
+
+
 def citation_audit(answers: DataFrame) -> DataFrame:
     """Sentences, cited sentences and cited share of factual ones of answers(query_id, answer)."""
     parts = F.filter(F.split(F.coalesce("answer", F.lit("")), r"(?<=[.!?])\s+"), lambda s: F.trim(s) != "")

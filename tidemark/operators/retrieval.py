@@ -9,6 +9,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,6 +66,21 @@ def pooled(tokens: DataFrame, keep: Column | None = None) -> DataFrame:
     return whole.select("doc_id", unit(F.col("v")).alias("v"))
 
 
+def hashed_vector(text: Column, size: int = 256) -> Column:
+    """A unit vector of a text's words hashed into `size` places, counts damped: vectors without a model."""
+
+    @F.pandas_udf("array<float>")
+    def made(words: pd.Series) -> pd.Series:
+        def one(hashes: np.ndarray | None) -> np.ndarray:
+            h = np.asarray(hashes if hashes is not None else [], dtype=np.int64)
+            v = np.sqrt(np.bincount(h % size, minlength=size).astype(np.float64))
+            return (v / max(float(np.linalg.norm(v)), 1e-12)).astype(np.float32)
+
+        return words.map(one)
+
+    return made(F.transform(tokens(F.coalesce(text, F.lit(""))), lambda t: F.pmod(F.xxhash64(t), F.lit(1 << 40))))
+
+
 def quantized(v: Column) -> Column:
     """int8 codes: 127 times the unit vector, halves to even."""
     return F.transform(unit(v), lambda x: F.bround(x * 127).cast("tinyint"))

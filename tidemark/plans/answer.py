@@ -1,7 +1,8 @@
 """Answering a question over a store of versions and a table of chunks.
 
-The driver holds the plan and at most `k` evidence rows and twelve verdicts; each round is one DataFrame plan
-over all sub-queries.
+Each round is one DataFrame plan over all sub-queries: dense and sparse candidates, signals, fusion; then the
+assessing operators (claims that bear on the question, routing, verdicts, gaps) decide what is asked next.  The
+driver holds the plan, at most `k` evidence rows and twelve verdicts.
 """
 
 from __future__ import annotations
@@ -9,26 +10,41 @@ from __future__ import annotations
 import json
 import re
 import time
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from tidemark.functions.evidence import number
 from tidemark.functions.temporal import freshness, overlap_score
+from tidemark.functions.text import human_amount
+from tidemark.operators import assess as A
 from tidemark.operators import bitemporal as B
 from tidemark.operators import claims as C
 from tidemark.operators import retrieval as R
-from tidemark.plans.planner import Plan, plan, refine
+from tidemark.plans.planner import gap_query, plan
+
+MODES = ("lexical", "dense", "hybrid", "temporal", "full")
 
 
 @dataclass
 class Config:
+    """mode: BM25 alone, vectors alone, both, both with time and source signals, and with the store of versions.
+
+    `signals` are further ranking signals, columns over the candidates by name, with their weights; `embed` gives
+    the vectors of texts; `shown` is how many conflicts and versions an answer lists (it says how many there are).
+    """
+
     k: int = 8
     candidate_k: int = 50
     max_iterations: int = 3
     domain: str = "corporate"
-    mode: str = "full"  # or "lexical" (BM25 alone), "temporal" (with signals, without the store)
+    mode: str = "full"
+    shown: int = 20
+    signals: dict[str, tuple[float, Callable[[DataFrame], Column]]] = field(default_factory=dict)
+    embed: Callable[[Column], Column] = R.hashed_vector
 
 
 @dataclass
@@ -44,6 +60,9 @@ class Answer:
     citations: list[dict] = field(default_factory=list)
     timeline: list[dict] = field(default_factory=list)
     conflicts: list[dict] = field(default_factory=list)
+    comparison: list[dict] = field(default_factory=list)
+    n_versions: int = 0
+    n_conflicts: int = 0
     trace: list[str] = field(default_factory=list)
 
     def to_dict(self) -> dict:
@@ -61,105 +80,191 @@ class Answer:
         return re.sub(r"\s*\[E\d+\]", "", " ".join(filter(None, (self.answer, said)))).strip()
 
     def to_markdown(self) -> str:
-        lines = [f"**{self.question}**", "", self.answer, "", f"Support: {self.support_level} ({self.score:.2f})"]
+        lines = [f"**{self.question}**", "", self.answer, "", f"Support: {self.support_level} ({self.score:.2f})", "", "## Evidence"]
         lines += [f"- [{i}] {c['doc_id']} ({c['source']}, {c['date']})" for i, c in enumerate(self.citations, 1)]
         return "\n".join(lines)
 
 
 class Engine:
-    """versions: the bitemporal table; chunks(doc_id, text, source, date, tier, valid_from, valid_to, entity)."""
+    """versions: the bitemporal table; chunks(doc_id, text, source, date, tier, valid_from, valid_to, entity); aliases(alias, entity)."""
 
-    def __init__(self, versions: DataFrame, chunks: DataFrame, ref: datetime, config: Config | None = None) -> None:
-        self.versions, self.chunks, self.ref, self.config = versions, chunks, ref, config or Config()
+    def __init__(self, versions: DataFrame, chunks: DataFrame, ref: datetime, config: Config | None = None, aliases: DataFrame | None = None) -> None:
+        self.versions, self.chunks, self.ref, self.config, self.aliases = versions, chunks, ref, config or Config(), aliases
         self.spark = chunks.sparkSession
 
-    def retrieve(self, p: Plan, queries: list[str]) -> DataFrame:
-        """The k best chunks over all sub-queries: BM25 top candidates, then time, authority and entity signals."""
+    def entities_of(self, names: list[str]) -> list[str]:
+        """The store's entities for names as asked: by alias, else by their distinctive words; a name without one stays."""
+        if not names:
+            return []
+        asked = self.spark.createDataFrame([(i, n) for i, n in enumerate(names)], "place int, name string")
+        if self.aliases is not None:
+            known = self.aliases.select(F.lower("alias").alias("_alias"), F.col("entity").alias("_entity")).dropDuplicates(["_alias"])
+            asked = asked.join(known, F.lower("name") == F.col("_alias"), "left").select("place", F.coalesce("_entity", "name").alias("name"))
+        found = B.canonical(asked, B.entities(self.versions)).distinct()
+        return [r.entity for r in asked.join(found, "name").orderBy("place").collect()]
+
+    def retrieve(self, p: Row, queries: list[str]) -> DataFrame:
+        """The k best chunks over all sub-queries: dense and sparse candidates, then time, authority, entity and further signals."""
+        config, need, t = self.config, p.time, F.lit(p.time.anchor)
         asked = self.spark.createDataFrame([(i, q) for i, q in enumerate(queries)], "query_id int, text string")
-        found = R.bm25_top(self.chunks, asked, self.config.candidate_k).drop("rank").withColumnRenamed("score", "sparse")
-        need, t = p.time, F.lit(p.time.anchor)
-        rows = found.join(self.chunks, "doc_id")
-        fresh = freshness(F.col("date"), t, F.lit(need.halflife_days)) if need.apply_freshness else F.lit(0.5)
-        overlap = overlap_score(F.col("valid_from"), F.col("valid_to"), need.intent, t, F.lit(need.start or need.anchor), F.lit(need.end or need.anchor))
-        signals = {"freshness": fresh, "temporal": overlap, "authority": F.when(F.col("tier") == 1, 1.0).when(F.col("tier") == 2, 0.75).when(F.col("tier") == 3, 0.45).otherwise(0.15)}
-        signals["entity"] = F.when(F.contains(F.lower(F.concat_ws(" ", "entity", "text")), F.lit(p.entity.lower())), 1.0).otherwise(0.0) if p.entity else F.lit(0.5)
-        fused = R.weighted_fuse(rows.withColumns(signals), {"sparse": 1.0} if self.config.mode == "lexical" else None)
-        best = fused.groupBy("doc_id").agg(F.max("score").alias("score"), F.max("temporal").alias("overlap")).orderBy(F.desc("score"), "doc_id").limit(self.config.k)
-        return best.join(self.chunks, "doc_id")
-
-    def head(self, p: Plan) -> list[Row]:
-        own = self.versions.where((F.lower("entity") == p.entity.lower()) & (F.col("attribute") == p.attribute))
-        return B.as_of(own, F.lit(p.time.anchor)).collect()
+        none = asked.select(F.col("query_id").cast("long"), F.lit("").alias("doc_id"), F.lit(0.0).alias("score")).limit(0)
+        sparse = dense = none
+        if config.mode != "dense":
+            sparse = R.bm25_top(self.chunks, asked, config.candidate_k).select("query_id", F.col("doc_id").cast("string").alias("doc_id"), "score")
+        if config.mode != "lexical":
+            keyed = self.chunks.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("string")).alias("vec_id"), config.embed(F.col("text")).alias("embedding"))
+            near = R.vector_top(keyed, asked.select(F.col("query_id").cast("long").alias("query_id"), config.embed(F.col("text")).alias("q")), config.candidate_k).where("score > 0")
+            dense = near.join(keyed.select("vec_id", "doc_id"), "vec_id").select("query_id", "doc_id", "score")
+        rows = R.union_candidates(dense, sparse).join(self.chunks.withColumn("doc_id", F.col("doc_id").cast("string")), "doc_id")
+        weights = {"dense": 1.0, "sparse": 1.0}
+        if config.mode in ("temporal", "full"):
+            fresh = freshness(F.col("date"), t, F.lit(p.halflife_days)) if need.intent == "CURRENT" else F.lit(0.5)
+            overlap = overlap_score(F.col("valid_from"), F.col("valid_to"), need.intent, t, F.lit(need.start or need.anchor), F.lit(need.end or need.anchor))
+            authority = F.when(F.col("tier") == 1, 1.0).when(F.col("tier") == 2, 0.75).when(F.col("tier") == 3, 0.45).otherwise(0.15)
+            entity = F.when(F.contains(F.lower(F.concat_ws(" ", "entity", "text")), F.lit(p.entity.lower())), 1.0).otherwise(0.0) if p.entity else F.lit(0.5)
+            rows = rows.withColumns({"freshness": fresh, "temporal": overlap, "authority": authority, "entity_match": entity})
+            weights |= {name if name != "entity" else "entity_match": w for name, w in R.FUSION_WEIGHTS.items()}
+        for name, (weight, signal) in config.signals.items():
+            rows, weights[name] = rows.withColumn(name, signal(rows)), weight
+        overlap = F.col("temporal") if "temporal" in rows.columns else F.lit(1.0)
+        fused = R.weighted_fuse(rows.withColumn("overlap", overlap), weights)
+        best = fused.groupBy("doc_id").agg(F.max("score").alias("score"), F.max("overlap").alias("overlap")).orderBy(F.desc("score"), "doc_id").limit(config.k)
+        return best.join(self.chunks.withColumn("doc_id", F.col("doc_id").cast("string")), "doc_id")
+
+    def _settled(self, evidence: DataFrame, heads: DataFrame, entity: str, attribute: str) -> DataFrame:
+        """Evidence without documents of replaced versions and with those behind the heads, where the store names its evidence."""
+        if "evidence_ids" not in self.versions.columns or not attribute:
+            return evidence
+        chunks = self.chunks.withColumn("doc_id", F.col("doc_id").cast("string"))
+        kept = B.settle_evidence(evidence.withColumn("query_id", F.lit(0)), self._own(entity, attribute), heads.withColumn("query_id", F.lit(0)), chunks)
+        return kept.drop("query_id").join(evidence.select("doc_id", "overlap"), "doc_id", "left").withColumn("overlap", F.coalesce("overlap", F.lit(1.0))).join(chunks, "doc_id")
+
+    def _held(self, few: DataFrame) -> DataFrame:
+        """A few rows (evidence, head versions) as a local table, so that no later step computes them again."""
+        return self.spark.createDataFrame(few.collect(), few.schema)
+
+    def _own(self, entity: str, attribute: str) -> DataFrame:
+        return self.versions.where((F.col("entity") == entity) & (F.col("attribute") == attribute))
+
+    def head(self, entity: str, attribute: str, p: Row, trace: list[str] | None = None) -> DataFrame:
+        """The versions valid at the time asked about; a bare year means the fiscal year that ends in it, where there is one."""
+        own, anchor = self._own(entity, attribute), p.time.anchor
+        if p.time.year_only:
+            fiscal = B.fiscal_anchor(own, anchor.year).first()
+            if fiscal:
+                anchor = fiscal.anchor
+                if trace is not None:
+                    trace.append(f"FISCAL_YEAR {p.time.anchor.year} -> {fiscal.valid_from:%Y-%m-%d}..{fiscal.valid_to:%Y-%m-%d}")
+        return B.as_of(own, F.lit(anchor))
 
     def answer(self, question: str, history: list[str] | None = None) -> Answer:
-        p = plan(question, self.ref, history)
-        if p.question_type in ("FORECAST", "CAUSAL"):
-            return Answer(question, "The record holds what was true and when; it cannot settle this kind of question.", True, p.question_type.lower())
-        if p.question_type == "COMPARISON":
-            return self.compare(p)
-        return self._answer(p)
-
-    def _answer(self, p: Plan) -> Answer:
-        queries, seen, trace, scored, evidence = list(p.sub_queries), set(), [], None, None
-        for _ in range(min(self.config.max_iterations, p.max_iterations)):
+        p = plan(self.spark, question, self.ref, history)
+        if p.kind in ("FORECAST", "CAUSAL"):
+            return Answer(question, "The record holds what was true and when; it cannot settle this kind of question.", True, p.kind.lower())
+        return self.compare(p) if p.kind == "COMPARISON" else self._answer(p)
+
+    def _answer(self, p: Row) -> Answer:
+        config, trace, queries, seen = self.config, [], list(p.queries), set()
+        entity = self.entities_of([p.entity])[0] if p.entity and config.mode == "full" else p.entity
+        heads = self.head(entity, p.attribute, p, trace) if entity and p.attribute and config.mode == "full" else None
+        heads = self._held(heads) if heads is not None else None
+        found = heads.collect() if heads is not None else []
+        own = self._own(entity, p.attribute) if found else None
+        n_versions = own.count() if found else 0
+        scored = evidence = None
+        for _ in range(min(config.max_iterations, p.rounds)):
             evidence = self.retrieve(p, queries)
-            rows = evidence.select(F.lit(0).alias("query_id"), F.coalesce("source", F.col("doc_id").cast("string")).alias("source"), "date", "text", F.lit(None).cast("string").alias("value"), (F.col("overlap") >= 0.5).alias("fresh"))
-            scored = C.score_evidence(rows, F.lit(p.time.anchor), self.config.domain, p.time.halflife_days).first()
-            gaps = [] if scored else ["no evidence"]
-            if scored and scored.n_independent < p.min_sources:
-                gaps.append("independent sources")
-            if scored and p.time.intent == "CURRENT" and not scored.validity:
-                gaps.append("current evidence")
-            trace.append(f"{len(queries)} queries; gaps: {', '.join(gaps) or 'none'}")
-            more = {refine(p, g) for g in gaps} - set(queries) - seen
-            if not more:
+            evidence = self._held(self._settled(evidence, heads, entity, p.attribute) if found else evidence)
+            rows = evidence.select(F.lit(0).alias("query_id"), F.coalesce("source", "doc_id").alias("source"), "date", "text", F.lit(None).cast("string").alias("value"), (F.col("overlap") >= 0.5).alias("fresh"))
+            scored = C.score_evidence(rows, F.lit(p.time.anchor), config.domain, p.halflife_days).first()
+            split = A.temporal_split(evidence.withColumn("query_id", F.lit(0)), F.col("overlap")).first()
+            state = (scored.n_independent if scored else 0, p.min_sources, p.time.intent, split.n_fresh if split else 0, n_versions, max(0, n_versions - 1), p.time.intent in ("CHANGE", "RANGE"), float(scored.score) if scored else 0.0)
+            named = A.gaps(self.spark.createDataFrame([state], "n_independent long, min_sources int, intent string, n_fresh long, n_history long, n_changes long, needs_both boolean, score double")).first()
+            trace.append(f"{len(queries)} queries; gaps: {', '.join(named.gaps) or 'none'}")
+            more = {gap_query(p, g) for g in named.gaps} - set(queries) - seen - {""}
+            if named.sufficient or not more:
                 break
             seen |= more
             queries += sorted(more)
-        heads = self.head(p) if p.entity and p.attribute and self.config.mode == "full" else []
-        verdicts = self._verdicts(p, evidence) if scored else []
+        verdicts, sentences = self._verdicts(p, entity, evidence) if scored else ([], [])
         supported = [v for v in verdicts if v.verdict == "SUPPORTED"]
         coverage = len(supported) / max(1, len(verdicts))
         state = self.spark.createDataFrame(
-            [(scored.n_independent if scored else 0, float(scored.score) if scored else 0.0, coverage, len(supported), sum(v.verdict == "TEMPORAL_MISMATCH" for v in verdicts), bool(heads))],
+            [(scored.n_independent if scored else 0, float(scored.score) if scored else 0.0, coverage, len(supported), sum(v.verdict == "TEMPORAL_MISMATCH" for v in verdicts), bool(found))],
             "n_independent long, score double, coverage double, n_supported long, n_stale long, has_store_value boolean",
         )
         reason = state.select(C.should_abstain(state).alias("r")).first().r
-        if reason and not heads:
+        if reason and not found:
             return Answer(p.question, "The evidence does not settle this question.", True, reason, score=float(scored.score) if scored else 0.0, trace=trace)
         cites = [r.asDict() for r in evidence.select("doc_id", "source", F.col("date").cast("string").alias("date")).orderBy("doc_id").collect()] if scored else []
-        lines = [f"{h.entity}: {p.attribute} is {h.value} (from {h.valid_from:%Y-%m-%d}, {h.source_id})." for h in heads] or [v.text for v in supported[:3]]
-        past = self.versions.where((F.lower("entity") == p.entity.lower()) & (F.col("attribute") == p.attribute)) if heads else None
-        pairs = B.classify_conflicts(B.conflicts(past), self.config.domain).where("severity >= 0.5").limit(20).collect() if heads else []
+        for i, c in enumerate(cites, 1):
+            c["marker"] = f"E{i}"
+        lines = [f"{h.entity}: {p.attribute} is {h.value} (from {h.valid_from:%Y-%m-%d}, {h.source_id})." for h in found] or sentences[:3]
+        pairs, history, n_conflicts = [], [], 0
+        if found:
+            serious = B.classify_conflicts(B.conflicts(own), config.domain).where("severity >= 0.5")
+            n_conflicts = serious.count()
+            pairs = serious.orderBy(F.desc("severity"), "seq_a", "seq_b").limit(config.shown).collect() if n_conflicts else []
+            last = own.orderBy(F.desc("valid_from"), F.desc("seq")).limit(config.shown)
+            history = [r.asDict() for r in last.select("value", "valid_from", "valid_to", "change_kind").collect()][::-1]
         label = "CONFLICTED" if pairs else (scored.label if scored else "MODERATE")
-        history = [r.asDict() for r in past.orderBy("valid_from", "seq").select("value", "valid_from", "valid_to", "change_kind").limit(100).collect()] if heads else []
-        return Answer(p.question, " ".join(lines), False, "", label, float(scored.score) if scored else 0.0, coverage, [v.asDict() for v in verdicts], cites, history, [c.asDict() for c in pairs], trace)
-
-    def _verdicts(self, p: Plan, evidence: DataFrame) -> list[Row]:
-        found = C.extract(evidence.select("doc_id", "text", F.lit(p.entity).alias("subject")))
-        own = found.where(F.col("attribute") == p.attribute) if p.attribute else found
-        own = own.orderBy("doc_id", "start").limit(12)
-        routed = own.select("claim_id", F.col("doc_id").alias("_own")).crossJoin(F.broadcast(evidence.select("doc_id", "source", "text", "valid_to")))  # twelve claims, k documents
-        verdicts = C.verify(own, routed, F.lit(p.time.anchor))
-        return own.select("claim_id", "text", "value").join(verdicts, "claim_id").orderBy("claim_id").collect()
-
-    def compare(self, p: Plan) -> Answer:
-        """One answer for each entity named, and the spread of their amounts."""
-        from tidemark.functions.evidence import number
-        from tidemark.plans.planner import candidates
-
-        parts = [(e, self.head(Plan(**{**p.__dict__, "entity": e}))) for e in candidates(p.question)]
-        known = [(e, h[0].value) for e, h in parts if h]
-        if len(known) < 2:
-            return Answer(p.question, "Fewer than two of the entities have a value on record.", True, "nothing to compare")
-        amounts = self.spark.createDataFrame(known, "entity string, value string").select("entity", "value", number(F.col("value")).alias("n"))
-        spread = amounts.agg(F.max_by("entity", "n").alias("high"), (F.max("n") - F.min("n")).alias("gap"), (F.max("n") / F.min("n")).alias("ratio")).first()
-        text = "; ".join(f"{e}: {v}" for e, v in known) + (f". {spread.high} is highest, by a factor of {spread.ratio:.2f}." if spread.ratio else ".")
-        return Answer(p.question, text, False, support_level="MODERATE")
+        return Answer(
+            p.question, " ".join(lines), False, "", label, float(scored.score) if scored else 0.0, coverage, [v.asDict() for v in verdicts], cites, history,
+            [c.asDict() for c in pairs], n_versions=n_versions, n_conflicts=n_conflicts, trace=trace,
+        )
+
+    def _verdicts(self, p: Row, entity: str, evidence: DataFrame) -> tuple[list[Row], list[str]]:
+        """Verdicts of the claims that bear on the question, each over other documents than its own, and sentences that may be said."""
+        one = self.spark.createDataFrame([(0, p.question, entity, p.attribute)], "query_id int, question string, entity string, attribute string")
+        texts = evidence.withColumn("query_id", F.lit(0))
+        found = C.extract(texts.select("doc_id", "text", F.lit(entity).alias("subject"))).withColumn("query_id", F.lit(0))
+        own = A.focused(found, one)
+        # a claim that names no dates holds for its document's period
+        own = self._held(own)
+        period = texts.select("doc_id", F.col("valid_from").alias("_from"), F.col("valid_to").alias("_to"))
+        bare = F.col("valid_from").isNull() & F.col("valid_to").isNull()
+        dated = own.withColumns({c: F.try_to_timestamp(c) for c in ("valid_from", "valid_to")}).join(period, "doc_id")
+        dated = dated.withColumns({"valid_from": F.when(bare, F.col("_from")).otherwise(F.col("valid_from")), "valid_to": F.when(bare, F.col("_to")).otherwise(F.col("valid_to"))})
+        routed = A.route(dated, texts).join(own.select("claim_id", F.col("doc_id").alias("_own")), "claim_id").where("doc_id <> _own")
+        pairs = routed.select("claim_id", "doc_id", "source", F.col("etext").alias("text"), "valid_to")
+        # with a single document there is nothing else to hold a claim against: it then stands on its own text
+        alone = own.join(pairs.select("claim_id").distinct(), "claim_id", "left_anti").join(texts.select("doc_id", "source", F.col("text").alias("etext"), F.col("valid_to").alias("evalid_to")), "doc_id")
+        pairs = pairs.unionByName(alone.select("claim_id", "doc_id", "source", F.col("etext").alias("text"), F.col("evalid_to").alias("valid_to")))
+        verdicts = C.verify(own, pairs, F.lit(p.time.anchor))
+        backing = pairs.groupBy("claim_id").agg(F.array_sort(F.collect_set("doc_id")).alias("backing"))
+        judged = own.select("claim_id", "text", "value", F.col("doc_id").alias("own_doc"), "valid_to").join(verdicts, "claim_id").join(backing, "claim_id", "left")
+        judged = judged.withColumn("backing", F.array_union(F.array("own_doc"), F.coalesce("backing", F.array().cast("array<string>"))))
+        said = A.rewrite(judged.withColumn("refuting", F.expr("slice(backing, 2, 1)"))).orderBy("claim_id")
+        return judged.orderBy("claim_id").collect(), [r.sentence for r in said.collect()]
+
+    def compare(self, p: Row) -> Answer:
+        """One value for each entity named, their spread, and whether their periods are the same."""
+        trace: list[str] = []
+        names = self.entities_of(list(p.names))
+        parts = [self.head(e, p.attribute, p, trace).withColumn("place", F.lit(i)) for i, e in enumerate(names)]
+        if not parts:
+            return Answer(p.question, "No entities to compare are named.", True, "nothing to compare", trace=trace)
+        rows = parts[0]
+        for part in parts[1:]:
+            rows = rows.unionByName(part)
+        rows = rows.withColumn("n", number(F.col("value"))).where("n is not null").groupBy("place", "entity").agg(F.max_by(F.struct("value", "n", "valid_from", "valid_to", "source_id"), F.struct("recorded_at", "seq")).alias("v")).select("place", "entity", "v.*")
+        rows = rows.withColumns({"query_id": F.lit(0), "shown": human_amount(F.col("n"), F.when(F.upper("value").endswith("USD"), "USD").otherwise(""))})
+        known = rows.orderBy("place").collect()
+        missing = [e for e in names if e not in {r.entity for r in known}]
+        if len(known) < 2 or missing:
+            return Answer(p.question, f"A comparison needs a value on record for each side; there is none for {', '.join(missing) or 'the others'}.", True, "nothing to compare", trace=trace)
+        spread = A.compared_amounts(rows).withColumn("gap_shown", human_amount(F.col("gap"), F.lit("USD" if known[0].value.upper().endswith("USD") else ""))).first()
+        text = "; ".join(f"{r.entity}: {r.shown.strip()} [E{i}]" for i, r in enumerate(known, 1)) + f". {spread.highest} is higher than {spread.lowest} by {spread.gap_shown.strip()}"
+        text += f" (a factor of {spread.ratio:.2f})." if spread.ratio else "."
+        text += " The difference is not reported by either source; it is computed here."
+        if not spread.aligned:
+            text += " The periods are not aligned: " + ", ".join(f"{r.entity} {r.valid_from:%Y-%m-%d} to {f'{r.valid_to:%Y-%m-%d}' if r.valid_to else 'open'}" for r in known) + "."
+        cites = [{"doc_id": r.entity, "source": r.source_id, "date": str(r.valid_from), "marker": f"E{i}"} for i, r in enumerate(known, 1)]
+        return Answer(p.question, text, False, support_level="MODERATE", citations=cites, comparison=[{"entity": r.entity, "value": r.value, "valid_from": r.valid_from, "valid_to": r.valid_to} for r in known], trace=trace)
 
     def with_facts(self, versions: DataFrame, chunks: DataFrame) -> Engine:
         """An engine over the store with further documents and a store of versions that takes them in."""
-        return Engine(versions, self.chunks.unionByName(chunks.select(self.chunks.columns)), self.ref, self.config)
+        return Engine(versions, self.chunks.unionByName(chunks.select(self.chunks.columns)), self.ref, self.config, self.aliases)
 
     def freshness_lag(self, question: str, versions: DataFrame, chunks: DataFrame) -> dict:
         """The answer before and after new facts, and the seconds it takes to take them in and answer again."""

@@ -13,16 +13,15 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import metrics as M
 from tidemark.operators.assess import run_measures
-from tidemark.plans.answer import Config, Engine
+from tidemark.plans.answer import MODES, Config, Engine
 
 # Words that mark an answer as no longer certain.
 STALENESS = ("valid until", "last verified", "as of", "no current evidence", "not confirmed", "was ", "previously", "earlier period", "may no longer", "at the time")
 ANSWERS = "system string, qid string, category string, answer string, abstained boolean, support_level string, n_conflicts int, coverage double, docs array<string>, expected array<string>, outdated array<string>, should_abstain boolean, has_conflict boolean"
-MODES = ("lexical", "temporal", "full")
 
 
 def ladder(versions: DataFrame, chunks: DataFrame, ref: datetime, **config) -> dict[str, Engine]:
-    """Engines of rising means: BM25 alone, with time and source signals, and with the store of versions."""
+    """Engines of rising means: BM25 alone, vectors alone, both, with time and source signals, and with the store of versions."""
     return {m: Engine(versions, chunks, ref, Config(mode=m, **config)) for m in MODES}
 
 

@@ -18,7 +18,7 @@ from tidemark.operators import claims as C
 from tidemark.operators import corpus as P
 from tidemark.operators import graph as G
 from tidemark.operators import retrieval as R
-from tidemark.plans.planner import intent_column
+from tidemark.plans import planner as N
 from tidemark.sources import readers as S
 from tidemark.streaming import detector as D
 
@@ -496,7 +496,7 @@ def poll_intervals(spark, sf):
 @query()
 def question_intents(spark, sf):
     """Cue lists over conversation turns; tests use inline questions."""
-    return S.table(spark, sf, "conversations").select("conv_id", "turn", intent_column(F.col("text")).alias("intent"))
+    return S.table(spark, sf, "conversations").select("conv_id", "turn", N.time_asked(F.col("text"), _ts("2026-06-01"))["intent"].alias("intent"))
 
 
 @query()
