@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import textkernel as K
 from tidemark.llm.filters import bloom, maybe
-from tidemark.llm.store import discard, documents_of, exists, new_path, remove, staged
+from tidemark.llm.store import discard, documents_of, exists, new_path, remove, shuffles_freed, staged
 
 WINDOW = 20
 _NO_ID = (1 << 63) - 1
@@ -95,7 +95,7 @@ def _distinct(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, n
 
 def fingerprints(docs: DataFrame, buckets: int) -> DataFrame:
     """(bucket, data): the packed fingerprints of a batch, several rows for each range; the lowest bit says that one stands twice in its row."""
-    shift, limit = _U(64 - buckets.bit_length() + 1), 1 << 21
+    shift, limit = _U(64 - buckets.bit_length() + 1), 1 << 20
 
     def give(parts: list) -> Iterator[pa.RecordBatch]:
         w, check = _distinct(parts)
@@ -129,7 +129,7 @@ class FingerprintLog:
             rows = spark.read.schema(_MANIFEST).parquet(f"{self.path}/manifest/v={self.version:06d}").collect()
             self.runs = sorted((r.run, r.size) for r in rows)
             buckets = rows[0].buckets
-        self.buckets = buckets or 1 << max(6, int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length())
+        self.buckets = buckets or 1 << max(9, int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length())
         for run, _ in self.runs:
             self._table(run)
 
@@ -156,7 +156,10 @@ class FingerprintLog:
             run += 1
         made = min(self.buckets, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         self.spark.range(1).select(F.lit(made).alias("tables")).write.mode("overwrite").parquet(f"{self.path}/shape-{run:06d}")
-        rows.repartition(made, "bucket").write.format("parquet").mode("overwrite").bucketBy(made, "bucket").sortBy("bucket").option("path", self._where(run)).saveAsTable(self._name(run))
+        # a bucket is one row; rows come dealt by a hash of it already
+        plain = {"path": self._where(run), "compression": "none", "parquet.enable.dictionary": "false"}
+        with shuffles_freed(self.spark):
+            rows.write.format("parquet").mode("overwrite").bucketBy(made, "bucket").sortBy("bucket").options(**plain).saveAsTable(self._name(run))
         return run
 
     def _merged(self, rows: DataFrame) -> DataFrame:

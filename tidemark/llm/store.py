@@ -15,6 +15,7 @@ import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,13 +64,13 @@ def _at_exit(spark: SparkSession, path: str) -> None:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, path: str, *by: str) -> None:
-    """Write the rows to a new path as Parquet, in folders by some columns; the shuffle files of this one run are removed when it has ended."""
-    spark = df.sparkSession
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Within this, the shuffle files of each run are removed when it has ended: for runs that write a table."""
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        (df.write.partitionBy(*by) if by else df.write).parquet(path)
+        yield
     finally:
         spark.conf.set(_CLEANUP, before)
 
@@ -78,7 +79,8 @@ def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write the rows to the shared folder as Parquet (in folders by a column) and read them back: lineage is cut there."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    written(df, path, *filter(None, [by]))
+    with shuffles_freed(spark):
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
