@@ -86,7 +86,8 @@ def attribute(text: Column, mode: str = "words") -> Column:
     for name, words in reversed(ATTRIBUTES.items()):
         pattern = "|".join(words) if mode == "reference" else r"\b(" + "|".join(words) + r")\b"
         out = F.when(F.lower(text).rlike(pattern), name).otherwise(out)
-    return out
+    every = "|".join(w for words in ATTRIBUTES.values() for w in words)
+    return F.when(F.lower(text).rlike(every if mode == "reference" else rf"\b(?:{every})\b"), out).otherwise("")  # most texts name none
 
 
 def number(text: Column) -> Column:
@@ -94,7 +95,7 @@ def number(text: Column) -> Column:
     value = F.replace(F.regexp_extract(text, NUMBER, 2), F.lit(","), F.lit("")).try_cast("double")
     unit = F.lower(F.regexp_extract(text, NUMBER, 3))
     scale = F.when(unit.isin("billion", "bn"), 1e9).when(unit.isin("million", "m"), 1e6).when(unit == "k", 1e3).otherwise(1.0)
-    return value * scale
+    return F.when(text.rlike("[0-9]"), value * scale)
 
 
 def unit(text: Column) -> Column:

@@ -121,10 +121,13 @@ def human_amount(value: pd.Series, unit: pd.Series) -> pd.Series:
     return pd.Series([one(v, u) for v, u in zip(value, unit, strict=True)])
 
 
-@F.pandas_udf(StringType())
-def short_number(value: pd.Series) -> pd.Series:
+def short_number(value: Column) -> Column:
     """Six significant digits, as Python's %g."""
-    return value.map(lambda v: None if pd.isna(v) else f"{v:g}")
+    shown = F.format_string("%.5e", value)
+    power, bare = F.substring_index(shown, "e", -1), lambda x: F.regexp_replace(x, r"\.?0+$", "")
+    plain = bare(shown.try_cast("decimal(38,10)").cast("string"))
+    whole = F.concat(F.regexp_replace(F.substring_index(shown, "e", 1), r"\.?0+$", ""), F.lit("e"), power)
+    return F.when(value.isNotNull(), F.when(power.try_cast("int").between(-4, 5), F.when(value == 0, "0").otherwise(plain)).otherwise(whole))
 
 
 def wiki_value(attribute: Column, value: Column) -> Column:

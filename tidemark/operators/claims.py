@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from tidemark.functions import evidence as E
 from tidemark.functions import text as X
@@ -19,26 +17,19 @@ DATE = r"(?:(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s+\d{4}|\d
 SINCE = rf"(?i)\b(?:since|effective|starting|as of|from)\s+({DATE})"
 UNTIL = rf"(?i)\b(?:until|through|up to|ended?)\s+({DATE})"
 PERSON_ATTRIBUTES = ("ceo", "cto", "cfo")
+CLAUSE = r";\s*|,\s+(?:and|but|while|whereas)\s+|\s+--\s+"
 
 
-@F.pandas_udf(StringType())
-def leading_subject(sentence: pd.Series) -> pd.Series:
+def leading_subject(sentence: Column) -> Column:
     """The capitalised phrase that opens a sentence, within its first six words."""
+    first = F.array_join(F.slice(F.split(F.trim(F.regexp_replace(sentence, r"\s+", " ")), " "), 1, 6), " ")
+    phrase = F.regexp_extract(first, r"(?:^| )(\p{Lu}\S*(?: (?:\p{Lu}\S*|(?i:of|and|&)(?= |$)))*)", 1)
+    return F.trim(F.regexp_replace(phrase, r"(?<![^ ])[,.:;]+|[,.:;]+(?![^ ])", ""))
 
-    def one(s: str) -> str:
-        out: list[str] = []
-        for w in (s or "").split()[:6]:
-            if w[:1].isupper() or (out and w.lower() in ("of", "and", "&")):
-                out.append(w.strip(",.:;"))
-            elif out:
-                break
-        return " ".join(out)
 
-    return sentence.map(one)
-
-
-def claim_value(text: Column, attribute: Column) -> Column:
-    """A person, a state or a figure, as the attribute calls for; empty without one."""
+def claim_value(text: Column, attribute: Column, numeric: Column | None = None, unit: Column | None = None) -> Column:
+    """A person, a state or a figure (that of `numeric` and `unit`, where they are known), as the attribute calls for; empty without one."""
+    numeric, unit = E.number(text) if numeric is None else numeric, E.unit(text) if unit is None else unit
     person = F.lit("")
     for pattern in reversed(PERSON):
         name = F.regexp_extract(text, pattern, 1)
@@ -47,7 +38,7 @@ def claim_value(text: Column, attribute: Column) -> Column:
     stated, state = F.trim(F.regexp_extract(text, r"(?i)\bstatus\s+(?:is|=|:)\s*([a-z ]+)", 1)), F.lit("")
     for word in reversed(STATES):
         state = F.when(F.contains(F.lower(text), F.lit(word)), word).otherwise(state)
-    figure = F.coalesce(F.concat(X.short_number(E.number(text)), E.unit(text)), F.lit(""))
+    figure = F.coalesce(F.concat(X.short_number(numeric), unit), F.lit(""))
     return F.when(attribute.isin(*PERSON_ATTRIBUTES), person).when(attribute == "status", F.when(stated != "", stated).otherwise(state)).otherwise(figure)
 
 
@@ -59,12 +50,12 @@ def extract(docs: DataFrame, mode: str = "words") -> DataFrame:
     hint = F.col("subject") if "subject" in docs.columns else F.lit("")
     rows = docs.select("doc_id", hint.alias("hint"), F.explode(X.sentences(F.coalesce("text", F.lit("")))).alias("s")).select("doc_id", "hint", "s.*")
     plain = F.regexp_replace("sentence", r",\s+which\s+[^,]+,\s*", " ")
-    rows = rows.select("doc_id", "hint", "start", F.posexplode(F.split(plain, r";\s+|,\s+(?:and|but|while)\s+")).alias("clause", "text"))
+    rows = rows.select("doc_id", "hint", "start", F.posexplode(F.split(plain, CLAUSE)).alias("clause", "text"))
     rows = rows.where(F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")) >= 3)
-    rows = rows.withColumns({"attribute": E.attribute(F.col("text"), mode), "numeric": E.number(F.col("text")), "unit": E.unit(F.col("text")), "lead": leading_subject("text")})
+    rows = rows.withColumns({"attribute": E.attribute(F.col("text"), mode), "numeric": E.number(F.col("text")), "unit": E.unit(F.col("text")), "lead": leading_subject(F.col("text"))})
     pronoun = F.col("lead").rlike(r"(?i)^(it|its|they|their|he|she|his|her|the company|the firm|this)$")
     rows = rows.withColumn("subject", F.when((F.col("lead") == "") | pronoun, F.col("hint")).otherwise(F.col("lead")))
-    rows = rows.withColumns({"value": claim_value(F.col("text"), F.col("attribute")), "hedged": E.hedged(F.col("text")), "checkable": E.checkable(F.col("text")), "valid_from": F.nullif(F.regexp_extract("text", SINCE, 1), F.lit("")), "valid_to": F.nullif(F.regexp_extract("text", UNTIL, 1), F.lit(""))})
+    rows = rows.withColumns({"value": claim_value(F.col("text"), F.col("attribute"), F.col("numeric"), F.col("unit")), "hedged": E.hedged(F.col("text")), "checkable": E.checkable(F.col("text")), "valid_from": F.nullif(F.regexp_extract("text", SINCE, 1), F.lit("")), "valid_to": F.nullif(F.regexp_extract("text", UNTIL, 1), F.lit(""))})
     return rows.select("doc_id", F.concat_ws(":", F.col("doc_id").cast("string"), "start", "clause").alias("claim_id"), "text", "subject", "attribute", "value", "numeric", "unit", "hedged", "checkable", "valid_from", "valid_to", "start")
 
 

@@ -11,7 +11,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import tokens
@@ -27,11 +27,8 @@ def postings(docs: DataFrame) -> DataFrame:
     return split.select("doc_id", "len", F.explode("t").alias("term")).groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score) for every pair that shares a term, queries(query_id, text); nine decimals, so that equal texts tie."""
-    size = docs.select(F.size(tokens(F.col("text"))).alias("n")).agg(F.count("*").alias("n_docs"), F.avg("n").alias("avg_len"))
-    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    found = postings(docs).join(asked.select("term").distinct(), "term", "left_semi")
+def _scored(found: DataFrame, asked: DataFrame, size: DataFrame) -> DataFrame:
+    """BM25 of postings(term, doc_id, tf, len) for asked(query_id, term, qf), with one row of (n_docs, avg_len)."""
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("qf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.greatest(F.col("avg_len"), F.lit(1e-9))))
@@ -39,6 +36,43 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     return weighed.join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 9).alias("score"))
 
 
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
+
+
+def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score) for every pair that shares a term, queries(query_id, text); nine decimals, so that equal texts tie."""
+    size = docs.select(F.size(tokens(F.col("text"))).alias("n")).agg(F.count("*").alias("n_docs"), F.avg("n").alias("avg_len"))
+    asked = _asked(queries)
+    return _scored(postings(docs).join(asked.select("term").distinct(), "term", "left_semi"), asked, size)
+
+
+class TextIndex:
+    """Postings and lengths on disk, in parts by term, so that a query reads the parts of its terms alone.
+
+    `add` appends a batch of documents (of new doc_ids); document frequencies and the mean length are taken over all
+    batches when a query is asked, so an index of batches scores as one of the whole.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, parts: int = 64) -> None:
+        self.spark, self.path, self.parts = spark, path, parts
+
+    def _part(self) -> Column:
+        return F.pmod(F.xxhash64("term"), F.lit(self.parts)).cast("int").alias("part")
+
+    def add(self, docs: DataFrame) -> None:
+        postings(docs).select("*", self._part()).repartition("part").write.mode("append").partitionBy("part").parquet(f"{self.path}/postings")
+        docs.select("doc_id", F.size(tokens(F.coalesce("text", F.lit("")))).alias("len")).write.mode("append").parquet(f"{self.path}/lengths")
+
+    def top(self, queries: DataFrame, k: int = 20) -> DataFrame:
+        """The best k documents of each query(query_id, text)."""
+        size = self.spark.read.parquet(f"{self.path}/lengths").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+        asked = _asked(queries)
+        wanted = asked.select("term", self._part()).distinct()
+        found = self.spark.read.parquet(f"{self.path}/postings").join(wanted, ["part", "term"], "left_semi").drop("part")
+        return top_k(_scored(found, asked, size).where("score > 0"), k)
+
+
 def top_k(scored: DataFrame, k: int, score: str = "score", by: str = "query_id", key: str = "doc_id") -> DataFrame:
     order = Window.partitionBy(by).orderBy(F.desc(score), key)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -104,7 +138,7 @@ def vector_top(vectors: DataFrame, queries: DataFrame, k: int = 20, code: bool =
         x = t.column("v").combine_chunks()
         x = x.flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
         x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        return np.rint(x * 127) / 127 if code else x
+        return np.rint(x * 127) if code else x  # products of whole numbers are exact, so equal ones tie
 
     def job(q: pa.Table, v: pa.Table) -> pa.Table:
         if not q.num_rows or not v.num_rows:
@@ -114,6 +148,7 @@ def vector_top(vectors: DataFrame, queries: DataFrame, k: int = 20, code: bool =
         x, ids, parts = x[by_id], ids[by_id], []
         for i in range(0, q.num_rows, 256):
             scores = unit_rows(q.slice(i, 256)) @ x.T
+            scores = scores / (127 * 127) if code else scores
             best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
             parts.append((np.repeat(asked_ids[i : i + 256], best.shape[1]), ids[best].ravel(), np.take_along_axis(scores, best, axis=1).ravel()))
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], schema=schema)

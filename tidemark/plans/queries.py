@@ -117,11 +117,12 @@ def bt_belief_as_of(spark, sf):
 
 
 @query(
-    """WITH d AS (SELECT DISTINCT concat_ws('-', l_orderkey, l_linenumber) entity, CAST(CAST(l_quantity AS INT) AS VARCHAR) v FROM lineitem)
-SELECT entity, count(*) * (count(*) - 1) // 2 AS n_pairs FROM d GROUP BY entity HAVING count(*) > 1"""
+    """WITH d AS (SELECT DISTINCT concat_ws('-', l_orderkey, l_linenumber) entity, CAST(l_quantity AS INT) v FROM lineitem)
+SELECT a.entity, CAST(a.v AS BIGINT) AS low, CAST(b.v AS BIGINT) AS high FROM d a JOIN d b ON a.entity = b.entity AND a.v < b.v"""
 )
 def bt_conflicts(spark, sf):
-    return B.conflicts(_lines(spark, sf)).groupBy("entity").agg(F.count("*").alias("n_pairs"))
+    a, b = F.col("value_a").cast("long"), F.col("value_b").cast("long")
+    return B.conflicts(_lines(spark, sf)).select("entity", F.least(a, b).alias("low"), F.greatest(a, b).alias("high"))
 
 
 @query(
@@ -149,13 +150,22 @@ def halflife_median(spark, sf):
 
 
 @query(
-    """SELECT o_orderkey AS seq, round(pow(0.5, greatest(0, (epoch_us(TIMESTAMP '2000-01-01') - epoch_us(o_orderdate)) / 86400000000.0) / 240.0), 6) AS freshness,
-round(CASE WHEN o_orderdate + INTERVAL 90 DAY >= TIMESTAMP '2000-01-01' THEN 0.9 ELSE 0.4 * pow(0.5, floor((epoch_us(TIMESTAMP '2000-01-01') - epoch_us(o_orderdate + INTERVAL 90 DAY)) / 86400000000.0) / 365.25) END, 6) AS current_score FROM orders"""
+    """WITH o AS (SELECT o_orderkey AS seq, o_orderdate s, CASE WHEN o_orderkey % 3 > 0 THEN o_orderdate + INTERVAL 90 DAY END e, TIMESTAMP '2000-01-01' t, TIMESTAMP '1997-01-01' r0, TIMESTAMP '1998-01-01' r1 FROM orders),
+d AS (SELECT *, (epoch_us(t) - epoch_us(s)) / 86400000000.0 ts, (epoch_us(t) - epoch_us(e)) / 86400000000.0 te FROM o)
+SELECT seq, round(pow(0.5, greatest(0, ts) / 240.0), 6) AS freshness,
+round(CASE WHEN e IS NULL THEN 1.0 WHEN e >= t THEN 0.9 ELSE 0.4 * pow(0.5, floor(te) / 365.25) END, 6) AS current_score,
+round(CASE WHEN s <= t AND (e IS NULL OR t < e) THEN 1.0 ELSE pow(0.5, coalesce(least(abs(floor(ts)), abs(floor(te))), abs(floor(ts))) / 365.25) END, 6) AS historical_score,
+round(greatest(0, least(1, (epoch_us(least(coalesce(e, r1), r1)) - epoch_us(greatest(s, r0))) / 86400000000.0 / 365.0)), 6) AS range_score,
+CASE WHEN e IS NULL THEN 0.75 ELSE 1.0 END AS change_score FROM d"""
 )
 def freshness_and_overlap(spark, sf):
     ref, o = _ts("2000-01-01"), S.table(spark, sf, "orders").withColumn("at", F.col("o_orderdate").cast("timestamp"))
-    end = F.timestamp_add("DAY", F.lit(90), F.col("at"))
-    return o.select(F.col("o_orderkey").alias("seq"), F.round(T.freshness(F.col("at"), ref, F.lit(240.0)), 6).alias("freshness"), F.round(T.overlap_score(F.col("at"), end, "CURRENT", ref), 6).alias("current_score"))
+    end = F.when(F.col("o_orderkey") % 3 > 0, F.timestamp_add("DAY", F.lit(90), F.col("at")))
+    score = lambda intent: F.round(T.overlap_score(F.col("at"), end, intent, ref, _ts("1997-01-01"), _ts("1998-01-01")), 6)
+    return o.select(
+        F.col("o_orderkey").alias("seq"), F.round(T.freshness(F.col("at"), ref, F.lit(240.0)), 6).alias("freshness"),
+        *[score(i).cast("double").alias(f"{i.lower()}_score") for i in ("CURRENT", "HISTORICAL", "RANGE", "CHANGE")],
+    )
 
 
 @query(_TL + "SELECT entity, previous_value AS old_value, value AS new_value, CAST(vf AS VARCHAR) detected_at FROM tl WHERE previous_value IS NOT NULL ORDER BY vf DESC, entity, value LIMIT 100")
@@ -201,9 +211,9 @@ def _bm25(spark, sf, k=10):
     return R.bm25_top(docs, bench.select(F.col("item_id").alias("query_id"), "text"), k)
 
 
-@query(_BM25 + "SELECT query_id, rank, round(score, 4) score FROM top")
+@query(_BM25 + "SELECT query_id, doc_id, rank, round(score, 4) score FROM top")
 def bm25_topk(spark, sf):
-    return _bm25(spark, sf).select("query_id", "rank", F.round("score", 4).alias("score"))
+    return _bm25(spark, sf).select("query_id", "doc_id", "rank", F.round("score", 4).alias("score"))
 
 
 _VEC = """WITH u AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) v FROM embeddings), q AS (SELECT vec_id query_id, label ql, v q FROM u WHERE vec_id % 20 = 0),
@@ -221,10 +231,13 @@ def vec_topk(spark, sf):
     return _vec(spark, sf).select("query_id", "vec_id", "rank", F.round("score", 5).alias("score"))
 
 
-@query()
+@query(
+    """WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) v FROM embeddings), c AS (SELECT vec_id, list_transform(v, lambda x: round_even(x / greatest(sqrt(list_dot_product(v, v)), 1e-12) * 127, 0)) v FROM u),
+s AS (SELECT q.vec_id query_id, c.vec_id, list_dot_product(c.v, q.v) score FROM c, (SELECT * FROM c WHERE vec_id % 20 = 0) q)
+SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) rank, round(score / 16129, 5) score FROM s QUALIFY rank <= 10"""
+)
 def vec_int8(spark, sf):
-    """Search over int8 codes; tests hold its recall against the exact search."""
-    return _vec(spark, sf, code=True).select("query_id", "vec_id", "rank", "score")
+    return _vec(spark, sf, code=True).select("query_id", "vec_id", "rank", F.round("score", 5).alias("score"))
 
 
 @query()
@@ -418,6 +431,20 @@ def independent_sources(spark, sf):
     return G.independent_sources(backs.union(published), "reference")
 
 
+@query(
+    """WITH RECURSIVE d AS (SELECT DISTINCT l_suppkey k, l_returnflag claim FROM lineitem), r(k, up) AS (SELECT DISTINCT k, k FROM d UNION ALL SELECT k, up // 3 FROM r WHERE up % 7 <> 0 AND up // 3 > 0)
+SELECT claim, count(DISTINCT root) n_independent FROM d JOIN (SELECT k, min(up) root FROM r GROUP BY 1) USING (k) GROUP BY 1"""
+)
+def independent_origins(spark, sf):
+    """Documents behind each claim by what they derive from: number k from k div 3, unless 7 divides k."""
+    li = S.table(spark, sf, "lineitem").select("l_suppkey", "l_returnflag").distinct()
+    doc = lambda k: F.concat(F.lit("doc:"), F.lpad(k.cast("string"), 12, "0"))
+    backs = li.select(doc(F.col("l_suppkey")).alias("src"), F.col("l_returnflag").alias("dst"), F.lit("SUPPORTS").alias("etype"))
+    numbers = S.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k")).where("k % 7 <> 0 and k div 3 > 0")
+    derived = numbers.select(doc(F.col("k")).alias("src"), doc(F.expr("k div 3")).alias("dst"), F.lit("DERIVED_FROM").alias("etype"))
+    return G.independent_sources(backs.union(derived))
+
+
 @query("SELECT conv_id, '<|bos|>' || string_agg('<|' || role || '|>' || text, '' ORDER BY turn, role, text) || '<|eos|>' AS rendered, count(*) n_turns FROM conversations GROUP BY 1")
 def chat_render(spark, sf):
     return P.render_chat(S.table(spark, sf, "conversations"))
@@ -466,6 +493,17 @@ def compare_entities(spark, sf):
     return rows.join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("entity"), "year", F.round("r", 2).alias("revenue"))
 
 
+@query(
+    """WITH m AS (SELECT c_nationkey, o_orderpriority p, sum(o_totalprice) n, min(o_orderdate) f, max(o_orderdate) t FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)
+SELECT c_nationkey AS query_id, count(*) n_entities, arg_max(p, n) highest, arg_min(p, n) lowest, round(max(n) - min(n), 2) gap, round(max(n) / min(n), 6) ratio, date_diff('day', min(f), max(f)) <= 7 AND date_diff('day', min(t), max(t)) <= 7 aligned FROM m GROUP BY 1"""
+)
+def compared_amounts(spark, sf):
+    """Order priorities of a nation as the entities that are compared."""
+    o = S.table(spark, sf, "orders").join(S.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = o.groupBy(F.col("c_nationkey").alias("query_id"), F.col("o_orderpriority").alias("entity")).agg(F.sum("o_totalprice").alias("n"), F.min("o_orderdate").alias("valid_from"), F.max("o_orderdate").alias("valid_to"))
+    return A.compared_amounts(rows).withColumns({"gap": F.round("gap", 2), "ratio": F.round("ratio", 6)})
+
+
 @query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '(^|[^\p{L}\p{N}_])(a|an|the)($|[^\p{L}\p{N}_])', '\1 \3', 'g'), '(^|[^\p{L}\p{N}_])(a|an|the)($|[^\p{L}\p{N}_])', '\1 \3', 'g'), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'), ' ') AS normal FROM documents")
 def normal_answers(spark, sf):
     return S.table(spark, sf, "documents").select("doc_id", X.norm_answer(F.col("text")).alias("normal"))
@@ -486,17 +524,26 @@ def poll_suppression(spark, sf):
 
 
 @query(
-    "SELECT user_id, CAST(count(*) AS BIGINT) polls, CAST(CASE WHEN count(*) < 3 THEN 3600 ELSE greatest(300, least(604800, CASE WHEN ch / count(*) < 0.5 THEN 3600 / greatest(ch / count(*), 0.01) ELSE 3600 * ch / count(*) END)) END - 0.5 AS BIGINT) >= 0 AS ok FROM (SELECT user_id, count(*) FILTER (event_type = 'purchase') OVER (PARTITION BY user_id) ch FROM events) GROUP BY user_id, ch"
+    "SELECT user_id, CAST(count(*) AS BIGINT) polls, CAST(trunc(CASE WHEN count(*) < 3 THEN 3600 ELSE greatest(300, least(604800, CASE WHEN ch / count(*) < 0.5 THEN 3600 / greatest(ch / count(*), 0.01) ELSE 3600 * (ch / count(*)) END)) END) AS BIGINT) AS seconds FROM (SELECT user_id, count(*) FILTER (event_type = 'purchase') OVER (PARTITION BY user_id) ch FROM events) GROUP BY user_id, ch"
 )
 def poll_intervals(spark, sf):
     per = S.table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("polls"), F.count_if(F.col("event_type") == "purchase").alias("changes"))
-    return per.select("user_id", "polls", (T.next_poll_seconds(F.col("polls"), F.col("changes")) >= 300).alias("ok"))
+    return per.select("user_id", "polls", T.next_poll_seconds(F.col("polls"), F.col("changes")).cast("long").alias("seconds"))
 
 
-@query()
+def _cue(cues):
+    return f"regexp_matches(lower(text), '{_EDGE[0]}({'|'.join(c.replace('.', chr(92) + '.') for c in cues)}){_EDGE[1]}')"
+
+
+_TIMED = lambda pattern: f"regexp_matches(lower(text), '{_EDGE[0]}{pattern.removeprefix(chr(92) + 'b').removesuffix(chr(92) + 'b')}{_EDGE[1]}')"
+
+
+@query(
+    f"""SELECT conv_id, turn, CASE WHEN {_TIMED(N.RANGE)} OR {_TIMED(N.RELATIVE)} THEN 'RANGE' WHEN {_cue(N.CHANGE_CUES)} THEN 'CHANGE' WHEN {_cue(N.CURRENT_CUES)} THEN 'CURRENT'
+WHEN {_TIMED(N.YEAR)} OR {_TIMED(N.MONTH_YEAR)} THEN CASE WHEN contains(lower(text), 'as of') THEN 'AS_OF' ELSE 'HISTORICAL' END WHEN {_cue(N.PAST_CUES)} THEN 'HISTORICAL' ELSE 'CURRENT' END intent FROM conversations"""
+)
 def question_intents(spark, sf):
-    """Cue lists over conversation turns; tests use inline questions."""
-    return S.table(spark, sf, "conversations").select("conv_id", "turn", N.time_asked(F.col("text"), _ts("2026-06-01"))["intent"].alias("intent"))
+    return S.table(spark, sf, "conversations").select("conv_id", "turn", N.time_asked(F.coalesce("text", F.lit("")), _ts("2026-06-01"))["intent"].alias("intent"))
 
 
 @query()
