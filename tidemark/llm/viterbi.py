@@ -3,7 +3,8 @@
 Texts are cut before each run of spaces; no piece reaches over such a cut.  The distinct words of a block of
 texts are sorted by length and those of equal length advance together: hashes of all substrings that start
 at a position probe the sorted hashes of the pieces, and the maxima of score so far keep the piece that led
-to them.  Characters that no piece covers fall back to the bytes of their UTF-8.
+to them.  A word of more than `LONG` characters is cut alone: its pieces are found for all positions at once, and
+only the maxima go from position to position.  Characters that no piece covers fall back to the bytes of their UTF-8.
 
 The vocabulary is a file's; nothing is trained.  Segmentation maximises the sum of the file's piece scores
 (the unigram rule).  A literal U+2581 in a text, which stands for a space inside pieces, also falls back to
@@ -25,6 +26,7 @@ from tidemark.llm.store import documents_of
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _SPACE, _LITERAL = 0x2581, 0x110000
+LONG = 256  # longer words (unspaced scripts, encoded data) are few of one length
 _U = np.uint64
 _B = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_B, -1, 1 << 64)
@@ -138,6 +140,38 @@ def _viterbi(points: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np
     return rows[order], values[order]
 
 
+def _viterbi_long(points: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
+    """The values for one long word, as `_viterbi` gives them: its pieces are found for all positions at once."""
+    length = len(points)
+    sums, down = np.zeros(length + 1, dtype=np.uint64), _powers(_INV, length)
+    np.cumsum(_code(points) * _powers(_B, length), out=sums[1:])
+    ends, sizes, found = [], [], []
+    for size in range(min(vocabulary.longest, length), 0, -1):
+        at = vocabulary.find((sums[size:] - sums[:-size]) * down[: length - size + 1] + _U(_salt(size)))
+        rows = np.arange(length) if size == 1 else np.flatnonzero(at >= 0)
+        ends.append(rows + size)
+        sizes.append(np.full(len(rows), size))
+        found.append(at[rows])
+    end, size, at = (np.concatenate(x) for x in (ends, sizes, found))
+    order = np.argsort(end, kind="stable")  # longer pieces first, as they start earlier
+    score = np.where(at >= 0, vocabulary.scores[at], vocabulary.unknown_score)[order].tolist()
+    value = np.where(at >= 0, vocabulary.ids[at], -1 - points[end - size].astype(np.int64))[order].tolist()
+    size, cut = size[order].tolist(), np.searchsorted(end[order], np.arange(1, length + 2)).tolist()
+    best, back = [0.0] * (length + 1), [0] * (length + 1)
+    for i in range(1, length + 1):
+        top = -np.inf
+        for k in range(cut[i - 1], cut[i]):
+            total = best[i - size[k]] + score[k]
+            if total > top:
+                top, back[i] = total, k
+        best[i] = top
+    out, i = [], length
+    while i:
+        out.append(value[back[i]])
+        i -= size[back[i]]
+    return np.array(out[::-1], dtype=np.int64)
+
+
 def _as_bytes(values: np.ndarray, byte_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids with code points (values below 0) spelt as byte pieces, and how many ids each value became."""
     point = np.where(values < 0, -1 - values, 0)
@@ -181,6 +215,11 @@ def encode(texts: list[str], vocabulary: Vocabulary) -> tuple[np.ndarray, np.nda
     cuts = np.flatnonzero(np.diff(size[first][order], prepend=-1))
     for group in np.split(order, cuts[1:]):
         width = int(size[first[group[0]]])
+        if width > LONG:
+            for k in group.tolist():
+                values.append(_viterbi_long(points[start[first[k]] : start[first[k]] + width], vocabulary))
+                rows.append(np.full(len(values[-1]), k))
+            continue
         for part in np.array_split(group, -(-len(group) * width // (1 << 18))):
             r, v = _viterbi(points[start[first[part]][:, None] + np.arange(width)], vocabulary)
             rows.append(part[r])
