@@ -415,15 +415,15 @@ def dedup_batch(docs: DataFrame, log: FingerprintLog, texts: bool = True) -> Dat
 def dedup(docs: DataFrame, batches: int = 3) -> DataFrame:
     """Remove every word that an earlier-seen 20-word window covers: doc_id, n_words, n_removed, kept_sha256 of every row.
 
-    Documents are appended in `batches` ranges of doc_id, to a log of their own.  A null text has no words; a null
+    Documents are appended in `batches` ranges of doc_id (of about as many rows each), to a log of their own.  A null text has no words; a null
     doc_id stands last; equal rows count as one document and get one result each; of rows that share a doc_id, or
     have none, with different texts the order is that of a hash of the text; other columns are ignored; an empty
     table gives no rows.
     """
     rows = _rows_of(docs)
-    low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
-    at = (F.coalesce("doc_id", F.lit(high)).cast("decimal(20,0)") - low) * batches / (high - low + 1) if low is not None else F.lit(0)
-    span = F.least(F.floor(at).cast("int"), F.lit(batches - 1))
+    bounds = rows.approxQuantile("doc_id", [b / batches for b in range(1, batches)], 0.01) if batches > 1 else []
+    above = [F.coalesce(F.col("doc_id").cast("double") > b, F.lit(True)).cast("int") for b in bounds]  # null ids stand last
+    span = sum(above, F.lit(0))
     log = FingerprintLog(docs.sparkSession)
     found = [log.append(rows.where(span == b)) for b in range(batches)]
     log.drop()
