@@ -76,7 +76,9 @@ def link(found: DataFrame, scope: int = 200) -> DataFrame:
     each = each.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(of_kind).cast("int"))
     each = each.where("good").select("row", "rank", (F.col("end") - F.col("size")).alias("start"), "end")
     order = Window.partitionBy("row").orderBy("start", "rank", "end")
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    # what follows, read backwards: frames that only grow cost one step a row
+    after = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("rank"), F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
 
     def gap(kinds: tuple[str, ...]) -> Column:
         """Characters to the nearest span of these kinds, below 0 for an overlap; null without one."""
