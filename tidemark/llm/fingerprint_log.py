@@ -201,7 +201,7 @@ class FingerprintLog:
         run = self._write(self._merged(new.select("bucket", "new", (F.array(*old) if old else F.lit(None).cast("array<binary>")).alias("old"))))
         table = self._table(run)
         again = staged(_unpacked(table.select("again")), "repeated")
-        marks = staged(_verified(rows, again), "marks")
+        marks = staged(_verified(rows, again, self.buckets), "marks")
         discard(again)
         size = table.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
         self.runs.append((run, size))
@@ -292,7 +292,58 @@ def _marks(ids: np.ndarray, k: np.ndarray, at: np.ndarray) -> tuple[np.ndarray,
     return ids[new], k[new], pa.ListArray.from_arrays(pa.array(np.r_[new, len(ids)].astype(np.int32)), pa.array(at.astype(np.int32)))
 
 
-def _verified(rows: DataFrame, again: DataFrame) -> DataFrame:
+class _Packed:
+    """Marks of many documents, packed by ranges of a hash of the document when there are many."""
+
+    LIMIT = 1 << 20
+
+    def __init__(self, buckets: int) -> None:
+        self.parts, self.size, self.buckets = [], 0, buckets
+
+    def add(self, *columns: np.ndarray) -> None:
+        if len(columns[0]):
+            self.parts.append(columns)
+            self.size += len(columns[0])
+
+    def drain(self, whole: bool = False) -> Iterator[pa.RecordBatch]:
+        if self.size and (whole or self.size > self.LIMIT):
+            columns = [np.concatenate(x) for x in zip(*self.parts, strict=True)]
+            self.parts, self.size = [], 0
+            bucket = K.mix(columns[0].view(_U) * _U(0x9E3779B97F4A7C15) + columns[1].view(_U)) % _U(self.buckets)
+            order = np.lexsort((*columns[::-1], bucket))
+            columns, cut = [c[order] for c in columns], np.searchsorted(bucket[order], np.arange(self.buckets + 1, dtype=_U))
+            at = np.flatnonzero(np.diff(cut))
+            data = [zstd.compress(b"".join(np.ascontiguousarray(c[cut[i] : cut[i + 1]]).tobytes() for c in columns), 1) for i in at]
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(data, pa.binary())], ["bucket", "data"])
+
+
+def _brought_together(packed: DataFrame) -> DataFrame:
+    """(id, k, marks) of packed marks, one row for each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if parts:
+                ids, k, lists = _marks(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+                parts.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(k), lists], ["id", "k", "marks"])
+
+        for batch in batches:
+            for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if bucket != now:
+                    yield from done()
+                    now = bucket
+                raw = zstd.decompress(data.as_py())
+                n = len(raw) // 20
+                parts.append((np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.int64, n, 8 * n), np.frombuffer(raw, np.int32, n, 16 * n)))
+        yield from done()
+
+    dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "id long, k long, marks array<int>")
+
+
+def _verified(rows: DataFrame, again: DataFrame, buckets: int) -> DataFrame:
     """(id, k, marks): for each document of the batch, the starts of the windows that also start earlier."""
     filter_ = rows.sparkSession.sparkContext.broadcast(bloom(again.select(F.col("w").alias("h"))))
 
@@ -312,12 +363,14 @@ def _verified(rows: DataFrame, again: DataFrame) -> DataFrame:
         yield from found.flush()
 
     def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, last = ["id", "k", "marks"], None
+        last, found = None, _Packed(buckets)
         for batch in batches:
             w, check, ids, k, at = (batch.column(i).to_numpy() for i in range(5))
             marked = check < 0
             if marked.any():
-                yield pa.RecordBatch.from_arrays([pa.array(ids[marked]), pa.array(k[marked]), batch.column("marks").filter(pa.array(marked))], names)
+                lists = batch.column("marks").filter(pa.array(marked))
+                n = lists.value_lengths().to_numpy()
+                found.add(np.repeat(ids[marked], n), np.repeat(k[marked], n), lists.flatten().to_numpy(zero_copy_only=False))
             w, check, ids, k, at = (x[~marked] for x in (w, check, ids, k, at))
             if not len(w):
                 continue
@@ -326,15 +379,15 @@ def _verified(rows: DataFrame, again: DataFrame) -> DataFrame:
             of = [np.where(first >= 0, x[first], last[i] if last else 0) for i, x in enumerate((ids, k, at), 2)]
             later_ = (ids != of[0]) | (k != of[1]) | (at != of[2])
             last = (w[-1], check[-1], *(x[-1] for x in of))
-            ids, k, lists = _marks(ids[later_], k[later_], at[later_])
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(k), lists], names)
+            found.add(ids[later_], k[later_], at[later_])
+            yield from found.drain()
+        yield from found.drain(whole=True)
 
     types = "w long, check int, id long, k long, at int, marks array<int>"
     windows = rows.select("id", "k", "text").mapInArrow(suspects, types)
     known = again.where("known").select("w", "check", F.lit(_FIRST).alias("id"), F.lit(0).cast("long").alias("k"), F.lit(-1).alias("at"), F.lit(None).cast("array<int>").alias("marks"))
     dealt = windows.union(known).repartition("w").sortWithinPartitions("w", "check", "id", "k", "at")
-    marks = dealt.mapInArrow(later, "id long, k long, marks array<int>")
-    return marks.groupBy("id", "k").agg(F.flatten(F.collect_set("marks")).alias("marks"))
+    return _brought_together(dealt.mapInArrow(later, "bucket int, data binary"))
 
 
 def _kept(n_rows: int, block: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray, covered: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
