@@ -46,16 +46,16 @@ SCOPE = r"(?i)\b(segment|division|subsidiary|region|excluding|including|adjusted
 CONTENT_STOP = "a an the of and or to in on at for is are was were be by with as that this it its from".split()
 
 
-def tier(source: Column, domain: str = "government") -> Column:
-    """1 (primary) to 4; the first tier of which a pattern is found counts, 3 if none is."""
+def tier(source: Column, domain: str = "government", overrides: dict[str, int] | None = None) -> Column:
+    """1 (primary) to 4; the first tier of which a pattern is found counts, 3 if none is.  `overrides` fix single sources."""
     s, out = F.lower(source), F.lit(3)
     for t in (4, 3, 2, 1):
         out = F.when(s.rlike("|".join(TIERS[domain][t])), F.lit(t)).otherwise(out)
-    return out
+    return reduce(lambda o, name: F.when(s == name.lower(), F.lit(overrides[name])).otherwise(o), overrides or {}, out)
 
 
-def authority(source: Column, domain: str = "government") -> Column:
-    t = tier(source, domain)
+def authority(source: Column, domain: str = "government", overrides: dict[str, int] | None = None) -> Column:
+    t = tier(source, domain, overrides)
     return reduce(lambda out, k: F.when(t == k, TIER_PRIOR[k]).otherwise(out), TIER_PRIOR, F.lit(0.4))
 
 

@@ -64,6 +64,19 @@ def overlap_score(start: Column, end: Column, intent: str, anchor: Column, range
     return F.lit(0.5)
 
 
+def shown_date(at: Column, precision: Column | None = None) -> Column:
+    """A date no more precise than its source states it (`year`, `month`, else the day); "unknown" for null."""
+    day = F.date_format(at, "yyyy-MM-dd")
+    if precision is not None:
+        day = F.when(precision == "year", F.date_format(at, "yyyy")).when(precision == "month", F.date_format(at, "MMMM yyyy")).otherwise(day)
+    return F.coalesce(day, F.lit("unknown"))
+
+
+def shown_end(at: Column, precision: Column | None = None) -> Column:
+    """The end of a validity: "present" for an open one."""
+    return F.when(at.isNull(), "present").otherwise(shown_date(at, precision))
+
+
 def next_poll_seconds(polls: Column, changes: Column, base: int = 3600, low: int = 300, high: int = 604_800) -> Column:
     """Polling interval from the share of polls that saw a change; the base before the third poll."""
     v = changes / F.greatest(polls, F.lit(1))

@@ -6,6 +6,8 @@ else is the keyed fold `assert_facts`, in the order of (recorded_at, seq).  Ever
 
 from __future__ import annotations
 
+import bisect
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -183,13 +185,19 @@ _FOLD = "entity string, attribute string, seq long, value string, valid_from lon
 def _fold(group: pd.DataFrame, bitemporal: bool) -> pd.DataFrame:
     """Versions of one key from its assertions in order. Times are microseconds, None for open."""
     versions: list[dict] = []
+    order: list[tuple[bool, int, int]] = []  # versions that weren't replaced, by start
+    place = lambda v: (v["valid_from"] is not None, v["valid_from"] or 0, v["n"])
     norm = lambda v: " ".join(str(v).strip().lower().replace(",", "").split())
     none = lambda x: None if pd.isna(x) else int(x)
     for row in group.sort_values(["recorded_at", "seq"]).itertuples(index=False):
         start, end, now, source = none(row.valid_from), none(row.valid_to), none(row.recorded_at), row.source_id or ""
         low = -(1 << 63) if start is None else start
-        live = [v for v in versions if v["superseded_at"] is None and (v["valid_from"] is None or v["valid_from"] <= low) and (v["valid_to"] is None or low < v["valid_to"])]
-        prior = max(live, key=lambda v: (v["valid_from"] is not None, v["valid_from"] or 0, v["n"]), default=None)
+        prior = None  # of the versions that cover the start, the one that began last
+        for i in range(bisect.bisect_right(order, (start is not None, start or 0, 1 << 62)) - 1, -1, -1):
+            v = versions[order[i][2]]
+            if v["valid_to"] is None or low < v["valid_to"]:
+                prior = v
+                break
         evidence = [] if row.evidence_ids is None else list(row.evidence_ids)
         kind = "CREATED"
         if prior is not None:
@@ -204,12 +212,15 @@ def _fold(group: pd.DataFrame, bitemporal: bool) -> pd.DataFrame:
                 kind = "CHANGED"
                 if bitemporal:
                     prior["superseded_at"] = now
+                    order.remove(place(prior))
                     versions.append({**prior, "superseded_at": None, "recorded_at": now, "valid_to": start, "n": len(versions)})
+                    bisect.insort(order, place(versions[-1]))
                 else:
                     prior["valid_to"] = start if prior["valid_to"] is None else min(prior["valid_to"], start)
             elif source and source == prior["source_id"] and now > prior["recorded_at"] and (start, end) == (prior["valid_from"], prior["valid_to"]):
                 kind = "CORRECTED"
                 prior["superseded_at"] = now
+                order.remove(place(prior))
             else:
                 kind = "CONFLICT"
         versions.append(
@@ -218,6 +229,7 @@ def _fold(group: pd.DataFrame, bitemporal: bool) -> pd.DataFrame:
                 "source_id": source, "evidence_ids": evidence, "confidence": float(row.confidence), "change_kind": kind, "previous_value": prior["value"] if prior else None, "n": len(versions),
             }
         )
+        bisect.insort(order, place(versions[-1]))
     frame = pd.DataFrame(versions, columns=[f.split()[0] for f in _FOLD.split(", ")])
     times = ("valid_from", "valid_to", "recorded_at", "superseded_at")
     return frame.astype({c: "Int64" for c in times})

@@ -68,12 +68,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return labels
 
 
-def chunk_text(text: str, target: int = 256, overlap: int = 40) -> list[tuple[str, int, int, str]]:
+def chunk_text(text: str, target: int = 256, overlap: int = 40, size: Callable[[str], int] | None = None) -> list[tuple[str, int, int, str]]:
     """(text, start, end, heading path) chunks of one document: sections by headings, paragraphs, then sentences, packed greedily.
 
-    Sizes are counted as a quarter of the characters; the tail of a chunk is repeated in the next up to `overlap`.
+    `size` counts a text's tokens (a quarter of its characters); the tail of a chunk is repeated in the next up to
+    `overlap`.  start and end are where the chunk's first piece starts and its last one ends.
     """
-    size = lambda s: max(1, len(s) // 4)
+    size = size or (lambda s: max(1, len(s) // 4))
 
     def cut(body: str, at: int, pattern: str) -> list[tuple[str, int]]:
         edges = [0, *[x for m in re.finditer(pattern, body) for x in m.span()], len(body)]
@@ -93,7 +94,7 @@ def chunk_text(text: str, target: int = 256, overlap: int = 40) -> list[tuple[st
         def close(held=held, heading=heading) -> None:
             whole = "\n\n".join(p for p, _ in held).strip()
             if whole:
-                out.append((whole, held[0][1], held[0][1] + len(whole), heading))
+                out.append((whole, held[0][1], held[-1][1] + len(held[-1][0]), heading))
 
         for piece, at in units:
             if held and sum(size(p) for p, _ in held) + size(piece) > target:
@@ -107,18 +108,27 @@ def chunk_text(text: str, target: int = 256, overlap: int = 40) -> list[tuple[st
     return out
 
 
-def chunks(docs: DataFrame, target: int = 256, overlap: int = 40) -> DataFrame:
+def chunks(docs: DataFrame, target: int = 256, overlap: int = 40, size: Callable[[str], int] | None = None) -> DataFrame:
     """(doc_id, chunk_id, text, start_char, end_char, heading); rows are independent, nothing is shuffled."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(i, f"{i}#{n}", *c) for i, t in zip(frame["doc_id"], frame["text"], strict=True) for n, c in enumerate(chunk_text(t or "", target, overlap))]
+            rows = [(i, f"{i}#{n}", *c) for i, t in zip(frame["doc_id"], frame["text"], strict=True) for n, c in enumerate(chunk_text(t or "", target, overlap, size))]
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_id", "text", "start_char", "end_char", "heading"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, chunk_id string, text string, start_char int, end_char int, heading string")
 
 
+@F.udtf(returnType="chunk_id int, text string, start_char int, end_char int, heading string")
+class ChunkTable:
+    """Table function: the chunks of a text (`spark.udtf.register`, then lateral joins in SQL)."""
+
+    def eval(self, text: str, target: int, overlap: int) -> Iterator[tuple]:
+        for n, (chunk, start, end, heading) in enumerate(chunk_text(text or "", target, overlap)):
+            yield n, chunk, start, end, heading
+
+
 def replace_document(index: DataFrame, new: DataFrame) -> DataFrame:
     """Chunks with those of the documents in `new` replaced."""
     return index.join(new.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(new)
@@ -309,14 +319,50 @@ def evidence_prompt(evidence: DataFrame) -> DataFrame:
     return evidence.groupBy("query_id").agg(F.concat(lines, F.lit("\n\nQuestion: "), F.first("question"), F.lit(ask)).alias("prompt"))
 
 
-def tail_split(docs: DataFrame, size: str, share: float = 0.01, buckets: int = 256) -> DataFrame:
-    """Mark the last `share` of the tokens, in order of doc_id, as validation: running totals within ranges, then over range totals."""
+def training_examples(conversations: DataFrame, bpe: Bpe, max_len: int) -> DataFrame:
+    """(conv_id, ids, mask, n): turns in order as ids, padded or cut to `max_len`; mask is 1 for what assistants say and the end.
+
+    `bpe` needs the specials <|bos|>, <|eos|>, <|pad|> and <|role|> for each role; a role without one is refused.
+    """
+    special = bpe.special_ids
+    roles = F.create_map(*[F.lit(x) for name, i in special.items() for x in (name, i)])
+    marker = roles[F.concat(F.lit("<|"), F.col("role"), F.lit("|>"))]
+    own = F.when(F.col("role") == "assistant", 1).otherwise(0)
+    turns = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), bpe.column(F.coalesce("text", F.lit(""))).alias("body"))
+    turns = turns.withColumn("marker", F.coalesce(marker, F.raise_error(F.concat(F.lit("no special for role "), F.col("role"))).cast("int")))
+    each = turns.select(
+        "conv_id", F.struct("turn", "role", "text", F.concat(F.array("marker"), "body").alias("ids"), F.concat(F.array(F.lit(0)), F.transform("body", lambda _: own)).alias("mask")).alias("t")
+    )
+    whole = each.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    joined = lambda name, first, last: F.concat(F.array(F.lit(first)), F.flatten(F.transform("turns", lambda t: t[name])), F.array(F.lit(last)))
+    out = whole.select("conv_id", joined("ids", special["<|bos|>"], special["<|eos|>"]).alias("ids"), joined("mask", 0, 1).alias("mask"))
+    fill = lambda c, value: F.slice(F.concat(F.col(c), F.array_repeat(F.lit(value), F.greatest(F.lit(0), max_len - F.size(c)))), 1, max_len)
+    return out.select("conv_id", fill("ids", special["<|pad|>"]).alias("ids"), fill("mask", 0).alias("mask"), F.least(F.size("ids"), F.lit(max_len)).alias("n"))
+
+
+def _running(docs: DataFrame, size: str, buckets: int) -> DataFrame:
+    """With `_upto`, the running total in order of doc_id (within ranges, then over range totals), and `_all`."""
     ranged = docs.repartitionByRange(buckets, "doc_id").withColumn("_p", F.spark_partition_id())
     inside = F.sum(size).over(Window.partitionBy("_p").orderBy("doc_id"))
     totals = ranged.groupBy("_p").agg(F.sum(size).alias("_n"))
     before = totals.withColumn("_before", F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).withColumn("_all", F.sum("_n").over(Window.partitionBy()))
     joined = ranged.withColumn("_in", inside).join(F.broadcast(before), "_p")  # at most `buckets` rows
-    return joined.withColumn("split", F.when(F.coalesce("_before", F.lit(0)) + F.col("_in") > (1 - share) * F.col("_all"), "val").otherwise("train")).drop("_p", "_in", "_n", "_before", "_all")
+    return joined.withColumn("_upto", F.coalesce("_before", F.lit(0)) + F.col("_in")).drop("_p", "_in", "_n", "_before")
+
+
+def write_shards(ids: DataFrame, path: str, tokens: int, buckets: int = 256) -> DataFrame:
+    """Write ids(doc_id, ids) in order of doc_id to folders of about `tokens` tokens each; (shard, n_docs, n_tokens) of what was written."""
+    sized = _running(ids.select("doc_id", "ids", F.size("ids").cast("long").alias("n")), "n", buckets)
+    shard = F.floor((F.col("_upto") - F.col("n")) / tokens).cast("int")
+    sized.select("doc_id", "ids", shard.alias("shard")).repartition("shard").sortWithinPartitions("shard", "doc_id").write.mode("overwrite").partitionBy("shard").parquet(path)
+    back = ids.sparkSession.read.parquet(path)
+    return back.groupBy("shard").agg(F.count("*").alias("n_docs"), F.sum(F.size("ids")).alias("n_tokens"))
+
+
+def tail_split(docs: DataFrame, size: str, share: float = 0.01, buckets: int = 256) -> DataFrame:
+    """Mark the last `share` of the tokens, in order of doc_id, as validation."""
+    split = F.when(F.col("_upto") > (1 - share) * F.col("_all"), "val").otherwise("train")
+    return _running(docs, size, buckets).withColumn("split", split).drop("_upto", "_all")
 
 
 def token_windows(ids: DataFrame, length: int, per_doc: int = 1, seed: int = 0) -> DataFrame:

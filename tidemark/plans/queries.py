@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -305,7 +306,11 @@ def exact_dedup(spark, sf):
 @query()
 def near_dedup_minhash(spark, sf):
     """MinHash bands use Spark's hash family; tests hold the links against exact similarity."""
-    spark.sparkContext.getCheckpointDir() or spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/tidemark-checkpoints"))
+    if not spark.sparkContext.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None) or (tempfile.mkdtemp(prefix="tidemark-") if spark.sparkContext.master.startswith("local") else None)
+        if not folder:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder)
     return P.near_duplicates(S.table(spark, sf, "documents"))
 
 

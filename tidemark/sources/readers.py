@@ -68,6 +68,50 @@ def wiki_revisions(spark: SparkSession, path: str, known: DataFrame | None = Non
     return rows if known is None else rows.join(known.select("entity", "attribute").distinct(), ["entity", "attribute"], "left_anti")
 
 
+def tenure_facts(rows: DataFrame, companies: DataFrame) -> DataFrame:
+    """Tenures as assertions (entity, attribute, value, valid_from, valid_to, recorded_at, source_id), cut at every boundary.
+
+    companies(cik, entity) gives the name under which a company's facts are kept, joined on CIK; a tenure without
+    one keeps its own.
+    """
+    from tidemark.operators.bitemporal import tenure_segments
+
+    names = companies.where("cik is not null").groupBy("cik").agg(F.min("entity").alias("_entity"))
+    named = rows.join(names, "cik", "left").withColumn("entity", F.coalesce("_entity", "entity")).drop("_entity")
+    read = named.groupBy("entity").agg(F.max("retrieved").alias("recorded_at"), F.max("source").alias("source_id"))
+    return tenure_segments(named).join(read, "entity").withColumn("attribute", F.lit("ceo"))
+
+
+def load_all(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(assertions, documents) of a folder with sec_facts.jsonl, ceo_tenures.jsonl, wiki_revisions.jsonl, feeds.jsonl.
+
+    Earlier sources come first: revisions count only for facts that neither filings nor tenures have.  Assertions
+    are numbered (`seq`) by source, then time; a file that is not there is an empty source.
+    """
+    columns = ["entity", "attribute", "value", "valid_from", "valid_to", "recorded_at", "source_id"]
+    there = lambda name: f"{folder}/{name}.jsonl"
+    jvm = spark._jvm.org.apache.hadoop.fs
+    exists = lambda path: jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm.Path(path))
+    none = spark.createDataFrame([], "entity string, attribute string, value string, valid_from timestamp, valid_to timestamp, recorded_at timestamp, source_id string")
+    sec = sec_facts(spark, there("sec_facts")) if exists(there("sec_facts")) else None
+    filed = sec.withColumn("value", F.concat_ws(" ", F.col("value").cast("decimal(38,2)").cast("string"), "unit")).select(columns) if sec is not None else none
+    companies = sec.select("cik", "entity").distinct() if sec is not None else spark.createDataFrame([], "cik string, entity string")
+    held = tenure_facts(tenures(spark, there("ceo_tenures")), companies).select(columns) if exists(there("ceo_tenures")) else none
+    first = filed.unionByName(held)
+    wiki = none
+    if exists(there("wiki_revisions")):
+        rows = wiki_revisions(spark, there("wiki_revisions"), first)
+        wiki = rows.select("entity", "attribute", "value", F.col("at").alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_to"), F.col("at").alias("recorded_at"), F.lit("en.wikipedia.org").alias("source_id"))
+    parts = [part.withColumn("_source", F.lit(i)) for i, part in enumerate((filed, held, wiki))]
+    facts = reduce(DataFrame.unionByName, parts)
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("entity", "attribute").orderBy("_source", "recorded_at", "valid_from", "value")
+    facts = facts.withColumn("seq", F.row_number().over(order).cast("long")).drop("_source")
+    documents = feeds(spark, there("feeds")) if exists(there("feeds")) else spark.createDataFrame([], "doc_id string, source string, text string, date timestamp, tier int, url string")
+    return facts, documents
+
+
 def host_tier(url: Column) -> Column:
     host = F.regexp_replace(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")), r"^www\.", "")
     return reduce(lambda out, h: F.when(host == h, HOST_TIERS[h]).otherwise(out), HOST_TIERS, F.lit(3))
@@ -126,6 +170,17 @@ def envelope(value: Column) -> Column:
     return F.from_json(value.cast("string"), ENVELOPE)
 
 
+def message(topic: Column, key: Column, ts: Column, payload: Column) -> Column:
+    """The JSON of a bus message, as `envelope` reads it."""
+    return F.to_json(F.struct(topic.alias("topic"), key.alias("key"), ts.cast("string").alias("ts"), payload.alias("payload")))
+
+
+def kafka_sink(messages: DataFrame, servers: str, topic: str, checkpoint: str, **security):
+    """A started stream of messages(key, value) to a topic (needs Spark's Kafka package)."""
+    options = {k: v for k, v in kafka_options(servers, topic, **security).items() if k.startswith("kafka.")} | {"topic": topic, "checkpointLocation": checkpoint}
+    return messages.select(F.col("key").cast("string"), F.col("value").cast("string")).writeStream.format("kafka").options(**options).start()
+
+
 def kafka_options(servers: str, topic: str, user: str | None = None, password: str | None = None) -> dict[str, str]:
     out = {"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": "earliest"}
     if user:
