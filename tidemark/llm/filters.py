@@ -1,6 +1,6 @@
 """Bloom filters of 64-bit keys, made where the keys are.
 
-A filter has about 16 bits for each key, up to `MOST_BITS` (64 MB); with more keys it lets more of the rest
+A filter has 8 to 16 bits for each key, up to `MOST_BITS` (32 MB); with more keys it lets more of the rest
 through, which costs whoever asks it exact comparisons and changes no result.  So what is broadcast is bounded.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SEGMENTS = 64
-LEAST_BITS, MOST_BITS = 1 << 20, 1 << 29
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 _U = np.uint64
 
 
@@ -27,7 +27,7 @@ def _places(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 def bloom(keys: DataFrame) -> np.ndarray:
     """Bit table (segment, byte) of the keys in column `h`; a task makes whole segments from the keys as they come."""
     count = keys.count()
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * count).bit_length()))
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (8 * count).bit_length()))
     width = (bits // SEGMENTS).bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
