@@ -122,6 +122,20 @@ def test_suffix_tree_lists_rare_runs_of_a_large_corpus(spark):
     assert len(got) == 5 and all(r.score > r.base_score + 5 for r in got)
 
 
+@pytest.mark.parametrize("bits", [None, (3, 2)])
+def test_suffix_tree_runs_that_lose_their_slots_are_joined(spark, monkeypatch, bits):
+    from tidemark.llm import suffix_tree_lm as S
+
+    if bits:
+        monkeypatch.setattr(S, "CACHE_BITS", bits)
+    train = [i for i in range(20000) if crc(i) % 5 != 1][:12000]
+    rows = [(i, f"a{k // 4} b{k // 4}", "", "", 0, 0.0, 0) for k, i in enumerate(train)]  # 3,000 pairs, each in four texts
+    got = S.score_documents(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
+    assert len(got) == len(rows) and all(r.n_known == 3 for r in got)
+    assert len({round(r.base_score, 4) for r in got}) == 1
+    assert max(r.score for r in got) - min(r.score for r in got) < 1e-4
+
+
 def test_virtual_slots(docs, none, spark):
     from tidemark.llm.sharding import SlotMap, assign, rebalance
 

@@ -9,9 +9,9 @@ suffix's (Dirichlet prior of `prior` tokens, what is left of the mass is spread
 The tree is a staged table.  In the logarithm, a state adds its `rest` to each token that follows it and
 `listed` on top to a continuation it lists, so a text's score is a sum over the keys of its word runs: they
 are joined with the table, and nothing that grows with the corpus is collected.  Words and runs that make up
-`_FREQUENT` of the tokens or more travel with the texts' tasks (runs in a table of `1 << CACHE_BITS` slots, one
-run each); all others are joined, after a Bloom filter of bounded size has dropped most runs that the table
-hasn't.  Words and runs are identified by 64-bit hashes.
+`_FREQUENT` of the tokens or more travel with the texts' tasks, as far as they find a slot in two tables of bounded
+size (`CACHE_BITS`); all others are joined, after a Bloom filter of bounded size, made of all runs that travel
+with no task, has dropped most runs that the table hasn't.  Words and runs are identified by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from tidemark.llm.store import crc_of, discard, documents_of, staged
 _I, _U = np.int64, np.uint64
 _END, _NONE = _U(0x517CC1B727220A95), _U(1)
 _FREQUENT = 5e-7  # words and runs with this share of the tokens needn't be joined
-CACHE_BITS = 20
+CACHE_BITS = (20, 18)  # slots of a cache's tables, as powers of two
 
 
 @dataclass
@@ -46,32 +46,65 @@ class Frequent:
 
 @dataclass
 class Cache:
-    """Values of frequent words or runs: a slot has one key, the most frequent of those that fall into it; others are joined."""
+    """Values of frequent words or runs: a slot has one key, the most frequent of those that fall into it.
 
-    keys: np.ndarray
-    values: np.ndarray
+    What loses its slot in the first table has one in the second, by further bits; what loses both is not here and must be joined.
+    """
+
+    tables: list[tuple[np.ndarray, np.ndarray]]
 
     @classmethod
     def of(cls, often: DataFrame) -> Cache:
         """From (key, n, v), what reaches the driver is bounded by the number of slots."""
-        best = often.groupBy(F.shiftrightunsigned("key", 64 - CACHE_BITS).alias("slot")).agg(F.max(F.struct("n", "key", "v")).alias("x"))
-        got = best.select("x.n", "x.key", "x.v").toArrow()
-        return cls.made(got.column("key").to_numpy().view(_U), got.column("n").to_numpy(), got.column("v").to_numpy())
+        parts, low, cache = [], 64, cls.made(np.zeros(0, dtype=_U), np.zeros(0, dtype=_I), np.zeros(0))
+        for bits in CACHE_BITS:
+            low -= bits
+            slot = F.shiftrightunsigned("key", low).bitwiseAND((1 << bits) - 1)
+            rows = cache.lacking(often) if parts else often
+            best = rows.groupBy(slot.alias("slot")).agg(F.max(F.struct("n", "key", "v")).alias("x"))
+            parts.insert(0, best.select("x.n", "x.key", "x.v").toArrow())  # of equal counts the last one has the slot
+            got = pa.concat_tables(parts)
+            cache = cls.made(got.column("key").to_numpy().view(_U), got.column("n").to_numpy(), got.column("v").to_numpy())
+        return cache
 
     @classmethod
     def made(cls, keys: np.ndarray, n: np.ndarray, values: np.ndarray) -> Cache:
-        out, order = cls(np.zeros(1 << CACHE_BITS, dtype=_U), np.zeros(1 << CACHE_BITS)), np.argsort(n, kind="stable")
-        slot = keys[order] >> _U(64 - CACHE_BITS)
-        out.keys[slot] = keys[order]
-        last = out.keys[slot] == keys[order]
-        out.values[slot[last]] = values[order][last]
+        out, order = cls([(np.zeros(1 << bits, dtype=_U), np.zeros(1 << bits)) for bits in CACHE_BITS]), np.argsort(n, kind="stable")
+        for own, kept, slots in out._slots():
+            slot = slots(keys[order])
+            own[slot] = keys[order]
+            last = own[slot] == keys[order]
+            kept[slot[last]] = values[order][last]
+            order = order[~last]
         return out
 
+    def _slots(self) -> Iterator[tuple]:
+        """Keys and values of each table, and the slot of a key there."""
+        low = 64
+        for own, values in self.tables:
+            low -= len(own).bit_length() - 1
+            yield own, values, lambda keys, low=_U(low), mask=_U(len(own) - 1): keys >> low & mask
+
     def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which keys are here, and their values (0 for others)."""
-        slot = keys >> _U(64 - CACHE_BITS)
-        here = self.keys[slot] == keys
-        return here, np.where(here, self.values[slot], 0.0)
+        here, out, left = np.zeros(len(keys), dtype=bool), np.zeros(len(keys)), slice(None)
+        for own, values, slots in self._slots():
+            asked = keys[left]
+            slot = slots(asked)
+            here[left] = found = own[slot] == asked
+            out[left] = np.where(found, values[slot], 0.0)
+            left = np.flatnonzero(~here)
+        return here, out
+
+    def lacking(self, rows: DataFrame) -> DataFrame:
+        """The rows whose `key` is not here."""
+        shared = rows.sparkSession.sparkContext.broadcast(self)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(~shared.value.get(batch.column("key").to_numpy().view(_U))[0]))
+
+        return rows.mapInArrow(run, rows.schema)
 
 
 @dataclass
@@ -315,7 +348,9 @@ def fit(train: DataFrame, min_count: int = 2, cutoff: float = 12.0, prior: float
         values = values.union(part)
     values = staged(values, "lm-tree")
     often = values.where(F.col("n") >= least).groupBy("key").agg(F.max("n").alias("n"), F.sum((F.col("listed") + F.col("rest")).cast("double")).alias("v"))
-    return words, total, vocabulary, Tree(frequent, root, depth, values, Cache.made(frequent.keys, frequent.counts, root[1:]), Cache.of(often), bloom(values.where(F.col("n") < least).select(F.col("key").alias("h"))), levels)
+    cache = Cache.of(often)
+    joined = values.where(F.col("n") < least).select("key").union(cache.lacking(values.where(F.col("n") >= least).select("key")))
+    return words, total, vocabulary, Tree(frequent, root, depth, values, Cache.made(frequent.keys, frequent.counts, root[1:]), cache, bloom(joined.select(F.col("key").alias("h"))), levels)
 
 
 def _logs(tree: Tree, ids: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
