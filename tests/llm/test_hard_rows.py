@@ -271,3 +271,21 @@ def test_unspaced_text_is_encoded_in_line():
     start = time.time()
     ids, at, _ = V.encode([text, "a b", text[:5000]], vocabulary)
     assert [x.decode() for x in V.decode(ids, at, vocabulary)] == [text, "a b", text[:5000]] and time.time() - start < 5
+
+
+def test_repeated_windows_travel_packed(spark, tmp_path):
+    from tidemark.llm.fingerprint_log import FingerprintLog, _rows_of
+
+    def shuffled():
+        context = spark.sparkContext
+        stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    rng = random.Random(18)
+    texts = [prose(rng, 220) for _ in range(150)]
+    log, before = FingerprintLog(spark, f"file:{tmp_path}/log", buckets=64), shuffled()
+    first = log.append(_rows_of(frame(spark, list(enumerate(texts + texts))))).collect()
+    second = log.append(_rows_of(frame(spark, list(enumerate(texts, 300))))).collect()
+    assert sorted(r.id for r in first + second) == list(range(150, 450)) and all(sorted(r.marks) == list(range(201)) for r in first + second)
+    assert shuffled() - before < 15000  # of 90,450 windows, all of which are repeated
+    log.drop()

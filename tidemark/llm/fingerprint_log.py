@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import textkernel as K
-from tidemark.llm.filters import bloom, maybe
-from tidemark.llm.store import discard, documents_of, exists, new_path, remove, shuffles_freed, staged
+from tidemark.llm.filters import bloom, bloom_of_ranges, maybe
+from tidemark.llm.store import documents_of, exists, new_path, remove, shuffles_freed, small_batches, staged
 
 WINDOW = 20
 _NO_ID = (1 << 63) - 1
@@ -194,15 +194,17 @@ class FingerprintLog:
 
     def append(self, rows: DataFrame) -> DataFrame:
         """Take in a batch (id, k, text) that stands behind all before it; (id, k, marks), staged: where its windows start that also start earlier."""
+        with small_batches(rows.sparkSession):
+            return self._appended(rows)
+
+    def _appended(self, rows: DataFrame) -> DataFrame:
         new = fingerprints(rows, self.buckets).groupBy("bucket").agg(F.collect_list("data").alias("new"))
         old = [f"old_{run}" for run, _ in self.runs]
         for (run, _), name in zip(self.runs, old, strict=True):
             new = new.join(self._table(run).select("bucket", F.col("data").alias(name)), "bucket", "left")
         run = self._write(self._merged(new.select("bucket", "new", (F.array(*old) if old else F.lit(None).cast("array<binary>")).alias("old"))))
         table = self._table(run)
-        again = staged(_unpacked(table.select("again")), "repeated")
-        marks = staged(_verified(rows, again, self.buckets), "marks")
-        discard(again)
+        marks = staged(_verified(rows, table.select("bucket", "again"), self.buckets), "marks")
         size = table.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
         self.runs.append((run, size))
         while len(self.runs) > 1 and self.runs[-1][1] >= self.runs[-2][1] * 0.75:
@@ -238,48 +240,63 @@ class FingerprintLog:
         self.runs = []
 
 
-def _unpacked(again: DataFrame) -> DataFrame:
-    """(w, check, known) of packed fingerprints; the lowest bit says that an earlier run has it."""
+_WINDOWS, _MARKS, _KNOWN = range(3)
+_OF = {_WINDOWS: "u8 u4 i8 i8 i4".split(), _MARKS: "i8 i8 i4".split()}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column(0):
-                w, check = unpack(data.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array((check >> np.uint32(1)).astype(np.int32)), pa.array((check & np.uint32(1)).astype(bool))], ["w", "check", "known"])
 
-    return again.mapInArrow(run, "w long, check int, known boolean")
+def _squeezed(kind: int, bucket: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
+    """(bucket, kind, data): one row for each range of columns that are in its order, byte by byte so that what they share is small."""
+    cut = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)]
+    plain = [np.ascontiguousarray(c, dtype=t).view(np.uint8).reshape(len(c), -1) for c, t in zip(columns, _OF[kind], strict=True)]
+    data = [zstd.compress(b"".join(c[a:b].T.tobytes() for c in plain), 1) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]].astype(np.int32)), pa.array(np.full(len(data), kind, dtype=np.int32)), pa.array(data, pa.binary())], ["bucket", "kind", "data"])
+
+
+def _columns(kind: int, data: bytes) -> list[np.ndarray]:
+    raw, out, at = np.frombuffer(zstd.decompress(data), dtype=np.uint8), [], 0
+    types = [np.dtype(t) for t in _OF[kind]]
+    n = len(raw) // sum(t.itemsize for t in types)
+    for t in types:
+        out.append(np.ascontiguousarray(raw[at : at + n * t.itemsize].reshape(t.itemsize, n).T).reshape(-1).view(t))
+        at += n * t.itemsize
+    return out
+
+
+def _earliest(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Windows (w, check, id, k, at) in order; which are the first of their sequence, and which start after it."""
+    order = np.lexsort(columns[::-1])
+    for i, c in enumerate(columns):
+        columns[i] = c[order]
+    w, check, *of = columns
+    new = np.r_[True, (w[1:] != w[:-1]) | (check[1:] != check[:-1])]
+    first = np.maximum.accumulate(np.where(new, np.arange(len(w)), 0))
+    return columns, new, np.logical_or.reduce([x != x[first] for x in of])
 
 
 class _Windows:
     """Windows of many documents, in memory up to a limit; equal ones are reduced to the earliest before they are shuffled."""
 
-    LIMIT = 1 << 20
-    NAMES = ["w", "check", "id", "k", "at", "marks"]
+    LIMIT = 1 << 19
 
-    def __init__(self) -> None:
+    def __init__(self, buckets: int) -> None:
         self.parts: list[tuple[np.ndarray, ...]] = []
-        self.size = 0
+        self.size, self.buckets, self.shift = 0, buckets, _U(64 - buckets.bit_length() + 1)
 
     def add(self, *columns: np.ndarray) -> None:
         self.parts.append(columns)
         self.size += len(columns[0])
 
     def flush(self) -> Iterator[pa.RecordBatch]:
-        """The earliest of each sequence as a row of its own, the later ones as lists of marks by document."""
+        """The earliest of each sequence, packed by ranges of the fingerprint, and the later ones as packed marks."""
         if not self.size:
             return
         columns = [np.concatenate(x) for x in zip(*self.parts, strict=True)]
         self.parts, self.size = [], 0
-        w, check, ids, k, at = (x[np.lexsort((columns[4], columns[3], columns[2], columns[1], columns[0]))] for x in columns)
-        new = np.r_[True, (w[1:] != w[:-1]) | (check[1:] != check[:-1])]
-        first = np.maximum.accumulate(np.where(new, np.arange(len(w)), 0))
-        later = (ids != ids[first]) | (k != k[first]) | (at != at[first])
-        yield pa.RecordBatch.from_arrays([pa.array(w[new].view(np.int64)), *(pa.array(x[new]) for x in (check, ids, k, at)), pa.nulls(int(new.sum()), pa.list_(pa.int32()))], self.NAMES)
-        ids, k, lists = _marks(ids[later], k[later], at[later])
-        if len(ids):
-            spread = K.mix(ids.view(_U) + k.view(_U)).view(np.int64)
-            nothing = pa.array(np.full(len(ids), -1, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(spread), nothing, pa.array(ids), pa.array(k), nothing, lists], self.NAMES)
+        columns, new, later = _earliest(columns)
+        yield _squeezed(_WINDOWS, columns[0][new] >> self.shift, [c[new] for c in columns])
+        marks = _Packed(self.buckets)
+        marks.add(*(c[later] for c in columns[2:]))
+        yield from marks.drain(whole=True)
 
 
 def _marks(ids: np.ndarray, k: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -295,7 +312,7 @@ def _marks(ids: np.ndarray, k: np.ndarray, at: np.ndarray) -> tuple[np.ndarray,
 class _Packed:
     """Marks of many documents, packed by ranges of a hash of the document when there are many."""
 
-    LIMIT = 1 << 20
+    LIMIT = 1 << 19
 
     def __init__(self, buckets: int) -> None:
         self.parts, self.size, self.buckets = [], 0, buckets
@@ -311,10 +328,7 @@ class _Packed:
             self.parts, self.size = [], 0
             bucket = K.mix(columns[0].view(_U) * _U(0x9E3779B97F4A7C15) + columns[1].view(_U)) % _U(self.buckets)
             order = np.lexsort((*columns[::-1], bucket))
-            columns, cut = [c[order] for c in columns], np.searchsorted(bucket[order], np.arange(self.buckets + 1, dtype=_U))
-            at = np.flatnonzero(np.diff(cut))
-            data = [zstd.compress(b"".join(np.ascontiguousarray(c[cut[i] : cut[i + 1]]).tobytes() for c in columns), 1) for i in at]
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(data, pa.binary())], ["bucket", "data"])
+            yield _squeezed(_MARKS, bucket[order], [c[order] for c in columns])
 
 
 def _brought_together(packed: DataFrame) -> DataFrame:
@@ -334,9 +348,7 @@ def _brought_together(packed: DataFrame) -> DataFrame:
                 if bucket != now:
                     yield from done()
                     now = bucket
-                raw = zstd.decompress(data.as_py())
-                n = len(raw) // 20
-                parts.append((np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.int64, n, 8 * n), np.frombuffer(raw, np.int32, n, 16 * n)))
+                parts.append(_columns(_MARKS, data.as_py()))
         yield from done()
 
     dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
@@ -344,11 +356,11 @@ def _brought_together(packed: DataFrame) -> DataFrame:
 
 
 def _verified(rows: DataFrame, again: DataFrame, buckets: int) -> DataFrame:
-    """(id, k, marks): for each document of the batch, the starts of the windows that also start earlier."""
-    filter_ = rows.sparkSession.sparkContext.broadcast(bloom(again.select(F.col("w").alias("h"))))
+    """(id, k, marks): for each document of the batch, the starts of the windows that also start earlier; again: (bucket, again) of a run."""
+    filter_ = rows.sparkSession.sparkContext.broadcast(bloom_of_ranges(again.select("bucket", F.col("again").alias("data")), buckets, lambda data: unpack(data)[0]))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = _Windows()
+        found = _Windows(buckets)
         for batch, block, starts, ends, at in _blocks(batches):
             whole, w, check = windows_of(block, starts, ends, at)
             may = np.flatnonzero(maybe(filter_.value, w)) if len(w) else whole
@@ -357,37 +369,45 @@ def _verified(rows: DataFrame, again: DataFrame, buckets: int) -> DataFrame:
             n, whole = np.bincount(at, minlength=batch.num_rows), whole[may]
             own = (whole - (np.cumsum(n) - n)[at[whole]]).astype(np.int32)
             ids, k = (np.asarray(batch.column(c))[at[whole]] for c in ("id", "k"))
-            found.add(w[may], (check[may] >> np.uint32(1)).astype(np.int32), ids, k, own)
+            found.add(w[may], check[may] >> np.uint32(1), ids, k, own)
             if found.size >= found.LIMIT:
                 yield from found.flush()
         yield from found.flush()
 
     def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, found = None, _Packed(buckets)
+        now, parts, found = None, [], _Packed(buckets)
+
+        def done() -> None:
+            if parts:
+                columns, _, after = _earliest([np.concatenate(x) for x in zip(*parts, strict=True)])
+                parts.clear()
+                found.add(*(c[after] for c in columns[2:]))
+
         for batch in batches:
-            w, check, ids, k, at = (batch.column(i).to_numpy() for i in range(5))
-            marked = check < 0
-            if marked.any():
-                lists = batch.column("marks").filter(pa.array(marked))
-                n = lists.value_lengths().to_numpy()
-                found.add(np.repeat(ids[marked], n), np.repeat(k[marked], n), lists.flatten().to_numpy(zero_copy_only=False))
-            w, check, ids, k, at = (x[~marked] for x in (w, check, ids, k, at))
-            if not len(w):
-                continue
-            new = np.r_[last is None or (w[0], check[0]) != last[:2], (w[1:] != w[:-1]) | (check[1:] != check[:-1])]
-            first = np.maximum.accumulate(np.where(new, np.arange(len(w)), -1))
-            of = [np.where(first >= 0, x[first], last[i] if last else 0) for i, x in enumerate((ids, k, at), 2)]
-            later_ = (ids != of[0]) | (k != of[1]) | (at != of[2])
-            last = (w[-1], check[-1], *(x[-1] for x in of))
-            found.add(ids[later_], k[later_], at[later_])
-            yield from found.drain()
+            kinds = batch.column("kind").to_numpy()
+            if (kinds == _MARKS).any():  # dealt by document next
+                yield batch.filter(pa.array(kinds == _MARKS))
+            for i in np.flatnonzero(kinds != _MARKS).tolist():
+                bucket, kind, data = (batch.column(c)[i].as_py() for c in range(3))
+                if bucket != now:
+                    done()
+                    yield from found.drain()
+                    now = bucket
+                if kind == _WINDOWS:
+                    parts.append(_columns(_WINDOWS, data))
+                else:
+                    w, check = unpack(data)
+                    known = (check & np.uint32(1)).astype(bool)
+                    n = int(known.sum())
+                    parts.append([w[known], check[known] >> np.uint32(1), np.full(n, _FIRST), np.zeros(n, dtype=np.int64), np.full(n, -1, dtype=np.int32)])
+        done()
         yield from found.drain(whole=True)
 
-    types = "w long, check int, id long, k long, at int, marks array<int>"
+    types = "bucket int, kind int, data binary"
     windows = rows.select("id", "k", "text").mapInArrow(suspects, types)
-    known = again.where("known").select("w", "check", F.lit(_FIRST).alias("id"), F.lit(0).cast("long").alias("k"), F.lit(-1).alias("at"), F.lit(None).cast("array<int>").alias("marks"))
-    dealt = windows.union(known).repartition("w").sortWithinPartitions("w", "check", "id", "k", "at")
-    return _brought_together(dealt.mapInArrow(later, "bucket int, data binary"))
+    known = again.select("bucket", F.lit(_KNOWN).alias("kind"), F.col("again").alias("data"))
+    dealt = windows.union(known).repartition("bucket").sortWithinPartitions("bucket")
+    return _brought_together(dealt.mapInArrow(later, types).select("bucket", "data"))
 
 
 def _kept(n_rows: int, block: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray, covered: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -483,4 +503,5 @@ def dedup(docs: DataFrame, batches: int = 3) -> DataFrame:
     marks = found[0]
     for more in found[1:]:
         marks = marks.union(more)
-    return _finished(rows, marks)
+    with small_batches(docs.sparkSession):
+        return staged(_finished(rows, marks), "deduplicated")
