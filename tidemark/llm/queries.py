@@ -1,4 +1,4 @@
-"""Queries op1 to op10 and the pipeline, and the SQL that some can be held against."""
+"""Queries op1 to op13 and the pipeline, and the SQL that some can be held against."""
 
 from __future__ import annotations
 
@@ -69,6 +69,24 @@ def op10_viterbi_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_docs(spark, sf_dir))
 
 
+def op11_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.delta_lloyd import compress
+
+    return compress(_docs(spark, sf_dir, "embeddings"))
+
+
+def op12_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.minhash_tables import near_duplicates
+
+    return near_duplicates(_docs(spark, sf_dir))
+
+
+def op13_filter_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.filter_audit import audit
+
+    return audit(_docs(spark, sf_dir), _docs(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -82,5 +100,8 @@ QUERIES = {
         op8_ftrl_toxicity,
         op9_fingerprint_log,
         op10_viterbi_pieces,
+        op11_delta_lloyd,
+        op12_tensored_minhash,
+        op13_filter_replay,
     )
 }

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import textkernel as K
 from tidemark.llm.filters import bloom, maybe
+from tidemark.llm.skew import joined
 from tidemark.llm.store import discard, documents_of, staged, unused
 
 SEED = 42
@@ -313,14 +314,14 @@ def components(edges: DataFrame) -> DataFrame:
     count = edges.count()
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        large = ordered(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")))
+        low = staged(both.groupBy("a").agg(F.least("a", F.min("b")).alias("low"), F.count_if(F.col("b") > F.col("a")).alias("n")), "stars")
+        large = ordered(joined(both.where("b > a"), low, ["a"], count, "inner").select(F.col("b").alias("a"), F.col("low").alias("b")))
         lowest = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(lowest, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("low").alias("b")), F.struct("a", F.col("low").alias("b")))).alias("e")).select("e.*")
         last, before, edges = edges, count, staged(ordered(small), "edges")
         count = edges.count()
         same = count == before and edges.join(last, ["a", "b"], "left_anti").isEmpty()
-        discard(last)
+        discard(last, low)
         if same:
             break
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("label"))
