@@ -43,7 +43,7 @@ def claim_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("kind", kind).where("kind is not null")
 
 
-def _detect(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+def _detect(key: tuple, frames: Iterator[pd.DataFrame], state, carry: tuple[str, ...]) -> Iterator[pd.DataFrame]:
     digest, print_, etag, modified_at, polls, changes, claims = state.get if state.exists else (None, 0, None, None, 0, 0, {})
     claims, rows = dict(claims or {}), []
     norm = lambda v: " ".join(str(v).strip().lower().replace(",", "").split())
@@ -69,22 +69,27 @@ def _detect(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.Da
             digest, print_, etag, modified_at = row.digest, seen, row.etag or etag, row.last_modified or modified_at
             changes += reason != "cosmetic-edit"
         changed = reason in ("first-seen", "claim-change", "content-change")
-        rows.append((key[0], row.at, row.seq, changed, reason, polls, changes, added, modified, removed))
+        rows.append((key[0], row.at, row.seq, changed, reason, polls, changes, added, modified, removed, *(getattr(row, c) for c in carry)))
     state.update((digest, print_, etag, modified_at, polls, changes, claims))
-    yield pd.DataFrame(rows, columns=[c.split()[0] for c in OUTPUT.split(", ")])
+    yield pd.DataFrame(rows, columns=[*(c.split()[0] for c in OUTPUT.split(", ")), *carry])
 
 
-def detect(stream: DataFrame) -> DataFrame:
+def detect(stream: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Stateful detector over a stream of polls (source_id, at, seq, text, etag, claims map[, last_modified]).
 
     Stages: HTTP validators, digest, fingerprint, claims. Null claims mean that none were extracted; only a poll
-    that passes the first two stages replaces the state.
+    that passes the first two stages replaces the state.  Columns in `carry` stay with their poll.
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     modified_at = F.col("last_modified") if "last_modified" in stream.columns else F.lit(None).cast("string")
-    rows = stream.select("source_id", "at", "seq", "etag", modified_at.alias("last_modified"), content_digest(F.col("text")).alias("digest"), simhash(F.col("text")).alias("simhash"), "claims")
-    return rows.groupBy("source_id").applyInPandasWithState(_detect, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    rows = stream.select("source_id", "at", "seq", "etag", modified_at.alias("last_modified"), content_digest(F.col("text")).alias("digest"), simhash(F.col("text")).alias("simhash"), "claims", *carry)
+    schema = ", ".join([OUTPUT, *(f"{c} {stream.schema[c].dataType.simpleString()}" for c in carry)])
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        return _detect(key, frames, state, carry)
+
+    return rows.groupBy("source_id").applyInPandasWithState(run, schema, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def merge_facts(current: DataFrame, arrived: DataFrame) -> DataFrame:
