@@ -42,21 +42,23 @@ def claim_value(text: Column, attribute: Column, numeric: Column | None = None,
     return F.when(attribute.isin(*PERSON_ATTRIBUTES), person).when(attribute == "status", F.when(stated != "", stated).otherwise(state)).otherwise(figure)
 
 
-def extract(docs: DataFrame, mode: str = "words") -> DataFrame:
+def extract(docs: DataFrame, mode: str = "words", carry: tuple[str, ...] = ()) -> DataFrame:
     """Claims of docs(doc_id, text[, subject]): sentences of three words and more, one claim each for its clauses.
 
+    Columns in `carry` stay with a document's claims.
+
     Subject is the capitalised phrase that opens the clause, else the hint; hedged and opinion clauses are marked.
     """
     hint = F.col("subject") if "subject" in docs.columns else F.lit("")
-    rows = docs.select("doc_id", hint.alias("hint"), F.explode(X.sentences(F.coalesce("text", F.lit("")))).alias("s")).select("doc_id", "hint", "s.*")
+    rows = docs.select("doc_id", *carry, hint.alias("hint"), F.explode(X.sentences(F.coalesce("text", F.lit("")))).alias("s")).select("doc_id", *carry, "hint", "s.*")
     plain = F.regexp_replace("sentence", r",\s+which\s+[^,]+,\s*", " ")
-    rows = rows.select("doc_id", "hint", "start", F.posexplode(F.split(plain, CLAUSE)).alias("clause", "text"))
+    rows = rows.select("doc_id", *carry, "hint", "start", F.posexplode(F.split(plain, CLAUSE)).alias("clause", "text"))
     rows = rows.where(F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")) >= 3)
     rows = rows.withColumns({"attribute": E.attribute(F.col("text"), mode), "numeric": E.number(F.col("text")), "unit": E.unit(F.col("text")), "lead": leading_subject(F.col("text"))})
     pronoun = F.col("lead").rlike(r"(?i)^(it|its|they|their|he|she|his|her|the company|the firm|this)$")
     rows = rows.withColumn("subject", F.when((F.col("lead") == "") | pronoun, F.col("hint")).otherwise(F.col("lead")))
     rows = rows.withColumns({"value": claim_value(F.col("text"), F.col("attribute"), F.col("numeric"), F.col("unit")), "hedged": E.hedged(F.col("text")), "checkable": E.checkable(F.col("text")), "valid_from": F.nullif(F.regexp_extract("text", SINCE, 1), F.lit("")), "valid_to": F.nullif(F.regexp_extract("text", UNTIL, 1), F.lit(""))})
-    return rows.select("doc_id", F.concat_ws(":", F.col("doc_id").cast("string"), "start", "clause").alias("claim_id"), "text", "subject", "attribute", "value", "numeric", "unit", "hedged", "checkable", "valid_from", "valid_to", "start")
+    return rows.select("doc_id", F.concat_ws(":", F.col("doc_id").cast("string"), "start", "clause").alias("claim_id"), "text", "subject", "attribute", "value", "numeric", "unit", "hedged", "checkable", "valid_from", "valid_to", "start", *carry)
 
 
 def usable(claims: DataFrame) -> DataFrame:

@@ -1,12 +1,13 @@
 """Questions of a benchmark through answer engines, and the measures of their answers.
 
-A benchmark is a small table (its questions are answered one by one, each by DataFrame plans); answers become a
-table again, and all measures are column expressions over it.
+All questions of a benchmark are one set for each engine, answers are a table, and all measures are column
+expressions over it.
 """
 
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,13 +27,18 @@ def ladder(versions: DataFrame, chunks: DataFrame, ref: datetime, **config) -> d
 
 
 def answers(systems: dict[str, Engine], items: DataFrame) -> DataFrame:
-    """One row for each system and item(qid, question, category, expected_answer, expected_outdated, should_abstain, has_conflict)."""
-    asked, rows = items.collect(), []
+    """One row for each system and item(qid, question, category, expected_answer, expected_outdated, should_abstain, has_conflict): a set of questions for each system."""
+    none = F.array().cast("array<string>")
+    asked = items.select(
+        "qid", "question", "category", F.coalesce("expected_answer", none).alias("expected"), F.coalesce("expected_outdated", none).alias("outdated"),
+        F.coalesce("should_abstain", F.lit(False)).alias("should_abstain"), F.coalesce("has_conflict", F.lit(False)).alias("has_conflict"),
+    )
+    parts = []
     for name, engine in systems.items():
-        for i in asked:
-            a = engine.answer(i.question)
-            rows.append((name, i.qid, i.category, a.answer, a.abstained, a.support_level, len(a.conflicts), a.coverage, [str(c["doc_id"]) for c in a.citations], i.expected_answer or [], i.expected_outdated or [], bool(i.should_abstain), bool(i.has_conflict)))
-    return items.sparkSession.createDataFrame(rows, ANSWERS)
+        got = engine.answers(asked.select(F.col("qid").alias("query_id"), "question")).withColumnRenamed("query_id", "qid").drop("question")
+        rows = asked.join(got, "qid").withColumns({"system": F.lit(name), "n_conflicts": F.size("conflicts"), "docs": F.transform("citations", lambda c: c["doc_id"])})
+        parts.append(rows.select(*[f.split()[0] for f in ANSWERS.split(", ")]))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def correct() -> Column:
