@@ -94,3 +94,50 @@ def test_rungs_rank_by_their_own_means(engine):
         assert {r.doc_id for r in rung.retrieve(p, list(p.queries)).collect()} == {"a1", "a2", "a3"}
     newest = Config(k=1, signals={"wire": (99.0, lambda rows: (F.col("source") == "bloomberg.com").cast("double"))})
     assert [r.doc_id for r in Engine(engine.versions, engine.chunks, REF, newest).retrieve(p, list(p.queries)).collect()] == ["a3"]
+
+
+ASKED = (
+    "Who is the current CEO of Acme Industries?", "Who is the current CEO of ACME?", "What was Contoso revenue in 2021?", "Compare Contoso and Fabrikam revenue in 2023",
+    "Will Acme revenue grow?", "What is the headcount of Zorblax Corporation?", "How did the CEO of Acme Industries change?", "Compare it", "", None,
+)
+
+
+def jobs_of(spark, name, run):
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_a_set_of_questions_is_answered_like_each_alone(spark, engine):
+    rows = [(f"q{i}", ASKED[i % len(ASKED)]) for i in range(300)]
+    frame = spark.createDataFrame(rows, "query_id string, question string").repartition(4)
+    few = spark.createDataFrame([(q, q) for q in ASKED[:4]], "query_id string, question string")
+    engine.answers(few).collect()  # postings and vectors are there from now on
+    few_rows, few_jobs = jobs_of(spark, "few", lambda: engine.answers(few).collect())
+    got, jobs = jobs_of(spark, "many", lambda: engine.answers(frame).collect())
+    assert len(got) == 300 and {r.query_id for r in got} == {q for q, _ in rows}
+    assert jobs <= few_jobs + 40  # some more for the other kinds and rounds, none for each question
+    fields = [c for c in got[0].asDict() if c not in ("query_id", "question")]
+    seen = {}
+    for r in got:
+        assert seen.setdefault(r.question, [r[c] for c in fields]) == [r[c] for c in fields], r.question
+    for r in few_rows:
+        assert seen[r.question] == [r[c] for c in fields]
+    for q in ("What was Contoso revenue in 2021?", "How did the CEO of Acme Industries change?"):
+        one = engine.answer(q)
+        assert [one.answer, one.abstained, one.support_level, len(one.claims), one.trace] == [seen[q][fields.index(c)] if c != "claims" else len(seen[q][fields.index(c)]) for c in ("answer", "abstained", "support_level", "claims", "trace")]
+    assert seen[""][fields.index("abstained")] and seen["Compare it"][fields.index("reason")] == "nothing to compare"
+    assert engine.answers(frame.limit(0)).collect() == []
+
+
+def test_rounds_end_apart(spark, engine):
+    """Questions leave when nothing more is asked for them; the trace has one entry for each round that they took part in."""
+    frame = spark.createDataFrame([(1, "Who is the current CEO of Acme Industries?"), (2, "What is the headcount of Zorblax Corporation?")], "query_id int, question string")
+    longer = Engine(engine.versions, engine.chunks, REF, Config(max_iterations=4), engine.aliases)
+    got = {r.query_id: r for r in longer.answers(frame).collect()}
+    assert len(got[1].trace) == 1 and got[1].trace[0].endswith("gaps: none")
+    assert 1 < len(got[2].trace) <= 3 and "gaps: none" not in got[2].trace[-1]
+    sizes = [int(t.split()[0]) for t in got[2].trace]
+    assert sizes == sorted(sizes) and sizes[0] < sizes[-1]

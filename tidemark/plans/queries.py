@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -19,6 +18,7 @@ from tidemark.operators import claims as C
 from tidemark.operators import corpus as P
 from tidemark.operators import graph as G
 from tidemark.operators import retrieval as R
+from tidemark.operators.staging import new_path, shared_dir, staged
 from tidemark.plans import planner as N
 from tidemark.sources import readers as S
 from tidemark.streaming import detector as D
@@ -100,6 +100,21 @@ def bt_fold_in_order(spark, sf):
     return B.assert_facts(facts).withColumns(_text("valid_from", "valid_to")).select("entity", "value", "previous_value", "valid_from", "valid_to", "seq")
 
 
+@query(ORACLE["bt_fold_in_order"])
+def stream_fold(spark, sf):
+    """The same facts as a stream whose files come in an order that has nothing to do with their times."""
+    from tidemark.streaming.fold import CHANGES, fold_stream, versions_of
+
+    facts = _events(spark, sf).withColumns({"recorded_at": F.col("valid_from"), "source_id": F.lit("events"), "arrival": F.pmod(F.xxhash64("seq"), F.lit(4))})
+    folder = new_path(spark, "stream")
+    facts.write.partitionBy("arrival").parquet(f"{folder}/facts")
+    stream = spark.readStream.schema(facts.schema).option("maxFilesPerTrigger", 2 * spark.sparkContext.defaultParallelism).parquet(f"{folder}/facts")
+    changes = fold_stream(stream).writeStream.format("parquet").option("path", f"{folder}/changes").option("checkpointLocation", f"{folder}/checkpoint")
+    changes.trigger(availableNow=True).start().awaitTermination()
+    got = versions_of(spark.read.schema(CHANGES).parquet(f"{folder}/changes"))
+    return got.withColumns(_text("valid_from", "valid_to")).select("entity", "value", "previous_value", "valid_from", "valid_to", "seq")
+
+
 @query()
 def bt_fold_out_of_order(spark, sf):
     """The general fold; SQL has no order-dependent fold. Tests hold it against a model in Python."""
@@ -306,11 +321,7 @@ def exact_dedup(spark, sf):
 @query()
 def near_dedup_minhash(spark, sf):
     """MinHash bands use Spark's hash family; tests hold the links against exact similarity."""
-    if not spark.sparkContext.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or (tempfile.mkdtemp(prefix="tidemark-") if spark.sparkContext.master.startswith("local") else None)
-        if not folder:
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(folder)
+    shared_dir(spark)
     return P.near_duplicates(S.table(spark, sf, "documents"))
 
 
@@ -726,20 +737,49 @@ def token_windows(spark, sf):
     return P.token_windows(ids, 64).select("doc_id", "draw", "start", F.size("x").alias("n"))
 
 
-@query()
+_YEARLY = """v AS (SELECT l_suppkey k, year(l_shipdate) y, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) // 100 AS BIGINT) r FROM lineitem GROUP BY ALL),
+e AS (SELECT k, y, replace(s_name, '#', '-') e, r || ' USD' AS val, max(y) OVER (PARTITION BY k) latest, count(*) OVER (PARTITION BY k) n FROM v JOIN supplier ON k = s_suppkey), s AS (SELECT DISTINCT k, e, latest, n FROM e)"""
+
+
+def _yearly_revenue(spark, sf):
+    """Revenue of every supplier and year: versions of a store, open in the last year, and sentences as their evidence."""
+    rows = S.table(spark, sf, "lineitem").groupBy("l_suppkey", F.year("l_shipdate").alias("y")).agg(F.expr("sum(cast(round(l_extendedprice * 100) as long)) div 100").alias("r"))
+    rows = rows.join(S.table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).withColumn("entity", F.replace(F.col("s_name"), F.lit("#"), F.lit("-")))
+    last = rows.groupBy("l_suppkey").agg(F.max("y").alias("latest"))
+    rows = rows.join(last, "l_suppkey").withColumns({"doc_id": F.concat_ws("-", "l_suppkey", "y"), "value": F.concat(F.col("r").cast("string"), F.lit(" USD"))})
+    day = lambda m, d: F.make_timestamp("y", F.lit(m), F.lit(d), F.lit(0), F.lit(0), F.lit(0))
+    rows = rows.withColumns({"valid_from": day(1, 1), "valid_to": F.when(F.col("y") < F.col("latest"), day(12, 31)), "recorded_at": F.timestamp_add("YEAR", F.lit(1), day(2, 1)), "date": F.timestamp_add("YEAR", F.lit(1), day(2, 1))})
+    rows = staged(rows.select("l_suppkey", "entity", "y", "value", "doc_id", "valid_from", "valid_to", "recorded_at", "date"), "yearly")
+    said = F.concat("entity", F.lit(" revenue was "), "value", F.lit(" in "), F.col("y").cast("string"), F.lit("."))
+    chunks = rows.select("doc_id", said.alias("text"), F.lit("sec.gov").alias("source"), "date", F.lit(1).alias("tier"), "valid_from", "valid_to", "entity")
+    versions = rows.select("entity", F.lit("revenue").alias("attribute"), (F.col("l_suppkey") * 10000 + F.col("y")).alias("seq"), "value", "valid_from", "valid_to", "recorded_at", F.lit(None).cast("timestamp").alias("superseded_at"), F.lit("sec.gov").alias("source_id"), F.array("doc_id").alias("evidence_ids"), F.lit("CREATED").alias("change_kind"))
+    return versions, chunks
+
+
+@query(
+    f"""WITH {_YEARLY}, c AS (SELECT k, e || ': revenue is ' || val || ' (from ' || y || '-01-01, sec.gov).' said, y, latest FROM e)
+SELECT s.k query_id, CASE k % 4 WHEN 0 THEN (SELECT said FROM c WHERE c.k = s.k AND c.y = c.latest) WHEN 1 THEN (SELECT said FROM c WHERE c.k = s.k AND c.y = 1996)
+  WHEN 2 THEN 'The record holds what was true and when; it cannot settle this kind of question.' ELSE (SELECT string_agg(e || '=' || val, '; ' ORDER BY k) FROM e WHERE e.k IN (s.k - 1, s.k) AND y = 1996) END answer,
+k % 4 = 2 abstained, CASE WHEN k % 4 < 2 THEN n ELSE 0 END n_versions FROM s"""
+)
 def questions_answered(spark, sf):
-    """The bounded answer loop over a small store made of nations' revenue; its evidence is generated sentences."""
+    """A question about every supplier, all in one set: its present revenue, that of a year, a forecast, or a comparison with its neighbour."""
     from tidemark.plans.answer import Engine
 
-    yearly = compare_entities(spark, sf).where("year = 1998")
-    say = F.concat(F.initcap(F.lower("entity")), F.lit(" revenue was "), F.round(F.col("revenue") / 1e6, 1).cast("string"), F.lit(" million."))
-    day = _ts("1999-02-01")
-    chunks = yearly.select(F.col("entity").alias("doc_id"), say.alias("text"), F.lit("sec.gov").alias("source"), day.alias("date"), F.lit(1).alias("tier"), _ts("1998-01-01").alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_to"), F.initcap(F.lower("entity")).alias("entity"))
-    versions = yearly.select(F.initcap(F.lower("entity")).alias("entity"), F.lit("revenue").alias("attribute"), F.concat(F.round(F.col("revenue") / 1e6, 1).cast("string"), F.lit(" million USD")).alias("value"), _ts("1998-01-01").alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_to"), day.alias("recorded_at"), F.lit(None).cast("timestamp").alias("superseded_at"), F.lit("sec.gov").alias("source_id"), F.lit("CREATED").alias("change_kind"), F.xxhash64("entity").alias("seq"))
-    engine = Engine(versions, chunks, datetime(1999, 6, 1, tzinfo=timezone.utc))
-    asked = ["What is the current revenue of France?", "Will France revenue grow?", "Compare France and Germany revenue"]
-    answers = [engine.answer(q) for q in asked]
-    return spark.createDataFrame([(a.question, a.answer, a.abstained, a.support_level) for a in answers], "question string, answer string, abstained boolean, support_level string")
+    versions, chunks = _yearly_revenue(spark, sf)
+    k = F.col("s_suppkey")
+    name = lambda key: F.concat(F.lit("Supplier-"), F.lpad(key.cast("string"), 9, "0"))
+    asked = (
+        F.when(k % 4 == 0, F.concat(F.lit("What is the current revenue of "), name(k), F.lit("?")))
+        .when(k % 4 == 1, F.concat(F.lit("What was "), name(k), F.lit(" revenue in 1996?")))
+        .when(k % 4 == 2, F.concat(F.lit("Will "), name(k), F.lit(" revenue grow?")))
+        .otherwise(F.concat(F.lit("Compare "), name(k - 1), F.lit(" and "), name(k), F.lit(" revenue in 1996")))
+    )
+    sold = versions.select("entity").distinct()
+    questions = S.table(spark, sf, "supplier").join(sold, name(k) == F.col("entity"), "left_semi").select(k.alias("query_id"), asked.alias("question"))
+    got = Engine(versions, chunks, datetime(2002, 6, 1, tzinfo=timezone.utc)).answers(questions)
+    sides = F.array_join(F.transform("comparison", lambda c: F.concat(c["entity"], F.lit("="), c["value"])), "; ")
+    return got.select("query_id", F.when(F.size("comparison") > 0, sides).otherwise(F.col("answer")).alias("answer"), "abstained", "n_versions")
 
 
 def flagship(spark: SparkSession) -> DataFrame:
