@@ -25,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The session's shared folder, as a URI or path."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(folder)
@@ -75,18 +75,20 @@ def shuffles_freed(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_CLEANUP, before)
 
 
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BATCH, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
-    """Within this, Python workers get at most so many rows at once: whole texts in batches of 10,000 take memory on both sides."""
-    before = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(min(rows, int(before)) if int(before) > 0 else rows))
+def small_batches(spark: SparkSession, rows: int = 512, size: int = 4 << 20) -> Iterator[None]:
+    """Within this, Python workers get at most so many rows and about so many bytes at once: whole texts and packed rows in batches of 10,000 take memory on both sides."""
+    before = spark.conf.get(_BATCH), spark.conf.get(_BYTES, None)
+    spark.conf.set(_BATCH, str(min(rows, int(before[0])) if int(before[0]) > 0 else rows))
+    spark.conf.set(_BYTES, str(size))
     try:
         yield
     finally:
-        spark.conf.set(_BATCH, before)
+        spark.conf.set(_BATCH, before[0])
+        spark.conf.unset(_BYTES) if before[1] is None else spark.conf.set(_BYTES, before[1])
 
 
 def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:

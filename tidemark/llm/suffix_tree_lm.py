@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import textkernel as K
 from tidemark.llm.filters import bloom, maybe
-from tidemark.llm.store import crc_of, discard, documents_of, staged
+from tidemark.llm.store import crc_of, discard, documents_of, small_batches, staged
 
 _I, _U = np.int64, np.uint64
 _END, _NONE = _U(0x517CC1B727220A95), _U(1)
@@ -601,6 +601,12 @@ def score_documents(docs: DataFrame, min_count: int = 2, cutoff: float = 12.0, p
     A null text is empty (it has its end token alone); a null doc_id counts as the empty text for the fold;
     repeated rows are repeated; other columns are ignored.  An empty table gives no rows.
     """
+    with small_batches(docs.sparkSession):
+        return _scored(docs, min_count, cutoff, prior, fold, folds, depth)
+
+
+def _scored(docs: DataFrame, min_count: int, cutoff: float, prior: float, fold: int, folds: int, depth: int) -> DataFrame:
+    """The rows of `score_documents`, staged: batches are small only while a table is written."""
     rows = documents_of(docs)
     held = crc_of(F.col("doc_id")) % folds == fold
     words, total, vocabulary, tree = fit(rows.where(~held).select("text"), min_count, cutoff, prior, depth)
@@ -610,7 +616,8 @@ def score_documents(docs: DataFrame, min_count: int = 2, cutoff: float = 12.0, p
     model = words.select("key", "c", F.lit(0.0).alias("v")).union(tree.values.select("key", F.lit(0).cast("long"), (F.col("listed") + F.col("rest")).cast("double")))
     sent = _scored_rows(rows.withColumn("row", F.monotonically_increasing_id()), tree, unseen, buckets)
     summed = _added(_looked_up(_model_rows(model, buckets).union(sent), buckets))
-    return summed.select(
+    scores = summed.select(
         "doc_id", held.alias("held_out"), "n_tokens", (F.col("n_known") - (0 if total else 1)).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("base") + F.col("gain")).alias("score"),
     )
+    return staged(scores, "lm-scores")
