@@ -276,7 +276,7 @@ def _earliest(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray,
 class _Windows:
     """Windows of many documents, in memory up to a limit; equal ones are reduced to the earliest before they are shuffled."""
 
-    LIMIT = 1 << 19
+    LIMIT = 1 << 18
 
     def __init__(self, buckets: int) -> None:
         self.parts: list[tuple[np.ndarray, ...]] = []
@@ -312,7 +312,7 @@ def _marks(ids: np.ndarray, k: np.ndarray, at: np.ndarray) -> tuple[np.ndarray,
 class _Packed:
     """Marks of many documents, packed by ranges of a hash of the document when there are many."""
 
-    LIMIT = 1 << 19
+    LIMIT = 1 << 18
 
     def __init__(self, buckets: int) -> None:
         self.parts, self.size, self.buckets = [], 0, buckets
