@@ -182,7 +182,7 @@ def test_ann_variants_recall(spark):
     q = v.where("vec_id % 30 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     exact = {(r.query_id, r.vec_id) for r in R.vector_top(v, q, 10).collect()}
     coded = {(r.query_id, r.vec_id) for r in R.vector_top(v, q, 10, code=True).collect()}
-    near = {(r.query_id, r.vec_id) for r in R.ivf_top(v, q, 8, 6, 10).collect()}
+    near = {(r.query_id, r.vec_id) for r in R.ivf_top(v, q, 10).collect()}
     assert len(exact & coded) >= 95 and len(exact & near) >= 90
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import evidence as E
 from tidemark.functions.temporal import HALFLIFE_DAYS, covers, days_between, overlaps
 from tidemark.functions.text import norm_value
+from tidemark.operators.intervals import overlapping, segments
 
 KEY = ("entity", "attribute")
 
@@ -67,14 +68,16 @@ def outdated(versions: DataFrame, t: Column) -> DataFrame:
 def conflicts(versions: DataFrame) -> DataFrame:
     """Pairs of current records of a key whose validity overlaps and whose normalised values differ.
 
-    Rows are grouped by distinct (interval, value) first, so copies of a value make no pairs.
+    Rows are grouped by distinct (interval, value) first, so copies of a value make no pairs; a key's rows then
+    meet by buckets of their starts, so a long history with few overlaps has few comparisons.
     """
     current = versions.where(F.col("superseded_at").isNull()) if "superseded_at" in versions.columns else versions
     side = current.withColumn("norm", norm_value(F.col("value"))).groupBy(*KEY, "norm", "valid_from", "valid_to").agg(F.min("seq").alias("seq"), F.min_by("value", "seq").alias("value"), F.min_by("source_id", "seq").alias("source_id"))
-    a = side.select(*KEY, *[F.col(c).alias(f"{c}_a") for c in ("norm", "value", "source_id", "valid_from", "valid_to", "seq")])
-    b = side.select(*KEY, *[F.col(c).alias(f"{c}_b") for c in ("norm", "value", "source_id", "valid_from", "valid_to", "seq")])
-    meet = overlaps(F.col("valid_from_a"), F.col("valid_to_a"), F.col("valid_from_b"), F.col("valid_to_b"))
-    return a.join(b, list(KEY)).where((F.col("seq_a") < F.col("seq_b")) & (F.col("norm_a") != F.col("norm_b")) & meet).drop("norm_a", "norm_b")
+    pairs = overlapping(side.withColumn("_tie", F.struct("seq", "norm")), KEY, tie="_tie").where("norm_a <> norm_b and seq_a <> seq_b")
+    columns = ("value", "source_id", "valid_from", "valid_to", "seq")
+    first = F.col("seq_a") < F.col("seq_b")
+    pick = lambda c, x, y: F.when(first, F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}"))
+    return pairs.select(*KEY, *[pick(c, "a", "b").alias(f"{c}_a") for c in columns], *[pick(c, "b", "a").alias(f"{c}_b") for c in columns])
 
 
 def classify_conflicts(pairs: DataFrame, domain: str = "government") -> DataFrame:
@@ -323,12 +326,12 @@ def tenure_segments(tenures: DataFrame, handover_days: int = 90) -> DataFrame:
     """
     far = F.lit("9999-12-31").cast("timestamp")
     spans = tenures.select("entity", "value", F.col("valid_from").cast("timestamp").alias("s"), F.coalesce(F.col("valid_to").cast("timestamp"), far).alias("e"))
-    cuts = spans.select("entity", F.explode(F.array("s", "e")).alias("a")).distinct()
+    active = segments(spans, "entity", "s", "e")
     by = Window.partitionBy("entity").orderBy("a")
-    cuts = cuts.withColumn("b", F.lead("a").over(by)).where("b is not null")
-    active = cuts.join(spans, "entity").where("s <= a and e >= b")
-    other = active.select("entity", "a", F.col("s").alias("s2"))
-    yields = active.join(other, ["entity", "a"]).where((F.col("s2") > F.col("s")) & (F.datediff("e", "s2") < handover_days)).select("entity", "a", "value", "s").distinct()
+    # a tenure yields in a segment to the latest that starts after it there, if to any
+    latest = F.max("s").over(Window.partitionBy("entity", "a"))
+    ends_soon = active.groupBy("entity", "a", "value", "s").agg(F.min("e").alias("e"))
+    yields = ends_soon.withColumn("s2", latest).where((F.col("s2") > F.col("s")) & (F.datediff("e", "s2") < handover_days)).select("entity", "a", "value", "s")
     kept = active.join(yields, ["entity", "a", "value", "s"], "left_anti")
     held = kept.groupBy("entity", "a", "b").agg(F.array_sort(F.collect_set(F.struct("s", "value"))).alias("who"))
     names = F.array_distinct(F.transform("who", lambda x: x["value"]))

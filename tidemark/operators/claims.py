@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import evidence as E
 from tidemark.functions import text as X
+from tidemark.operators.intervals import overlapping
 
 # Names, dates, states.
 NAME = r"([A-Z][\w'’-]+(?:\s+[A-Z][\w'’-]+){0,2})"
@@ -127,6 +128,17 @@ def compare(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns({"conflict_type": kind, "severity": severity})
 
 
+def contradictions(claims: DataFrame) -> DataFrame:
+    """Pairs of usable claims of one subject and attribute, at overlapping times, that contradict each other, with type and severity.
+
+    Claims of equal values make no pairs with each other; only the first claim of each value and period takes part.
+    """
+    stamp = lambda c: F.try_to_timestamp(c).alias(c)
+    rows = usable(claims).select(F.lower(F.trim("subject")).alias("_who"), F.col("attribute").alias("_what"), X.norm_value(F.col("value")).alias("norm"), stamp("valid_from"), stamp("valid_to"), "claim_id", "subject", "attribute", "value", "numeric", "text")
+    one = rows.groupBy("_who", "_what", "norm", "valid_from", "valid_to").agg(*[F.min_by(c, "claim_id").alias(c) for c in ("subject", "attribute", "value", "numeric", "text")], F.min("claim_id").alias("claim_id"))
+    return compare(overlapping(one, ("_who", "_what"), tie="claim_id").where("norm_a <> norm_b")).where("severity > 0").drop("_who", "_what")
+
+
 def score_evidence(evidence: DataFrame, ref: Column, domain: str = "government", halflife: float = 240.0) -> DataFrame:
     """Seven factors, score and label for each query of evidence(query_id, source, date, text, value, fresh)."""
     from tidemark.functions.temporal import freshness

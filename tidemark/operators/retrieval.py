@@ -48,29 +48,118 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 class TextIndex:
-    """Postings and lengths on disk, in parts by term, so that a query reads the parts of its terms alone.
+    """Postings on disk as a log of segments that are never changed, with deletes beside them.
 
-    `add` appends a batch of documents (of new doc_ids); document frequencies and the mean length are taken over all
-    batches when a query is asked, so an index of batches scores as one of the whole.
+    `add` writes one segment and deletes what earlier segments have of the same doc_ids, so adding a document again
+    replaces it; `delete` only names doc_ids.  A delete holds for the segments before it.  The manifest lists
+    the segments and the number and length of live documents, carried on by the differences of each step; a
+    step counts when its manifest is written, and readers take the last one.  Segments of like size are merged
+    (`compact`), which drops what is deleted.  Postings lie in parts by term, and a query reads its terms' parts alone.
     """
 
+    FAN = 4
+    _MANIFEST = "segment long, n_docs long, deletes array<long>, live_docs long, live_len long, parts int"
+
     def __init__(self, spark: SparkSession, path: str, parts: int = 64) -> None:
-        self.spark, self.path, self.parts = spark, path, parts
+        self.spark, self.path, self.parts = spark, path.rstrip("/"), parts
+        self.version, self.segments, self.live_docs, self.live_len = 0, [], 0, 0
+        self.deletes: list[int] = []
+        while self._exists(f"manifest/v={self.version + 1:06d}/_SUCCESS"):
+            self.version += 1
+        if self.version:
+            rows = spark.read.schema(self._MANIFEST).parquet(f"{self.path}/manifest/v={self.version:06d}").collect()
+            self.parts, self.live_docs, self.live_len, self.deletes = rows[0].parts, rows[0].live_docs, rows[0].live_len, list(rows[0].deletes)
+            self.segments = sorted((r.segment, r.n_docs) for r in rows if r.segment >= 0)
+
+    def _exists(self, name: str) -> bool:
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+    def _next(self) -> int:
+        """The number of the next segment or set of deletes: one that no step, finished or not, has used."""
+        n = self.version + 1
+        while self._exists(f"lengths/s={n}") or self._exists(f"deletes/s={n}"):
+            n += 1
+        return n
+
+    def _publish(self) -> None:
+        self.version += 1
+        oldest = min((s for s, _ in self.segments), default=0)
+        self.deletes = [d for d in self.deletes if d > oldest]  # what they deleted is gone with earlier segments
+        rows = [(s, n, self.deletes, self.live_docs, self.live_len, self.parts) for s, n in self.segments or [(-1, 0)]]
+        self.spark.createDataFrame(rows, self._MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/v={self.version:06d}")
 
     def _part(self) -> Column:
         return F.pmod(F.xxhash64("term"), F.lit(self.parts)).cast("int").alias("part")
 
+    def _read(self, kind: str, segments: list[int]) -> DataFrame:
+        """Rows of some segments, with their number as `s`."""
+        return self.spark.read.option("basePath", f"{self.path}/{kind}").parquet(*[f"{self.path}/{kind}/s={s}" for s in segments])
+
+    def _live(self, rows: DataFrame, segments: list[int]) -> DataFrame:
+        """Rows(doc_id, s, ...) of documents that no later step has deleted."""
+        later = [d for d in self.deletes if d > min(segments)]
+        if not later:
+            return rows
+        dead = self._read("deletes", later).groupBy("doc_id").agg(F.max("s").alias("_until"))
+        return rows.join(dead, "doc_id", "left").where(F.col("_until").isNull() | (F.col("s") >= F.col("_until"))).drop("_until")
+
+    def _forget(self, ids: DataFrame, n: int) -> None:
+        """Write the live documents among the ids as deletes of step n, and take them off the totals."""
+        if not self.segments:
+            return
+        held = [s for s, _ in self.segments]
+        gone = self._live(self._read("lengths", held), held).join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+        gone.select("doc_id", "len").write.mode("overwrite").parquet(f"{self.path}/deletes/s={n}")
+        count, length = self.spark.read.parquet(f"{self.path}/deletes/s={n}").agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
+        self.live_docs, self.live_len = self.live_docs - count, self.live_len - length
+        if count:
+            self.deletes.append(n)
+
+    def _write(self, found: DataFrame, lengths: DataFrame, n: int) -> int:
+        """Write a segment; its number of documents."""
+        found.select("term", "doc_id", "tf", "len", self._part()).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/postings/s={n}")
+        lengths.select("doc_id", "len").write.mode("overwrite").parquet(f"{self.path}/lengths/s={n}")
+        return self.spark.read.parquet(f"{self.path}/lengths/s={n}").count()
+
     def add(self, docs: DataFrame) -> None:
-        postings(docs).select("*", self._part()).repartition("part").write.mode("append").partitionBy("part").parquet(f"{self.path}/postings")
-        docs.select("doc_id", F.size(tokens(F.coalesce("text", F.lit("")))).alias("len")).write.mode("append").parquet(f"{self.path}/lengths")
+        """Take in documents(doc_id, text); those that are there already are replaced.  A batch has each doc_id once."""
+        n = self._next()
+        self._forget(docs, n)
+        count = self._write(postings(docs), docs.select("doc_id", F.size(tokens(F.coalesce("text", F.lit("")))).alias("len")), n)
+        length = self.spark.read.parquet(f"{self.path}/lengths/s={n}").agg(F.coalesce(F.sum("len"), F.lit(0))).first()[0]
+        self.live_docs, self.live_len = self.live_docs + count, self.live_len + length
+        self.segments.append((n, count))
+        self._publish()
+        while len(self.segments) >= self.FAN and sum(c for _, c in self.segments[-self.FAN + 1 :]) >= self.segments[-self.FAN][1]:
+            self.compact(self.FAN)
+
+    def delete(self, ids: DataFrame) -> None:
+        """Take documents out by doc_id; ids that aren't there do nothing."""
+        self._forget(ids, self._next())
+        self._publish()
+
+    def compact(self, last: int | None = None) -> None:
+        """Merge the last segments (or all) into one without deleted documents."""
+        some = self.segments[-(last or len(self.segments)) :]
+        if not some:
+            return
+        held, n = [s for s, _ in some], self._next()
+        count = self._write(self._live(self._read("postings", held), held), self._live(self._read("lengths", held), held), n)
+        self.segments = [*self.segments[: -len(some)], (n, count)]
+        self._publish()
 
     def top(self, queries: DataFrame, k: int = 20) -> DataFrame:
         """The best k documents of each query(query_id, text)."""
-        size = self.spark.read.parquet(f"{self.path}/lengths").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
         asked = _asked(queries)
+        if not self.segments:
+            return asked.select("query_id", F.lit(None).cast("string").alias("doc_id"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
         wanted = asked.select("term", self._part()).distinct()
-        found = self.spark.read.parquet(f"{self.path}/postings").join(wanted, ["part", "term"], "left_semi").drop("part")
-        return top_k(_scored(found, asked, size).where("score > 0"), k)
+        parts = [r.part for r in wanted.select("part").distinct().collect()]  # at most `parts` of them
+        held = [s for s, _ in self.segments]
+        found = self._read("postings", held).where(F.col("part").isin(parts)).join(wanted, ["part", "term"], "left_semi")
+        size = self.spark.range(1).select(F.lit(self.live_docs).alias("n_docs"), F.lit(self.live_len / max(1, self.live_docs)).alias("avg_len"))
+        return top_k(_scored(self._live(found, held).drop("part", "s"), asked, size).where("score > 0"), k)
 
 
 def top_k(scored: DataFrame, k: int, score: str = "score", by: str = "query_id", key: str = "doc_id") -> DataFrame:
@@ -157,31 +246,14 @@ def vector_top(vectors: DataFrame, queries: DataFrame, k: int = 20, code: bool =
     return top_k(found, k, key="vec_id")
 
 
-def ivf_centroids(vectors: DataFrame, n_cells: int, rounds: int = 12, sample: int = 20000, seed: int = 0) -> np.ndarray:
-    """Spherical k-means on a bounded sample (the rows with the smallest hash of vec_id)."""
-    got = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select(unit(F.col("embedding")).alias("v")).toPandas()
-    x, rng = np.stack(got["v"].to_numpy()), np.random.default_rng(seed)
-    centroids = x[rng.choice(len(x), min(n_cells, len(x)), replace=False)]
-    for _ in range(rounds):
-        cell = (x @ centroids.T).argmax(axis=1)
-        for c in range(len(centroids)):
-            if (cell == c).any():
-                mean = x[cell == c].mean(axis=0)
-                centroids[c] = mean / max(np.linalg.norm(mean), 1e-12)
-    return centroids
-
-
-def ivf_top(vectors: DataFrame, queries: DataFrame, n_cells: int = 16, nprobe: int = 8, k: int = 20) -> DataFrame:
-    """Top k within the `nprobe` cells nearest to each query: vectors and probes meet by cell."""
-    spark = vectors.sparkSession
-    centroids = ivf_centroids(vectors, n_cells)
-    table = F.broadcast(spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "cell int, c array<double>"))
-    near = lambda df, key, v: df.crossJoin(table).withColumn("s", dot(unit(F.col(v)), F.col("c")))
-    cells = near(vectors, "vec_id", "embedding").groupBy("vec_id").agg(F.max_by("cell", F.struct("s", -F.col("cell"))).alias("cell"), F.first("embedding").alias("embedding"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("s"), "cell")
-    probes = near(queries, "query_id", "q").withColumn("r", F.row_number().over(order)).where(F.col("r") <= nprobe).select("query_id", "q", "cell")
-    scored = probes.join(cells, "cell").select("query_id", "vec_id", dot(unit(F.col("embedding")), unit(F.col("q"))).alias("score"))
-    return top_k(scored, k, key="vec_id")
+def ivf_top(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.95) -> DataFrame:
+    """Top k of queries(query_id, q) by an inverted file over vectors(vec_id, embedding), made for the purpose; see `VectorIndex`."""
+    from tidemark.operators.staging import new_path
+    from tidemark.operators.vectorindex import VectorIndex
+
+    index = VectorIndex(vectors.sparkSession, new_path(vectors.sparkSession, "vector-index"))
+    index.build(vectors, recall=recall, k=k)
+    return index.top(queries, k)
 
 
 def rrf(rankings: list[tuple[DataFrame, float]], k: int = 60) -> DataFrame:
