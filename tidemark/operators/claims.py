@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import evidence as E
 from tidemark.functions import text as X
 from tidemark.operators.intervals import overlapping
+from tidemark.operators.scoring import Model, scored_pairs
 
 # Names, dates, states.
 NAME = r"([A-Z][\w'’-]+(?:\s+[A-Z][\w'’-]+){0,2})"
@@ -71,25 +72,28 @@ def state_of(claims: DataFrame) -> DataFrame:
     return usable(claims).groupBy(F.trim("subject").alias("subject"), "attribute").agg(F.max_by("value", F.struct("doc_id", "start")).alias("value"))
 
 
-def verify(claims: DataFrame, evidence: DataFrame, anchor: Column | None = None, entail: float = 0.55, support: float = 0.6) -> DataFrame:
+def verify(claims: DataFrame, evidence: DataFrame, anchor: Column | None = None, entail: float = 0.55, support: float = 0.6, nli: Model | None = None) -> DataFrame:
     """Verdicts of claims(claim_id, text, numeric, attribute, value, checkable) over evidence(claim_id, doc_id, source, text, valid_to).
 
-    Evidence is routed beforehand (an equi-join on claim_id), so no claim meets all documents.
+    Evidence is routed beforehand (an equi-join on claim_id), so no claim meets all documents.  With a model `nli` (logits
+    of entailment), entailment is the mean of the shared words and the model's probability: neither alone decides.
+    Contradictions need shared words either way.
     """
     e = evidence.select("claim_id", "doc_id", F.coalesce("source", F.col("doc_id").cast("string")).alias("source"), F.col("text").alias("etext"), F.col("valid_to").alias("evalid_to"))
     pair = claims.select("claim_id", "text", "numeric", "attribute", "value", "checkable").join(e, "claim_id", "left")
     lex = E.coverage(E.content_tokens(F.col("text")), E.content_tokens(F.col("etext")))
     pair = pair.withColumn("lex", F.coalesce(lex, F.lit(0.0)))
+    pair = pair.withColumn("entail", F.col("lex")) if nli is None else _with_model(pair, nli)
     other = claim_value(F.col("etext"), F.col("attribute"))
     names = X.distinct_tokens(F.col("value")), X.distinct_tokens(other)
     person = F.col("attribute").isin(*PERSON_ATTRIBUTES) & (E.attribute(F.col("etext")) == F.col("attribute")) & (F.size(names[0]) > 0) & (F.size(names[1]) > 0) & ~F.arrays_overlap(*names)
     against = (E.differ(F.col("numeric"), E.number(F.col("etext"))) & (F.col("lex") >= 0.4)) | E.polarity_conflict(F.col("text"), F.col("etext"), F.col("lex")) | (person & (F.col("lex") >= 0.4))
     against = F.coalesce(against, F.lit(False))
     old = F.coalesce(F.col("evalid_to") < anchor, F.lit(False)) if anchor is not None else F.lit(False)
-    pair = pair.withColumns({"refutes": against, "backs": ~against & (F.col("lex") >= entail) & ~old, "stale": ~against & (F.col("lex") >= entail) & old})
+    pair = pair.withColumns({"refutes": against, "backs": ~against & (F.col("entail") >= entail) & ~old, "stale": ~against & (F.col("entail") >= entail) & old})
     some = lambda c: F.coalesce(F.max(F.col(c).cast("int")), F.lit(0)) == 1
     per = pair.groupBy("claim_id").agg(
-        F.first("checkable").alias("checkable"), F.count("doc_id").alias("n_evidence"), F.max("lex").alias("entailment"), some("backs").alias("backed"), some("refutes").alias("refuted"), some("stale").alias("outdated"),
+        F.first("checkable").alias("checkable"), F.count("doc_id").alias("n_evidence"), F.max("entail").alias("entailment"), some("backs").alias("backed"), some("refutes").alias("refuted"), some("stale").alias("outdated"),
         F.count_distinct(F.when(F.col("backs"), F.col("source"))).alias("n_independent"),
     )
     verdict = (
@@ -103,6 +107,11 @@ def verify(claims: DataFrame, evidence: DataFrame, anchor: Column | None = None,
     return per.select("claim_id", verdict.alias("verdict"), "entailment", "n_independent", "n_evidence", "checkable")
 
 
+def _with_model(pair: DataFrame, nli: Model) -> DataFrame:
+    scored = scored_pairs(pair, "text", "etext", nli, "_logit")
+    return scored.withColumn("entail", F.when(F.col("_logit").isNull(), F.col("lex")).otherwise(0.5 * F.col("lex") + 0.5 / (1 + F.exp(-F.col("_logit"))))).drop("_logit")
+
+
 def verdict_measures(verdicts: DataFrame) -> DataFrame:
     """Coverage and rates over checkable claims."""
     share = lambda *names: F.coalesce(F.avg(F.when(F.col("checkable"), F.col("verdict").isin(*names).cast("double"))), F.lit(0.0))

@@ -28,6 +28,7 @@ from tidemark.operators import assess as A
 from tidemark.operators import bitemporal as B
 from tidemark.operators import claims as C
 from tidemark.operators import retrieval as R
+from tidemark.operators.scoring import Model, rerank
 from tidemark.operators.staging import new_path, staged
 from tidemark.plans.planner import gap_queries, planned
 
@@ -40,6 +41,8 @@ class Config:
 
     `signals` are further ranking signals, columns over the candidates by name, with their weights; `embed` gives
     the vectors of texts; `shown` is how many conflicts and versions an answer lists (it says how many there are).
+    `reranker` scores a question with each of its first `rerank_depth` texts and decides which are evidence; `nli`
+    takes part in the entailment of claims.
     """
 
     k: int = 8
@@ -50,6 +53,9 @@ class Config:
     shown: int = 20
     signals: dict[str, tuple[float, Callable[[DataFrame], Column]]] = field(default_factory=dict)
     embed: Callable[[Column], Column] = R.hashed_vector
+    reranker: Model | None = None
+    rerank_depth: int = 50
+    nli: Model | None = None
 
 
 @dataclass
@@ -219,6 +225,11 @@ class Engine:
         rows = rows.withColumn("overlap", overlap).withColumn("query_id", F.struct("query_id", "_sub"))
         fused = R.weighted_fuse(rows, weights).withColumn("query_id", F.col("query_id.query_id"))
         found = fused.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"), F.max("overlap").alias("overlap"))
+        if config.reranker is not None:
+            first = asked.select("query_id", F.try_element_at("queries", F.lit(1)).alias("query"))
+            pairs = _best(found, config.rerank_depth, F.desc("score"), "doc_id").join(first, "query_id").join(self._named.select("doc_id", "text"), "doc_id")
+            best = rerank(pairs.select("query_id", "doc_id", "query", "text", "score"), config.reranker, config.k, config.rerank_depth)
+            found = best.select("query_id", "doc_id", "score").join(found.select("query_id", "doc_id", "overlap"), ["query_id", "doc_id"])
         return _best(found, config.k, F.desc("score"), "doc_id").join(self._named, "doc_id")
 
     def retrieve(self, p: Row, queries: list[str]) -> DataFrame:
@@ -280,7 +291,7 @@ class Engine:
         # evidence is stale when it ended before the time that its own question asks about
         ended = pairs.join(about.select("query_id", "anchor"), "query_id").withColumn("valid_to", F.when(F.col("valid_to") < F.col("anchor"), F.col("valid_to")))
         whole = lambda df: df.withColumn("claim_id", F.struct(*key)).drop("query_id")
-        verdicts = C.verify(whole(own), whole(ended), F.lit("9999-12-31").cast("timestamp")).select("claim_id.*", "verdict", "entailment", "n_independent", "n_evidence", "checkable")
+        verdicts = C.verify(whole(own), whole(ended), F.lit("9999-12-31").cast("timestamp"), nli=self.config.nli).select("claim_id.*", "verdict", "entailment", "n_independent", "n_evidence", "checkable")
         backing = pairs.groupBy(*key).agg(F.array_sort(F.collect_set("doc_id")).alias("backing"))
         judged = own.select(*key, "text", "value", F.col("doc_id").alias("own_doc"), F.try_to_timestamp("valid_to").alias("valid_to")).join(verdicts, key).join(backing, key, "left")
         judged = judged.withColumn("backing", F.array_union(F.array("own_doc"), F.coalesce("backing", F.array().cast("array<string>"))))

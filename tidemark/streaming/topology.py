@@ -84,7 +84,7 @@ class Topology:
 
     def table(self, name: str) -> DataFrame:
         """What a query has committed."""
-        schema = {"changed": CHANGED, "facts": FACT, "versions": CHANGES, "dead": POLL}[name]
+        schema = {"changed": CHANGED, "facts": FACT, "versions": CHANGES, "dead": f"{POLL}, error string"}[name]
         return self.spark.read.schema(schema).parquet(self.path(name))
 
     def versions(self) -> DataFrame:
