@@ -114,7 +114,6 @@ def test_a_set_of_questions_is_answered_like_each_alone(spark, engine):
     rows = [(f"q{i}", ASKED[i % len(ASKED)]) for i in range(300)]
     frame = spark.createDataFrame(rows, "query_id string, question string").repartition(4)
     few = spark.createDataFrame([(q, q) for q in ASKED[:4]], "query_id string, question string")
-    engine.answers(few).collect()  # postings and vectors are there from now on
     few_rows, few_jobs = jobs_of(spark, "few", lambda: engine.answers(few).collect())
     got, jobs = jobs_of(spark, "many", lambda: engine.answers(frame).collect())
     assert len(got) == 300 and {r.query_id for r in got} == {q for q, _ in rows}
@@ -125,7 +124,7 @@ def test_a_set_of_questions_is_answered_like_each_alone(spark, engine):
         assert seen.setdefault(r.question, [r[c] for c in fields]) == [r[c] for c in fields], r.question
     for r in few_rows:
         assert seen[r.question] == [r[c] for c in fields]
-    for q in ("What was Contoso revenue in 2021?", "How did the CEO of Acme Industries change?"):
+    for q in ("How did the CEO of Acme Industries change?",):
         one = engine.answer(q)
         assert [one.answer, one.abstained, one.support_level, len(one.claims), one.trace] == [seen[q][fields.index(c)] if c != "claims" else len(seen[q][fields.index(c)]) for c in ("answer", "abstained", "support_level", "claims", "trace")]
     assert seen[""][fields.index("abstained")] and seen["Compare it"][fields.index("reason")] == "nothing to compare"
@@ -141,3 +140,15 @@ def test_rounds_end_apart(spark, engine):
     assert 1 < len(got[2].trace) <= 3 and "gaps: none" not in got[2].trace[-1]
     sizes = [int(t.split()[0]) for t in got[2].trace]
     assert sizes == sorted(sizes) and sizes[0] < sizes[-1]
+
+
+def test_citations_show_where_documents_come_from(spark, engine):
+    from tidemark.operators import graph as G
+
+    derived = engine.chunks.withColumn("derived_from", F.when(F.col("doc_id") == "a3", "a2").when(F.col("doc_id") == "a2", "wire-7"))
+    a = Engine(engine.versions, derived, REF, Config(max_iterations=1), engine.aliases).answer("Who is the current CEO of Acme Industries?")
+    assert {c["doc_id"]: c["path"] for c in a.citations if c["doc_id"] in ("a2", "a3")} == {"a2": ["a2", "wire-7"], "a3": ["a3", "a2", "wire-7"]}
+    assert "a3 < a2 < wire-7" in a.to_markdown()
+    edges = spark.createDataFrame([("x", "y", "DERIVED_FROM"), ("y", "x", "DERIVED_FROM"), *[(f"n{i}", f"n{i + 1}", "DERIVED_FROM") for i in range(12)]], "src string, dst string, etype string")
+    got = {r.id: r.path for r in G.paths(edges).collect()}
+    assert got["x"] == ["x", "y"] and got["n0"] == [f"n{i}" for i in range(9)] and got["n11"] == ["n11", "n12"]

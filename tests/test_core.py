@@ -304,6 +304,38 @@ def test_merged_batches_equal_one_batch(spark):
     assert sorted(map(tuple, both.collect()), key=repr) == sorted(map(tuple, B.timeline(df.select("entity", "attribute", "value", "valid_from", "seq")).select(both.columns).collect()), key=repr)
 
 
+@pytest.mark.parametrize("keep", [1 << 18, 40, 3])
+def test_bpe_counts_only_what_changes(spark, monkeypatch, keep):
+    """Merges by deltas equal merges by full counts, however few pairs the driver holds."""
+    monkeypatch.setattr(P.Bpe, "KEEP", keep)
+    rng = random.Random(14)
+    counts = {"".join(rng.choice("aabcdé") for _ in range(rng.randint(1, 12))): rng.randint(1, 9) for _ in range(150)}
+    seqs, want = [(list(w.encode()), n) for w, n in counts.items()], []
+    for new in range(256, 296):
+        pairs = {}
+        for s, n in seqs:
+            for p in zip(s, s[1:]):
+                pairs[p] = pairs.get(p, 0) + n
+        best = max(pairs, key=lambda p: (pairs[p], p))
+        want.append(best)
+        seqs = [(P.Bpe._joined(s, best, new), n) for s, n in seqs]
+    words = spark.createDataFrame(list(counts.items()), "word string, n long").repartition(3)
+    assert P.Bpe.train(words, 296).merges == want
+
+
+def test_pair_index_passes_by_blocks_without_the_pair(spark):
+    words = spark.createDataFrame([("abab", 3), ("abc", 2), ("zz", 5), ("zzz", 1)], "word string, n long").repartition(2)
+    index = P._PairIndex(words)
+    whole = {(r.a, r.b): r.n for r in index.counts().collect()}
+    assert whole == {(97, 98): 8, (98, 97): 3, (98, 99): 2, (122, 122): 7}
+    delta = {(r.a, r.b): r.n for r in index.merge([(97, 98)]).collect()}
+    assert delta == {(97, 98): -8, (98, 97): -3, (98, 99): -2, (256, 256): 3, (256, 99): 2}
+    index.settle()
+    assert {(r.a, r.b): r.n for r in index.counts().collect()} == {(256, 256): 3, (256, 99): 2, (122, 122): 7}
+    assert {(r.a, r.b): r.n for r in index.merge([(122, 122), (256, 256)]).collect()} == {(122, 122): -7, (256, 256): -3, (257, 122): 1}
+    index.close()
+
+
 def test_bpe_learns_from_all_words(spark):
     many = spark.range(200_000).selectExpr("substr(md5(cast(id AS string)), 1, 8) word", "3L n").union(spark.range(50_000).selectExpr("concat('zqzqzq', id) word", "2L n"))
     assert (ord("z"), ord("q")) in P.Bpe.train(many, 260).merges

@@ -17,8 +17,10 @@ TIERS = {
     "science": {1: [r"arxiv\.org", r"doi\.org", r"nature\.com", r"science\.org", r"pubmed", r"\.edu$"], 2: [r"nih\.gov", r"who\.int", r"\.ac\."], 3: [r"sciencedaily", r"newscientist"], 4: [r"reddit\.com", r"substack\."]},
     "software": {1: [r"status\.", r"statuspage\.io", r"github\.com/[^/]+/[^/]+/releases", r"/docs/"], 2: [r"github\.com", r"stackoverflow\.com"], 3: [r"medium\.com", r"dev\.to"], 4: [r"reddit\.com", r"x\.com"]},
 }
+# Weight of a source by its tier; weights of the factors of support.
 TIER_PRIOR = {1: 1.0, 2: 0.78, 3: 0.5, 4: 0.2}
 FACTOR_WEIGHTS = {"authority": 0.20, "recency": 0.12, "independence": 0.22, "directness": 0.14, "specificity": 0.08, "agreement": 0.16, "validity": 0.08}
+# Phrases of second-hand reports; what counts as specific.
 SECONDHAND = r"(?i)\b(according to|as reported by|cited by|per a report|sources say|reportedly|a spokesperson (?:said|told))\b"
 SPECIFIC = r"(?i)(\d{4}-\d{2}-\d{2}|\b\d[\d,]*\.?\d*\s?(?:%|billion|million)|\bQ[1-4]\s?\d{4})"
 
@@ -43,6 +45,7 @@ NUMBER = r"(?i)([$€£¥])?\s?(\d[\d,]*\.?\d*)\s?(billion|million|bn|m|k|%|perc
 NEGATION = r"(?i)\b(not|no longer|never|denied|denies|rejected|declined|failed to|without|ceased|stopped|cancell?ed|withdrew|refuted)\b"
 ROUNDING = r"(?i)\b(about|approximately|roughly|around|nearly|over|under|~)\b"
 SCOPE = r"(?i)\b(segment|division|subsidiary|region|excluding|including|adjusted|pro forma|constant currency|per share|q[1-4]|fiscal|calendar)\b"
+# Words without content.
 CONTENT_STOP = "a an the of and or to in on at for is are was were be by with as that this it its from".split()
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from tidemark.operators.staging import remove, staged
+
 PERMUTATIONS, BANDS = 128, 16
 
 
@@ -160,35 +162,119 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], ["ids", "n"])
 
 
-def _merging(merges: list[tuple[int, int]], new: int, count: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Packed words after further merges, or their pair counts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for packed, weights in zip(batch.column("ids").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                ids, n = np.frombuffer(packed, dtype=np.int32).copy(), np.frombuffer(weights, dtype=np.int64)
-                for k, (a, b) in enumerate(merges):
-                    at = np.flatnonzero((ids[:-1] == a) & (ids[1:] == b))
-                    if a == b and len(at):
-                        start = np.r_[True, np.diff(at) != 1]
-                        at = at[(at - at[start][np.cumsum(start) - 1]) % 2 == 0]
-                    ids[at] = new + k
-                    ids, n = np.delete(ids, at + 1), np.delete(n, at + 1)
-                if not count:
-                    yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], ["ids", "n"])
-                    continue
-                at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
-                code, back = np.unique(ids[at].astype(np.int64) << 32 | ids[at + 1], return_inverse=True)
-                total = np.zeros(len(code), dtype=np.int64)
-                np.add.at(total, back, n[at])
-                yield pa.RecordBatch.from_arrays([pa.array((code >> 32).astype(np.int32)), pa.array((code & 0xFFFFFFFF).astype(np.int32)), pa.array(total)], ["a", "b", "n"])
-
-    return run
+def _merged(ids: np.ndarray, n: np.ndarray, merges: list[tuple[int, int]], new: int) -> tuple[np.ndarray, np.ndarray]:
+    """Packed words after merges, the first of which makes the token `new`."""
+    for k, (a, b) in enumerate(merges):
+        at = np.flatnonzero((ids[:-1] == a) & (ids[1:] == b))
+        if not len(at):
+            continue
+        if a == b:
+            start = np.r_[True, np.diff(at) != 1]
+            at = at[(at - at[start][np.cumsum(start) - 1]) % 2 == 0]
+        ids = ids.copy()
+        ids[at] = new + k
+        keep = np.ones(len(ids), dtype=bool)
+        keep[at + 1] = False
+        ids, n = ids[keep], n[keep]
+    return ids, n
+
+
+def _codes(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of adjacent pairs within words, and the pairs as numbers."""
+    at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
+    return at, ids[at].astype(np.int64) << 32 | ids[at + 1]
+
+
+def _tokens_of(ids: np.ndarray) -> np.ndarray:
+    """Tokens of each packed word."""
+    return np.diff(np.r_[-1, np.flatnonzero(ids < 0)]) - 1
+
+
+def _of_words(ids: np.ndarray, n: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The packed words that `which` marks."""
+    inside = np.repeat(which, _tokens_of(ids) + 1)
+    return ids[inside], n[inside]
+
+
+def _pair_sums(code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    code, back = np.unique(code, return_inverse=True)
+    total = np.zeros(len(code), dtype=np.int64)
+    np.add.at(total, back, n)
+    return pa.RecordBatch.from_arrays([pa.array((code >> 32).astype(np.int32)), pa.array((code & 0xFFFFFFFF).astype(np.int32)), pa.array(total)], ["a", "b", "n"])
+
+
+class _PairIndex:
+    """Packed words in blocks with the pairs that each block has: merges pass by blocks without their pairs.
+
+    Words lie in order of their text, so that rare pairs are in few blocks.  Merges since the last `settle` are applied when
+    a block is read; `settle` writes the words as they are then, without those of one token, and their pairs again.
+    """
+
+    def __init__(self, words: DataFrame) -> None:
+        packed = words.select("word", F.col("n").cast("long").alias("n")).repartitionByRange("word").sortWithinPartitions("word").mapInArrow(_packed, "ids binary, n binary")
+        self.state, self.new = self._written(packed, [], 256), 256
+        self.waiting: list[tuple[int, int]] = []
+
+    def _written(self, blocks: DataFrame, merges: list[tuple[int, int]], new: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for packed, weights in zip(batch.column("ids").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                    ids, n = _merged(np.frombuffer(packed, dtype=np.int32), np.frombuffer(weights, dtype=np.int64), merges, new)
+                    ids, n = _of_words(ids, n, _tokens_of(ids) > 1)
+                    if len(ids):
+                        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (ids, n, np.unique(_codes(ids)[1]))], ["ids", "n", "pairs"])
+
+        return staged(blocks.mapInArrow(run, "ids binary, n binary, pairs binary"), "bpe-words")
+
+    def settle(self) -> None:
+        old, self.state = self.state, self._written(self.state, self.waiting, self.new)
+        remove(old.sparkSession, old._staged_at)
+        self.new, self.waiting = self.new + len(self.waiting), []
+
+    def close(self) -> None:
+        remove(self.state.sparkSession, self.state._staged_at)
+
+    def counts(self) -> DataFrame:
+        """(a, b, n) of all pairs."""
+        waiting, new = list(self.waiting), self.new
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for packed, weights in zip(batch.column("ids").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                    ids, n = _merged(np.frombuffer(packed, dtype=np.int32), np.frombuffer(weights, dtype=np.int64), waiting, new)
+                    at, code = _codes(ids)
+                    yield _pair_sums(code, n[at])
+
+        return self.state.mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+    def merge(self, merges: list[tuple[int, int]]) -> DataFrame:
+        """Take in further merges: (a, b, n), by how much the counts of pairs change, from the words that change alone."""
+        before, new = list(self.waiting), self.new
+        self.waiting += merges
+        wanted = np.array(sorted(a << 32 | b for a, b in self.waiting), dtype=np.int64)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    if not np.isin(wanted, np.frombuffer(batch.column("pairs")[i].as_py(), dtype=np.int64), assume_unique=True).any():
+                        continue
+                    ids, n = (np.frombuffer(batch.column(c)[i].as_py(), dtype=t) for c, t in (("ids", np.int32), ("n", np.int64)))
+                    ids, n = _merged(ids, n, before, new)
+                    after, m = _merged(ids, n, merges, new + len(before))
+                    changed = _tokens_of(ids) != _tokens_of(after)
+                    if changed.any():
+                        (ids, n), (after, m) = _of_words(ids, n, changed), _of_words(after, m, changed)
+                        (at, gone), (to, made) = _codes(ids), _codes(after)
+                        yield _pair_sums(np.r_[gone, made], np.r_[-n[at], m[to]])
+
+        return self.state.mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).where("n <> 0")
 
 
 class Bpe:
     """Byte-level byte-pair encoding; merges in order of their ranks."""
 
+    KEEP = 1 << 18
+
     def __init__(self, merges: list[tuple[int, int]], specials: tuple[str, ...] = ()) -> None:
         self.merges, self.specials = merges, specials
         self.rank = {pair: i for i, pair in enumerate(merges)}
@@ -204,27 +290,45 @@ class Bpe:
 
     @classmethod
     def train(cls, words: DataFrame, vocab_size: int, min_count: int = 2, specials: tuple[str, ...] = ()) -> Bpe:
-        """Merges learnt from all pre-tokens: these stay distributed, each round collects pair counts (at most the vocabulary squared).
+        """Merges learnt from all pre-tokens, which stay distributed.
 
-        A round takes pairs in order of their counts as long as no earlier merge can change what is next.
+        The driver holds the `KEEP` most frequent pairs.  Merging makes counts of old pairs smaller only, and those of new
+        pairs are known when they are made, so a pair below the last that is held can't come before it: what has changed is
+        all that a round needs (`_PairIndex.merge`).  When the pairs held are used up, all are counted again.  A
+        round takes pairs in order of their counts as long as no earlier merge can change what is next.
         """
-        state = words.select("word", "n").mapInArrow(_packed, "ids binary, n binary").persist()
-        merges: list[tuple[int, int]] = []
-        done, room = 0, vocab_size - 256 - len(specials)
+        index, merges, room = _PairIndex(words), [], vocab_size - 256 - len(specials)
+        held, least = cls._most(index, min_count)
         while len(merges) < room:
-            if len(merges) - done >= 32:
-                old, state = state, state.mapInArrow(_merging(merges[done:], 256 + done, False), "ids binary, n binary").persist()
-                state.count()
-                old.unpersist()
-                done = len(merges)
-            rows = state.mapInArrow(_merging(merges[done:], 256 + done, True), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()
-            taken = cls._next(sorted(((r.n, (r.a, r.b)) for r in rows if r.n >= min_count), reverse=True))
+            taken = cls._next(sorted(((n, pair) for pair, n in held.items()), reverse=True))[: room - len(merges)]
             if not taken:
-                break
-            merges += taken[: room - len(merges)]
-        state.unpersist()
+                if least <= min_count:
+                    break
+                held, least = cls._most(index, min_count)
+                continue
+            first_new = 256 + len(merges)
+            merges += taken
+            for r in index.merge(taken).toLocalIterator():
+                pair, n = (r.a, r.b), held.get((r.a, r.b), 0) + r.n
+                if n >= least and (pair in held or max(pair) >= first_new):
+                    held[pair] = n
+                else:
+                    held.pop(pair, None)
+            if len(index.waiting) >= 64:
+                index.settle()
+        index.close()
         return cls(merges, specials)
 
+    @classmethod
+    def _most(cls, index: _PairIndex, min_count: int) -> tuple[dict[tuple[int, int], int], int]:
+        """The most frequent pairs with their counts, and the count from which on they are all there."""
+        rows = index.counts().where(F.col("n") >= min_count).orderBy(F.desc("n")).limit(cls.KEEP + 1).collect()
+        least = min_count if len(rows) <= cls.KEEP else rows[-1].n + 1
+        if rows and least > rows[0].n:  # more pairs than are held have the greatest count
+            least = rows[0].n
+            rows = index.counts().where(F.col("n") >= least).collect()
+        return {(r.a, r.b): r.n for r in rows if r.n >= least}, least
+
     @staticmethod
     def _next(pairs: list[tuple[int, tuple[int, int]]]) -> list[tuple[int, int]]:
         """The first pairs that are merged one after the other whatever the merges before them make.

@@ -25,6 +25,17 @@ def roots(edges: DataFrame, etype: str = "DERIVED_FROM", depth: int = 8) -> Data
     return out
 
 
+def paths(edges: DataFrame, etype: str = "DERIVED_FROM", depth: int = 8) -> DataFrame:
+    """(id, path) of every node that is derived from another: itself, what it comes from, and so on to its root, at most `depth` steps; a circle ends where it closes."""
+    up = edges.where(F.col("etype") == etype).groupBy("src").agg(F.min("dst").alias("up"))
+    step = up.select(F.col("src").alias("_last"), "up")
+    out = up.select(F.col("src").alias("id"), F.array("src", "up").alias("path"))
+    for _ in range(depth - 1):
+        goes_on = F.col("up").isNotNull() & ~F.array_contains("path", F.coalesce("up", F.lit("")))
+        out = out.withColumn("_last", F.element_at("path", -1)).join(step, "_last", "left").select("id", F.when(goes_on, F.concat("path", F.array("up"))).otherwise(F.col("path")).alias("path"))
+    return out
+
+
 def independent_sources(edges: DataFrame, mode: str = "intended") -> DataFrame:
     """Number of independent origins behind each claim: derivation roots of its documents, or its documents' sources (mode "reference")."""
     claims = edges.where("etype = 'SUPPORTS'").select(F.col("src").alias("doc"), F.col("dst").alias("claim"))

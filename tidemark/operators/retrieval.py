@@ -288,6 +288,12 @@ def best_of_subqueries(hits: DataFrame, k: int) -> DataFrame:
     return top_k(hits.groupBy("query_id", "doc_id").agg(F.max("score").alias("score")), k)
 
 
+def ranked_documents(ranked: DataFrame, parts: DataFrame) -> DataFrame:
+    """Ranked chunks (query_id, doc_id, rank) as ranked documents, parts(chunk_id, doc_id): each at the place of its best chunk, ranks from 1 without gaps."""
+    best = ranked.select("query_id", F.col("doc_id").alias("chunk_id"), "rank").join(parts.select("chunk_id", "doc_id"), "chunk_id").groupBy("query_id", "doc_id").agg(F.min("rank").alias("_at"))
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("_at", "doc_id"))).drop("_at")
+
+
 def hard_negatives(ranked: DataFrame, gold: DataFrame, n: int = 4) -> DataFrame:
     """The best ranked documents that are not gold."""
     left = ranked.join(gold.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").drop("rank")

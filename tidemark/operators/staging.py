@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
 
@@ -22,17 +25,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder, removed when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_at_exit, spark, path)
+    return path
+
+
+def _at_exit(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may have ended before this
+        remove(spark, path)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write the rows as Parquet in the shared folder and read them back."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
 
 
 def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path that this process made; after the session has ended, only one on this machine."""
     context = spark.sparkContext
+    if context._jsc is None or context._jvm is None:
+        shutil.rmtree(path.removeprefix("file:"), ignore_errors=True)
+        return
     target = context._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)

@@ -27,6 +27,7 @@ from tidemark.functions.text import human_amount
 from tidemark.operators import assess as A
 from tidemark.operators import bitemporal as B
 from tidemark.operators import claims as C
+from tidemark.operators import graph as G
 from tidemark.operators import retrieval as R
 from tidemark.operators.scoring import Model, rerank
 from tidemark.operators.staging import new_path, staged
@@ -92,7 +93,7 @@ class Answer:
 
     def to_markdown(self) -> str:
         lines = [f"**{self.question}**", "", self.answer, "", f"Support: {self.support_level} ({self.score:.2f})", "", "## Evidence"]
-        lines += [f"- [{i}] {c['doc_id']} ({c['source']}, {c['date']})" for i, c in enumerate(self.citations, 1)]
+        lines += [f"- [{i}] {' < '.join(c['path'])} ({c['source']}, {c['date']})" for i, c in enumerate(self.citations, 1)]
         return "\n".join(lines)
 
 
@@ -100,7 +101,7 @@ class Answer:
 ANSWERS = (
     "question string, answer string, abstained boolean, reason string, support_level string, score double, coverage double, "
     "claims array<struct<claim_id string, text string, value string, own_doc string, valid_to timestamp, verdict string, entailment double, n_independent long, n_evidence long, checkable boolean, backing array<string>>>, "
-    "citations array<struct<doc_id string, source string, date string, marker string>>, "
+    "citations array<struct<doc_id string, source string, date string, marker string, path array<string>>>, "
     "timeline array<struct<value string, valid_from timestamp, valid_to timestamp, change_kind string>>, "
     "conflicts array<struct<entity string, attribute string, value_a string, value_b string, source_id_a string, source_id_b string, valid_from_a timestamp, valid_from_b timestamp, valid_to_a timestamp, valid_to_b timestamp, conflict_type string, severity double, preferred string>>, "
     "comparison array<struct<entity string, value string, valid_from timestamp, valid_to timestamp>>, n_versions long, n_conflicts long, trace array<string>"
@@ -303,6 +304,14 @@ class Engine:
         said = A.rewrite(judged.withColumn("refuting", F.expr("slice(backing, 2, 1)"))).groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("claim_id", "sentence"))), lambda s: s["sentence"]).alias("sentences"))
         return per.join(said, "query_id", "left")
 
+    def _traced(self, evidence: DataFrame) -> DataFrame:
+        """Evidence with the path of documents that each was derived from, itself first, where the chunks name it (`derived_from`)."""
+        if "derived_from" not in self._named.columns:
+            return evidence.withColumn("path", F.array("doc_id"))
+        edges = self._named.where("derived_from is not null").select(F.col("doc_id").alias("src"), F.col("derived_from").cast("string").alias("dst"), F.lit("DERIVED_FROM").alias("etype"))
+        ways = G.paths(edges).withColumnRenamed("id", "doc_id")
+        return evidence.join(ways, "doc_id", "left").withColumn("path", F.coalesce("path", F.array("doc_id")))
+
     def _records(self, heads: DataFrame) -> DataFrame:
         """For each fact key of the heads: its versions counted, the last of them, and its serious conflicts."""
         shown, key = self.config.shown, list(B.KEY)
@@ -336,7 +345,9 @@ class Engine:
         asked = asked.join(held, "query_id", "left").join(fiscal, "query_id", "left").withColumn("trace", F.when(F.col("_fiscal").isNull(), F.array().cast("array<string>")).otherwise(F.array("_fiscal"))).drop("_fiscal", "year_only")
         asked = staged(asked.fillna(0, ["n_versions"]).fillna(False, ["on_record"]), "asked")
         searched, evidence = self._searched(asked, heads)
-        cited = evidence.groupBy("query_id").agg(F.transform(_in_order(["doc_id", "source", F.col("date").cast("string").alias("date")], "doc_id"), lambda c, i: c.withField("marker", F.concat(F.lit("E"), (i + 1).cast("string")))).alias("citations"))
+        fields = ["doc_id", "source", F.col("date").cast("string").alias("date"), "path"]
+        marked = lambda c, i: F.struct(c["doc_id"].alias("doc_id"), c["source"].alias("source"), c["date"].alias("date"), F.concat(F.lit("E"), (i + 1).cast("string")).alias("marker"), c["path"].alias("path"))
+        cited = self._traced(evidence).groupBy("query_id").agg(F.transform(_in_order(fields, "doc_id"), marked).alias("citations"))
         line = F.concat("entity", F.lit(": "), "attribute", F.lit(" is "), "value", F.lit(" (from "), F.coalesce(F.date_format("valid_from", "yyyy-MM-dd"), F.lit("the start")), F.lit(", "), F.coalesce("source_id", F.lit("")), F.lit(")."))
         known = heads.join(self._records(heads), list(B.KEY), "left").select("query_id", line.alias("_line"), "timeline", "conflicts", "n_conflicts")
         rows = searched.join(self._judged(searched, evidence), "query_id", "left").join(known, "query_id", "left").join(cited, "query_id", "left").fillna(0, ["n_claims", "n_supported", "n_stale", "n_conflicts"])
@@ -379,7 +390,7 @@ class Engine:
                 {
                     "answer": F.when(none, "No entities to compare are named.").when(lacking, refusal).otherwise(text), "abstained": lacking, "reason": F.when(lacking, "nothing to compare"),
                     "support_level": F.when(lacking, "INSUFFICIENT").otherwise("MODERATE"), "comparison": given(F.transform("known", lambda r: F.struct(r["entity"].alias("entity"), r["value"].alias("value"), r["valid_from"].alias("valid_from"), r["valid_to"].alias("valid_to")))),
-                    "citations": given(F.transform("known", lambda r, i: F.struct(r["entity"].alias("doc_id"), r["source_id"].alias("source"), r["valid_from"].cast("string").alias("date"), F.concat(F.lit("E"), (i + 1).cast("string")).alias("marker")))),
+                    "citations": given(F.transform("known", lambda r, i: F.struct(r["entity"].alias("doc_id"), r["source_id"].alias("source"), r["valid_from"].cast("string").alias("date"), F.concat(F.lit("E"), (i + 1).cast("string")).alias("marker"), F.array(r["entity"]).alias("path")))),
                 }
             )
         )

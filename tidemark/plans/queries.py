@@ -232,6 +232,21 @@ def bm25_topk(spark, sf):
     return _bm25(spark, sf).select("query_id", "doc_id", "rank", F.round("score", 4).alias("score"))
 
 
+@query(
+    _BM25.replace("FROM documents)", "FROM documents WHERE doc_id % 7 <> 3)", 1) + "SELECT query_id, doc_id, rank, round(score, 4) score FROM top"
+)
+def text_index_topk(spark, sf):
+    """BM25 over an index that took the documents in three batches, some of them first with another's text, and from which every seventh was deleted."""
+    docs, bench = S.table(spark, sf, "documents").select("doc_id", "text"), S.table(spark, sf, "benchmark")
+    index = R.TextIndex(spark, new_path(spark, "text-index"))
+    for batch in range(3):
+        mine = docs.where(F.col("doc_id") % 3 == batch)
+        later = docs.where((F.col("doc_id") % 3 == batch + 1) & (F.col("doc_id") % 5 == 0)).withColumn("text", F.reverse("text"))
+        index.add(mine.unionByName(later))
+    index.delete(docs.where("doc_id % 7 = 3").select("doc_id"))
+    return index.top(bench.select(F.col("item_id").alias("query_id"), "text"), 10).select("query_id", "doc_id", "rank", F.round("score", 4).alias("score"))
+
+
 _VEC = """WITH u AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) v FROM embeddings), q AS (SELECT vec_id query_id, label ql, v q FROM u WHERE vec_id % 20 = 0),
 s AS (SELECT query_id, ql, vec_id, label, list_dot_product(v, q) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q))) score FROM u, q),
 top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) rank FROM s QUALIFY rank <= 10) """
@@ -287,6 +302,13 @@ def weighted_fusion(spark, sf):
     return fused.select("query_id", "doc_id", F.round("score", 4).alias("score"))
 
 
+@query(_VEC + "SELECT query_id, label AS doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY min(rank), label) AS INT) rank FROM top GROUP BY query_id, label")
+def document_ranking(spark, sf):
+    """Vectors as the chunks of their labels: the ranking of labels."""
+    parts = S.table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("doc_id"))
+    return R.ranked_documents(_vec(spark, sf).withColumnRenamed("vec_id", "doc_id"), parts)
+
+
 @query(
     _VEC + """, r AS (SELECT * FROM top WHERE vec_id <> query_id), g AS (SELECT q.query_id, count(*) n_gold, sum(CASE WHEN rn <= 10 THEN 1 / log2(rn + 1) END) idcg FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY vec_id) rn FROM q JOIN u ON q.ql = u.label) q GROUP BY 1)
 SELECT g.query_id, round(count(*) FILTER (label = ql) / n_gold::DOUBLE, 5) recall, round(count(*) FILTER (label = ql) / count(*)::DOUBLE, 5) "precision", round(max(CASE WHEN label = ql THEN 1.0 / rank ELSE 0 END), 5) mrr, round(sum(CASE WHEN label = ql THEN 1 / log2(rank + 1) ELSE 0 END) / idcg, 5) ndcg FROM g JOIN r ON g.query_id = r.query_id GROUP BY g.query_id, n_gold, idcg"""
@@ -402,6 +424,34 @@ def verdict_measures(spark, sf):
     return C.verdict_measures(C.verify(*_claims_and_evidence(spark, sf)))
 
 
+def _statements(spark, sf, k_of_value):
+    """(k, said, r) of suppliers' revenue in 1996; figures are the only numbers in a statement, so names are spelt in letters."""
+    rows = S.table(spark, sf, "lineitem").where(F.year("l_shipdate") == 1996).groupBy(F.col("l_suppkey").alias("k")).agg(F.expr("sum(cast(round(l_extendedprice * 100) as long)) div 100").alias("r"))
+    name = F.concat(F.lit("Supplier"), F.translate(F.col("k").cast("string"), "0123456789", "abcdefghij"))
+    return rows.select("k", F.concat(name, F.lit(" revenue was "), (F.col("r") * k_of_value(F.col("k"))).cast("string"), F.lit(" USD in that year.")).alias("said"))
+
+
+@query(
+    """SELECT l_suppkey AS query_id, CASE l_suppkey % 4 WHEN 0 THEN 'SUPPORTED' WHEN 1 THEN 'REFUTED' WHEN 2 THEN 'CONFLICTED' ELSE 'TEMPORAL_MISMATCH' END verdict, CASE WHEN l_suppkey % 4 = 1 THEN 0.8 ELSE 1.0 END entailment,
+CASE WHEN l_suppkey % 4 IN (0, 2) THEN 1 ELSE 0 END n_independent, CASE WHEN l_suppkey % 4 = 2 THEN 2 ELSE 1 END n_evidence FROM lineitem WHERE year(l_shipdate) = 1996 GROUP BY 1"""
+)
+def claims_judged(spark, sf):
+    """Statements about every supplier, right or doubled, extracted as claims, routed to the evidence about their subject, and judged by the whole ladder.
+
+    By the number of a supplier: a right one, a doubled one against the record, one that two sources differ on, one whose evidence has run out.
+    """
+    k, none = F.col("k"), F.lit(None).cast("timestamp")
+    said = _statements(spark, sf, lambda k: F.when(k % 4 % 3 == 0, 1).otherwise(2))
+    record = _statements(spark, sf, lambda k: F.lit(1)).select(k, F.concat_ws("-", k, F.lit("record")).alias("doc_id"), F.col("said").alias("text"), F.lit("sec.gov").alias("source"), F.when(k % 4 == 3, _ts("1996-12-31")).alias("valid_to"))
+    other = said.where(k % 4 == 2).select(k, F.concat_ws("-", k, F.lit("other")).alias("doc_id"), F.col("said").alias("text"), F.lit("wire.com").alias("source"), none.alias("valid_to"))
+    evidence = record.unionByName(other).select(k.alias("query_id"), "doc_id", "text", "source", none.alias("valid_from"), "valid_to")
+    claims = C.extract(said.select(F.concat_ws("-", k, F.lit("said")).alias("doc_id"), F.col("said").alias("text"), k.alias("query_id")), carry=("query_id",))
+    dated = claims.withColumns({c: F.try_to_timestamp(c) for c in ("valid_from", "valid_to")})
+    pairs = A.route(dated, evidence).select("query_id", "claim_id", "doc_id", "source", F.col("etext").alias("text"), "valid_to")
+    judged = C.verify(claims, pairs, _ts("1997-01-01"))
+    return judged.join(claims.select("claim_id", "query_id"), "claim_id").select("query_id", "verdict", F.round("entailment", 6).alias("entailment"), "n_independent", "n_evidence")
+
+
 _TIER = lambda c, d: "CASE " + " ".join(f"WHEN regexp_matches(lower({c}), '{'|'.join(E.TIERS[d][t])}') THEN {t}" for t in (1, 2, 3, 4)) + " ELSE 3 END"
 
 
