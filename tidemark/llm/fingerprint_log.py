@@ -129,7 +129,7 @@ class FingerprintLog:
             rows = spark.read.schema(_MANIFEST).parquet(f"{self.path}/manifest/v={self.version:06d}").collect()
             self.runs = sorted((r.run, r.size) for r in rows)
             buckets = rows[0].buckets
-        self.buckets = buckets or 1 << max(6, int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length())
+        self.buckets = buckets or 1 << max(8, int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length())
         for run, _ in self.runs:
             self._table(run)
 
