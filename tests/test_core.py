@@ -218,6 +218,23 @@ def test_bpe_round_trip(spark):
     assert len(bpe.encode(" low")) < 4 and bpe.decode([bpe.special_ids["<|bos|>"]]) == "<|bos|>"
 
 
+def test_roots_of_a_depth_and_of_whole_chains(spark):
+    chain = [(f"n{i:02d}", f"n{i - 1:02d}", "DERIVED_FROM") for i in range(1, 21)]
+    circle = [("x", "z", "DERIVED_FROM"), ("z", "y", "DERIVED_FROM"), ("y", "x", "DERIVED_FROM"), ("tail", "z", "DERIVED_FROM"), ("a", "tail", "DERIVED_FROM")]
+    edges = spark.createDataFrame(chain + circle, "src string, dst string, etype string")
+    up = {s: d for s, d, _ in chain + circle}
+    for depth in (0, 1, 5, 8):
+        want = {}
+        for node in {*up, *up.values()}:
+            end = node
+            for _ in range(depth):
+                end = up.get(end, end)
+            want[node] = end
+        assert {r.id: r.root for r in G.roots(edges, depth=depth).collect()} == want, depth
+    whole = {r.id: r.root for r in G.roots(edges, depth=None).collect()}
+    assert {whole[f"n{i:02d}"] for i in range(21)} == {"n00"} and {whole[c] for c in ("x", "y", "z", "tail", "a")} == {"x"}
+
+
 def test_graph_roots_and_independence(spark):
     edges = spark.createDataFrame([("b", "a", "DERIVED_FROM"), ("c", "b", "DERIVED_FROM"), ("b", "k", "SUPPORTS"), ("c", "k", "SUPPORTS"), ("d", "k", "SUPPORTS"), ("b", "s1", "PUBLISHED_BY"), ("c", "s2", "PUBLISHED_BY"), ("d", "s3", "PUBLISHED_BY")], "src string, dst string, etype string")
     assert {r.id: r.root for r in G.roots(edges).collect() if r.id in "abcd"} == {"a": "a", "b": "a", "c": "a", "d": "d"}
