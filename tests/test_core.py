@@ -235,6 +235,12 @@ def test_roots_of_a_depth_and_of_whole_chains(spark):
     assert {whole[f"n{i:02d}"] for i in range(21)} == {"n00"} and {whole[c] for c in ("x", "y", "z", "tail", "a")} == {"x"}
 
 
+def test_origins_follow_chains_of_any_length(spark):
+    derived = [(f"d{i:02d}", f"d{i - 1:02d}", "DERIVED_FROM") for i in range(1, 13)]
+    backs = [("d00", "c", "SUPPORTS"), ("d12", "c", "SUPPORTS")]
+    assert G.independent_sources(spark.createDataFrame(derived + backs, "src string, dst string, etype string")).first().n_independent == 1
+
+
 def test_graph_roots_and_independence(spark):
     edges = spark.createDataFrame([("b", "a", "DERIVED_FROM"), ("c", "b", "DERIVED_FROM"), ("b", "k", "SUPPORTS"), ("c", "k", "SUPPORTS"), ("d", "k", "SUPPORTS"), ("b", "s1", "PUBLISHED_BY"), ("c", "s2", "PUBLISHED_BY"), ("d", "s3", "PUBLISHED_BY")], "src string, dst string, etype string")
     assert {r.id: r.root for r in G.roots(edges).collect() if r.id in "abcd"} == {"a": "a", "b": "a", "c": "a", "d": "d"}
