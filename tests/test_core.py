@@ -377,3 +377,13 @@ def test_bpe_learns_from_all_words(spark):
         seqs = [(P.Bpe._joined(s, best, new), n) for s, n in seqs]
     words = spark.createDataFrame(list(counts.items()), "word string, n long").repartition(3)
     assert P.Bpe.train(words, 316).merges == want
+
+
+def test_fold_takes_keys_one_after_the_other_across_batches(spark):
+    from tidemark.operators.bitemporal import _folded, assertions
+
+    facts = [(f"e{i % 3}", "a", i, str(i // 2 % 4), f"2020-01-{1 + i % 28:02d}", f"2021-01-{1 + i * 7 % 28:02d}", "s") for i in range(60)]
+    df = spark.createDataFrame(facts, "entity string, attribute string, seq long, value string, valid_from string, recorded_at string, source_id string")
+    table = assertions(df).orderBy("entity", "attribute", "recorded_at", "seq").toArrow()
+    cut = lambda n: [tuple(r.values()) for b in _folded(table.to_batches(max_chunksize=n), True) for r in b.to_pylist()]
+    assert cut(1) == cut(7) == cut(1000) and len(cut(7)) == B.assert_facts(df, "bitemporal").count()
