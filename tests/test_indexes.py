@@ -181,3 +181,21 @@ def test_claims_are_paired_and_compared(spark):
     found = C.extract(spark.createDataFrame(texts, "doc_id string, text string"))
     got = {tuple(sorted((r.claim_id_a.split(":")[0], r.claim_id_b.split(":")[0]))): r.conflict_type for r in C.contradictions(found).collect()}
     assert got == {("d1", "d2"): "FACTUAL"}  # d4 says what d1 says
+
+
+def test_many_queries_share_their_frequent_terms(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    common, texts = ["revenue", "year", "sales", "total"], []
+    for i in range(60):
+        texts.append(" ".join([f"name{i // 3}", *rng.choice(common, rng.integers(1, 6)), *(["zeta"] if i == 7 else [])]))
+    texts[11] = texts[40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    said = [f"name{i % 25} revenue {common[i % 3 + 1]}" for i in range(40)] + ["zeta", "nothing here", "total revenue"]
+    asked = spark.createDataFrame(list(enumerate(said)), "query_id int, text string")
+    rows = lambda df: sorted((r.query_id, r.doc_id, r["rank"], round(r.score, 6)) for r in df.collect())
+    want = rows(R.top_k(R.bm25(docs, asked).where("score > 0"), 7))
+    for docs_at_once, sets, rare in ((5, 4, 3), (8192, 512, 256), (7, 1, 0)):
+        monkeypatch.setattr(R, "BLOCK_DOCS", docs_at_once)
+        monkeypatch.setattr(R, "BLOCK_SETS", sets)
+        monkeypatch.setattr(R, "RARE", rare)
+        assert rows(R.bm25_top(docs, asked, 7)) == want

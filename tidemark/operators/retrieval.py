@@ -11,19 +11,31 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import tokens
+from tidemark.operators.staging import new_path, remove, staged
 
 K1, B = 1.5, 0.75
+# Documents and sets of terms that are scored at once; the most documents of a term that pairs are made of.
+BLOCK_DOCS, BLOCK_SETS, RARE = 8192, 512, 256
 # Weights of the ranking signals.
 FUSION_WEIGHTS = {"dense": 1.0, "sparse": 1.0, "freshness": 0.3, "authority": 0.3, "entity": 0.4, "temporal": 0.6}
 
 
 def postings(docs: DataFrame) -> DataFrame:
     """(term, doc_id, tf, len) of docs(doc_id, text)."""
-    split = docs.select("doc_id", tokens(F.col("text")).alias("t")).withColumn("len", F.size("t"))
+    return _counted(_split(docs))
+
+
+def _split(docs: DataFrame) -> DataFrame:
+    """(doc_id, t, len): tokens of docs(doc_id, text)."""
+    return docs.select("doc_id", tokens(F.col("text")).alias("t")).withColumn("len", F.size("t"))
+
+
+def _counted(split: DataFrame) -> DataFrame:
     return split.select("doc_id", "len", F.explode("t").alias("term")).groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf"))
 
 
@@ -47,6 +59,90 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     return _scored(postings(docs).join(asked.select("term").distinct(), "term", "left_semi"), asked, size)
 
 
+def _blocks_scored(sets: DataFrame, found: DataFrame, n_docs: int, avg_len: float, k: int) -> DataFrame:
+    """(_set, doc_id, score): the best k documents of each block for each of sets(_set, t, w), found(doc_id, t, tf, len); t is a term's hash.
+
+    Blocks of sets meet blocks of documents, so memory is that of a block, and of all pairs the best k leave it.
+    Terms are added in the same order for every document, so that equal texts tie.
+    """
+    n_sets = -(-sets.select("_set").distinct().count() // BLOCK_SETS) or 1
+    n_parts = -(-n_docs // BLOCK_DOCS) or 1
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = sets.select("_set", "t", "w", F.pmod("_set", F.lit(n_sets)).cast("int").alias("sb"), every(n_parts).alias("db"))
+    right = found.select("doc_id", "t", "tf", "len", F.pmod(F.xxhash64("doc_id"), F.lit(n_parts)).cast("int").alias("db"), every(n_sets).alias("sb"))
+    kind = found.schema["doc_id"].dataType.simpleString()
+
+    def job(q: pa.Table, d: pa.Table) -> pa.Table:
+        docs = d.column("doc_id").combine_chunks().dictionary_encode()
+        names = docs.dictionary.take(pc.sort_indices(docs.dictionary))
+        parts = [pa.table([pa.array([], pa.int64()), names.slice(0, 0), pa.array([], pa.float64())], ["_set", "doc_id", "score"])]
+        if not q.num_rows or not d.num_rows:
+            return parts[0]
+        place = np.empty(len(names), dtype=np.int64)
+        place[pc.sort_indices(docs.dictionary).to_numpy()] = np.arange(len(names))
+        doc, t = place[docs.indices.to_numpy()], d.column("t").to_numpy()
+        tf, size = d.column("tf").to_numpy().astype(np.float64), d.column("len").to_numpy().astype(np.float64)
+        ids, which = np.unique(q.column("_set").to_numpy(), return_inverse=True)
+        by_term = np.argsort(q.column("t").to_numpy(), kind="stable")
+        terms, first, often = np.unique(q.column("t").to_numpy()[by_term], return_index=True, return_counts=True)
+        which, w = which[by_term], q.column("w").to_numpy()[by_term]
+        at = np.minimum(np.searchsorted(terms, t), len(terms) - 1)
+        row = np.flatnonzero(terms[at] == t)
+        row = row[np.lexsort((t[row], doc[row]))]
+        doc, at, tf, low = doc[row], at[row], tf[row], tf[row] + K1 * (1 - B + B * size[row] / max(avg_len, 1e-9))
+        score = np.zeros((len(names), len(ids)))
+        upto = np.r_[0, np.cumsum(often[at])]
+        bounds = np.r_[0, np.flatnonzero(np.diff(doc)) + 1, len(doc)]  # documents are not cut
+        start = 0
+        while start < len(doc):
+            stop = bounds[max(np.searchsorted(upto[bounds], upto[start] + (1 << 20), side="right") - 1, np.searchsorted(bounds, start, side="right"))]
+            n = often[at[start:stop]]
+            pair = np.repeat(np.arange(start, stop), n)
+            entry = np.arange(len(pair)) - np.repeat(upto[start:stop] - upto[start], n) + first[at[pair]]
+            a, b = doc[start], doc[stop - 1] + 1
+            cell = (doc[pair] - a) * len(ids) + which[entry]
+            score[a:b] = np.bincount(cell, weights=w[entry] * tf[pair] * (K1 + 1) / low[pair], minlength=(b - a) * len(ids)).reshape(b - a, len(ids))
+            start = stop
+        for i in range(0, len(ids), 64):
+            own = np.rint(score[:, i : i + 64].T * 1e9) / 1e9
+            best = np.argsort(-own, axis=1, kind="stable")[:, :k]
+            got = np.take_along_axis(own, best, axis=1).ravel()
+            good = got > 0
+            parts.append(pa.table([pa.array(np.repeat(ids[i : i + 64], best.shape[1])[good]), names.take(pa.array(best.ravel()[good])), pa.array(got[good])], ["_set", "doc_id", "score"]))
+        return pa.concat_tables(parts)
+
+    return left.groupBy("sb", "db").cogroup(right.groupBy("sb", "db")).applyInArrow(job, f"_set long, doc_id {kind}, score double")
+
+
+def _best(found: DataFrame, asked: DataFrame, n_docs: int, avg_len: float, k: int) -> DataFrame:
+    """The best k documents by BM25 of each query of asked(query_id, term, qf), from postings found(term, doc_id, tf, len) of their terms.
+
+    Few queries are scored as they are.  Of many, those that share their frequent terms (more than `RARE` documents)
+    share that work: a document without any of a query's rare terms can be among its best k only when it is among the best k of
+    the frequent ones, since rare terms only add; documents with a rare term are scored in full.
+    """
+    found = found.select("term", F.xxhash64("term").alias("t"), "doc_id", "tf", "len")
+    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    asked = staged(asked.join(df, "term").select("query_id", "term", F.xxhash64("term").alias("t"), (F.col("qf") * idf).alias("w"), "df"), "asked-terms")
+    many = asked.select("query_id").distinct().count() > BLOCK_SETS
+    often = asked.where(F.col("df") > RARE) if many else asked
+    sets = staged(often.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("t", "w"))).alias("terms")).withColumn("_set", F.xxhash64("terms")), "sets")
+    own = sets.groupBy("_set").agg(F.first("terms").alias("terms")).select("_set", F.explode("terms").alias("x")).select("_set", "x.*")
+    hits = found.join(often.select("term").distinct(), "term", "left_semi") if many else found
+    top = top_k(_blocks_scored(own, hits.select("doc_id", "t", "tf", "len"), n_docs, avg_len, k), k, by="_set").drop("rank")
+    scored = sets.select("query_id", "_set").join(top, "_set").select("query_id", "doc_id", "score")
+    if many:
+        pairs = asked.where(F.col("df") <= RARE).select("query_id", "term").join(found.select("term", "doc_id"), "term").select("query_id", "doc_id").distinct()
+        whole = pairs.join(asked.select("query_id", "term", "t", "w"), "query_id").join(found.drop("t"), ["doc_id", "term"])
+        part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.greatest(F.lit(avg_len), F.lit(1e-9))))
+        in_order = F.sort_array(F.collect_list(F.struct("t", part.alias("part"))))
+        total = F.rint(F.aggregate(in_order, F.lit(0.0), lambda s, x: s + x["part"]) * 1e9) / 1e9
+        full = whole.groupBy("query_id", "doc_id").agg(total.alias("score")).where("score > 0")
+        scored = scored.unionByName(full).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
+    return top_k(scored, k)
+
+
 class TextIndex:
     """Postings on disk as a log of segments that are never changed, with deletes beside them.
 
@@ -118,7 +214,7 @@ class TextIndex:
 
     def _write(self, found: DataFrame, lengths: DataFrame, n: int) -> int:
         """Write a segment; its number of documents."""
-        found.select("term", "doc_id", "tf", "len", self._part()).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/postings/s={n}")
+        found.select("term", "doc_id", "tf", "len", "part").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/postings/s={n}")
         lengths.select("doc_id", "len").write.mode("overwrite").parquet(f"{self.path}/lengths/s={n}")
         return self.spark.read.parquet(f"{self.path}/lengths/s={n}").count()
 
@@ -126,7 +222,11 @@ class TextIndex:
         """Take in documents(doc_id, text); those that are there already are replaced.  A batch has each doc_id once."""
         n = self._next()
         self._forget(docs, n)
-        count = self._write(postings(docs), docs.select("doc_id", F.size(tokens(F.coalesce("text", F.lit("")))).alias("len")), n)
+        split = staged(_split(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))), "tokens")
+        # rows of a part stay together from the count to the file
+        each = split.select("doc_id", "len", F.explode("t").alias("term")).withColumn("part", self._part()).repartition("part")
+        count = self._write(each.groupBy("part", "term", "doc_id", "len").agg(F.count("*").alias("tf")), split, n)
+        remove(self.spark, split._staged_at)
         length = self.spark.read.parquet(f"{self.path}/lengths/s={n}").agg(F.coalesce(F.sum("len"), F.lit(0))).first()[0]
         self.live_docs, self.live_len = self.live_docs + count, self.live_len + length
         self.segments.append((n, count))
@@ -145,7 +245,7 @@ class TextIndex:
         if not some:
             return
         held, n = [s for s, _ in some], self._next()
-        count = self._write(self._live(self._read("postings", held), held), self._live(self._read("lengths", held), held), n)
+        count = self._write(self._live(self._read("postings", held), held).repartition("part"), self._live(self._read("lengths", held), held), n)
         self.segments = [*self.segments[: -len(some)], (n, count)]
         self._publish()
 
@@ -158,8 +258,7 @@ class TextIndex:
         parts = [r.part for r in wanted.select("part").distinct().collect()]  # at most `parts` of them
         held = [s for s, _ in self.segments]
         found = self._read("postings", held).where(F.col("part").isin(parts)).join(wanted, ["part", "term"], "left_semi")
-        size = self.spark.range(1).select(F.lit(self.live_docs).alias("n_docs"), F.lit(self.live_len / max(1, self.live_docs)).alias("avg_len"))
-        return top_k(_scored(self._live(found, held).drop("part", "s"), asked, size).where("score > 0"), k)
+        return _best(self._live(found, held), asked, self.live_docs, self.live_len / max(1, self.live_docs), k)
 
 
 def top_k(scored: DataFrame, k: int, score: str = "score", by: str = "query_id", key: str = "doc_id") -> DataFrame:
@@ -168,7 +267,11 @@ def top_k(scored: DataFrame, k: int, score: str = "score", by: str = "query_id",
 
 
 def bm25_top(docs: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    return top_k(bm25(docs, queries).where("score > 0"), k)
+    """The best k documents of each query; texts are cut into tokens once."""
+    split, asked = staged(_split(docs), "tokens"), _asked(queries)
+    n_docs, avg_len = split.agg(F.count("*"), F.coalesce(F.avg("len"), F.lit(0.0))).first()
+    found = staged(_counted(split).join(asked.select("term").distinct(), "term", "left_semi"), "found")
+    return _best(found, asked, n_docs, avg_len, k)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -248,7 +351,6 @@ def vector_top(vectors: DataFrame, queries: DataFrame, k: int = 20, code: bool =
 
 def ivf_top(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.95) -> DataFrame:
     """Top k of queries(query_id, q) by an inverted file over vectors(vec_id, embedding), made for the purpose; see `VectorIndex`."""
-    from tidemark.operators.staging import new_path
     from tidemark.operators.vectorindex import VectorIndex
 
     index = VectorIndex(vectors.sparkSession, new_path(vectors.sparkSession, "vector-index"))
