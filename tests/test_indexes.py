@@ -1,6 +1,7 @@
 """Indexes on disk, with replacement, deletes, appends and merges, and interval joins, against plain computations."""
 
 import random
+import tracemalloc
 from datetime import datetime, timedelta, timezone
 
 import numpy as np
@@ -199,3 +200,19 @@ def test_many_queries_share_their_frequent_terms(spark, monkeypatch):
         monkeypatch.setattr(R, "BLOCK_SETS", sets)
         monkeypatch.setattr(R, "RARE", rare)
         assert rows(R.bm25_top(docs, asked, 7)) == want
+
+
+def test_vector_search_holds_a_bounded_part_of_its_scores():
+    """A full block of vectors and of queries: their scores would be 512 MB."""
+    rng = np.random.default_rng(5)
+    x, q = rng.integers(-9, 9, (16384, 4)).astype(float), rng.integers(-9, 9, (4096, 4)).astype(float)
+    tracemalloc.start()
+    best, score = R.best_scored(len(q), len(x), 10, lambda i, n: q[i : i + n] @ x.T)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    some = q[::511] @ x.T  # whole numbers, with many ties
+    want = np.argsort(-some, axis=1, kind="stable")[:, :10]
+    assert (best[::511] == want).all() and (score[::511] == np.take_along_axis(some, want, axis=1)).all()
+    missing = np.array([[np.nan, 1.0, np.nan, 2.0, 1.0]])
+    assert R.best_places(missing, 4).tolist() == [[3, 1, 4, 0]] and R.best_places(missing, 9).tolist() == [[3, 1, 4, 0, 2]]

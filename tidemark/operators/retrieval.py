@@ -6,6 +6,7 @@ partial sums, and the best k of each query come from a window that Spark limits
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -21,6 +22,8 @@ from tidemark.operators.staging import new_path, remove, staged
 K1, B = 1.5, 0.75
 # Documents and sets of terms that are scored at once; the most documents of a term that pairs are made of.
 BLOCK_DOCS, BLOCK_SETS, RARE = 8192, 512, 256
+# Scores of vectors that a worker holds at a time.
+SCORES = 1 << 20
 # Weights of the ranking signals.
 FUSION_WEIGHTS = {"dense": 1.0, "sparse": 1.0, "freshness": 0.3, "authority": 0.3, "entity": 0.4, "temporal": 0.6}
 
@@ -312,38 +315,63 @@ def quantized(v: Column) -> Column:
     return F.transform(unit(v), lambda x: F.bround(x * 127).cast("tinyint"))
 
 
+def best_places(scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest scores of each row, largest first, ties to the smaller place; NaN comes last."""
+    worth = np.where(np.isnan(scores), -np.inf, scores)
+    n, size = worth.shape
+    if k >= size:
+        at = np.tile(np.arange(size), (n, 1))
+    else:
+        least = np.partition(worth, size - k, axis=1)[:, size - k, None]
+        above, tied = worth > least, worth == least
+        tied &= np.cumsum(tied, axis=1, dtype=np.int32) <= k - np.count_nonzero(above, axis=1)[:, None]
+        at = np.flatnonzero(above | tied).reshape(n, k) % size
+    order = np.argsort(-np.take_along_axis(worth, at, axis=1), axis=1, kind="stable")
+    return np.take_along_axis(at, order, axis=1)
+
+
+def best_scored(n_asked: int, n_rows: int, k: int, scores: Callable[[int, int], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places and scores of the k best of n_rows for each query; `scores` gives those of a range of queries, of which SCORES are held at a time."""
+    step, places, found = max(1, SCORES // n_rows), [], []
+    for i in range(0, n_asked, step):
+        some = scores(i, min(step, n_asked - i))
+        places.append(best_places(some, k))
+        found.append(np.take_along_axis(some, places[-1], axis=1).astype(np.float64))
+    return np.concatenate(places), np.concatenate(found)
+
+
 def vector_top(vectors: DataFrame, queries: DataFrame, k: int = 20, code: bool = False, rows: int = 16384, asked: int = 4096) -> DataFrame:
     """Exact cosine top k (or over int8 codes) of queries(query_id, q) over vectors(vec_id, embedding).
 
     Blocks of at most about `rows` vectors meet blocks of `asked` queries in an equi-join of block numbers; a job is
-    a matrix product and gives k rows for each of its queries.
+    a matrix product, of which it holds `SCORES` numbers at a time, and gives k rows for each of its queries.
     """
     n_rows, n_asked = -(-vectors.count() // rows) or 1, -(-queries.count() // asked) or 1
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    wide = "array<double>"
-    left = queries.select("query_id", F.col("q").cast(wide).alias("v"), block("query_id", n_asked).alias("qb"), every(n_rows).alias("vb"))
-    right = vectors.select("vec_id", F.col("embedding").cast(wide).alias("v"), block("vec_id", n_rows).alias("vb"), every(n_asked).alias("qb"))
+    single = {vectors.schema["embedding"].dataType.simpleString(), queries.schema["q"].dataType.simpleString()} == {"array<float>"}
+    kind = "array<float>" if single else "array<double>"
+    left = queries.select("query_id", F.col("q").cast(kind).alias("v"), block("query_id", n_asked).alias("qb"), every(n_rows).alias("vb"))
+    right = vectors.select("vec_id", F.col("embedding").cast(kind).alias("v"), block("vec_id", n_rows).alias("vb"), every(n_asked).alias("qb"))
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def unit_rows(t: pa.Table) -> np.ndarray:
         x = t.column("v").combine_chunks()
-        x = x.flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        return np.rint(x * 127) if code else x  # products of whole numbers are exact, so equal ones tie
+        x = x.flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1).astype(np.float64)
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        if not code:
+            return x
+        x = np.rint(x * 127)  # products of whole numbers are exact, so equal ones tie
+        return x.astype(np.float32) if x.shape[1] * 127 * 127 < 1 << 24 else x  # as far as single precision holds them exactly
 
     def job(q: pa.Table, v: pa.Table) -> pa.Table:
         if not q.num_rows or not v.num_rows:
             return schema.empty_table()
-        x, ids, asked_ids = unit_rows(v), v.column("vec_id").to_numpy(), q.column("query_id").to_numpy()
-        by_id = np.argsort(ids)
-        x, ids, parts = x[by_id], ids[by_id], []
-        for i in range(0, q.num_rows, 256):
-            scores = unit_rows(q.slice(i, 256)) @ x.T
-            scores = scores / (127 * 127) if code else scores
-            best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            parts.append((np.repeat(asked_ids[i : i + 256], best.shape[1]), ids[best].ravel(), np.take_along_axis(scores, best, axis=1).ravel()))
-        return pa.table([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], schema=schema)
+        by_id = np.argsort(v.column("vec_id").to_numpy())
+        x, ids = unit_rows(v)[by_id], v.column("vec_id").to_numpy()[by_id]
+        best, score = best_scored(q.num_rows, v.num_rows, k, lambda i, n: unit_rows(q.slice(i, n)) @ x.T)
+        score = score / (127 * 127) if code else score
+        return pa.table([pa.array(c) for c in (np.repeat(q.column("query_id").to_numpy(), best.shape[1]), ids[best].ravel(), score.ravel())], schema=schema)
 
     found = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(job, "query_id long, vec_id long, score double")
     return top_k(found, k, key="vec_id")
