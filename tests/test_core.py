@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timezone
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -387,3 +388,15 @@ def test_fold_takes_keys_one_after_the_other_across_batches(spark):
     table = assertions(df).orderBy("entity", "attribute", "recorded_at", "seq").toArrow()
     cut = lambda n: [tuple(r.values()) for b in _folded(table.to_batches(max_chunksize=n), True) for r in b.to_pylist()]
     assert cut(1) == cut(7) == cut(1000) and len(cut(7)) == B.assert_facts(df, "bitemporal").count()
+
+
+def test_bpe_encodes_distinct_words_together(spark):
+    """The ids of `encode`, which takes word after word: runs of equal tokens, nulls, empty texts and texts of several slices."""
+    texts = ["aaaa aaaaa aa", None, "", "the other the thing", "  12, 34 é漢字!", "aab aba baa", " ", None, "the aaaaaaa"]
+    for merges in ([(97, 97), (256, 97), (256, 256), (116, 104), (259, 101), (32, 260)], []):
+        bpe = P.Bpe(merges)
+        want = [None if t is None else bpe.encode(t) for t in texts]
+        got = [ids for part in P._slices(pa.array(texts), 8) for ids in bpe.encode_all(part).to_pylist()]
+        assert got == bpe.encode_all(pa.array(texts)).to_pylist() == want
+        df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+        assert [r.ids for r in df.select("i", bpe.column(F.col("text")).alias("ids")).orderBy("i").collect()] == want

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from pyspark.sql.types import ArrayType, IntegerType
 from tidemark.operators.staging import remove, staged
 
 PERMUTATIONS, BANDS = 128, 16
+# Bytes of text that are encoded at once.
+ENCODED = 8 << 20
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
@@ -162,6 +165,22 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], ["ids", "n"])
 
 
+def _slices(texts: pa.Array, most: int) -> Iterator[pa.Array]:
+    """Runs of texts of at most `most` bytes, or one text."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        end = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + most, side="right")))
+        yield texts.slice(start, end - start)
+        start = end
+
+
+def _alternate(at: np.ndarray) -> np.ndarray:
+    """Every other one of places that follow each other: a pair of equal tokens can't overlap itself."""
+    start = np.r_[True, np.diff(at) != 1]
+    return at[(at - at[start][np.cumsum(start) - 1]) % 2 == 0] if len(at) else at
+
+
 def _merged(ids: np.ndarray, n: np.ndarray, merges: list[tuple[int, int]], new: int) -> tuple[np.ndarray, np.ndarray]:
     """Packed words after merges, the first of which makes the token `new`."""
     for k, (a, b) in enumerate(merges):
@@ -169,8 +188,7 @@ def _merged(ids: np.ndarray, n: np.ndarray, merges: list[tuple[int, int]], new:
         if not len(at):
             continue
         if a == b:
-            start = np.r_[True, np.diff(at) != 1]
-            at = at[(at - at[start][np.cumsum(start) - 1]) % 2 == 0]
+            at = _alternate(at)
         ids = ids.copy()
         ids[at] = new + k
         keep = np.ones(len(ids), dtype=bool)
@@ -393,14 +411,63 @@ class Bpe:
         """Ids of a text column, by Arrow batches; the merges travel with the function (at most the vocabulary)."""
         merges, specials = self.merges, self.specials
 
-        @F.pandas_udf(ArrayType(IntegerType()))
-        def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf(ArrayType(IntegerType()))
+        def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             own = Bpe(merges, specials)
             for batch in batches:
-                yield batch.map(lambda t: None if t is None else own.encode(t))
+                parts = [own.encode_all(part) for part in _slices(batch, ENCODED)]
+                yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
         return ids(text)
 
+    def encode_all(self, texts: pa.Array) -> pa.Array:
+        """Lists of ids as `encode` gives them, null for null; each distinct word is merged once, all words together."""
+        import regex
+
+        find = regex.compile(WORD).findall
+        words: list[str] = []
+        ends = [0]
+        for t in texts.to_pylist():
+            words += find(t) if t else ()
+            ends.append(len(words))
+        coded = pa.array(words, pa.string()).dictionary_encode()
+        values = self._of_words(coded.dictionary).take(coded.indices)
+        offsets = values.offsets.to_numpy()[np.array(ends)] - values.offsets[0].as_py()
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values.flatten(), mask=texts.is_null())
+
+    def _of_words(self, words: pa.Array) -> pa.Array:
+        """Ids of distinct words: in each round, every word that has a pair merges its first-ranked one wherever it stands."""
+        none = len(self.merges)
+        order = sorted(self.rank)
+        code = np.array([a << 32 | b for a, b in order], dtype=np.int64)
+        rank = np.array([self.rank[p] for p in order] + [none], dtype=np.int64)
+        encoded = [w.encode() for w in words.to_pylist()]
+        ids = np.frombuffer(b"".join(w + b"\0" for w in encoded), dtype=np.uint8).astype(np.int32)
+        ids[np.cumsum([len(w) + 1 for w in encoded], dtype=np.int64) - 1] = -1
+        number, done = np.arange(len(encoded)), []
+        while len(number):
+            at, pairs = _codes(ids)
+            place = np.minimum(np.searchsorted(code, pairs), none and len(code) - 1)
+            of = np.full(len(ids), none, dtype=np.int64)
+            of[at] = np.where(code[place] == pairs, rank[place], none) if len(code) else none
+            sizes = _tokens_of(ids) + 1
+            first = np.minimum.reduceat(of, np.cumsum(sizes) - sizes)
+            over = first == none
+            if over.any():
+                done.append((number[over], sizes[over] - 1, ids[np.repeat(over, sizes) & (ids >= 0)]))
+                left = np.repeat(~over, sizes)
+                ids, of, sizes, number, first = ids[left], of[left], sizes[~over], number[~over], first[~over]
+            at = _alternate(np.flatnonzero(of == np.repeat(first, sizes)))
+            ids[at] = 256 + of[at]
+            keep = np.ones(len(ids), dtype=bool)
+            keep[at + 1] = False
+            ids = ids[keep]
+        if not done:
+            return pa.array([], pa.list_(pa.int32()))
+        number, sizes, flat = (np.concatenate(x) for x in zip(*done, strict=True))
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(flat, pa.int32()))
+        return lists.take(pa.array(np.argsort(number)))
+
 
 def render_chat(conversations: DataFrame) -> DataFrame:
     """One rendered string for each conversation, turns in order."""
