@@ -1,6 +1,7 @@
 """Behaviour of single operators on inline rows."""
 
 import random
+import time
 from datetime import datetime, timezone
 
 import numpy as np
@@ -400,3 +401,23 @@ def test_bpe_encodes_distinct_words_together(spark):
         assert got == bpe.encode_all(pa.array(texts)).to_pylist() == want
         df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
         assert [r.ids for r in df.select("i", bpe.column(F.col("text")).alias("ids")).orderBy("i").collect()] == want
+
+
+def test_sentences_of_a_long_text(spark):
+    """Work in proportion to the text: 60,000 sentences in one, with gaps of several signs, and starts in code points."""
+    n = 60_000
+    df = spark.createDataFrame([(" Né à Rome.\n\t" + "It grew by 5 a year!  " * n + "End", ), (None,), ("",), ("  ",)], "text string")
+    began = time.monotonic()
+    rows = [[tuple(s) for s in r.s] if r.s is not None else None for r in df.select(X.sentences(F.col("text")).alias("s")).collect()]
+    assert time.monotonic() - began < 30
+    assert rows[1:] == [None, [], []] and len(rows[0]) == n + 2
+    assert rows[0][:2] == [("Né à Rome.", 1), ("It grew by 5 a year!", 13)] and rows[0][-2:] == [("It grew by 5 a year!", 13 + 22 * (n - 1)), ("End", 13 + 22 * n)]
+
+
+def test_leading_words_and_units(spark):
+    """The first six words whatever stands between them; a unit only where there is a number."""
+    texts = ["  Acme\t Group  of\nthe  North and South Sea", "Acme", "", "   ", "a b c d e Foo Bar", "% percent $", "$ 5 bn", "7 percent"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = df.select("i", C.leading_subject(F.col("t")).alias("s"), E.unit(F.col("t")).alias("u")).orderBy("i").collect()
+    assert [r.s for r in got] == ["Acme Group of", "Acme", "", "", "Foo", "", "", ""]
+    assert [r.u for r in got] == ["", "", "", "", "", "", "$", "%"]

@@ -103,7 +103,8 @@ def number(text: Column) -> Column:
 
 def unit(text: Column) -> Column:
     u = F.lower(F.regexp_extract(text, NUMBER, 3))
-    return F.when(u.isin("%", "percent"), "%").otherwise(F.regexp_extract(text, NUMBER, 1))
+    found = F.when(u.isin("%", "percent"), "%").otherwise(F.regexp_extract(text, NUMBER, 1))
+    return F.when(~text.rlike("[0-9]"), "").otherwise(found)  # most texts have no number
 
 
 def hedged(text: Column) -> Column:
