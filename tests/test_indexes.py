@@ -5,6 +5,7 @@ import tracemalloc
 from datetime import datetime, timedelta, timezone
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from tidemark.operators import bitemporal as B
 from tidemark.operators import claims as C
 from tidemark.operators import intervals as I
 from tidemark.operators import retrieval as R
+from tidemark.operators import vectorindex as VI
 from tidemark.operators.vectorindex import VectorIndex
 from tidemark.plans.queries import QUERIES
 
@@ -115,6 +117,33 @@ def test_vectors_are_found_after_appends_and_splits(spark, tmp_path):
         VectorIndex(spark, str(tmp_path / "w")).build(both.limit(0))
 
 
+def test_probes_of_a_cell_of_many_copies_are_bounded_in_a_worker(spark, tmp_path, monkeypatch):
+    """All vectors are one, so the only cell has as many blocks as its rows ask for, and all queries meet each of them."""
+    df = vectors(spark, np.ones((600, 4)))
+    index = VectorIndex(spark, str(tmp_path / "v"))
+    index.build(df, cells=1)
+    ran = []
+    real = type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, *a, **b: ran.append(f) or real(self, f, *a, **b))
+    monkeypatch.setattr(VI, "JOB_ROWS", 4)
+    found = index.top(asked_of(df), 3)
+    said = pa.Table.from_batches(ran[0](iter(asked_of(df).toArrow().to_batches())))
+    assert said.num_rows == asked_of(df).count()  # before: 150 times as many, with a query's vector in each
+    want = {(r.query_id, rank, rank - 1) for r in asked_of(df).collect() for rank in (1, 2, 3)}
+    assert {(r.query_id, r["rank"], r.vec_id) for r in found.collect()} == want
+
+
+def test_equal_vectors_tie_wherever_they_stand(spark, tmp_path):
+    x = np.random.default_rng(0).normal(size=(3000, 64))
+    x[::3] = x[0]
+    df = vectors(spark, x)
+    index = VectorIndex(spark, str(tmp_path / "v"))
+    index.build(df, cells=4)
+    asked = df.where("vec_id % 3 = 0 and vec_id < 201").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in index.top(asked, 10).collect())
+    assert got == [(q, i + 1, 3 * i) for q in range(0, 201, 3) for i in range(10)]
+
+
 def test_the_registered_search_has_its_recall(spark):
     sf = "/root/testdata/sf0.01"
     found, exact = ({(r.query_id, r.vec_id) for r in QUERIES[q](spark, sf).collect()} for q in ("vec_ivf", "vec_topk"))
@@ -216,3 +245,13 @@ def test_vector_search_holds_a_bounded_part_of_its_scores():
     assert (best[::511] == want).all() and (score[::511] == np.take_along_axis(some, want, axis=1)).all()
     missing = np.array([[np.nan, 1.0, np.nan, 2.0, 1.0]])
     assert R.best_places(missing, 4).tolist() == [[3, 1, 4, 0]] and R.best_places(missing, 9).tolist() == [[3, 1, 4, 0, 2]]
+
+
+def test_scores_held_take_a_few_megabytes():
+    rng = np.random.default_rng(6)
+    x, q = rng.normal(size=(16384, 8)), rng.normal(size=(256, 8))
+    tracemalloc.start()
+    R.best_scored(len(q), len(x), 10, lambda i, n: q[i : i + n] @ x.T)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 << 20  # before: 34 MB

@@ -23,7 +23,7 @@ K1, B = 1.5, 0.75
 # Documents and sets of terms that are scored at once; the most documents of a term that pairs are made of.
 BLOCK_DOCS, BLOCK_SETS, RARE = 8192, 512, 256
 # Scores of vectors that a worker holds at a time.
-SCORES = 1 << 20
+SCORES = 1 << 18
 # Weights of the ranking signals.
 FUSION_WEIGHTS = {"dense": 1.0, "sparse": 1.0, "freshness": 0.3, "authority": 0.3, "entity": 0.4, "temporal": 0.6}
 
