@@ -152,3 +152,37 @@ def test_citations_show_where_documents_come_from(spark, engine):
     edges = spark.createDataFrame([("x", "y", "DERIVED_FROM"), ("y", "x", "DERIVED_FROM"), *[(f"n{i}", f"n{i + 1}", "DERIVED_FROM") for i in range(12)]], "src string, dst string, etype string")
     got = {r.id: r.path for r in G.paths(edges).collect()}
     assert got["x"] == ["x", "y"] and got["n0"] == [f"n{i}" for i in range(9)] and got["n11"] == ["n11", "n12"]
+
+
+def test_equal_vectors_are_searched_once(spark, engine, monkeypatch):
+    from tidemark.operators import retrieval as R
+
+    plain, sizes = R.vector_top, []
+    monkeypatch.setattr(R, "vector_top", lambda vectors, queries, *a, **more: sizes.append(queries.count()) or plain(vectors, queries, *a, **more))
+    from tidemark.plans.planner import plan
+
+    p = plan(spark, "Who is the current CEO of Acme Industries?", REF)
+    queries = ["Acme Industries revenue" + "!" * i for i in range(5)] + ["Contoso revenue", "A cat in the garden"]
+    got = Engine(engine.versions, engine.chunks, REF, Config(mode="dense", k=5)).retrieve(p, queries)
+    apart = {r.doc_id: r.score for r in got.select("doc_id", "score").collect()}
+    assert sizes == [3]
+    one = [Engine(engine.versions, engine.chunks, REF, Config(mode="dense", k=5)).retrieve(p, [q]) for q in (queries[4], *queries[5:])]
+    best = {}
+    for r in [r for df in one for r in df.select("doc_id", "score").collect()]:
+        best[r.doc_id] = max(r.score, best.get(r.doc_id, 0.0))
+    assert apart == pytest.approx(best) and {"c2", "z1"} <= set(apart)
+
+
+def test_a_round_looks_up_only_the_queries_it_adds(spark, engine, monkeypatch):
+    from tidemark.operators import retrieval as R
+    from tidemark.plans.planner import plan
+
+    top, settled, rounds, evidence = R.TextIndex.top, Engine._settled, [], []
+    monkeypatch.setattr(R.TextIndex, "top", lambda self, queries, *a: rounds.append([r.text for r in queries.collect()]) or top(self, queries, *a))
+    monkeypatch.setattr(Engine, "_settled", lambda self, rows, heads: evidence.append({(r.doc_id, r.score, r.overlap) for r in rows.collect()}) or settled(self, rows, heads))
+    longer = Engine(engine.versions, engine.chunks, REF, Config(max_iterations=4), engine.aliases)
+    question = "What is the headcount of Zorblax Corporation?"
+    assert len(longer.answer(question).trace) == len(rounds) > 1
+    asked = [t for texts in rounds for t in texts]
+    assert len(asked) == len(set(asked))
+    assert {(r.doc_id, r.score, r.overlap) for r in longer.retrieve(plan(spark, question, REF), asked).collect()} == evidence[-1] != set()

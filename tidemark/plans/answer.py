@@ -191,11 +191,19 @@ class Engine:
 
     # ---- rounds
 
-    def retrieved(self, asked: DataFrame) -> DataFrame:
-        """The k best chunks of each question of asked(query_id, queries, entity, intent, anchor, start, end, halflife_days), with score and overlap.
+    def _dense(self, texts: DataFrame) -> DataFrame:
+        """(query_id, doc_id, score): the nearest chunks of texts(query_id, text).
 
-        Each sub-query has dense and sparse candidates; texts that several questions ask are looked up once.
+        Vectors are compared with every chunk's, so texts of equal vectors are searched for once, as one query.
         """
+        asked = staged(texts.select("query_id", self.config.embed(F.col("text")).alias("q")), "asked-vectors")
+        once = staged(asked.groupBy("q").agg(F.min("query_id").alias("_one"), F.collect_list("query_id").alias("_all")), "vectors-asked")
+        near = R.vector_top(self._vectors.select("vec_id", "embedding"), once.select(F.col("_one").alias("query_id"), "q"), self.config.candidate_k).where("score > 0")
+        named = near.withColumnRenamed("query_id", "_one").join(self._vectors.select("vec_id", "doc_id"), "vec_id")
+        return once.select("_one", F.explode("_all").alias("query_id")).join(named, "_one").select("query_id", "doc_id", "score")
+
+    def _found(self, asked: DataFrame) -> DataFrame:
+        """(query_id, doc_id, score, overlap): the candidates of all sub-queries of asked, each with the best of its scores."""
         config = self.config
         sub = asked.select("query_id", "entity", "intent", "anchor", "start", "end", "halflife_days", F.explode("queries").alias("_text")).withColumn("_sub", F.xxhash64("_text"))
         texts = sub.select(F.col("_sub").alias("query_id"), F.col("_text").alias("text")).distinct()
@@ -204,8 +212,7 @@ class Engine:
         if config.mode != "dense":
             sparse = self._postings.top(texts, config.candidate_k).select("query_id", "doc_id", "score")
         if config.mode != "lexical":
-            near = R.vector_top(self._vectors.select("vec_id", "embedding"), texts.select("query_id", config.embed(F.col("text")).alias("q")), config.candidate_k).where("score > 0")
-            dense = near.join(self._vectors.select("vec_id", "doc_id"), "vec_id").select("query_id", "doc_id", "score")
+            dense = self._dense(texts)
         hits = R.union_candidates(dense, sparse).withColumnRenamed("query_id", "_sub")
         about = sub.withColumnsRenamed({"entity": "_entity", "start": "_start", "end": "_end"})
         rows = about.join(hits, "_sub").join(self._named, "doc_id")
@@ -225,7 +232,11 @@ class Engine:
         overlap = F.col("temporal") if "temporal" in rows.columns else F.lit(1.0)
         rows = rows.withColumn("overlap", overlap).withColumn("query_id", F.struct("query_id", "_sub"))
         fused = R.weighted_fuse(rows, weights).withColumn("query_id", F.col("query_id.query_id"))
-        found = fused.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"), F.max("overlap").alias("overlap"))
+        return fused.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"), F.max("overlap").alias("overlap"))
+
+    def _evidence(self, asked: DataFrame, found: DataFrame) -> DataFrame:
+        """The k best of what was found for each question."""
+        config = self.config
         if config.reranker is not None:
             first = asked.select("query_id", F.try_element_at("queries", F.lit(1)).alias("query"))
             pairs = _best(found, config.rerank_depth, F.desc("score"), "doc_id").join(first, "query_id").join(self._named.select("doc_id", "text"), "doc_id")
@@ -233,6 +244,13 @@ class Engine:
             found = best.select("query_id", "doc_id", "score").join(found.select("query_id", "doc_id", "overlap"), ["query_id", "doc_id"])
         return _best(found, config.k, F.desc("score"), "doc_id").join(self._named, "doc_id")
 
+    def retrieved(self, asked: DataFrame) -> DataFrame:
+        """The k best chunks of each question of asked(query_id, queries, entity, intent, anchor, start, end, halflife_days), with score and overlap.
+
+        Each sub-query has dense and sparse candidates; texts that several questions ask are looked up once.
+        """
+        return self._evidence(asked, self._found(asked))
+
     def retrieve(self, p: Row, queries: list[str]) -> DataFrame:
         """The k best chunks over the sub-queries of one planned question."""
         row = (0, queries, p.entity, p.time.intent, p.time.anchor, p.time.start, p.time.end, float(p.halflife_days))
@@ -247,10 +265,16 @@ class Engine:
 
     def _searched(self, asked: DataFrame, heads: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(questions with score, label, n_independent and trace; their evidence), staged, after all rounds."""
-        config, done, kept = self.config, [], []
-        is_open, last = asked, max(1, config.max_iterations)
+        config, done, kept, found = self.config, [], [], None
+        is_open, last = asked.withColumn("_new", F.col("queries")), max(1, config.max_iterations)
         for step in range(1, last + 1):
-            evidence = staged(self._settled(self.retrieved(is_open), heads), "evidence")
+            # a sub-query's candidates do not change, so a round looks up those that it adds
+            more = self._found(is_open.withColumn("queries", F.col("_new")))
+            if found is not None:
+                earlier = found.join(is_open.select("query_id"), "query_id", "left_semi")
+                more = earlier.unionByName(more).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"), F.max("overlap").alias("overlap"))
+            found = staged(more, "found")
+            evidence = staged(self._settled(self._evidence(is_open, found), heads), "evidence")
             about = evidence.join(is_open.select("query_id", "anchor", "halflife_days"), "query_id")
             rows = about.select("query_id", F.coalesce("source", "doc_id").alias("source"), "date", "text", F.lit(None).cast("string").alias("value"), (F.col("overlap") >= 0.5).alias("fresh"), "anchor", "halflife_days")
             scored = C.score_evidence(rows, F.col("anchor"), config.domain, F.col("halflife_days")).select("query_id", "score", "label", "n_independent")
@@ -263,8 +287,8 @@ class Engine:
             more = F.array_except(gap_queries(F.col("gaps"), F.col("entity"), F.col("attribute"), F.year("anchor").cast("string")), F.col("queries"))
             state = state.withColumns({"trace": F.concat("trace", F.array(said)), "_more": more})
             ends = F.col("sufficient") | (F.size("_more") == 0) | (F.col("rounds") <= step) | F.lit(step == last)
-            state = staged(state.withColumns({"ended": ends, "queries": F.concat("queries", F.array_sort("_more"))}).drop("_more", "gaps", "sufficient", "n_history", "n_changes", "needs_both"), "round")
-            done.append(state.where("ended").drop("ended"))
+            state = staged(state.withColumns({"ended": ends, "queries": F.concat("queries", F.array_sort("_more")), "_new": F.array_sort("_more")}).drop("_more", "gaps", "sufficient", "n_history", "n_changes", "needs_both"), "round")
+            done.append(state.where("ended").drop("ended", "_new"))
             kept.append(evidence.join(done[-1].select("query_id"), "query_id", "left_semi"))
             is_open = state.where("not ended").drop("ended", "has_evidence")
             if step == last or is_open.isEmpty():
